@@ -4,7 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelmill.plans import queries_stats  # noqa: F401
-from labelmill.plans.registry import QUERIES, SQL, table
+from labelmill.config import Job, Provider
+from labelmill.functions.parsing import ParsingRules
+from labelmill.operators import metrics
+from labelmill.operators.infer import HashResponder
+from labelmill.plans import queries_stats, queries_text, views  # noqa: F401
+from labelmill.plans.labelling import label_table
+from labelmill.plans.registry import QUERIES, SQL, query, rounded
 
 __all__ = ["QUERIES", "SQL", "flagship"]
+
+JOB = Job(
+    provider=Provider(name="vllm", base_url="http://model"),
+    system="You judge documents.",
+    user="Is this {lang} document from {source} good? {text}",
+    parsing=ParsingRules(thinking_tags="<think></think>", answer_patterns=[r"answer:\s*(\w+)"], find=["0", "1"], default="none"),
+    parameters={"temperature": 0.0, "max_tokens": 16},
+    workers=8,
+)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts for every labelled document, replies of the hash responder, parsed
+    answers, and the report figures per class."""
+    rows = views.labelled(spark, sf_dir).filter("quality is not null").withColumn("row_index", F.col("doc_id"))
+    results = label_table(rows, JOB, HashResponder()).withColumn("ground_truth", F.col("quality").cast("string"))
+    return metrics.report_per_class(results).select("class", "precision", "recall", "f1", "specificity", "jaccard", "support")
+
+
+_H = "md5(CAST(doc_id AS VARCHAR))"
+
+
+@query("run_label_documents", f"""WITH r AS (SELECT CAST(quality AS VARCHAR) AS a, CASE CAST('0x' || substr({_H}, 1, 4) AS INTEGER) % 2 WHEN 0 THEN '0' ELSE '1' END AS p
+   FROM labels WHERE CAST('0x' || substr({_H}, 5, 2) AS INTEGER) % 10 <> 0), c AS (SELECT '0' AS c UNION ALL SELECT '1'),
+ k AS (SELECT c, CAST(count(*) FILTER (a = c AND p = c) AS DOUBLE) AS tp, CAST(count(*) FILTER (a <> c AND p = c) AS DOUBLE) AS fp,
+   CAST(count(*) FILTER (a = c AND p <> c) AS DOUBLE) AS fn, CAST(count(*) FILTER (a <> c AND p <> c) AS DOUBLE) AS tn FROM r, c GROUP BY c)
+ SELECT c AS class, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
+   round(tn / (tn + fp), 6) AS specificity, round(tp / (tp + fp + fn), 6) AS jaccard, CAST(tp + fn AS BIGINT) AS support FROM k""")
+def _(spark, d):
+    return rounded(flagship(spark, d))
