@@ -318,10 +318,12 @@ def detect_language(c: Column, profiles: dict[str, list[str]] | None = None) ->
     """
     profiles = profiles or LANGUAGE_PROFILES
     low = words(F.lower(remove_special(c, keep_basic=False)))
-    scores = [
-        F.struct(F.size(F.filter(low, lambda w, p=p: w.isin(p))).alias("hits"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
-        for i, (lang, p) in enumerate(profiles.items())
-    ]
+
+    def score(rank: int, lang: str, profile: list[str]) -> Column:
+        hits = F.size(F.filter(low, lambda w: w.isin(profile)))
+        return F.struct(hits.alias("hits"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang"))
+
+    scores = [score(i, lang, p) for i, (lang, p) in enumerate(profiles.items())]
     best = F.array_max(F.array(*scores))
     return F.when(best["hits"] > 0, best["lang"])
 

@@ -8,7 +8,7 @@ from labelmill.config import Job, Provider
 from labelmill.functions.parsing import ParsingRules
 from labelmill.operators import metrics
 from labelmill.operators.infer import HashResponder
-from labelmill.plans import queries_stats, queries_text, views  # noqa: F401
+from labelmill.plans import queries_clean, queries_io, queries_stats, queries_text, views  # noqa: F401
 from labelmill.plans.labelling import label_table
 from labelmill.plans.registry import QUERIES, SQL, query, rounded
 
