@@ -113,8 +113,8 @@ _text_query("c17_stem", None, C.stem_text)
  SELECT doc_id, string_agg(coalesce(lemma, t), ' ' ORDER BY i) AS cleaned FROM tok LEFT JOIN lem ON lower(t) = word GROUP BY doc_id""")
 def _(spark, d):
     """The lemma table is made of the benchmark's words, marked with a star."""
-    word = F.lower(F.explode(text.tokens(F.col("text")))).alias("word")
-    lemmas = table(spark, d, "benchmark").select(word).filter(F.length("word") > 2).distinct()
+    all_words = F.explode(F.transform(text.tokens(F.col("text")), F.lower)).alias("word")
+    lemmas = table(spark, d, "benchmark").select(all_words).filter(F.length("word") > 2).distinct()
     lemmas = lemmas.withColumn("lemma", F.concat(F.lit("*"), "word"))
     out = C.lemmatize(table(spark, d, "documents").select("doc_id", "text"), "text", lemmas, "doc_id")
     return out.select("doc_id", F.col("text").alias("cleaned"))

@@ -44,10 +44,9 @@ def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         base.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
         .option("columnPruning", False).option("emptyValue", "").option("nullValue", "\0").csv(path)
     )
-    out = _blocks_to_index(_with_file(raw)).filter(F.col("_corrupt").isNull()).drop("_corrupt")
-    if out.isEmpty():
+    if not raw.filter(F.col("_corrupt").isNull()).take(1):
         raise ValueError("CSV file must have at least one valid data row")
-    return out
+    return _blocks_to_index(_with_file(raw)).filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
 def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
