@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.functions.templates import nested_get, plain
@@ -50,8 +51,6 @@ def count_tokens(df: DataFrame, field: str, system: str, template: str, tokenize
     if tokenizer is None:
         out = out.withColumn("text_tokens", estimated_tokens(F.col("_text"))).withColumn("request_tokens", estimated_tokens(request))
     else:
-        import pandas as pd
-
         @F.pandas_udf("long")
         def count(s: pd.Series) -> pd.Series:
             return s.map(tokenizer).astype("int64")

@@ -42,11 +42,16 @@ def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())])
     raw = (
         base.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        .option("columnPruning", False).option("emptyValue", "").option("nullValue", "\0").csv(path)
+        .option("columnPruning", False).csv(path)
     )
-    if not raw.filter(F.col("_corrupt").isNull()).take(1):
+    # Spark refuses to read the corrupt-record column alone, which a plain count would
+    # ask for; the second condition always holds and keeps a real column in the scan.
+    good = F.col("_corrupt").isNull() & (F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0)
+    if raw.filter(good).isEmpty():
         raise ValueError("CSV file must have at least one valid data row")
-    return _blocks_to_index(_with_file(raw)).filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    out = _blocks_to_index(_with_file(raw)).filter(good).drop("_corrupt")
+    # A cell is always text; Spark reads an empty unquoted one as null.
+    return out.select(ROW, *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
 
 
 def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
