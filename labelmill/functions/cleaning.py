@@ -15,7 +15,9 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelmill.functions.text import NOT_AFTER_WORD as NA, NOT_BEFORE_WORD as NB, SPACE, WORD, collapse_ws, tokens, trim_ws, words
+from labelmill.functions.text import (
+    NOT_AFTER_WORD as NA, NOT_BEFORE_WORD as NB, SPACE, WORD, any_case, bind, collapse_ws, tokens, trim_ws, whole_word, words,
+)
 
 # Character maps, word lists and patterns of the cleaning steps.
 QUOTES = {"`": "'", "´": "'", "«": '"', "»": '"'}
@@ -98,13 +100,17 @@ def squeeze_punctuation(c: Column) -> Column:
 def replace_words(c: Column, mapping: dict[str, str]) -> Column:
     """Whole words, any case, one after the other."""
     for word, new in mapping.items():
-        c = F.regexp_replace(c, f"(?iu){NA}{word}{NB}", new)
+        c = F.regexp_replace(c, whole_word(word), new)
     return c
 
 
 def fix_typos(c: Column) -> Column:
     c = replace_words(c, TYPOS)
-    return replace_words(c, {f"{w}[{SPACE}]+{w}": w for w in DOUBLED_WORDS})
+    for w in DOUBLED_WORDS:
+        letters = any_case(w)
+        twice = f"{letters}(?<![{WORD}]{letters})[{SPACE}]+{letters}{NB}"
+        c = F.regexp_replace(c, twice, w)
+    return c
 
 
 def remove_urls(c: Column) -> Column:
@@ -114,9 +120,9 @@ def remove_urls(c: Column) -> Column:
 
 def normalize_numbers(c: Column) -> Column:
     """Drop a thousands comma; write out k and million."""
-    c = F.regexp_replace(c, f"{NA}(\\p{{Nd}}+),(\\p{{Nd}}{{3}}){NB}", "$1$2")
-    c = F.regexp_replace(c, f"(?iu)(\\p{{Nd}}+)[{SPACE}]*k{NB}", "$1000")
-    return F.regexp_replace(c, f"(?iu)(\\p{{Nd}}+)[{SPACE}]*million{NB}", "$1000000")
+    c = F.regexp_replace(c, f"(?=\\p{{Nd}}){NA}(\\p{{Nd}}+),(\\p{{Nd}}{{3}}){NB}", "$1$2")
+    c = F.regexp_replace(c, f"(\\p{{Nd}}+)[{SPACE}]*{any_case('k')}{NB}", "$1000")
+    return F.regexp_replace(c, f"(\\p{{Nd}}+)[{SPACE}]*{any_case('million')}{NB}", "$1000000")
 
 
 def expand_contractions(c: Column) -> Column:
@@ -127,7 +133,8 @@ def expand_contractions(c: Column) -> Column:
     out = replace_words(c, IRREGULAR_CONTRACTIONS)
     out = F.regexp_replace(out, f"(?iu){NA}({'|'.join(IS_CONTRACTIONS)})'s{NB}", "$1 is")
     for ending, new in CONTRACTED_ENDINGS.items():
-        out = F.regexp_replace(out, f"(?iu)(?<=[{WORD}]){ending}{NB}", new)
+        letters = any_case(ending)
+        out = F.regexp_replace(out, f"{letters}(?<=[{WORD}]{letters}){NB}", new)
     return F.when(F.contains(c, F.lit("'")), out).otherwise(c)
 
 
@@ -288,27 +295,33 @@ def emoji_to_name(c: Column, delimiter: str = ":") -> Column:
 def stem_text(c: Column) -> Column:
     """Porter stem of every token; a word is stemmed once per Python worker."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def stem_all(s: pd.Series) -> pd.Series:
         from labelmill.functions.stemming import stem
 
-        return s.map(lambda ws: [stem(w) for w in ws], na_action="ignore")
+        return s.map(lambda x: " ".join(map(stem, _TOKEN.findall(x))), na_action="ignore")
+
+    return stem_all(c)
 
-    return _some(c, F.array_join(stem_all(tokens(c)), " "))
+
+# The same tokens as ``text.tokens``; Python's classes are the ones spelled out there.
+_TOKEN = re.compile(r"\w+(?:'\w+)?|[^\w\s]")
 
 
 def lemmatize(df: DataFrame, text: str, lemmas: DataFrame, key: str) -> DataFrame:
     """Replace tokens by their lemma from a (word, lemma) table.
 
-    Only the distinct words of a text that the table knows are shuffled back, as one
-    small map per text; texts themselves move once, by their key.
+    Tokens are exploded and looked up by a join, which Spark broadcasts while the lemma
+    table is below its limit. A text's tokens stay together, so they are gathered again
+    before the shuffle by key: about one text per row crosses it.
     """
-    vocab = df.select(key, F.explode(F.array_distinct(F.transform(tokens(F.col(text)), F.lower))).alias("word"))
-    known = vocab.join(lemmas.select("word", "lemma"), "word")
-    maps = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemmas"))
-    pick = lambda w: F.coalesce(F.try_element_at(F.col("_lemmas"), F.lower(w)), w)
-    out = df.join(maps, key, "left")
-    return out.withColumn(text, _some(F.col(text), F.array_join(F.transform(tokens(F.col(text)), pick), " "))).drop("_lemmas")
+    each = df.select(key, F.posexplode(tokens(F.col(text))).alias("_at", "_t")).withColumn("word", F.lower("_t"))
+    found = each.join(lemmas.select("word", "lemma"), "word", "left")
+    pieces = F.sort_array(F.collect_list(F.struct("_at", F.coalesce("lemma", "_t").alias("w"))))
+    joined = found.groupBy(key).agg(F.array_join(F.transform(pieces, lambda p: p["w"]), " ").alias("_joined"))
+    # Texts without any token come out empty, as from the other token steps.
+    out = df.join(joined, key, "left")
+    return out.withColumn(text, _some(F.col(text), F.coalesce("_joined", F.lit("")))).drop("_joined")
 
 
 def detect_language(c: Column, profiles: dict[str, list[str]] | None = None) -> Column:
@@ -317,15 +330,16 @@ def detect_language(c: Column, profiles: dict[str, list[str]] | None = None) ->
     A tie goes to the language listed first.
     """
     profiles = profiles or LANGUAGE_PROFILES
-    low = words(F.lower(remove_special(c, keep_basic=False)))
 
-    def score(rank: int, lang: str, profile: list[str]) -> Column:
-        hits = F.size(F.filter(low, lambda w: w.isin(profile)))
-        return F.struct(hits.alias("hits"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang"))
+    def best(low: Column) -> Column:
+        def score(rank: int, lang: str, profile: list[str]) -> Column:
+            hits = F.size(F.filter(low, lambda w: w.isin(profile)))
+            return F.struct(hits.alias("hits"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang"))
+
+        return F.array_max(F.array(*[score(i, lang, p) for i, (lang, p) in enumerate(profiles.items())]))
 
-    scores = [score(i, lang, p) for i, (lang, p) in enumerate(profiles.items())]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["hits"] > 0, best["lang"])
+    top = bind(words(F.lower(remove_special(c, keep_basic=False))), best)
+    return bind(top, lambda b: F.when(b["hits"] > 0, b["lang"]))
 
 
 def filter_language(c: Column, language: str = "en") -> Column:

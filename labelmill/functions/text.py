@@ -23,6 +23,32 @@ TRIM_CHARS = (
 )
 
 
+def any_case(word: str) -> str:
+    """Pattern for a literal word in any case.
+
+    Spelled-out classes let the engine reject a position by its first character, which
+    a case-insensitive flag does not. The two letters with a third form get it.
+    """
+    third = {"s": "\u017f", "k": "\u212a"}
+    out = ""
+    for ch in word:
+        forms = dict.fromkeys((ch.lower(), ch.upper(), third.get(ch.lower(), ch.lower())))
+        out += f"[{''.join(forms)}]" if ch.isalpha() else ("\\" + ch if ch in "\\.[]{}()*+?^$|" else ch)
+    return out
+
+
+def whole_word(word: str) -> str:
+    """Pattern for a whole word in any case; the check on the left comes after the
+    letters, so that it only runs where the letters are there."""
+    letters = any_case(word)
+    return f"{letters}(?<![{WORD}]{letters}){NOT_BEFORE_WORD}"
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trim_ws(c: Column) -> Column:
     """Trim every kind of white space; plain ``trim`` removes the space only."""
     return F.trim(c, F.lit(TRIM_CHARS))

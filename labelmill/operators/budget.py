@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.functions.templates import nested_get, plain
 from labelmill.functions.text import word_count
-from labelmill.operators.quantiles import linear_percentiles
+from labelmill.operators.quantiles import linear_from_counts, moments_from_counts, value_counts
 
 # Percentiles reported, and the words-to-tokens factor.
 TEXT_POINTS = [5, 10, 25, 50, 75, 90, 95, 99]
@@ -62,12 +62,10 @@ def count_tokens(df: DataFrame, field: str, system: str, template: str, tokenize
     return out.drop("_text")
 
 
-def _stats(df: DataFrame, value: Column, group: Column, points: list[int]) -> DataFrame:
-    p = linear_percentiles(df, value, {f"p{i}": i / 100 for i in points}, group)
-    agg = df.groupBy(group.alias("grp")).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
-    return agg.join(F.broadcast(p), "grp")  # one row per listed field
+def _stats(counts: DataFrame, points: list[int]) -> DataFrame:
+    """All figures from the counts per distinct value, so texts are read once."""
+    p = linear_from_counts(counts, {f"p{i}": i / 100 for i in points})
+    return moments_from_counts(counts).join(F.broadcast(p), "grp").withColumnRenamed("grp", "field")  # one row per field
 
 
 def token_stats(counted: DataFrame) -> DataFrame:
@@ -75,8 +73,8 @@ def token_stats(counted: DataFrame) -> DataFrame:
     both = counted.select(F.explode(F.create_map(
         F.lit("text"), F.col("text_tokens"), F.lit("request"), F.col("request_tokens")
     )).alias("field", "tokens"))
-    out = _stats(both, F.col("tokens"), F.col("field"), TEXT_POINTS)
-    return out.withColumnRenamed("grp", "field").withColumn("iqr", F.col("p75") - F.col("p25"))
+    out = _stats(value_counts(both, F.col("tokens"), F.col("field")), TEXT_POINTS)
+    return out.drop("rows", "sum").withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
 def field_stats(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -90,9 +88,10 @@ def field_stats(df: DataFrame, fields: list[str]) -> DataFrame:
 
     pairs = [x for f in fields for x in (F.lit(f), words_of(f))]
     long = df.select(F.explode(F.create_map(*pairs)).alias("field", "tokens"))
-    sizes = long.groupBy("field").agg(F.count_if(F.col("tokens") > 0).alias("valid"), F.count("*").alias("total"))
-    stats = _stats(long.filter("tokens > 0"), F.col("tokens"), F.col("field"), FIELD_POINTS).withColumnRenamed("grp", "field")
-    return stats.join(F.broadcast(sizes), "field")
+    counts = value_counts(long, F.col("tokens"), F.col("field"))
+    sizes = counts.groupBy("grp").agg(F.sum("n").alias("total")).withColumnRenamed("grp", "field")
+    stats = _stats(counts.filter("v > 0"), FIELD_POINTS).drop("sum").withColumnRenamed("rows", "valid")
+    return stats.join(F.broadcast(sizes), "field")  # one row per field
 
 
 def budget_summary(counted: DataFrame) -> DataFrame:

@@ -14,9 +14,14 @@ MAX_BUCKETS = 65536
 
 
 def value_counts(df: DataFrame, value: Column, group: Column | None = None) -> DataFrame:
-    """grp, v, n: how often each non-null value occurs in each group."""
+    """grp, v, n: how often each non-null value occurs in each group.
+
+    Joins on the group add a not-null filter below the aggregate. With the filter here
+    already, every use has the same plan and Spark runs the aggregate once.
+    """
     g = F.lit("all") if group is None else group
-    return df.select(g.alias("grp"), value.alias("v")).filter(F.col("v").isNotNull()).groupBy("grp", "v").agg(F.count("*").alias("n"))
+    pairs = df.select(g.alias("grp"), value.alias("v")).filter(F.col("v").isNotNull() & F.col("grp").isNotNull())
+    return pairs.groupBy("grp", "v").agg(F.count("*").alias("n"))
 
 
 def pick_ranks(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:
@@ -25,20 +30,23 @@ def pick_ranks(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:
     ``ranks`` are expressions over ``total``, the group's number of rows.
     """
     span = counts.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+
+    def bucket(v: Column) -> Column:
+        width = F.greatest((F.col("hi") - F.col("lo")) / F.lit(float(MAX_BUCKETS)), F.lit(1e-9))
+        return F.least(F.floor((v - F.col("lo")) / width), F.lit(MAX_BUCKETS - 1))
+
     # Groups are named by the caller (one, or one per listed field): a handful of rows.
-    placed = counts.join(F.broadcast(span), "grp")
-    width = F.greatest((F.col("hi") - F.col("lo")) / F.lit(float(MAX_BUCKETS)), F.lit(1e-9))
-    placed = placed.withColumn("b", F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(MAX_BUCKETS - 1)))
-    totals = placed.groupBy("grp", "b", "total").agg(F.sum("n").alias("bn"))
+    placed = counts.join(F.broadcast(span), "grp").withColumn("b", bucket(F.col("v")))
+    totals = placed.groupBy("grp", "b", "lo", "hi", "total").agg(F.sum("n").alias("bn"))
     running = F.sum("bn").over(Window.partitionBy("grp").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
     totals = totals.withColumn("before", running - F.col("bn"))
     wanted = F.array(*[F.struct(F.lit(k).alias("pick"), r.cast("long").alias("r")) for k, r in ranks.items()])
     hit = totals.withColumn("w", F.explode(wanted)).filter(
         (F.col("w.r") >= F.col("before")) & (F.col("w.r") < F.col("before") + F.col("bn"))
     )
-    hit = hit.select("grp", "b", "before", F.col("w.pick").alias("pick"), F.col("w.r").alias("r"))
-    # One row per group and rank.
-    inside = placed.select("grp", "b", "v", "n").join(F.broadcast(hit), ["grp", "b"])
+    hit = hit.select("grp", "b", "lo", "hi", "before", F.col("w.pick").alias("pick"), F.col("w.r").alias("r"))
+    # One row per group and rank. The bucket's bounds travel with it.
+    inside = counts.join(F.broadcast(hit), "grp").filter(bucket(F.col("v")) == F.col("b"))
     upto = F.sum("n").over(
         Window.partitionBy("grp", "pick").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -51,25 +59,45 @@ def floor_rank(p: float) -> Column:
     return F.floor(F.col("total").cast("double") * F.lit(p))
 
 
-def floor_percentiles(df: DataFrame, value: Column, points: dict[str, float]) -> DataFrame:
-    """One row; a column per point with sorted[floor(p * n)]."""
-    picked = pick_ranks(value_counts(df, value), {k: floor_rank(p) for k, p in points.items()})
+def floor_percentiles(counts: DataFrame, points: dict[str, float]) -> DataFrame:
+    """One row from the counts of one group; a column per point with sorted[floor(p * n)]."""
+    picked = pick_ranks(counts, {k: floor_rank(p) for k, p in points.items()})
     return picked.agg(*[F.max(F.when(F.col("pick") == k, F.col("v"))).alias(k) for k in points])
 
 
-def linear_percentiles(df: DataFrame, value: Column, points: dict[str, float], group: Column | None = None) -> DataFrame:
+def linear_from_counts(counts: DataFrame, points: dict[str, float]) -> DataFrame:
     """Per group, percentiles with linear interpolation between neighbouring ranks."""
     at = lambda p: (F.col("total") - 1).cast("double") * F.lit(p)
     ranks: dict[str, Column] = {}
     for k, p in points.items():
         ranks[k + "|lo"] = F.floor(at(p))
         ranks[k + "|hi"] = F.ceil(at(p))
-    counts = value_counts(df, value, group)
     got = pick_ranks(counts, ranks)
     wide = got.groupBy("grp").agg(*[F.max(F.when(F.col("pick") == k, F.col("v"))).cast("double").alias(k) for k in ranks])
     sizes = counts.groupBy("grp").agg(F.sum("n").alias("total"))
-    out = wide.join(F.broadcast(sizes), "grp")
+    out = wide.join(F.broadcast(sizes), "grp")  # one row per group, as above
     for k, p in points.items():
         lo, hi = F.col(f"`{k}|lo`"), F.col(f"`{k}|hi`")
         out = out.withColumn(k, lo + (hi - lo) * (at(p) - F.floor(at(p))))
     return out.select("grp", *points)
+
+
+def linear_percentiles(df: DataFrame, value: Column, points: dict[str, float], group: Column | None = None) -> DataFrame:
+    return linear_from_counts(value_counts(df, value, group), points)
+
+
+def moments_from_counts(counts: DataFrame) -> DataFrame:
+    """Per group: mean, population deviation, min, max and number of rows."""
+    return counts.groupBy("grp").agg(*moments())
+
+
+def moments() -> list[Column]:
+    """Aggregates over (v, n) rows: mean, std, min, max, rows, sum."""
+    n, v = F.col("n"), F.col("v").cast("double")
+    total = F.sum(n)
+    mean = F.sum(v * n) / F.nullif(total, F.lit(0))
+    var = F.greatest(F.sum(v * v * n) / F.nullif(total, F.lit(0)) - mean * mean, F.lit(0.0))
+    return [
+        mean.alias("mean"), F.sqrt(var).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), total.alias("rows"),
+        F.sum(F.col("v") * n).alias("sum"),
+    ]

@@ -17,9 +17,8 @@ CLASS_COLUMNS = ["precision", "recall", "f1", "specificity", "npv", "jaccard"]
 def _overall(results: DataFrame) -> DataFrame:
     """Summary metrics, totals and throughput side by side in one row."""
     s = metrics.report_summary(results)
-    o = run_stats.overview(results).select(F.struct("*").alias("o"))
-    t = run_stats.throughput(results).select("per_second")
-    return s.withColumn("o", o.scalar()).withColumn("throughput_per_second", t.scalar()).select("*", "o.*").drop("o")
+    o = run_stats.totals(results, "total", "success", "failed", "success_rate", "per_second").select(F.struct("*").alias("o"))
+    return s.withColumn("o", o.scalar()).select("*", "o.*").drop("o").withColumnRenamed("per_second", "throughput_per_second")
 
 
 def report_long(results: DataFrame) -> DataFrame:

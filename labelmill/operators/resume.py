@@ -9,7 +9,7 @@ def remaining(rows: DataFrame, done: DataFrame, key: str = "row_index", retry_fa
     """Rows without a result; failed rows count as done unless they are to be retried."""
     if retry_failed:
         done = done.filter("success")
-    return rows.join(done.select(key).distinct(), key, "left_anti")
+    return rows.join(done.select(key), key, "left_anti")
 
 
 def merge_results(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelmill.functions.text import trim_ws
-from labelmill.operators.quantiles import floor_percentiles
+from labelmill.operators.quantiles import floor_percentiles, linear_percentiles, moments, value_counts
 
 TIME = "response_time_ms"
 
@@ -41,38 +40,49 @@ def mean_ms(total: Column, n: Column) -> Column:
     return F.coalesce(nanos / F.lit(1e6), F.lit(0.0))
 
 
+def _totals() -> dict[str, Column]:
+    """Aggregates over result rows that several reports need."""
+    ok, n = F.count_if(F.col("success")), F.count("*")
+    per_s = ratio(n, F.sum(TIME) / 1000.0)
+    return {
+        "total": n,
+        "success": ok,
+        "failed": n - ok,
+        "success_rate": ratio(ok, n) * 100,
+        "total_time_ms": F.coalesce(F.sum(TIME), F.lit(0)),
+        "per_second": per_s,
+        "per_minute": per_s * 60,
+        "per_hour": per_s * 3600,
+        "avg_ms": mean_ms(F.sum(TIME), n),
+    }
+
+
+def totals(results: DataFrame, *names: str) -> DataFrame:
+    """The named totals in one pass and one row."""
+    have = _totals()
+    return results.agg(*[have[k].alias(k) for k in names or have])
+
+
 def overview(results: DataFrame) -> DataFrame:
-    ok = F.count_if(F.col("success"))
-    n = F.count("*")
-    return results.agg(
-        n.alias("total"),
-        ok.alias("success"),
-        (n - ok).alias("failed"),
-        (ratio(ok, n) * 100).alias("success_rate"),
-        F.coalesce(F.sum(TIME), F.lit(0)).alias("total_time_ms"),
-    )
+    return totals(results, "total", "success", "failed", "success_rate", "total_time_ms")
 
 
 def time_stats(results: DataFrame) -> DataFrame:
-    """Mean, extremes and spread over all rows, failed ones included, plus percentiles."""
-    total, n = F.sum(TIME), F.count(TIME)
-    basic = results.agg(
-        F.struct(
-            mean_ms(total, n).alias("avg_ms"),
-            F.min(TIME).alias("min_ms"),
-            F.max(TIME).alias("max_ms"),
-            F.stddev_pop(TIME).alias("std_ms"),
-        ).alias("s")
-    )
-    p = floor_percentiles(results, F.col(TIME), PERCENTILES)
-    return p.withColumn("s", basic.scalar()).select(
-        "s.avg_ms", "s.min_ms", "s.max_ms", F.col("p50").alias("median_ms"), F.col("p95").alias("p95_ms"),
-        F.col("p99").alias("p99_ms"), "s.std_ms",
+    """Mean, extremes, spread and percentiles over all rows, failed ones included.
+
+    Everything comes from the counts per distinct time, so results are read once.
+    """
+    counts = value_counts(results, F.col(TIME))
+    m = counts.agg(*moments()).select(F.struct("*").alias("m"))
+    p = floor_percentiles(counts, PERCENTILES)
+    return p.withColumn("m", m.scalar()).select(
+        mean_ms(F.col("m.sum"), F.col("m.rows")).alias("avg_ms"), F.col("m.min").alias("min_ms"), F.col("m.max").alias("max_ms"),
+        F.col("p50").alias("median_ms"), F.col("p95").alias("p95_ms"), F.col("p99").alias("p99_ms"), F.col("m.std").alias("std_ms"),
     )
 
 
 def time_percentiles(results: DataFrame) -> DataFrame:
-    return floor_percentiles(results, F.col(TIME), PERCENTILES)
+    return floor_percentiles(value_counts(results, F.col(TIME)), PERCENTILES)
 
 
 def time_buckets(results: DataFrame) -> DataFrame:
@@ -84,10 +94,7 @@ def time_buckets(results: DataFrame) -> DataFrame:
 
 def throughput(results: DataFrame) -> DataFrame:
     """Rows per second of summed response time, not of wall time."""
-    per_s = ratio(F.count("*"), F.sum(TIME) / 1000.0)
-    return results.agg(
-        per_s.alias("per_second"), (per_s * 60).alias("per_minute"), (per_s * 3600).alias("per_hour")
-    )
+    return totals(results, "per_second", "per_minute", "per_hour")
 
 
 def class_distribution(results: DataFrame) -> DataFrame:
@@ -121,8 +128,7 @@ def _grade(value: Column, steps: list[tuple[int, str]], floor: str, at_least: bo
 
 
 def status_grade(results: DataFrame) -> DataFrame:
-    n, ok = F.count("*"), F.count_if(F.col("success"))
-    stats = results.agg((ratio(ok, n) * 100).alias("success_rate"), mean_ms(F.sum(TIME), n).alias("avg_ms"))
+    stats = totals(results, "success_rate", "avg_ms")
     return stats.select(
         "success_rate",
         "avg_ms",
@@ -183,8 +189,6 @@ def dataset_profile(df: DataFrame, text: str, label: str) -> DataFrame:
 
 
 def median_of(df: DataFrame, value: Column) -> DataFrame:
-    from labelmill.operators.quantiles import linear_percentiles
-
     return linear_percentiles(df, value, {"m": 0.5}).select("m")
 
 
@@ -205,7 +209,3 @@ def most_frequent(df: DataFrame, value: str) -> DataFrame:
 
 def distinct_in_order(items: Column) -> Column:
     return F.array_distinct(items)
-
-
-def trimmed(c: Column) -> Column:
-    return trim_ws(c)

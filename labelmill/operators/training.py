@@ -38,10 +38,14 @@ def mark_smallest(df: DataFrame, key: str, quotas: DataFrame, group: str | None
     rows = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, PREFIX_DIGITS))
     g = group or "_g"
     if group is None:
-        rows, quotas = rows.withColumn(g, F.lit(0)), quotas.withColumn(g, F.lit(0))
+        rows = rows.withColumn(g, F.lit(0))
     hist = rows.groupBy(g, "_b").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-    hist = hist.withColumn("_before", upto - F.col("_n")).join(quotas.select(g, F.col("quota").alias("_q")), g)
+    hist = hist.withColumn("_before", upto - F.col("_n"))
+    if group is None:
+        hist = hist.withColumn("_q", quotas.select("quota").scalar())
+    else:
+        hist = hist.join(quotas.select(g, F.col("quota").alias("_q")), g)
     at_cut = (F.col("_before") < F.col("_q")) & (F.col("_before") + F.col("_n") > F.col("_q"))
     # Prefixes below _cut are kept whole, the one at _cut up to _need rows.
     after = F.min(F.when(F.col("_before") >= F.col("_q"), F.col("_b")))
@@ -52,7 +56,11 @@ def mark_smallest(df: DataFrame, key: str, quotas: DataFrame, group: str | None
     )
     # One row per group. Written out, its size is known, so Spark broadcasts it below
     # the broadcast limit without shuffling the rows, and shuffles only beyond it.
-    rows = rows.join(materialize(cuts, "quota"), g)
+    cuts = materialize(cuts, "quota")
+    if group is None:
+        rows = rows.withColumn("_c", cuts.select(F.struct("_edge", "_need", "_stop")).scalar()).select("*", "_c.*")
+    else:
+        rows = rows.join(cuts, g)
     edge = F.coalesce(F.col("_b") == F.col("_edge"), F.lit(False))
     rank = F.row_number().over(Window.partitionBy(g, "_b").orderBy("_h", key))
     inner = rows.filter(~edge).withColumn("picked", F.col("_b") < F.coalesce("_edge", "_stop"))

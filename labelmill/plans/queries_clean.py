@@ -9,6 +9,7 @@ from labelmill.operators import budget, conversations, quality, review, run_stat
 from labelmill.plans import views as V
 from labelmill.plans.queries_text import sql_trim
 from labelmill.plans.registry import query, rounded, table
+from labelmill.session import spread
 
 WORD, SPACE = text.WORD, text.SPACE
 lit = lambda s: "'" + s.replace("'", "''") + "'"
@@ -38,7 +39,7 @@ _w = lambda word: f"chr(1) || {lit(word)} || chr(2)"
 def _text_query(name, sql_of, step, source="documents", key="doc_id", column="text"):
     @query(name, f"SELECT {key}, {sql_of(column)} AS cleaned FROM {source}" if sql_of else None)
     def _(spark, d):
-        return table(spark, d, source).select(key, step(F.col(column)).alias("cleaned"))
+        return spread(table(spark, d, source)).select(key, step(F.col(column)).alias("cleaned"))
 
 
 _text_query("c1_clean_html", None, C.clean_html, "pages", "page_id", "html")
@@ -116,7 +117,7 @@ def _(spark, d):
     all_words = F.explode(F.transform(text.tokens(F.col("text")), F.lower)).alias("word")
     lemmas = table(spark, d, "benchmark").select(all_words).filter(F.length("word") > 2).distinct()
     lemmas = lemmas.withColumn("lemma", F.concat(F.lit("*"), "word"))
-    out = C.lemmatize(table(spark, d, "documents").select("doc_id", "text"), "text", lemmas, "doc_id")
+    out = C.lemmatize(spread(table(spark, d, "documents").select("doc_id", "text")), "text", lemmas, "doc_id")
     return out.select("doc_id", F.col("text").alias("cleaned"))
 
 
@@ -136,7 +137,7 @@ _LANG = f"""(SELECT *, CASE WHEN greatest(en, fr, de, es) = 0 THEN NULL WHEN en
 
 @query("c21_detect_language", f"SELECT doc_id, detected, CASE WHEN detected = 'en' THEN text ELSE '' END AS kept FROM {_LANG}")
 def _(spark, d):
-    docs = table(spark, d, "documents").withColumn("detected", C.detect_language(F.col("text")))
+    docs = spread(table(spark, d, "documents")).withColumn("detected", C.detect_language(F.col("text")))
     return docs.select("doc_id", "detected", F.when(F.col("detected") == "en", F.col("text")).otherwise("").alias("kept"))
 
 
@@ -154,13 +155,13 @@ _text_query("c28_domain_abbreviations", lambda x: _marked_words(x, [(_w(k), _w(v
 
 @query("c29_clean_text")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return C.clean_text(docs, options={"remove_urls": True, "normalize_numbers": True, "fix_case": True, "remove_short_words": True})
 
 
 @query("c29_clean_pages")
 def _(spark, d):
-    return C.clean_text(table(spark, d, "pages").select("page_id", "html"), "html", options={"to_lowercase": True, "remove_punctuation": True})
+    return C.clean_text(spread(table(spark, d, "pages").select("page_id", "html")), "html", options={"to_lowercase": True, "remove_punctuation": True})
 
 
 def _profile_sql(x, prefix=""):
@@ -177,7 +178,7 @@ def _profile_sql(x, prefix=""):
 
 @query("c30_quality_profile", f"SELECT {_profile_sql('text')} FROM documents")
 def _(spark, d):
-    return rounded(quality.quality_profile(table(spark, d, "documents"), "text"))
+    return rounded(quality.quality_profile(spread(table(spark, d, "documents").select("text")), "text"))
 
 
 @query("c31_before_after", f"""WITH t AS (SELECT html AS a, {_sub('html', f'https?://{_URL}|www\\.{_URL}', '')} AS b FROM pages), p AS (SELECT {_profile_sql('a', 'before_')}, {_profile_sql('b', 'after_')},
@@ -185,7 +186,7 @@ def _(spark, d):
  SELECT * EXCLUDE (la, lb, sa, sb), round((lb - la) / la * 100, 6) AS avg_length_change, round((sb - sa) / sa * 100, 6) AS avg_special_chars_change,
  before_items_with_urls - after_items_with_urls AS urls_removed, after_empty_items - before_empty_items AS empty_change FROM p""")
 def _(spark, d):
-    pages = table(spark, d, "pages").select(F.col("html").alias("a"), C.remove_urls(F.col("html")).alias("b"))
+    pages = spread(table(spark, d, "pages").select("html")).select(F.col("html").alias("a"), C.remove_urls(F.col("html")).alias("b"))
     return rounded(quality.before_after(pages, "a", "b"))
 
 
@@ -214,7 +215,7 @@ SYSTEM, ASK = "You are a careful reader.", "Classify the text: {text} . Answer b
 _n = lambda x: f"len({_WORDS(x)})"
 COUNTED = f"""WITH t AS (SELECT doc_id, source, lang, CAST(floor({_n('text')} * 1.3) AS BIGINT) AS text_tokens,
   CAST(floor({_n(lit(SYSTEM + ' Classify the text: ') + " || text || " + lit(' . Answer briefly'))} * 1.3) AS BIGINT) AS request_tokens FROM documents)"""
-_counted = lambda spark, d: budget.count_tokens(table(spark, d, "documents"), "text", SYSTEM, ASK)
+_counted = lambda spark, d: budget.count_tokens(spread(table(spark, d, "documents").select("doc_id", "text")), "text", SYSTEM, ASK)
 
 
 @query("b1_count_tokens", f"{COUNTED} SELECT doc_id, text_tokens, request_tokens FROM t")
@@ -236,7 +237,7 @@ def _(spark, d):
 @query("b3_field_stats", f"""WITH u AS (SELECT 'text' AS field, CAST({_n('text')} AS BIGINT) AS tokens FROM documents UNION ALL SELECT 'source', CAST({_n('source')} AS BIGINT) FROM documents)
  SELECT field, {_stat_sql(budget.FIELD_POINTS)}, count(*) AS valid, (SELECT count(*) FROM documents) AS total FROM u WHERE tokens > 0 GROUP BY field""")
 def _(spark, d):
-    return rounded(budget.field_stats(table(spark, d, "documents"), ["text", "source"]))
+    return rounded(budget.field_stats(spread(table(spark, d, "documents").select("text", "source")), ["text", "source"]))
 
 
 @query("b4_budget_summary", f"""{COUNTED} SELECT CAST(sum(request_tokens) AS BIGINT) AS total_tokens, round(avg(request_tokens), 6) AS avg_tokens, count(*) FILTER (request_tokens > 1000) AS above_1000,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelmill.plans.registry import table
+from labelmill.session import spread
 
 CLASSES = ["signup", "click", "view", "purchase"]
 
@@ -69,7 +70,7 @@ ATTEMPTS_SQL = """SELECT event_id // 5 AS row_index, CAST(event_id % 5 + 1 AS IN
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their labels where they have any."""
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return spread(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id", "left")
 
 
 LABELLED_SQL = "SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"

@@ -29,6 +29,16 @@ def local_session(cpus: str = "8", app: str = "labelmill", shuffle_partitions: i
     return spark
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Give a freshly read table at least one partition per core.
+
+    Meant for costly per-row work on an input of few files. A table with as many splits
+    as there are cores, and so every large one, is returned as it is: no shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

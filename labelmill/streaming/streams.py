@@ -98,46 +98,53 @@ def rate_and_eta(query: StreamingQuery, processed: int, total: int) -> tuple[flo
 
 
 VOTE_SCHEMA = "row_index bigint, final_answer string, count bigint, total bigint, ratio double"
-_STATE = "answers array<string>, numbers array<int>, seen int"
+_ATTEMPT = ["row_index", "attempt_no", "answer", "success"]
+_STATE = "row_index array<bigint>, attempt_no array<int>, answer array<string>, success array<boolean>"
+
+
+def _votes(finished: pd.DataFrame) -> pd.DataFrame:
+    """Winner per row: most votes, then the answer given first."""
+    good = finished[finished["success"].astype(bool)]
+    tally = good.groupby(["row_index", "answer"], as_index=False).agg(count=("attempt_no", "size"), first=("attempt_no", "min"))
+    tally["total"] = tally.groupby("row_index")["count"].transform("sum")
+    best = tally.sort_values(["row_index", "count", "first"], ascending=[True, False, True]).drop_duplicates("row_index")
+    best = best.rename(columns={"answer": "final_answer"}).assign(ratio=lambda t: t["count"] / t["total"])
+    return best[["row_index", "final_answer", "count", "total", "ratio"]]
 
 
 def vote_when_complete(repeat: int) -> Callable:
-    """State function: gather a row's attempts, emit its vote when the last one is in.
+    """State function over a bucket of rows: hold the attempts of unfinished rows, emit
+    the votes of rows whose last attempt has come in."""
 
-    State per row is at most ``repeat`` short answers and is removed with the vote, so
-    the state store holds only the rows in flight.
-    """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        answers, numbers, seen = state.get if state.exists else ([], [], 0)
-        answers, numbers = list(answers), list(numbers)
-        for pdf in batches:
-            seen += len(pdf)
-            good = pdf[pdf["success"]]
-            answers += good["answer"].tolist()
-            numbers += good["attempt_no"].tolist()
-        if seen < repeat:
-            state.update((answers, numbers, int(seen)))
-            return
-        state.remove()
-        if answers:
-            first: dict[str, int] = {}
-            count: dict[str, int] = {}
-            for a, n in zip(answers, numbers):
-                count[a] = count.get(a, 0) + 1
-                first[a] = min(n, first.get(a, n))
-            best = min(count, key=lambda a: (-count[a], first[a]))
-            yield pd.DataFrame(
-                [(key[0], best, count[best], len(answers), count[best] / len(answers))],
-                columns=["row_index", "final_answer", "count", "total", "ratio"],
-            )
+        held = [pd.DataFrame(dict(zip(_ATTEMPT, map(list, state.get))))] if state.exists else []
+        rows = pd.concat(held + [b[_ATTEMPT] for b in batches], ignore_index=True)
+        complete = rows.groupby("row_index")["attempt_no"].transform("size") >= repeat
+        rest = rows[~complete]
+        if len(rest):
+            state.update((
+                [int(x) for x in rest["row_index"]], [int(x) for x in rest["attempt_no"]],
+                rest["answer"].tolist(), [bool(x) for x in rest["success"]],
+            ))
+        elif state.exists:
+            state.remove()
+        votes = _votes(rows[complete])
+        if len(votes):
+            yield votes
 
     return step
 
 
-def stream_consensus(attempts: DataFrame, repeat: int, key: str = "row_index") -> DataFrame:
-    """Votes as a stream. ``attempts`` needs key, attempt_no, answer and success."""
+def stream_consensus(attempts: DataFrame, repeat: int, key: str = "row_index", buckets: int = 256) -> DataFrame:
+    """Votes as a stream. ``attempts`` needs key, attempt_no, answer and success.
+
+    Rows are hashed into buckets, so one Python call handles many rows. A bucket's state
+    is the attempts of its unfinished rows and nothing else; with more rows in flight,
+    use more buckets.
+    """
     slim = attempts.select(F.col(key).alias("row_index"), F.col("attempt_no").cast("int"), "answer", "success")
-    return slim.groupBy("row_index").applyInPandasWithState(
+    slim = slim.withColumn("bucket", F.pmod(F.xxhash64("row_index"), F.lit(buckets)))
+    return slim.groupBy("bucket").applyInPandasWithState(
         vote_when_complete(repeat), VOTE_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout
     )
 

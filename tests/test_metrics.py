@@ -120,10 +120,10 @@ def test_five_results(spark):
 def test_percentile_ranks(spark):
     from pyspark.sql import functions as F
 
-    from labelmill.operators.quantiles import floor_percentiles, linear_percentiles
+    from labelmill.operators.quantiles import floor_percentiles, linear_percentiles, value_counts
 
     df = spark.range(20).select((F.col("id") * 1000003 % 20).alias("v"))
-    assert floor_percentiles(df, F.col("v"), {"p95": 0.95, "p50": 0.5}).first().asDict() == {"p95": 19, "p50": 10}
+    assert floor_percentiles(value_counts(df, F.col("v")), {"p95": 0.95, "p50": 0.5}).first().asDict() == {"p95": 19, "p50": 10}
     lin = linear_percentiles(df, F.col("v"), {"p25": 0.25, "p99": 0.99}).first()
     assert (lin.p25, lin.p99) == (pytest.approx(4.75), pytest.approx(18.81))
     one = linear_percentiles(spark.range(1), F.col("id"), {"m": 0.5}).first()
