@@ -92,7 +92,10 @@ def sample_balanced(df: DataFrame, key: str, label: str, max_examples: int, seed
     quotas = counts.withColumn("t", totals.scalar()).select(
         label, F.when(F.col("t.rows") <= max_examples, F.col("n")).otherwise(share).alias("quota")
     )
-    return sample_random(_take(df, key, quotas, label, seed), key, max_examples, seed)
+    # Written out, since it is counted and may be picked from again; it is at most as long
+    # as the sample or the label list.
+    first = materialize(_take(df, key, quotas, label, seed), "balanced")
+    return first if first.count() <= max_examples else sample_random(first, key, max_examples, seed)
 
 
 def sample_proportional(df: DataFrame, key: str, label: str, max_examples: int, seed: int = 42) -> DataFrame:
