@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from labelmill.functions.text import trim_ws
+from labelmill.functions.text import bind, trim_ws
 
 
 @dataclass(frozen=True)
@@ -144,6 +144,16 @@ def map_answer(answer: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), answer), answer)
 
 
+def parse_answer(reply: Column, rules: ParsingRules, patterns: list[str] | None = None) -> Column:
+    """The answer of one reply as a single expression, for use inside arrays too."""
+    patterns = usable_patterns(rules) if patterns is None else patterns
+    raw = F.coalesce(reply, F.lit(""))
+    body = trim_ws(strip_thinking(raw, rules.thinking_tags, rules.preserve_thinking, rules.strip_across_lines))
+    found = lambda b: F.coalesce(F.nullif(match_patterns(b, patterns), F.lit("")), find_keyword(b, F.lower(b), rules))
+    final = F.coalesce(map_answer(bind(body, found), rules.map), F.lit(rules.default))
+    return final if rules.fallback is None else F.when(reply.isNull(), F.lit(rules.fallback)).otherwise(final)
+
+
 def parse_responses(
     df: DataFrame,
     rules: ParsingRules,

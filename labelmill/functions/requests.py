@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, types as T, functions as F
+from pyspark.sql import Column, DataFrame, types as T, functions as F
 
 from labelmill import schema as S
+from labelmill.functions.text import bind
 
 # Parameter -> name on the wire, per provider, in wire order.
 _CHAT_PARAMETERS = {
@@ -198,30 +199,40 @@ def merge_reasoning(content: Column, reasoning: Column) -> Column:
     )
 
 
-def decode_response(df, body: str = "body", provider: str = "vllm", completion: bool = False):
-    """Add content, success, error, tool_calls, usage and finish_reason from a reply body."""
-    parsed = df.withColumn("_b", F.from_json(F.col(body), _BODY, {"columnNameOfCorruptRecord": "_corrupt"}))
-    b, choice = F.col("_b"), F.col("_c")
-    parsed = parsed.withColumn("_c", F.try_element_at(b["choices"], F.lit(1)))
-    no_choice = F.lit(False) if completion else (F.coalesce(F.size(b["choices"]), F.lit(0)) <= 0)
-    error = (
-        F.when(F.col(body).isNull() | b.isNull() | b["_corrupt"].isNotNull(), "failed to decode response")
-        .when(F.coalesce(b["error"]["message"], F.lit("")) != "", b["error"]["message"])
-        .when(no_choice, "no response choices returned")
-        .otherwise("")
-    )
-    if completion:
-        content = F.coalesce(b["content"], F.lit(""))
-    elif provider == "vllm":
-        content = merge_reasoning(choice["message"]["content"], choice["message"]["reasoning_content"])
-    else:
-        content = F.coalesce(choice["message"]["content"], F.lit(""))
-    return (
-        parsed.withColumn("error", error)
-        .withColumn("success", F.col("error") == "")
-        .withColumn("content", F.when(F.col("success"), content).otherwise(""))
-        .withColumn("tool_calls", F.when(F.col("success"), choice["message"]["tool_calls"]))
-        .withColumn("usage", F.when(F.col("success"), b["usage"]))
-        .withColumn("finish_reason", F.when(F.col("success"), choice["finish_reason"]))
-        .drop("_b", "_c")
-    )
+def decode(body: Column, provider: str = "vllm", completion: bool = False) -> Column:
+    """A reply body as (content, success, error, tool_calls, usage, finish_reason).
+
+    A body that is not JSON, an error message and a reply without choices are failures.
+    The flat completion endpoint has its content at the top.
+    """
+    def read(b: Column) -> Column:
+        no_choice = F.lit(False) if completion else (F.coalesce(F.size(b["choices"]), F.lit(0)) <= 0)
+        error = (
+            F.when(b.isNull() | b["_corrupt"].isNotNull(), "failed to decode response")
+            .when(F.coalesce(b["error"]["message"], F.lit("")) != "", b["error"]["message"])
+            .when(no_choice, "no response choices returned")
+            .otherwise("")
+        )
+        choice = F.try_element_at(b["choices"], F.lit(1))
+        if completion:
+            content = F.coalesce(b["content"], F.lit(""))
+        elif provider == "vllm":
+            content = merge_reasoning(choice["message"]["content"], choice["message"]["reasoning_content"])
+        else:
+            content = F.coalesce(choice["message"]["content"], F.lit(""))
+        ok = error == ""
+        return F.struct(
+            F.when(ok, content).otherwise("").alias("content"),
+            ok.alias("success"),
+            error.alias("error"),
+            F.when(ok, choice["message"]["tool_calls"]).alias("tool_calls"),
+            F.when(ok, b["usage"]).alias("usage"),
+            F.when(ok, choice["finish_reason"]).alias("finish_reason"),
+        )
+
+    return bind(F.from_json(body, _BODY, {"columnNameOfCorruptRecord": "_corrupt"}), read)
+
+
+def decode_response(df: DataFrame, body: str = "body", provider: str = "vllm", completion: bool = False) -> DataFrame:
+    """Add the fields of ``decode`` as columns."""
+    return df.withColumn("_d", decode(F.col(body), provider, completion)).select("*", "_d.*").drop("_d")

@@ -2,8 +2,9 @@
 
 An attempts table has row_index, attempt_no, response, answer, success, error and
 response_time_ms. A row has at most ten attempts, so the per-row groups are small by
-contract; the number of rows is what grows. The attempts are shuffled once by row and
-both aggregation levels use that partitioning.
+contract; the number of rows is what grows. Attempts that arrive as rows are shuffled
+once by row and both aggregation levels use that partitioning. Attempts made by one run
+sit in an array of their row and are voted on without any shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.functions import parsing
-from labelmill.functions.text import normalize_label
+from labelmill.functions.text import bind, normalize_label
 
 
 def _by_answer(attempts: DataFrame, key: str, extra: list[Column]) -> DataFrame:
@@ -87,6 +88,58 @@ def consensus_result(
     )
 
 
+def tally(answers: Column) -> Column:
+    """Vote on an array of at most ten answers given in attempt order."""
+    def count(kinds: Column) -> Column:
+        one = lambda a, i: F.struct(F.size(F.filter(answers, lambda x: x == a)).cast("long").alias("n"), (-i).alias("order"), a.alias("answer"))
+        return F.transform(kinds, one)
+
+    def decide(counts: Column) -> Column:
+        best, total = F.array_max(counts), F.size(answers).cast("long")
+        pairs = F.sort_array(F.transform(counts, lambda c: F.struct(c["answer"].alias("answer"), c["n"].alias("n"))))
+        return F.struct(
+            best["answer"].alias("final_answer"), best["n"].alias("count"), total.alias("total"), (best["n"] / total).alias("ratio"),
+            F.map_from_entries(pairs).alias("distribution"),
+        )
+
+    return F.when(F.size(answers) > 0, bind(bind(F.array_distinct(answers), count), decide))
+
+
+def vote_in_place(df: DataFrame, rules: parsing.ParsingRules, minimal: bool = False) -> DataFrame:
+    """The same results as ``consensus_result``, from a row's own ``attempts`` array.
+
+    Rows stay where they are: no shuffle, whatever the size of their other columns.
+    """
+    patterns = parsing.usable_patterns(rules)
+    answer = lambda a: F.when(~a["success"], "").otherwise(
+        F.coalesce(a["response"], F.lit("")) if minimal else normalize_label(parsing.parse_answer(a["response"], rules, patterns))
+    )
+    names = ["attempt_no", "response", "response_time_ms", "success", "error"]
+    parsed = F.transform("attempts", lambda a: F.struct(*[a[n].alias(n) for n in names], answer(a).alias("answer")))
+    out = df.withColumn("attempts", parsed).withColumn("_good", F.filter("attempts", lambda a: a["success"]))
+    out = out.withColumn("success", F.size("_good") > 0).withColumn("_first", F.element_at("attempts", 1))
+    first = F.coalesce(F.col("_first.response"), F.lit(""))
+    if minimal:
+        vote = F.struct(
+            first.alias("final_answer"), F.lit(1).cast("long").alias("count"), F.size("attempts").cast("long").alias("total"),
+            F.lit(1.0).alias("ratio"), F.create_map(first, F.lit(1).cast("long")).alias("distribution"),
+        )
+        think = F.lit("")
+    else:
+        vote = tally(F.transform("_good", lambda a: a["answer"]))
+        think = F.when(F.col("_first.success"), parsing.extract_thinking(first, rules.thinking_tags)).otherwise("")
+    ok = F.col("success")
+    out = out.withColumn("consensus", F.when(ok, vote))
+    spent = F.aggregate("attempts", F.lit(0).cast("long"), lambda acc, a: acc + a["response_time_ms"])
+    return out.withColumns({
+        "final_answer": F.coalesce("consensus.final_answer", F.lit("")),
+        "raw_response": F.when(ok, first).otherwise(""),
+        "thinking_content": F.when(ok, think).otherwise(""),
+        "error": F.when(ok, "").otherwise("all attempts failed"),
+        "response_time_ms": spent,
+    }).drop("_good", "_first")
+
+
 def parse_attempts(attempts: DataFrame, rules: parsing.ParsingRules) -> DataFrame:
     out = parsing.parse_responses(attempts, rules, "response", "answer", "_thinking").drop("_thinking")
     return out.withColumn("answer", F.when(F.col("success"), normalize_label(F.col("answer"))).otherwise(""))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.functions import parsing, requests
-from labelmill.functions.text import normalize_label
+from labelmill.functions.text import bind, normalize_label
 
 REPLY = "struct<body string, transport_error string, elapsed_ms bigint>"
 
@@ -179,10 +179,71 @@ def infer(
     )
 
 
-def with_attempts(df: DataFrame, repeat: int) -> DataFrame:
-    """One row per (row, attempt), attempts numbered from 1."""
+def infer_attempts(
+    df: DataFrame,
+    responder: Responder,
+    repeat: int,
+    request: str = "request",
+    key: str = "row_index",
+    provider: str = "vllm",
+    completion: bool = False,
+    workers: int | None = None,
+    per_second: float | None = None,
+    gap_s: float = 0.0,
+) -> DataFrame:
+    """All attempts of a row, one after the other, as an array column ``attempts``.
+
+    Voting on the array needs no shuffle. ``gap_s`` is the pause between attempts.
+    """
+    check_repeat(repeat)
+    if workers:
+        df = df.repartition(workers)
+    pace = Pace(per_second, workers or df.sparkSession.sparkContext.defaultParallelism) if per_second else None
+
+    @F.pandas_udf("struct<body array<string>, transport_error array<string>, elapsed_ms array<bigint>>")
+    def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        responder.open()
+        try:
+            for keys, bodies in batches:
+                rows = []
+                for row_key, body in zip(keys, bodies):
+                    replies = []
+                    for n in range(1, repeat + 1):
+                        if n > 1 and gap_s:
+                            time.sleep(gap_s)
+                        if pace:
+                            pace.wait()
+                        replies.append(responder.respond(f"{row_key}:{n}", body))
+                    rows.append(tuple(map(list, zip(*replies))))
+                yield pd.DataFrame(rows, columns=["body", "transport_error", "elapsed_ms"])
+        finally:
+            responder.close()
+
+    out = df.withColumn("_r", ask.asNondeterministic()(F.col(key).cast("string"), F.col(request)))
+
+    def attempt(reply: Column, i: Column) -> Column:
+        def row(d: Column) -> Column:
+            failed = reply["transport_error"].isNotNull()
+            return F.struct(
+                (i + 1).cast("int").alias("attempt_no"), d["content"].alias("response"), (d["success"] & ~failed).alias("success"),
+                F.when(failed, reply["transport_error"]).otherwise(d["error"]).alias("error"),
+                reply["elapsed_ms"].alias("response_time_ms"), d["tool_calls"].alias("tool_calls"), d["usage"].alias("usage"),
+            )
+
+        return bind(requests.decode(reply["body"], provider, completion), row)
+
+    replies = F.arrays_zip("_r.body", "_r.transport_error", "_r.elapsed_ms")
+    return out.withColumn("attempts", F.transform(replies, attempt)).drop("_r")
+
+
+def check_repeat(repeat: int) -> None:
     if not 1 <= repeat <= 10:
         raise ValueError("repeat count must be between 1 and 10")
+
+
+def with_attempts(df: DataFrame, repeat: int) -> DataFrame:
+    """One row per (row, attempt), attempts numbered from 1."""
+    check_repeat(repeat)
     return df.withColumn("attempt_no", F.explode(F.sequence(F.lit(1), F.lit(repeat))))
 
 

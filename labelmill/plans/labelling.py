@@ -30,9 +30,8 @@ def _completion(job: Job) -> bool:
 def label_table(rows: DataFrame, job: Job, responder: Responder, text: str = "text", done: DataFrame | None = None) -> DataFrame:
     """Results for every row, written once before they are returned.
 
-    Everything up to the write is one narrow stage, unless rows are asked repeatedly:
-    then attempts are written, and voting shuffles them by row. ``done`` are results of
-    an earlier, interrupted run, which are kept and not asked for again.
+    Everything up to the write is one narrow stage, voting included. ``done`` are results
+    of an earlier, interrupted run, which are kept and not asked for again.
     """
     todo = resume.remaining(rows, done) if done is not None else rows
     ready = prepare_requests(todo, job, text)
@@ -41,17 +40,11 @@ def label_table(rows: DataFrame, job: Job, responder: Responder, text: str = "te
         per_second=100.0 if job.rate_limit else None,
     )
     if job.repeat == 1:
-        out = infer.parse_results(infer.infer(ready, responder, **calls), job.parsing, job.minimal_mode).drop("prompt", "request", "finish_reason")
-        out = materialize(out, "results")
+        out = infer.parse_results(infer.infer(ready, responder, **calls), job.parsing, job.minimal_mode)
     else:
-        attempts = infer.infer_repeat(ready.select("row_index", "request"), responder, job.repeat, **calls)
-        attempts = materialize(attempts.drop("request"), "attempts")
-        if job.minimal_mode:
-            attempts = attempts.withColumn("answer", F.col("response"))
-        else:
-            attempts = consensus.parse_attempts(attempts, job.parsing)
-        voted = consensus.consensus_result(attempts, job.parsing, minimal=job.minimal_mode)
-        out = materialize(ready.drop("prompt", "request").join(voted, "row_index", "left"), "results")
+        asked = infer.infer_attempts(ready, responder, job.repeat, gap_s=1.0 if job.rate_limit else 0.0, **calls)
+        out = consensus.vote_in_place(asked, job.parsing, job.minimal_mode)
+    out = materialize(out.drop("prompt", "request", "finish_reason"), "results")
     return resume.merge_results(done, out) if done is not None else out
 
 

@@ -341,6 +341,20 @@ def _(spark, d):
     )
 
 
+@query("v2_vote_in_place", f"""{VOTED} SELECT h.row_index, coalesce(final_answer, '') AS final_answer, CASE WHEN success THEN first_reply ELSE '' END AS raw_response,
+ CASE WHEN success AND first_ok THEN thought ELSE '' END AS thinking_content, success, CASE WHEN success THEN '' ELSE 'all attempts failed' END AS error, response_time_ms,
+ count, total, distribution FROM h LEFT JOIN v ON h.row_index = v.row_index""")
+def _(spark, d):
+    """Attempts in an array of their row (five by construction), parsed and voted there."""
+    each = F.struct("attempt_no", "response", "response_time_ms", "success", F.lit("").alias("error"))
+    rows = V.attempts(spark, d).groupBy("row_index").agg(F.sort_array(F.collect_list(each)).alias("attempts"))
+    out = consensus.vote_in_place(rows, ParsingRules(thinking_tags="<think></think>", answer_patterns=[r"answer:\s*(\w+)"]))
+    return out.select(
+        "row_index", "final_answer", "raw_response", "thinking_content", "success", "error", "response_time_ms",
+        F.col("consensus.count").alias("count"), F.col("consensus.total").alias("total"), _flat("consensus.distribution").alias("distribution"),
+    )
+
+
 @query("v3_consensus_summary", f"{VOTES} SELECT CAST(5 AS BIGINT) AS repeat_count, count(*) AS items_with_consensus, round(avg(ratio), 6) AS avg_consensus_ratio FROM v")
 def _(spark, d):
     return rounded(consensus.consensus_summary(_voted(spark, d), 5))

@@ -207,6 +207,13 @@ def _(spark, d):
     return out.select("row_index", "attempt_no", "success", "error", F.col("response").alias("reply"), "response_time_ms")
 
 
+@query("i2_infer_attempts", f"SELECT doc_id AS row_index, CAST(n AS INTEGER) AS attempt_no, " + _reply_sql(" || ':' || n") + " FROM documents CROSS JOIN range(1, 4) AS k(n)")
+def _(spark, d):
+    """The same attempts made inside one row, then listed."""
+    out = infer.infer_attempts(_requests(spark, d), infer.HashResponder(), 3).select("row_index", F.explode("attempts").alias("a"))
+    return out.select("row_index", "a.attempt_no", "a.success", "a.error", F.col("a.response").alias("reply"), "a.response_time_ms")
+
+
 @query("i7_usage_summary", """SELECT count(*) FILTER (doc_id % 6 < 3) AS rows_with_usage, CAST(sum(n_chars) FILTER (doc_id % 6 < 3) AS BIGINT) AS prompt_tokens,
   CAST(5 * count(*) FILTER (doc_id % 6 < 3) AS BIGINT) AS completion_tokens, CAST(sum(n_chars + 5) FILTER (doc_id % 6 < 3) AS BIGINT) AS total_tokens FROM documents""")
 def _(spark, d):
