@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelmill.config import Job, Provider
@@ -9,8 +11,10 @@ from labelmill.functions.parsing import ParsingRules
 from labelmill.operators import metrics
 from labelmill.operators.infer import HashResponder
 from labelmill.plans import queries_clean, queries_io, queries_stats, queries_text, views  # noqa: F401
-from labelmill.plans.labelling import label_table
-from labelmill.plans.registry import QUERIES, SQL, query, rounded
+from labelmill.plans.labelling import label_stream, label_table
+from labelmill.plans.registry import QUERIES, SQL, query, rounded, table
+from labelmill.session import scratch_path
+from labelmill.streaming import streams
 
 __all__ = ["QUERIES", "SQL", "flagship"]
 
@@ -43,3 +47,31 @@ _H = "md5(CAST(doc_id AS VARCHAR))"
    round(tn / (tn + fp), 6) AS specificity, round(tp / (tp + fp + fn), 6) AS jaccard, CAST(tp + fn AS BIGINT) AS support FROM k""")
 def _(spark, d):
     return rounded(flagship(spark, d))
+
+
+_STREAM_REPLY = f"""SELECT doc_id AS index, text AS input_text, CAST('0x' || substr({_H}, 5, 2) AS INTEGER) % 10 <> 0 AS inference_success,
+ CASE WHEN CAST('0x' || substr({_H}, 5, 2) AS INTEGER) % 10 = 0 THEN '' WHEN CAST('0x' || substr({_H}, 1, 4) AS INTEGER) % 2 = 0 THEN '0' ELSE '1' END AS final_answer,
+ CASE WHEN CAST('0x' || substr({_H}, 5, 2) AS INTEGER) % 10 = 0 THEN '' ELSE 'case ' || substr({_H}, 1, 4) END AS thinking_content FROM documents"""
+
+
+@query("t1_stream_labelling", _STREAM_REPLY)
+def _(spark, d):
+    """Documents arrive as a file stream, are labelled, and their results streamed out."""
+    source, out, checkpoint = (scratch_path(spark, x) for x in ("label-in", "label-out", "label-cp"))
+    docs = table(spark, d, "documents").withColumn("row_index", F.col("doc_id"))
+    docs.repartition(3).write.parquet(source)
+    stream = streams.read_stream(spark, source, docs.schema, files_per_batch=1)
+    streams.stream_results(label_stream(stream, JOB, HashResponder()), out, checkpoint, "parquet").awaitTermination()
+    return spark.read.parquet(out).select("index", "input_text", "inference_success", "final_answer", "thinking_content")
+
+
+@query("run_label_repeated", f"""WITH a AS (SELECT doc_id, n, md5(doc_id || ':' || n) AS h FROM documents CROSS JOIN range(1, 4) AS k(n)),
+ r AS (SELECT doc_id, n, CAST('0x' || substr(h, 5, 2) AS INTEGER) % 10 <> 0 AS ok, CASE CAST('0x' || substr(h, 1, 4) AS INTEGER) % 2 WHEN 0 THEN '0' ELSE '1' END AS answer FROM a),
+ g AS (SELECT doc_id, answer, count(*) AS c, min(n) AS f FROM r WHERE ok GROUP BY 1, 2), v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS pos, sum(c) OVER (PARTITION BY doc_id) AS total FROM g)
+ SELECT d.doc_id AS row_index, coalesce(answer, '') AS final_answer, answer IS NOT NULL AS success, CAST(c AS BIGINT) AS votes, CAST(total AS BIGINT) AS total FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id AND pos = 1""")
+def _(spark, d):
+    """Every document asked three times in one task, voted on, written once."""
+    docs = table(spark, d, "documents").withColumn("row_index", F.col("doc_id"))
+    job = dataclasses.replace(JOB, repeat=3)
+    out = label_table(docs, job, HashResponder())
+    return out.select("row_index", "final_answer", "success", F.col("consensus.count").alias("votes"), F.col("consensus.total").alias("total"))

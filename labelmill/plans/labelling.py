@@ -27,14 +27,9 @@ def _completion(job: Job) -> bool:
     return job.provider.name == "llamacpp" and job.parameters.get("chat_format") is None
 
 
-def label_table(rows: DataFrame, job: Job, responder: Responder, text: str = "text", done: DataFrame | None = None) -> DataFrame:
-    """Results for every row, written once before they are returned.
-
-    Everything up to the write is one narrow stage, voting included. ``done`` are results
-    of an earlier, interrupted run, which are kept and not asked for again.
-    """
-    todo = resume.remaining(rows, done) if done is not None else rows
-    ready = prepare_requests(todo, job, text)
+def answer(ready: DataFrame, job: Job, responder: Responder) -> DataFrame:
+    """Ask for every prepared row, parse the replies and vote: one narrow stage, for
+    tables and for streams."""
     calls = dict(
         provider=job.provider.name, completion=_completion(job), workers=job.workers,
         per_second=100.0 if job.rate_limit else None,
@@ -44,10 +39,26 @@ def label_table(rows: DataFrame, job: Job, responder: Responder, text: str = "te
     else:
         asked = infer.infer_attempts(ready, responder, job.repeat, gap_s=1.0 if job.rate_limit else 0.0, **calls)
         out = consensus.vote_in_place(asked, job.parsing, job.minimal_mode)
-    out = materialize(out.drop("prompt", "request", "finish_reason"), "results")
+    return out.drop("prompt", "request", "finish_reason")
+
+
+def label_table(rows: DataFrame, job: Job, responder: Responder, text: str = "text", done: DataFrame | None = None) -> DataFrame:
+    """Results for every row, written once before they are returned.
+
+    ``done`` are results of an earlier, interrupted run, which are kept and not asked
+    for again.
+    """
+    todo = resume.remaining(rows, done) if done is not None else rows
+    out = materialize(answer(prepare_requests(todo, job, text), job, responder), "results")
     return resume.merge_results(done, out) if done is not None else out
 
 
+def label_stream(rows: DataFrame, job: Job, responder: Responder, text: str = "text") -> DataFrame:
+    """The same for a stream of rows; write it with ``streaming.stream_results``, whose
+    checkpoint also resumes an interrupted run."""
+    return answer(prepare_requests(rows, job, text), job, responder)
+
+
 def preview(rows: DataFrame, job: Job, n: int = 3, text: str = "text") -> DataFrame:
     """Prompts of the first rows, to check a template before paying for calls."""
     return prepare_requests(rows.filter(F.col("row_index") < n), job, text).select("row_index", "input_text", "prompt")

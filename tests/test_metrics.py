@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelmill.operators import metrics, run_stats
 from labelmill.operators.report import render_json, render_text, report_stats
@@ -142,3 +143,26 @@ def test_eval_padding(spark):
     df = spark.createDataFrame([("0", "-100"), ("1", "1"), ("1", "0")], "p string, t string")
     s = metrics.analysis_summary(metrics.confusion_counts(metrics.eval_pairs(df, "p", "t"))).first()
     assert (s.accuracy, s.valid) == (0.5, 2) and s.macro_f1 == pytest.approx(1 / 3)
+
+
+def test_error_analysis_outputs(spark, tmp_path):
+    from labelmill.operators import error_analysis as E
+    from labelmill.operators.report import write_report_csv
+
+    df = run(spark, [("1", "2", 10), ("3", "2", 30), ("2", "2", 20), ("nan", "2", 5), ("x", "2", 0)], [("2", "bad", 7)])
+    df = df.withColumn("input_text", F.lit("in\n text")).withColumn("thinking_content", F.lit(None).cast("string"))
+    c = E.categorize(df)
+    assert sorted((r.category, r.error_type, r.error_direction) for r in c.filter("category = 'discrepancy'").collect()) == [
+        ("discrepancy", "2_to_1", "underestimate"), ("discrepancy", "2_to_3", "overestimate"), ("discrepancy", "2_to_x", "different_class")]
+    E.write_errors_by_type(c, str(tmp_path / "e"))
+    assert {r.error_type: r["count"] for r in spark.read.json(str(tmp_path / "e")).groupBy("error_type").count().collect()} == {"2_to_1": 1, "2_to_3": 1, "2_to_x": 1}
+    summary = E.analysis_summary(df).first().asDict()
+    assert (summary["total_samples"], summary["valid_samples"], summary["missing_samples"], summary["failed_predictions"], summary["total_errors"]) == (6, 4, 1, 1, 3)
+    times = E.response_time_stats(df).first().asDict()
+    assert times["median"] == 10 and times["std"] == pytest.approx(math.sqrt(437.2 / 4))
+    per = [r.asDict() for r in metrics.analysis_per_class(metrics.confusion_counts(metrics.analysis_pairs(df))).collect()]
+    text = E.analysis_report(summary, per, [r.asDict() for r in E.error_patterns(c).collect()], times, "run", E.model_name({"model": {"name": "m"}}, None))
+    assert "Model: m" in text and "2_to_1: 1 cases" in text and "Median: 10.0ms" in text
+    assert E.model_name(None, {"models": {"model_name": "s"}}) == "s" and E.model_name(None, None) == "Unknown"
+    write_report_csv(df, str(tmp_path / "r"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "r" / "summary")).count() == 12
