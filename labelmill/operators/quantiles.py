@@ -16,8 +16,7 @@ MAX_BUCKETS = 65536
 def value_counts(df: DataFrame, value: Column, group: Column | None = None) -> DataFrame:
     """grp, v, n: how often each non-null value occurs in each group.
 
-    Joins on the group add a not-null filter below the aggregate. With the filter here
-    already, every use has the same plan and Spark runs the aggregate once.
+    Every use below has the same plan up to here, so Spark runs the aggregate once.
     """
     g = F.lit("all") if group is None else group
     pairs = df.select(g.alias("grp"), value.alias("v")).filter(F.col("v").isNotNull() & F.col("grp").isNotNull())
@@ -25,33 +24,34 @@ def value_counts(df: DataFrame, value: Column, group: Column | None = None) -> D
 
 
 def pick_ranks(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:
-    """grp, pick, v: the value at each 0-based rank of the sorted rows.
+    """grp, pick, v, total: the value at each 0-based rank of the sorted rows.
 
-    ``ranks`` are expressions over ``total``, the group's number of rows.
+    ``ranks`` are expressions over ``total``, the group's number of rows. Groups are
+    named by the caller (one, or one per listed field), so the bounds of each group and
+    the wanted buckets are a handful of rows; they reach the tasks as scalar arrays.
     """
     span = counts.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    spans = span.agg(F.collect_list(F.struct("grp", "lo", "hi", "total")))
 
-    def bucket(v: Column) -> Column:
-        width = F.greatest((F.col("hi") - F.col("lo")) / F.lit(float(MAX_BUCKETS)), F.lit(1e-9))
-        return F.least(F.floor((v - F.col("lo")) / width), F.lit(MAX_BUCKETS - 1))
+    def bucket(v: Column, s: Column) -> Column:
+        width = F.greatest((s["hi"] - s["lo"]) / F.lit(float(MAX_BUCKETS)), F.lit(1e-9))
+        return F.least(F.floor((v - s["lo"]) / width), F.lit(MAX_BUCKETS - 1))
 
-    # Groups are named by the caller (one, or one per listed field): a handful of rows.
-    placed = counts.join(F.broadcast(span), "grp").withColumn("b", bucket(F.col("v")))
-    totals = placed.groupBy("grp", "b", "lo", "hi", "total").agg(F.sum("n").alias("bn"))
+    own = F.element_at(F.filter(F.col("spans"), lambda s: s["grp"] == F.col("grp")), 1)
+    placed = counts.withColumn("spans", spans.scalar()).withColumn("s", own).withColumn("b", bucket(F.col("v"), F.col("s")))
+    totals = placed.groupBy("grp", "s", "b").agg(F.sum("n").alias("bn"))
     running = F.sum("bn").over(Window.partitionBy("grp").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-    totals = totals.withColumn("before", running - F.col("bn"))
+    totals = totals.withColumn("before", running - F.col("bn")).withColumn("total", F.col("s.total"))
     wanted = F.array(*[F.struct(F.lit(k).alias("pick"), r.cast("long").alias("r")) for k, r in ranks.items()])
     hit = totals.withColumn("w", F.explode(wanted)).filter(
         (F.col("w.r") >= F.col("before")) & (F.col("w.r") < F.col("before") + F.col("bn"))
     )
-    hit = hit.select("grp", "b", "lo", "hi", "before", F.col("w.pick").alias("pick"), F.col("w.r").alias("r"))
-    # One row per group and rank. The bucket's bounds travel with it.
-    inside = counts.join(F.broadcast(hit), "grp").filter(bucket(F.col("v")) == F.col("b"))
-    upto = F.sum("n").over(
-        Window.partitionBy("grp", "pick").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    inside = inside.withColumn("upto", upto + F.col("before")).filter(F.col("upto") > F.col("r"))
-    return inside.groupBy("grp", "pick").agg(F.min("v").alias("v"))
+    hits = hit.agg(F.collect_list(F.struct("grp", "b", "s", "before", "total", F.col("w.pick").alias("pick"), F.col("w.r").alias("r"))))
+    mine = F.filter(F.col("hits"), lambda h: (h["grp"] == F.col("grp")) & (h["b"] == bucket(F.col("v"), h["s"])))
+    inside = counts.withColumn("hits", hits.scalar()).select("grp", "v", "n", F.explode(mine).alias("h"))
+    upto = F.sum("n").over(Window.partitionBy("grp", "h.pick").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("upto", upto + F.col("h.before")).filter(F.col("upto") > F.col("h.r"))
+    return inside.groupBy("grp", "h.pick").agg(F.min("v").alias("v"), F.max("h.total").alias("total"))
 
 
 def floor_rank(p: float) -> Column:
@@ -73,9 +73,8 @@ def linear_from_counts(counts: DataFrame, points: dict[str, float]) -> DataFrame
         ranks[k + "|lo"] = F.floor(at(p))
         ranks[k + "|hi"] = F.ceil(at(p))
     got = pick_ranks(counts, ranks)
-    wide = got.groupBy("grp").agg(*[F.max(F.when(F.col("pick") == k, F.col("v"))).cast("double").alias(k) for k in ranks])
-    sizes = counts.groupBy("grp").agg(F.sum("n").alias("total"))
-    out = wide.join(F.broadcast(sizes), "grp")  # one row per group, as above
+    values = [F.max(F.when(F.col("pick") == k, F.col("v"))).cast("double").alias(k) for k in ranks]
+    out = got.groupBy("grp").agg(F.max("total").alias("total"), *values)
     for k, p in points.items():
         lo, hi = F.col(f"`{k}|lo`"), F.col(f"`{k}|hi`")
         out = out.withColumn(k, lo + (hi - lo) * (at(p) - F.floor(at(p))))
