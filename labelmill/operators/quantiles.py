@@ -10,17 +10,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from labelmill.session import materialize
+
 MAX_BUCKETS = 65536
 
 
 def value_counts(df: DataFrame, value: Column, group: Column | None = None) -> DataFrame:
     """grp, v, n: how often each non-null value occurs in each group.
 
-    Every use below has the same plan up to here, so Spark runs the aggregate once.
+    The counts are written out: everything below reads them several times, and the rows
+    they come from must be read only once.
     """
     g = F.lit("all") if group is None else group
     pairs = df.select(g.alias("grp"), value.alias("v")).filter(F.col("v").isNotNull() & F.col("grp").isNotNull())
-    return pairs.groupBy("grp", "v").agg(F.count("*").alias("n"))
+    return materialize(pairs.groupBy("grp", "v").agg(F.count("*").alias("n")), "counts")
 
 
 def pick_ranks(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:

@@ -49,7 +49,7 @@ def test_metrics_shuffle_rows_once(spark):
 
 def test_percentiles_read_rows_once(spark):
     p = final_plan(run_stats.time_stats(V.results(spark, SF)))
-    assert p.count("FileScan") <= 1 and "ReusedExchange" in p
+    assert "events.parquet" not in p  # only the written counts are read
 
 
 def test_truncation_limits_rows_before_the_shuffle(spark):
