@@ -51,7 +51,7 @@ def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         raise ValueError("CSV file must have at least one valid data row")
     out = _blocks_to_index(_with_file(raw)).filter(good).drop("_corrupt")
     # A cell is always text; Spark reads an empty unquoted one as null.
-    return out.select(ROW, *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+    return out.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], ROW)
 
 
 def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -169,7 +169,8 @@ def resolve_text(schema: T.StructType, kind: str) -> Column:
     if kind in ("csv", "workbook"):
         named = [n for n in strings if n in ("text", "content")]
         chosen = F.coalesce(col(named[-1]), F.lit("")) if named else F.lit("")
-        return F.when(chosen == "", F.coalesce(col(schema[0].name), F.lit(""))).otherwise(chosen)
+        first = next(f.name for f in schema if f.name != ROW)
+        return F.when(chosen == "", F.coalesce(col(first).cast("string"), F.lit(""))).otherwise(chosen)
     if kind == "json":
         named = [col(n) for n in ("text", "content") if n in strings]
         return F.coalesce(*named, any_long)
