@@ -15,7 +15,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @query("op1_ngram_jaccard", rf"""WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-   ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+   ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS g FROM w),
  e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS an, any_value(b.n) AS bn FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
  l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (an + bn - k)), both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
@@ -26,7 +26,7 @@ def _(spark, d):
 
 
 @query("op9_substring_dedup", r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
- h AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), i -> md5(array_to_string(w[i:i + 19], ' ')))) AS h, generate_subscripts(range(1, len(w) - 18), 1) AS p FROM w WHERE len(w) >= 20),
+ h AS (SELECT doc_id, unnest([md5(array_to_string(w[i:i + 19], ' ')) for i in range(1, len(w) - 18)]) AS h, generate_subscripts(range(1, len(w) - 18), 1) AS p FROM w WHERE len(w) >= 20),
  again AS (SELECT doc_id, p FROM h QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1),
  gone AS (SELECT DISTINCT doc_id, p + k AS p FROM again, range(0, 20) AS r(k)),
  one AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
