@@ -10,9 +10,9 @@ holds no shared column are done. Products accumulate the counts per pair and dis
 pairs below the bounds that the sizes and positions set; the rest is counted in full.
 
 Rows that are alike share many columns, and a group of them would yield all its pairs.
-The product therefore runs twice: each column first pairs its rows with its smallest row
-only, which joins a group of near copies in linear time; then columns whose rows still
-lie in several components yield the pairs between components. What is skipped can't
+The product therefore runs twice: each column first pairs its rows only with the row that
+has the least columns alone, which joins a group of near copies in linear time; then
+columns whose rows still lie in several components yield the pairs between components. What is skipped can't
 change a component. Equal sets are one row from the start.
 """
 
@@ -34,7 +34,7 @@ HOT_IN_SLICE = 64
 _LOW48 = U((1 << 48) - 1)
 _SETS, _SETS_ARROW = arrow_schema({"doc_id": "long", "n_shingles": "long", "cls": "long"})
 _POST, _POST_ARROW = arrow_schema({"block": "int", "cls": "binary", "size": "binary", "count": "binary", "low": "binary", "high": "binary", "told": "boolean"})
-_ROW, _ROW_ARROW = arrow_schema({"cls": "long", "n": "long", "shared": "array<long>", "part": "array<long>", "first_pos": "long"})
+_ROW, _ROW_ARROW = arrow_schema({"cls": "long", "n": "long", "shared": "array<long>", "part": "array<long>", "first_pos": "long", "last": "long", "bits": "binary"})
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,6 +189,26 @@ def _block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     return _replies(*[np.concatenate(x) for x in zip(*parts)])
 
 
+#: Bits of a row's column signature: at least four per column up to this many.
+MOST_BITS = 4096
+
+
+def column_bits(columns: np.ndarray) -> bytes:
+    """A bit set by column hash, of a power of two so that longer ones fold into shorter."""
+    size = 64
+    while size < MOST_BITS and size < 4 * len(columns):
+        size *= 2
+    out = np.zeros(size, np.uint8)
+    out[(columns % U(size)).astype(int)] = 1
+    return np.packbits(out).tobytes()
+
+
+def _bit_matrix(bits: list[bytes]) -> np.ndarray:
+    """Rows of 0 and 1, folded to the shortest signature among them."""
+    size = 8 * min(map(len, bits))
+    return np.stack([np.unpackbits(np.frombuffer(b, np.uint8)).reshape(-1, size).max(0) for b in bits]).astype(np.float32)
+
+
 def _least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -219,8 +239,9 @@ def matrix_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
                 rank = rank[at]
                 alone, part = n - len(g), n - _least_overlap(n, percent) + 1
                 if alone < part:
-                    lead = g[np.lexsort((g, rank))[: part - alone]]
-                    out.append((cls, n, g.view(np.int64), lead.view(np.int64), alone))
+                    at = np.lexsort((g >> U(8), rank))[: part - alone]
+                    lead, last = g[at], (int(rank[at[-1]]) << 55) | (int(g[at[-1]]) >> 9)
+                    out.append((cls, n, g.view(np.int64), lead.view(np.int64), alone, last, column_bits(lead)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _ROW_ARROW)], schema=_ROW_ARROW)
 
@@ -228,9 +249,9 @@ def matrix_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
 
 def _bounded(x, y, percent: int):
-    """SQL for: sizes nx, ny and positions px, py of a shared column allow the threshold."""
+    """SQL for: sizes and positions allow the threshold if this is the first shared column."""
     need = f"ceil({percent} * ({x}n + {y}n) / {100 + percent})"
-    reach = f"least({x}pos, {y}pos) + 1 + least({x}n - 1 - {x}pos, {y}n - 1 - {y}pos)"
+    reach = f"1 + least({x}n - 1 - {x}pos, {y}n - 1 - {y}pos)"
     return f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and {reach} >= {need}"
 
 
@@ -247,7 +268,13 @@ _CROSS = 1024
 
 
 def _cross_pairs(percent: int):
-    """Pairs of one column group whose components differ, sub-block by sub-block."""
+    """Pairs of one column group whose components differ, sub-block by sub-block.
+
+    A pair is needed once, at its first shared column, so the position bound is that of a
+    first column. Of the row whose part ends earlier, every column of the part that the
+    other part lacks is missing in the whole other row; the signatures count such columns
+    from below, and pairs with more of them than the sizes allow are discarded.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seen = []
@@ -255,18 +282,29 @@ def _cross_pairs(percent: int):
             if c["root"].nunique() < 2:
                 continue
             c = c.sort_values("n", kind="stable")
-            cls, n, pos, root = (c[x].to_numpy() for x in ("cls", "n", "pos", "root"))
+            cls, n, pos, root, alone, last = (c[x].to_numpy() for x in ("cls", "n", "pos", "root", "first_pos", "last"))
+            bits = c["bits"].tolist()
             for i in range(0, len(c), _CROSS):
                 a = slice(i, i + _CROSS)
                 for j in range(i, len(c), _CROSS):
                     b = slice(j, j + _CROSS)
-                    if 100 * n[a][0] < percent * n[b][0] and 100 * n[a][-1] < percent * n[b][0]:
+                    if 100 * n[a][-1] < percent * n[b][0]:
                         break
                     na, nb, pa_, pb = n[a][:, None], n[b][None], pos[a][:, None], pos[b][None]
+                    need = -(-percent * (na + nb) // (100 + percent))
                     ok = (root[a][:, None] != root[b][None]) & (100 * na >= percent * nb)
-                    ok &= np.minimum(pa_, pb) + 1 + np.minimum(na - 1 - pa_, nb - 1 - pb) >= np.ceil(percent * (na + nb) / (100 + percent))
+                    ok &= 1 + np.minimum(na - 1 - pa_, nb - 1 - pb) >= need
                     if i == j:
                         ok = np.triu(ok, 1)
+                    if not ok.any():
+                        continue
+                    m = _bit_matrix(bits[a] + bits[b])
+                    ma, mb = m[: len(bits[a])], m[len(bits[a]) :]
+                    both = ma @ mb.T
+                    lacks_a = alone[a][:, None] + ma.sum(1)[:, None] - both
+                    lacks_b = alone[b][None] + mb.sum(1)[None] - both
+                    first, second = last[a][:, None] <= last[b][None], last[a][:, None] >= last[b][None]
+                    ok &= ~(first & (lacks_a > na - need)) & ~(second & (lacks_b > nb - need))
                     x, y = np.nonzero(ok)
                     if len(x):
                         p, q = cls[a][x], cls[b][y]
@@ -282,8 +320,8 @@ def _cross_pairs(percent: int):
 def link_rows(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between rows that give the components of the Jaccard join."""
     spark = rows.sparkSession
-    entry = rows.select("cls", "n", F.posexplode("part").alias("i", "g"), "first_pos").select("g", "cls", "n", (F.col("i") + F.col("first_pos")).alias("pos"))
-    centre = entry.groupBy("g").agg(F.min(F.struct("n", "cls", "pos")).alias("c"), F.count("*").alias("k")).filter("k > 1")
+    entry = rows.select("cls", "n", F.posexplode("part").alias("i", "g"), "first_pos").select("g", "cls", "n", "first_pos", (F.col("i") + F.col("first_pos")).alias("pos"))
+    centre = entry.groupBy("g").agg(F.min(F.struct((F.col("first_pos") / F.col("n")).alias("alone"), "n", "cls", "pos")).alias("c"), F.count("*").alias("k")).filter("k > 1")
     star = entry.join(centre, "g").select("g", "cls", "n", "pos", F.col("c.cls").alias("c_cls"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"))
     star = star.filter("cls <> c_cls").filter(_bounded("", "c_", percent)).groupBy(F.col("cls").alias("a"), F.col("c_cls").alias("b")).agg(F.count("*").alias("shared_part"))
     star = saved(star, "star-pairs")
@@ -292,7 +330,7 @@ def link_rows(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = entry.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = placed.groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("g")
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    open_columns = placed.join(mixed, "g").withColumn("block", F.pmod(F.hash("g"), F.lit(blocks)))
+    open_columns = placed.join(mixed, "g").join(rows.select("cls", "last", "bits"), "cls").withColumn("block", F.pmod(F.hash("g"), F.lit(blocks)))
     pairs = open_columns.groupBy("block").applyInPandas(_cross_pairs(percent), "a long, b long").distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
