@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.llm import ngram_join, substring
+from labelmill.llm import contamination, ngram_join, substring
 from labelmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -35,3 +35,18 @@ def _(spark, d):
 def _(spark, d):
     out = substring.deduplicate(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op2_decontaminate", rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ iw AS (SELECT item_id, least(len(w), 10) AS n, unnest([array_to_string(w[s:s + 9], ' ') for s in range(1, greatest(len(w) - 9, 1) + 1)]) AS t FROM i WHERE len(w) > 0),
+ sizes AS (SELECT DISTINCT n FROM iw),
+ dw AS (SELECT doc_id, n, unnest([array_to_string(w[s:s + n - 1], ' ') for s in range(1, len(w) - n + 2)]) AS t, generate_subscripts(range(1, len(w) - n + 2), 1) AS p FROM d, sizes WHERE len(w) >= n),
+ hit AS (SELECT doc_id, p, n, item_id FROM dw JOIN iw USING (n, t)),
+ place AS (SELECT doc_id, count(*) AS k FROM (SELECT DISTINCT doc_id, p + o AS q FROM hit, range(0, 10) AS r(o) WHERE o < n) GROUP BY doc_id),
+ item AS (SELECT doc_id, count(*) AS k, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(place.k, 0) AS BIGINT) AS n_hit, CAST(coalesce(item.k, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, place.k IS NOT NULL AS contaminated FROM d LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)""")
+def _(spark, d):
+    out = contamination.decontaminate(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
