@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.llm import contamination, ngram_join, substring
+from labelmill.llm import contamination, ngram_join, packing, sharding, substring
 from labelmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -50,3 +50,14 @@ def _(spark, d):
 def _(spark, d):
     out = contamination.decontaminate(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op7_bin_packing")
+def _(spark, d):
+    return packing.pack(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("op4_sharding")
+def _(spark, d):
+    out = sharding.shard(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
