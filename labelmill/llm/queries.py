@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.llm import contamination, ngram_join, packing, sharding, substring
+from labelmill.llm import contamination, language, ngram_join, packing, quality, sharding, substring
 from labelmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -61,3 +61,19 @@ def _(spark, d):
 def _(spark, d):
     out = sharding.shard(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_language_id")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    filters = language.learn(docs.filter(~language.held_out()))
+    out = language.identify(docs.select("doc_id", "text"), filters)
+    return out.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality_rules")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality.fit(quality.training_sample(docs, table(spark, d, "labels")))
+    out = quality.score(docs, model)
+    return out.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
