@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.llm import contamination, language, ngram_join, packing, quality, sharding, substring
+from labelmill.llm import contamination, html_text, language, ngram_join, packing, quality, sharding, substring, vectors, warc
 from labelmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -77,3 +77,24 @@ def _(spark, d):
     model = quality.fit(quality.training_sample(docs, table(spark, d, "labels")))
     out = quality.score(docs, model)
     return out.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op3_html_text")
+def _(spark, d):
+    return html_text.extract(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_warc_derivatives")
+def _(spark, d):
+    """Both derived records of every page, with their digests and text of the block."""
+    records = warc.derivatives(warc.responses(table(spark, d, "pages")))
+    return records.select("source_key", *[c for c in records.columns if c not in ("source_key", "block")], F.sha2("block", 256).alias("block_sha256"))
+
+
+@query("op6_sorted_projections", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum([x * x for x in CAST(embedding AS DOUBLE[])])) AS n FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter([x IS NULL OR NOT isfinite(x) for x in embedding], lambda b: b)) = 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+ r AS (WITH RECURSIVE r AS (SELECT vec_id AS d, vec_id AS root FROM embeddings UNION SELECT b, root FROM r JOIN l ON a = d) SELECT * FROM r)
+ SELECT d AS vec_id, CAST((SELECT count(*) FROM l WHERE a = d) AS BIGINT) AS n_links, min(root) AS component_id, d = min(root) AS kept FROM r GROUP BY d""")
+def _(spark, d):
+    return vectors.near_duplicates(table(spark, d, "embeddings"))
