@@ -12,8 +12,12 @@ length: a join of distributed positions with the plan's ranges.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import zlib
-from itertools import repeat
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ from labelmill.llm.steps import arrow_schema, saved
 
 CAPACITY, END_ID = 2048, 0
 #: Entries of a task's cache of tokenized words.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 _PIECE, _PIECE_ARROW = arrow_schema({"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"})
 
 
@@ -34,10 +38,54 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# Fixed value: how the byte-level BPE family cuts a text before merging.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _token_bytes() -> dict[str, int]:
+    """The byte that each character of a byte-level token stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+
+_SPACES = re.compile(r" (?:\s|\Z)")
+
+
+def _packed(ids: list[int]) -> bytes:
+    data = array("I", ids)
+    if sys.byteorder == "big":
+        data.byteswap()
+    return data.tobytes()
+
+
+def _ranked(path: str):
+    """A fast encoder for a tokenizer file whose ids are the order of its merges, else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, merges = spec["model"].get("vocab"), spec["model"].get("merges") or []
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+    if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or any(vocab.get("".join(p)) != 256 + i for i, p in enumerate(pairs)):
+        return None
+    byte, special = _token_bytes(), {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("ranked", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+class _Cache(dict):
+    """Ids of known words; ``extra`` answers for words that found no room."""
+
+    extra: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.extra[word]
+
+
 class ByteLevelEncoder:
     """Ids of texts for a byte-level BPE whose pre-tokenizer keeps a space with the word
     after it. A text then splits before every space that a visible character follows, and
-    each part is encoded by itself: once per distinct part while the cache has room.
+    each word is encoded by itself: once while the cache has room, else once per batch.
     """
 
     def __init__(self, path: str):
@@ -45,35 +93,39 @@ class ByteLevelEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.fast = _ranked(path)
+        self.cache = _Cache()
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+    def _encode(self, parts: list[str], fast: bool = True) -> list[bytes]:
+        if self.fast and fast:
+            ids = map(self.fast, parts)
+        else:
+            ids = (e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False))
+        return [_packed(x) for x in ids]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cache, cut, rest = self.cache, [], []
-        new: dict[str, None] = {}
+        out, cut, marked, rest, words = [b""] * len(texts), {}, [], [], set()
         for i, text in enumerate(texts):
-            parts = text.split(" ")
-            if "" in parts or any(s in text for s in self.special) or any(p[0].isspace() for p in parts):
+            if any(s in text for s in self.special):
+                marked.append(i)
+            elif text[:1] == " " or _SPACES.search(text):
                 rest.append(i)  # runs of white space: encoded whole
-                cut.append(None)
-                continue
-            parts[1:] = [" " + p for p in parts[1:]]
-            cut.append(parts)
-            new.update(zip(parts, repeat(None)))
-        fresh = [p for p in new if p not in cache]
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            cache.clear()
-            fresh = list(new)
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            cache.update(zip(some, self._encode(some)))
-        get = cache.__getitem__
-        out = [b"" if parts is None else b"".join(map(get, parts)) for parts in cut]
-        for i, ids in zip(rest, self._encode([texts[i] for i in rest]) if rest else []):
-            out[i] = ids
+            else:
+                first, *parts = text.split(" ")
+                cut[i] = first, parts
+                words.update(parts)
+        fresh = [w for w in words if w not in self.cache]
+        known = dict(zip(fresh, self._encode([" " + w for w in fresh])))
+        self.cache.update(islice(known.items(), max(0, CACHE_WORDS - len(self.cache))))
+        self.cache.extra = known
+        get = self.cache.__getitem__
+        for (i, (_, parts)), head in zip(cut.items(), self._encode([first for first, _ in cut.values()])):
+            out[i] = head + b"".join(map(get, parts))
+        self.cache.extra = {}
+        for rows, fast in ((rest, True), (marked, False)):
+            for i, ids in zip(rows, self._encode([texts[i] for i in rows], fast)):
+                out[i] = ids
         return out
 
 
