@@ -82,7 +82,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     need = need.filter("n = known").select("win", "size", "k", "n", F.col("rare.h").alias("h"), F.col("rare.off").alias("off"))
     need = saved(need, "necessary")
     lead = need.select("win", "n", "h", "off")
-    start = found.join(lead, "h").select("_id", "win", "n", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
+    start = found.join(lead, "h").select("_id", "win", "n", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0").distinct()
     whole = sets.select("win", "off", "h").distinct()
     expected = start.join(whole, "win").select("_id", "win", "n", "start", (F.col("start") + F.col("off")).alias("pos"), "h")
     full = expected.join(found.distinct(), ["_id", "pos", "h"]).groupBy("_id", "win", "start").agg(F.count("*").alias("got"), F.first("n").alias("n")).filter("got = n")
