@@ -108,6 +108,8 @@ class Filters:
             np.bitwise_or.at(out.cells, at, masks)
         fill = np.array([((out.cells >> U(i)) & U(1)).mean() for i in range(len(languages))])
         out.false_positive = fill**HASHES
+        width = next(w for w in (8, 16, 32, 64) if w >= len(languages))
+        out.cells = out.cells.astype(f"uint{width}")  # a worker holds one copy
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -120,7 +122,7 @@ class Filters:
             mask = self.languages_of(h)
             hits = np.empty((len(self.languages), len(part)))
             for i, fp in enumerate(self.false_positive):
-                got = np.bincount(doc, ((mask >> U(i)) & U(1)).astype(float), minlength=len(part))
+                got = np.bincount(doc, ((mask >> mask.dtype.type(i)) & mask.dtype.type(1)).astype(float), minlength=len(part))
                 hits[i] = np.maximum(0, (got - total * fp) / (1 - fp))
             best = hits.argmax(0)
             top = np.sort(hits, 0)[::-1]

@@ -28,7 +28,7 @@ from labelmill.llm.steps import arrow_schema, saved
 
 CAPACITY, END_ID = 2048, 0
 #: Entries of a task's cache of tokenized words.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 _PIECE, _PIECE_ARROW = arrow_schema({"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"})
 
 
