@@ -18,6 +18,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labelmill.llm.steps import bounded_batches
+
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template".split())
@@ -277,6 +279,6 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
 
     A narrow step: pages are read one by one, so repeated rows get equal texts.
     """
-    pages = pages.drop("text", "n_chars")
+    pages = bounded_batches(pages.drop("text", "n_chars"))
     out = pages.withColumn("text", main_text_column(F.col(column)))
     return out.withColumn("n_chars", F.length("text").cast("long"))

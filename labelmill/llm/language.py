@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelmill.llm.steps import arrow_schema, saved
+from labelmill.llm.steps import arrow_schema, bounded_batches, saved
 from labelmill.llm.words import mix
 
 U = np.uint64
@@ -162,7 +162,7 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filte
                     h, n = np.unique(text_grams(part)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h.view(np.int64)]), pa.array([n])], schema=schema)
 
-    uses = chosen.mapInArrow(count, fields).select("lang", F.explode(F.arrays_zip("h", "n")).alias("x")).groupBy("lang", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
+    uses = bounded_batches(chosen).mapInArrow(count, fields).select("lang", F.explode(F.arrays_zip("h", "n")).alias("x")).groupBy("lang", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
     uses = saved(uses, "gram-uses")
     totals = {r["lang"]: r["t"] for r in uses.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     rate = F.col("n") / F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("lang")]
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     Reads text only. Null text and text without a letter get "und" and score 0; without any
     learned language every text does.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = bounded_batches(docs.drop("lang_pred", "score"))
     known = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the learning sample
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")

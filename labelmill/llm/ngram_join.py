@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm import words as W
 from labelmill.llm.graph import components
-from labelmill.llm.steps import arrow_schema, block_count, id_key, saved, text_bytes
+from labelmill.llm.steps import arrow_schema, block_count, bounded_batches, saved, text_bytes
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
@@ -68,7 +68,7 @@ def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 _, bounds, cls = shingle_sets(part, size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(cls.view(np.int64))], schema=_SETS_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SETS)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SETS)
 
 
 def _posts(batch: pa.RecordBatch, size: int, blocks: int):
@@ -223,7 +223,7 @@ def matrix_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
             for part in W.slices(batch):
                 yield from _posts(part, size, blocks)
 
-    entries = docs.select(F.col("text").cast("string")).mapInArrow(post, _POST)
+    entries = bounded_batches(docs).select(F.col("text").cast("string")).mapInArrow(post, _POST)
     replies = entries.groupBy("block").applyInPandas(_block_counts, "cls long, n long, block int, low binary, high binary, df binary")
     whole = replies.groupBy("cls", "n").agg(F.collect_list(F.struct("block", "low", "high", "df")).alias("got"))
 

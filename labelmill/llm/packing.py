@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm.ranks import position_blocks, with_positions
-from labelmill.llm.steps import arrow_schema, saved
+from labelmill.llm.steps import arrow_schema, bounded_batches, saved
 
 CAPACITY, END_ID = 2048, 0
 #: Entries of a task's cache of tokenized words.
@@ -169,7 +169,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                 row = stop
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _PIECE_ARROW)], schema=_PIECE_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECE)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECE)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

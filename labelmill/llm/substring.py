@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm import words as W
-from labelmill.llm.steps import arrow_schema, block_count, id_key, text_bytes
+from labelmill.llm.steps import arrow_schema, block_count, bounded_batches, id_key, text_bytes
 
 U = np.uint64
 WINDOW, SEED = 20, 8
@@ -168,7 +168,7 @@ def block_factors(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
             for part in W.slices(batch):
                 yield from _posts(part, window, seed, blocks)
 
-    posts = docs.select(id_key().alias("_id"), F.col("text").cast("string")).mapInArrow(post, _POST)
+    posts = bounded_batches(docs).select(id_key().alias("_id"), F.col("text").cast("string")).mapInArrow(post, _POST)
     return posts.groupBy("block").applyInPandas(_block_factors, _FACTOR)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.functions.text import bind
 from labelmill.llm.html_text import main_text_column
+from labelmill.llm.steps import bounded_batches
 
 VERSION = "WARC/1.1"
 #: Header fields of a record, in the order in which they are written.
@@ -82,7 +83,7 @@ def derivatives(responses: DataFrame, software: str = "labelmill") -> DataFrame:
     left out of the headers. Columns that are no record fields are dropped.
     """
     head, body = split_http(F.col("block"))
-    src = responses.withColumns({"_head": head, "_text": main_text_column(body)})
+    src = bounded_batches(responses).withColumns({"_head": head, "_text": main_text_column(body)})
     src = src.withColumns({
         "_conv": record_id(F.lit("conversion"), F.col("record_id")), "_meta": record_id(F.lit("metadata"), F.col("record_id")), "_data": F.encode(F.coalesce("_text", F.lit("")), "UTF-8"),
     })
