@@ -17,6 +17,7 @@ import re
 import sys
 import zlib
 from array import array
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -58,12 +59,10 @@ def _packed(ids: list[int]) -> bytes:
     return data.tobytes()
 
 
-def _ranked(path: str):
+def _ranked(spec: dict):
     """A fast encoder for a tokenizer file whose ids are the order of its merges, else None."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     vocab, merges = spec["model"].get("vocab"), spec["model"].get("merges") or []
     pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
     if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or any(vocab.get("".join(p)) != 256 + i for i, p in enumerate(pairs)):
@@ -89,12 +88,19 @@ class ByteLevelEncoder:
     """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path = path
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.fast = _ranked(spec)
+        self.cache = _Cache()
+
+    @cached_property
+    def tokenizer(self):
+        """The plain tokenizer, for texts with special tokens and other kinds of files."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = _ranked(path)
-        self.cache = _Cache()
+        return Tokenizer.from_file(self.path)
 
     def _encode(self, parts: list[str], fast: bool = True) -> list[bytes]:
         if self.fast and fast:
@@ -133,7 +139,7 @@ _ENCODERS: dict[str, ByteLevelEncoder] = {}
 
 
 def encoder(path: str) -> ByteLevelEncoder:
-    """One encoder per Python worker; its cache serves all tasks of the worker."""
+    """One encoder per Python worker; tasks empty its cache when they end."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ByteLevelEncoder(path)
     return _ENCODERS[path]
@@ -168,6 +174,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                         start += n
                 row = stop
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _PIECE_ARROW)], schema=_PIECE_ARROW)
+        enc.cache.clear()  # later operators share the worker
 
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECE)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelmill.session import materialize
 
 #: Text bytes per block of an index: bounds the rows that one block gathers.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 NO_ID = -(1 << 63)
 
 
