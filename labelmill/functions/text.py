@@ -78,13 +78,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"([{WORD}]+(?:'[{WORD}]+)?|[^{WORD}{SPACE}])"), 1)
 
 
-def contains_any(c: Column, needles: list[str]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | F.contains(c, F.lit(n))
-    return out
-
-
 def truncate_text(c: Column, limit: int, short_form: bool = True) -> Column:
     """Cut to ``limit`` characters, the last three being dots.
 

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 import urllib.error
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Iterator, Protocol
 
@@ -31,8 +33,6 @@ class Responder(Protocol):
     def respond(self, key: str, request: str) -> tuple[str | None, str | None, int]:
         """(reply body, transport error, elapsed ms) for one request."""
 
-    def healthy(self) -> bool: ...
-
     def close(self) -> None: ...
 
 
@@ -50,9 +50,6 @@ class HashResponder:
     def open(self) -> None:
         pass
 
-    def healthy(self) -> bool:
-        return True
-
     def close(self) -> None:
         pass
 
@@ -77,7 +74,6 @@ class HttpResponder:
     url: str
     timeout_s: float = 60.0
     headers: dict[str, str] = field(default_factory=dict)
-    health_url: str | None = None
 
     def open(self) -> None:
         pass
@@ -85,15 +81,6 @@ class HttpResponder:
     def close(self) -> None:
         pass
 
-    def healthy(self) -> bool:
-        if not self.health_url:
-            return True
-        try:
-            with urllib.request.urlopen(self.health_url, timeout=self.timeout_s) as r:
-                return r.status == 200
-        except OSError:
-            return False
-
     def respond(self, key, request):
         start = time.monotonic()
         post = urllib.request.Request(self.url, request.encode(), {"Content-Type": "application/json", **self.headers})
@@ -125,20 +112,34 @@ class Pace:
         self._next = now + gap
 
 
-def responder_udf(responder: Responder, pace: Pace | None = None):
+def _calls(workers: int | None, pace: Pace | None, respond):
+    """(open a pool, call) where calls of one task overlap up to ``workers`` at a time.
+
+    Request starts are paced one after the other, as the pool hands them out.
+    """
+    lock = threading.Lock()
+
+    def one(*request):
+        if pace:
+            with lock:
+                pace.wait()
+        return respond(*request)
+
+    return ThreadPoolExecutor(max(1, workers or 1)), one
+
+
+def responder_udf(responder: Responder, pace: Pace | None = None, workers: int | None = None):
     @F.pandas_udf(REPLY)
     def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         responder.open()
+        pool, one = _calls(workers, pace, responder.respond)
         try:
             for keys, bodies in batches:
-                rows = []
-                for key, body in zip(keys, bodies):
-                    if pace:
-                        pace.wait()
-                    rows.append(responder.respond(key, body))
+                rows = list(pool.map(one, keys, bodies))
                 out = pd.DataFrame(rows, columns=["body", "transport_error", "elapsed_ms"])
                 yield out.astype({"elapsed_ms": "int64"})
         finally:
+            pool.shutdown()
             responder.close()
 
     return ask.asNondeterministic()
@@ -156,15 +157,13 @@ def infer(
 ) -> DataFrame:
     """One request per row; a failed call marks its row and the run goes on.
 
-    ``workers`` sets how many calls run at once. Without it the input's partitions are
-    kept, so no shuffle happens. Adds raw_response, success, error, response_time_ms,
+    The input's partitions are kept: no row is shuffled. ``workers`` sets how many calls
+    each running task has in flight. Adds raw_response, success, error, response_time_ms,
     tool_calls, usage and finish_reason.
     """
     key = key or ["row_index"]
-    if workers:
-        df = df.repartition(workers)
-    pace = Pace(per_second, workers or df.sparkSession.sparkContext.defaultParallelism) if per_second else None
-    ask = responder_udf(responder, pace)
+    pace = Pace(per_second, df.sparkSession.sparkContext.defaultParallelism) if per_second else None
+    ask = responder_udf(responder, pace, workers)
     keyed = F.concat_ws(":", *[F.col(k).cast("string") for k in key])
     out = df.withColumn("_reply", ask(keyed, F.col(request)))
     out = out.withColumn("_body", F.col("_reply.body")).withColumn("_transport", F.col("_reply.transport_error"))
@@ -193,30 +192,30 @@ def infer_attempts(
 ) -> DataFrame:
     """All attempts of a row, one after the other, as an array column ``attempts``.
 
-    Voting on the array needs no shuffle. ``gap_s`` is the pause between attempts.
+    Voting on the array needs no shuffle; ``workers`` rows of a task are asked at once.
+    ``gap_s`` is the pause between attempts.
     """
     check_repeat(repeat)
-    if workers:
-        df = df.repartition(workers)
-    pace = Pace(per_second, workers or df.sparkSession.sparkContext.defaultParallelism) if per_second else None
+    pace = Pace(per_second, df.sparkSession.sparkContext.defaultParallelism) if per_second else None
 
     @F.pandas_udf("struct<body array<string>, transport_error array<string>, elapsed_ms array<bigint>>")
     def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         responder.open()
+        pool, one = _calls(workers, pace, responder.respond)
+
+        def attempts_of(row_key, body):
+            replies = []
+            for n in range(1, repeat + 1):
+                if n > 1 and gap_s:
+                    time.sleep(gap_s)
+                replies.append(one(f"{row_key}:{n}", body))
+            return tuple(map(list, zip(*replies)))
+
         try:
             for keys, bodies in batches:
-                rows = []
-                for row_key, body in zip(keys, bodies):
-                    replies = []
-                    for n in range(1, repeat + 1):
-                        if n > 1 and gap_s:
-                            time.sleep(gap_s)
-                        if pace:
-                            pace.wait()
-                        replies.append(responder.respond(f"{row_key}:{n}", body))
-                    rows.append(tuple(map(list, zip(*replies))))
-                yield pd.DataFrame(rows, columns=["body", "transport_error", "elapsed_ms"])
+                yield pd.DataFrame(list(pool.map(attempts_of, keys, bodies)), columns=["body", "transport_error", "elapsed_ms"])
         finally:
+            pool.shutdown()
             responder.close()
 
     out = df.withColumn("_r", ask.asNondeterministic()(F.col(key).cast("string"), F.col(request)))
@@ -275,6 +274,3 @@ def usage_summary(results: DataFrame) -> DataFrame:
         F.count("usage").alias("rows_with_usage"), part("prompt_tokens"), part("completion_tokens"), part("total_tokens")
     )
 
-
-def request_key(*columns: str) -> Column:
-    return F.concat_ws(":", *[F.col(c).cast("string") for c in columns])

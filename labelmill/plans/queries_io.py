@@ -191,15 +191,27 @@ def _half(spark, d):
 _HALF = f"{R}, h AS (SELECT * FROM r WHERE row_index <= (SELECT max(event_id) * 2 // 3 FROM events) AND user_id <> 8)"
 
 
-@query("k3_write_parquet_enriched", f"""{_HALF} SELECT event_id, props, raw_response, coalesce(response_time_ms, 0) AS response_time, coalesce(success, false) AS inference_success, final_answer, ground_truth
- FROM events LEFT JOIN h ON event_id = row_index WHERE event_id <= (SELECT max(row_index) FROM h)""")
-def _(spark, d):
+_ENRICHED = f"""{_HALF} SELECT event_id, props, raw_response, coalesce(response_time_ms, 0) AS response_time, coalesce(success, false) AS inference_success, final_answer, ground_truth
+ FROM events LEFT JOIN h ON event_id = row_index"""
+
+
+def _enriched(spark, d, **options):
     path = scratch_path(spark, "out-enriched")
     original, done = _half(spark, d)
-    writers.write_parquet_enriched(original, done, path, with_truth=True)
+    writers.write_parquet_enriched(original, done, path, with_truth=True, **options)
     return spark.read.parquet(path).drop("ts")
 
 
+@query("k3_write_parquet_enriched", f"{_ENRICHED} WHERE event_id <= (SELECT max(row_index) FROM h)")
+def _(spark, d):
+    return _enriched(spark, d, cut_unprocessed=True)
+
+
+@query("k3_write_parquet_all_rows", _ENRICHED)
+def _(spark, d):
+    return _enriched(spark, d)
+
+
 @query("k4_write_parquet_new", f"""{R} SELECT row_index AS index, raw_response, response_time_ms AS response_time, success AS inference_success, final_answer, thinking_content, CAST(user_id AS VARCHAR) AS user_id FROM r""")
 def _(spark, d):
     path = scratch_path(spark, "out-new")

@@ -74,18 +74,19 @@ def write_json(results: DataFrame, path: str, with_truth: bool = False, **summar
     run_summary(results, **summary).write.json(f"{path}/summary")
 
 
-def enriched(original: DataFrame, results: DataFrame, with_truth: bool = False, with_thinking: bool = False) -> DataFrame:
+def enriched(original: DataFrame, results: DataFrame, with_truth: bool = False, with_thinking: bool = False, cut_unprocessed: bool = False) -> DataFrame:
     """The input's own columns and types plus the result columns.
 
-    Rows past the largest processed position are cut; rows without a result get null
-    texts, time 0 and success false.
+    Rows without a result get null texts, time 0 and success false. ``cut_unprocessed``
+    leaves out rows past the largest processed position; by default every row is kept.
     """
-    top = results.agg(F.max(KEY))
     parts = _parts(with_truth, with_thinking)
     slim = results.select(KEY, *[F.col(a).alias(f"_r_{b}") for a, b in parts])
     filler = {"response_time": F.lit(0), "inference_success": F.lit(False)}
     value = lambda b: (F.coalesce(f"_r_{b}", filler[b]) if b in filler else F.col(f"_r_{b}")).alias(b)
-    joined = original.filter(F.col(KEY) <= top.scalar()).join(slim, KEY, "left")
+    if cut_unprocessed:
+        original = original.filter(F.col(KEY) <= results.agg(F.max(KEY)).scalar())
+    joined = original.join(slim, KEY, "left")
     return joined.select(*[c for c in original.columns], *[value(b) for _, b in parts])
 
 

@@ -27,7 +27,7 @@ def final_plan(df):
 def test_a_run_is_one_narrow_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("row_index", F.col("doc_id"))
     for repeat in (1, 3):
-        job = Job(provider=Provider("vllm", "http://m"), user="{text}", parsing=ParsingRules(find=["1"]), repeat=repeat, workers=0)
+        job = Job(provider=Provider("vllm", "http://m"), user="{text}", parsing=ParsingRules(find=["1"]), repeat=repeat, workers=8)
         p = plan(answer(prepare_requests(docs, job), job, HashResponder()))
         assert "Exchange" not in p and p.count("ArrowEvalPython") == 1, repeat
 

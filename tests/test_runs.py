@@ -103,7 +103,30 @@ def test_bad_replies_do_not_stop_the_run(spark):
 def test_http_responder_reports_unreachable_server():
     body, error, ms = HttpResponder("http://127.0.0.1:9/none", timeout_s=2).respond("1", "{}")
     assert body is None and error.startswith("request failed") and ms >= 0
-    assert not HttpResponder("x", health_url="http://127.0.0.1:9/none", timeout_s=2).healthy()
+
+
+def test_workers_are_calls_in_flight_in_one_task(spark):
+    class Counting(HashResponder):  # local, so that workers get it by value
+        def open(self):
+            import threading
+
+            self.lock, self.now, self.most = threading.Lock(), 0, 0
+
+        def respond(self, key, request):
+            import time
+
+            with self.lock:
+                self.now += 1
+                self.most = max(self.most, self.now)
+            time.sleep(0.05)
+            with self.lock:
+                self.now -= 1
+            return f'{{"choices": [{{"message": {{"content": "{self.most}"}}}}]}}', None, 1
+
+    rows = prepare_requests(table(spark, 12).coalesce(1), job())
+    out = infer.infer(rows, Counting(), workers=4)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert max(int(r.raw_response) for r in out.collect()) == 4
 
 
 def test_pace_spaces_starts():

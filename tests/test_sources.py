@@ -148,8 +148,10 @@ def test_sinks(spark, tmp_path):
 def test_enriched_cuts_and_fills(spark):
     original = spark.range(6).select(F.col("id").alias("row_index"), (F.col("id") * 10).alias("v"))
     df = result_rows(spark).withColumn("row_index", F.col("row_index") * 3)
-    got = rows(writers.enriched(original, df).orderBy("row_index"), "row_index", "v", "response_time", "inference_success", "final_answer")
-    assert got == [(0, 0, 5, True, "a"), (1, 10, 0, False, None), (2, 20, 0, False, None), (3, 30, 7, False, "b")]
+    cols = ("row_index", "v", "response_time", "inference_success", "final_answer")
+    want = [(0, 0, 5, True, "a"), (1, 10, 0, False, None), (2, 20, 0, False, None), (3, 30, 7, False, "b")]
+    assert rows(writers.enriched(original, df, cut_unprocessed=True).orderBy("row_index"), *cols) == want
+    assert rows(writers.enriched(original, df).orderBy("row_index"), *cols) == want + [(4, 40, 0, False, None), (5, 50, 0, False, None)]
 
 
 def test_stream_format_is_checked_first(spark):
