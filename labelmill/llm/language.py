@@ -12,13 +12,14 @@ language that uses it most: quotations of other languages then leave no trace.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelmill.llm.steps import arrow_schema, bounded_batches, saved
+from labelmill.llm.steps import arrow_schema, bounded_batches, give_back, lean, saved
 from labelmill.llm.words import mix
 
 U = np.uint64
@@ -31,7 +32,8 @@ MAX_LANGUAGES = 64
 LEAST_USES, LEAST_SHARE = 3, 0.15
 #: Cells per n-gram of the filter; its size follows what the bounded sample holds.
 CELLS_PER_GRAM = 8
-CHARS = 1 << 20
+#: Characters of whole texts that are worked on at once.
+CHARS = 1 << 18
 _LETTERS: list[np.ndarray] = []
 
 
@@ -154,6 +156,7 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filte
     chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     fields, schema = arrow_schema({"lang": "string", "h": "array<long>", "n": "array<long>"})
 
+    @lean
     def count(batches):
         for batch in batches:
             langs, texts = np.array(batch.column("lang").to_pylist(), object), batch.column("text").to_pylist()
@@ -184,12 +187,12 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the learning sample
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def predict(text: pd.Series) -> pd.DataFrame:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = known.value
-        texts = [t or "" for t in text]
-        if not model.languages:
-            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
-        names, score = model.predict(texts)
-        return pd.DataFrame({"lang_pred": names, "score": score})
+        for text in batches:
+            texts = [t or "" for t in text]
+            names, score = model.predict(texts) if model.languages else ([UNKNOWN] * len(texts), 0.0)
+            yield pd.DataFrame({"lang_pred": names, "score": score})
+        give_back()
 
     return docs.withColumn("_p", predict(F.col("text").cast("string"))).select(*docs.columns, "_p.*")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm import words as W
 from labelmill.llm.graph import components
-from labelmill.llm.steps import arrow_schema, block_count, bounded_batches, saved, text_bytes
+from labelmill.llm.steps import arrow_schema, block_count, bounded_batches, lean, lean_group, saved, text_bytes
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
@@ -62,6 +62,7 @@ def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarr
 def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and cls, the fingerprint of the shingle set."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in W.slices(batch):
@@ -218,15 +219,17 @@ def matrix_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     order from rare to frequent, and the position of that part's first column."""
     blocks = block_count(text_bytes(docs))
 
+    @lean
     def post(batches):
         for batch in batches:
             for part in W.slices(batch):
                 yield from _posts(part, size, blocks)
 
     entries = bounded_batches(docs).select(F.col("text").cast("string")).mapInArrow(post, _POST)
-    replies = entries.groupBy("block").applyInPandas(_block_counts, "cls long, n long, block int, low binary, high binary, df binary")
+    replies = entries.groupBy("block").applyInPandas(lean_group(_block_counts), "cls long, n long, block int, low binary, high binary, df binary")
     whole = replies.groupBy("cls", "n").agg(F.collect_list(F.struct("block", "low", "high", "df")).alias("got"))
 
+    @lean
     def order(batches):
         for batch in batches:
             out = []
@@ -331,7 +334,7 @@ def link_rows(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     mixed = placed.groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("g")
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     open_columns = placed.join(mixed, "g").join(rows.select("cls", "last", "bits"), "cls").withColumn("block", F.pmod(F.hash("g"), F.lit(blocks)))
-    pairs = open_columns.groupBy("block").applyInPandas(_cross_pairs(percent), "a long, b long").distinct()
+    pairs = open_columns.groupBy("block").applyInPandas(lean_group(_cross_pairs(percent)), "a long, b long").distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     return links.unionByName(_verified(pairs, rows, percent))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm.ranks import position_blocks, with_positions
-from labelmill.llm.steps import arrow_schema, bounded_batches, saved
+from labelmill.llm.steps import arrow_schema, bounded_batches, lean, saved
 
 CAPACITY, END_ID = 2048, 0
 #: Entries of a task's cache of tokenized words.
@@ -156,6 +156,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     path = path or tokenizer_path()
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @lean
     def run(batches):
         enc = encoder(path)
         for batch in batches:

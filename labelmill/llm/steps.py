@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import re
+from typing import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,6 +30,44 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system.
+
+    Spark reuses Python workers, and an idle one would keep what its largest batch took,
+    beside the memory of the stages that follow.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable) -> Callable:
+    """A function over a task's batches that gives its memory back when it is done."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_group(work: Callable) -> Callable:
+    """A function over one group's rows that gives its working memory back."""
+
+    @functools.wraps(work)
+    def run(rows):
+        try:
+            return work(rows)
+        finally:
+            give_back()
+
+    return run
+
+
 #: Rows and bytes of text that Python gets at once, on top of what Spark would send.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 

@@ -18,6 +18,7 @@ over all blocks. Memory per task is one block, whose number follows the text's s
 from __future__ import annotations
 
 from itertools import compress
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm import words as W
-from labelmill.llm.steps import arrow_schema, block_count, bounded_batches, id_key, text_bytes
+from labelmill.llm.steps import arrow_schema, block_count, bounded_batches, give_back, id_key, lean, lean_group, text_bytes
 
 U = np.uint64
 WINDOW, SEED = 20, 8
@@ -163,13 +164,14 @@ def block_factors(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
     """Per document and reference block: packed factors (start, windows, source, source start)."""
     blocks = block_count(text_bytes(docs))
 
+    @lean
     def post(batches):
         for batch in batches:
             for part in W.slices(batch):
                 yield from _posts(part, window, seed, blocks)
 
     posts = bounded_batches(docs).select(id_key().alias("_id"), F.col("text").cast("string")).mapInArrow(post, _POST)
-    return posts.groupBy("block").applyInPandas(_block_factors, _FACTOR)
+    return posts.groupBy("block").applyInPandas(lean_group(_block_factors), _FACTOR)
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -190,8 +192,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Data
     joined = base.join(found, "_id", "left").drop("_id")
     schema = f"n_words long, n_removed long, kept_text string, factors array<struct<start:long,n_words:long,source_doc:long,source_start:long>>"
 
-    @F.pandas_udf(f"struct<{schema.replace(' long', ':long').replace(' string', ':string').replace('factors array', 'factors:array')}>")
-    def cut(text: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def cut_batch(text: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for t, f in zip(text, found):
             tokens = (t or "").encode().split()
@@ -208,6 +209,12 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Data
             rows.append((len(tokens), len(tokens) - len(kept), b" ".join(kept).decode(), [dict(zip(("start", "n_words", "source_doc", "source_start"), x)) for x in factors]))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text", "factors"])
 
+    @F.pandas_udf(f"struct<{schema.replace(' long', ':long').replace(' string', ':string').replace('factors array', 'factors:array')}>")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, found in batches:
+            yield cut_batch(text, found)
+        give_back()
+
     return joined.withColumn("_c", cut(F.col("text").cast("string"), "_f")).select(*[c for c in docs.columns], "_c.*")
 
 

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes of text that are hashed at once; bounds the memory of a task.
-SLICE_BYTES = 4 << 20
+#: Bytes of whole texts that are worked on at once, and of their words that are hashed at
+#: once (about 50 bytes of memory each); both bound the memory of a task.
+SLICE_BYTES, HASH_BYTES = 4 << 20, 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -81,8 +82,8 @@ class Words:
 def _hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), U)
     i = 0
-    while i < len(start):  # a few MB of bytes at a time
-        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE_BYTES, "right")))
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + HASH_BYTES, "right")))
         size = end[i:j] - start[i:j]
         begin = np.concatenate(([0], np.cumsum(size)[:-1]))
         pos = np.arange(int(size.sum())) - np.repeat(begin, size)
