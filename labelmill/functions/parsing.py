@@ -63,7 +63,7 @@ def strip_thinking(reply: Column, tags: str, preserve: bool = False, across_line
     return F.regexp_replace(reply, f"{re.escape(start)}{inner}*?{re.escape(end)}", "")
 
 
-_BACKTRACKING = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+")
+_BACKTRACKING = re.compile(r"\(\?(?:[=!>]|<[=!])|[*+?}]\+")
 _ASCII_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
@@ -93,13 +93,20 @@ def _capture_groups(pattern: str) -> int:
     return len(re.findall(r"\((?!\?)|\(\?P?<(?![=!])", flat))
 
 
+def _backtracks(pattern: str) -> bool:
+    """Lookaround, back references or possessive counts, outside classes and escapes."""
+    pieces = [p for p, inside in _outside_classes(pattern) if not inside]
+    plain = "".join(p if len(p) == 1 else "." for p in pieces)
+    return any(re.fullmatch(r"\\[1-9]", p) for p in pieces) or bool(_BACKTRACKING.search(plain))
+
+
 def usable_patterns(rules: ParsingRules) -> list[str]:
     """The patterns that compile and have a group, ready for Spark, in list order."""
     spark = SparkSession.active()
     flags = "(?d)" if rules.case_sensitive else "(?iud)"
     kept = []
     for pattern in rules.answer_patterns:
-        if rules.linear_time_patterns and _BACKTRACKING.search(pattern):
+        if rules.linear_time_patterns and _backtracks(pattern):
             continue
         if _capture_groups(pattern) == 0:
             continue

@@ -36,19 +36,21 @@ def slot_text(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(plain(c, dtype), F.lit(""))
 
 
-def _slots(schema: T.StructType, prefix: str = "") -> dict[str, tuple[Column, T.DataType]]:
+def _slots(schema: T.StructType, prefix: str = "", parent: str = "") -> dict[str, tuple[Column, T.DataType]]:
     """Every name a placeholder may use; outer columns win over bare nested names."""
     out: dict[str, tuple[Column, T.DataType]] = {}
     nested: dict[str, tuple[Column, T.DataType]] = {}
     for f in schema:
         path = f"{prefix}.{f.name}" if prefix else f.name
-        col = F.col(".".join(f"`{p}`" for p in path.split("."))) if not prefix else F.col(path)
+        quoted = f"`{f.name.replace('`', '``')}`"
+        column = f"{parent}.{quoted}" if parent else quoted
+        col = F.col(column)
         names = {f.name, path}
         for n in names:
             for form in (n, n.upper(), n.lower()):
                 out.setdefault(form, (col, f.dataType))
         if isinstance(f.dataType, T.StructType):
-            for k, v in _slots(f.dataType, path).items():
+            for k, v in _slots(f.dataType, path, column).items():
                 nested.setdefault(k, v)
     for k, v in nested.items():
         out.setdefault(k, v)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from labelmill.schema import RESULT
 
@@ -27,6 +27,7 @@ def canonical(df: DataFrame, time_unit: str = "ms") -> DataFrame:
 def load_results(spark: SparkSession, path: str, time_unit: str = "ms", lines: bool = False) -> DataFrame:
     """An object with ``results``, a bare array, or JSON Lines."""
     raw = spark.read.option("multiLine", not lines).option("mode", "FAILFAST").json(path)
-    if "results" in raw.columns:
+    kind = raw.schema["results"].dataType if "results" in raw.columns else None
+    if not lines and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
         raw = raw.select(F.inline("results"))
     return canonical(raw, time_unit)

@@ -119,6 +119,7 @@ def vote_when_complete(repeat: int) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = [pd.DataFrame(dict(zip(_ATTEMPT, map(list, state.get))))] if state.exists else []
         rows = pd.concat(held + [b[_ATTEMPT] for b in batches], ignore_index=True)
+        rows = rows.drop_duplicates(["row_index", "attempt_no"])  # an attempt may be delivered twice
         complete = rows.groupby("row_index")["attempt_no"].transform("size") >= repeat
         rest = rows[~complete]
         if len(rest):

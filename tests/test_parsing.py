@@ -36,6 +36,9 @@ CASES = [
     ("keyword list order", dict(find=["2", "1"]), "1 or 2", "2", ""),
     ("ascii word boundary", dict(answer_patterns=[r"\b(on)\b"], default="d"), "éon", "on", ""),
     ("named group", dict(answer_patterns=[r"x=(?P<v>\d+)"]), "x=12", "12", ""),
+    ("a class with signs is not possessive", dict(answer_patterns=[r"n=([*+\d]+)"], default="d"), "n=5", "5", ""),
+    ("an escaped plus is not possessive", dict(answer_patterns=[r"a\++(b)"], default="d"), "a++b", "b", ""),
+    ("possessive and back references are skipped", dict(answer_patterns=[r"(\d++)", r"(\d)\1"], default="d"), "n=55", "d", ""),
     ("dollar in reply", dict(answer_patterns=[r"cost (\S+)"]), "cost $1.5", "$1.5", ""),
 ]
 

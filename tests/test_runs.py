@@ -141,3 +141,24 @@ def test_only_key_and_request_cross_into_python(spark):
     rows = prepare_requests(table(spark), job())
     plan = infer.infer(rows, HashResponder())._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_streamed_vote_counts_an_attempt_once():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from labelmill.streaming.streams import vote_when_complete
+
+    held = []
+    state = SimpleNamespace(exists=False, update=held.append)
+    batch = pd.DataFrame({"row_index": [7, 7, 7], "attempt_no": [1, 1, 2], "answer": ["a", "a", "b"], "success": True})
+    assert list(vote_when_complete(3)((0,), iter([batch]), state)) == []
+    assert held == [([7, 7], [1, 2], ["a", "b"], [True, True])]
+
+
+def test_template_column_with_a_dot(spark):
+    from labelmill.functions.templates import render_prompt
+
+    df = spark.sql("SELECT 'x' AS `a.b`, named_struct('c.d', 'y') AS s")
+    assert df.select(render_prompt(df.schema, "{a.b} {c.d}").alias("p")).first().p == "x y"
