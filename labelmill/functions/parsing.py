@@ -7,6 +7,7 @@ projection of built-in functions and stays inside generated code.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -67,56 +68,103 @@ _BACKTRACKING = re.compile(r"\(\?(?:[=!>]|<[=!])|[*+?}]\+")
 _ASCII_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
+_POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
+#: Named classes inside brackets and their (ASCII) spelling in Java.
+_POSIX_NAMES = {
+    "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
+    "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit",
+}
+_UNGREEDY = re.compile(r"\(\?[a-z]*U")
+
+
 def _outside_classes(pattern: str):
-    """Yield (piece, inside a character class) for each character or escape."""
-    inside = False
-    for piece in re.findall(r"\\.|.", pattern, re.S):
+    """Yield (piece, inside a character class) for each character, escape or named class."""
+    inside, i, first = False, 0, 0
+    while i < len(pattern):
+        named = _POSIX.match(pattern, i) if inside else None
+        piece = named.group() if named else pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(piece)
         if piece == "[" and not inside:
+            first = i + pattern.startswith("^", i)  # a closing bracket here is a member
             inside = True
             yield piece, False
-            continue
-        if piece == "]" and inside:
+        elif piece == "]" and inside and i - 1 > first:
             inside = False
             yield piece, False
-            continue
-        yield piece, inside
+        else:
+            yield piece, inside
+
+
+def _class_member(piece: str) -> str:
+    """A piece of a character class in Java, where classes nest and intersect."""
+    named = _POSIX.fullmatch(piece)
+    if named:
+        flip, name = named.groups()
+        word = {"": r"\w", "^": r"\W"}[flip]
+        return word if name == "word" else rf"\{'P' if flip else 'p'}{{{_POSIX_NAMES.get(name, name)}}}"
+    return "\\" + piece if piece in "[]&" else piece
 
 
 def _java_pattern(pattern: str) -> str:
-    """Named groups and word boundaries in Java's spelling."""
-    out = "".join(_ASCII_BOUNDARY if p == r"\b" and not inside else p for p, inside in _outside_classes(pattern))
+    """Named groups, word boundaries and class members in Java's spelling."""
+    out = "".join(_class_member(p) if inside else _ASCII_BOUNDARY if p == r"\b" else p for p, inside in _outside_classes(pattern))
     return out.replace("(?P<", "(?<")
 
 
+def _plain(pattern: str) -> str:
+    """What lies outside classes, with escapes as dots."""
+    return "".join(p if len(p) == 1 else "." for p, inside in _outside_classes(pattern) if not inside)
+
+
 def _capture_groups(pattern: str) -> int:
-    flat = "".join(p for p, inside in _outside_classes(pattern) if not inside and len(p) == 1)
-    return len(re.findall(r"\((?!\?)|\(\?P?<(?![=!])", flat))
+    return len(re.findall(r"\((?!\?)|\(\?P?<(?![=!])", _plain(pattern)))
 
 
 def _backtracks(pattern: str) -> bool:
     """Lookaround, back references or possessive counts, outside classes and escapes."""
-    pieces = [p for p, inside in _outside_classes(pattern) if not inside]
-    plain = "".join(p if len(p) == 1 else "." for p in pieces)
-    return any(re.fullmatch(r"\\[1-9]", p) for p in pieces) or bool(_BACKTRACKING.search(plain))
+    back = any(re.fullmatch(r"\\[1-9]", p) for p, inside in _outside_classes(pattern) if not inside)
+    return back or bool(_BACKTRACKING.search(_plain(pattern)))
 
 
-def usable_patterns(rules: ParsingRules) -> list[str]:
-    """The patterns that compile and have a group, ready for Spark, in list order."""
-    spark = SparkSession.active()
+@functools.lru_cache(maxsize=256)
+def _compile(patterns: tuple[str, ...]) -> tuple[bool, ...]:
+    """Whether Spark takes each pattern: one small job if it takes all of them."""
+    try:
+        SparkSession.active().range(1).select(*[F.rlike(F.lit(""), F.lit(p)) for p in patterns]).collect()
+        return (True,) * len(patterns)
+    except PySparkException:
+        if len(patterns) == 1:
+            return (False,)
+        half = len(patterns) // 2
+        return _compile(patterns[:half]) + _compile(patterns[half:])
+
+
+def checked_patterns(rules: ParsingRules) -> list[tuple[str, str | None, str | None]]:
+    """(pattern, its spelling for Spark or None, why it is skipped or None), in list order."""
     flags = "(?d)" if rules.case_sensitive else "(?iud)"
-    kept = []
+    out = []
     for pattern in rules.answer_patterns:
+        why = None
         if rules.linear_time_patterns and _backtracks(pattern):
-            continue
-        if _capture_groups(pattern) == 0:
-            continue
-        java = flags + _java_pattern(pattern)
-        try:
-            spark.range(1).select(F.rlike(F.lit(""), F.lit(java))).collect()
-        except PySparkException:
-            continue
-        kept.append(java)
-    return kept
+            why = "needs backtracking"
+        elif _UNGREEDY.search(_plain(pattern)):
+            why = "swaps greedy and lazy matching"
+        elif _capture_groups(pattern) == 0:
+            why = "has no group"
+        out.append((pattern, None if why else flags + _java_pattern(pattern), why))
+    ready = tuple(java for _, java, _ in out if java)
+    fine = dict(zip(ready, _compile(ready))) if ready else {}
+    return [(p, java, why) if not java or fine[java] else (p, None, "does not compile") for p, java, why in out]
+
+
+def usable_patterns(rules: ParsingRules) -> list[str]:
+    """The patterns that compile and have a group, ready for Spark, in list order."""
+    return [java for _, java, _ in checked_patterns(rules) if java]
+
+
+def skipped_patterns(rules: ParsingRules) -> dict[str, str]:
+    """Patterns that take no part in parsing, with the reason."""
+    return {p: why for p, _, why in checked_patterns(rules) if why}
 
 
 def match_patterns(body: Column, patterns: list[str]) -> Column:

@@ -38,10 +38,11 @@ class Responder(Protocol):
 
 @dataclass
 class HashResponder:
-    """Answers from a hash of the key: the same request gets the same reply everywhere.
+    """Answers from a hash of the key and of the last message of the request.
 
-    The first four hex digits of md5(key) choose the label, the next two decide on a
-    failure, the next three give the response time.
+    Another prompt gets another reply, and the same one gets the same reply everywhere.
+    Of md5(key, line break, message) the first four hex digits choose the label, the next
+    two decide on a failure, the next three give the response time.
     """
 
     labels: list[str] = field(default_factory=lambda: ["0", "1"])
@@ -54,7 +55,9 @@ class HashResponder:
         pass
 
     def respond(self, key, request):
-        h = hashlib.md5(key.encode()).hexdigest()
+        body = json.loads(request)
+        message = (body["messages"][-1].get("content") if "messages" in body else body.get("prompt")) or ""
+        h = hashlib.md5(f"{key}\n{message}".encode()).hexdigest()
         elapsed = int(h[6:9], 16)
         if self.fail_one_in and int(h[4:6], 16) % self.fail_one_in == 0:
             return None, "connection refused", elapsed

@@ -29,18 +29,19 @@ JOB = Job(
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts for every labelled document, replies of the hash responder, parsed
-    answers, and the report figures per class."""
-    rows = views.labelled(spark, sf_dir).filter("quality is not null").withColumn("row_index", F.col("doc_id"))
-    results = label_table(rows, JOB, HashResponder()).withColumn("ground_truth", F.col("quality").cast("string"))
+    """Prompts for every document, replies of the hash responder, parsed answers, and the
+    report figures per class over the documents that have a label."""
+    rows = views.labelled(spark, sf_dir).withColumn("row_index", F.col("doc_id"))
+    results = label_table(rows, JOB, HashResponder()).filter("quality is not null").withColumn("ground_truth", F.col("quality").cast("string"))
     return metrics.report_per_class(results).select("class", "precision", "recall", "f1", "specificity", "jaccard", "support")
 
 
-_H = "md5(CAST(doc_id AS VARCHAR))"
+_PROMPT = "'Is this ' || coalesce(lang, '') || ' document from ' || coalesce(source, '') || ' good? ' || coalesce(text, '')"
+_H = f"md5(doc_id || chr(10) || {_PROMPT})"
 
 
 @query("run_label_documents", f"""WITH r AS (SELECT CAST(quality AS VARCHAR) AS a, CASE CAST('0x' || substr({_H}, 1, 4) AS INTEGER) % 2 WHEN 0 THEN '0' ELSE '1' END AS p
-   FROM labels WHERE CAST('0x' || substr({_H}, 5, 2) AS INTEGER) % 10 <> 0), c AS (SELECT '0' AS c UNION ALL SELECT '1'),
+   FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND CAST('0x' || substr({_H}, 5, 2) AS INTEGER) % 10 <> 0), c AS (SELECT '0' AS c UNION ALL SELECT '1'),
  k AS (SELECT c, CAST(count(*) FILTER (a = c AND p = c) AS DOUBLE) AS tp, CAST(count(*) FILTER (a <> c AND p = c) AS DOUBLE) AS fp,
    CAST(count(*) FILTER (a = c AND p <> c) AS DOUBLE) AS fn, CAST(count(*) FILTER (a <> c AND p <> c) AS DOUBLE) AS tn FROM r, c GROUP BY c)
  SELECT c AS class, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
@@ -65,7 +66,7 @@ def _(spark, d):
     return spark.read.parquet(out).select("index", "input_text", "inference_success", "final_answer", "thinking_content")
 
 
-@query("run_label_repeated", f"""WITH a AS (SELECT doc_id, n, md5(doc_id || ':' || n) AS h FROM documents CROSS JOIN range(1, 4) AS k(n)),
+@query("run_label_repeated", f"""WITH a AS (SELECT doc_id, n, md5(doc_id || ':' || n || chr(10) || {_PROMPT}) AS h FROM documents CROSS JOIN range(1, 4) AS k(n)),
  r AS (SELECT doc_id, n, CAST('0x' || substr(h, 5, 2) AS INTEGER) % 10 <> 0 AS ok, CASE CAST('0x' || substr(h, 1, 4) AS INTEGER) % 2 WHEN 0 THEN '0' ELSE '1' END AS answer FROM a),
  g AS (SELECT doc_id, answer, count(*) AS c, min(n) AS f FROM r WHERE ok GROUP BY 1, 2), v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS pos, sum(c) OVER (PARTITION BY doc_id) AS total FROM g)
  SELECT d.doc_id AS row_index, coalesce(answer, '') AS final_answer, answer IS NOT NULL AS success, CAST(c AS BIGINT) AS votes, CAST(total AS BIGINT) AS total FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id AND pos = 1""")

@@ -36,18 +36,28 @@ def _marked_words(x, pairs):
 _w = lambda word: f"chr(1) || {lit(word)} || chr(2)"
 
 
-def _text_query(name, sql_of, step, source="documents", key="doc_id", column="text"):
-    @query(name, f"SELECT {key}, {sql_of(column)} AS cleaned FROM {source}" if sql_of else None)
+#: Put around every document for rules that the documents give nothing to do.
+NOISE = " «Don't»  `stop´ – it's — we're ― 1,234 − 5k, 2 million  cats "
+
+
+def _text_query(name, sql_of, step, source="documents", key="doc_id", column="text", noise=""):
+    """``noise`` is put before and after each text, in both engines."""
+    rows = f"(SELECT {key}, {lit(noise)} || {column} || {lit(noise)} AS {column} FROM {source})" if noise else source
+
+    @query(name, f"SELECT {key}, {sql_of(column)} AS cleaned FROM {rows}" if sql_of else None)
     def _(spark, d):
-        return spread(table(spark, d, source)).select(key, step(F.col(column)).alias("cleaned"))
+        read = spread(table(spark, d, source)).select(key, column)
+        if noise:
+            read = read.withColumn(column, F.concat(F.lit(noise), column, F.lit(noise)))
+        return read.select(key, step(F.col(column)).alias("cleaned"))
 
 
 _text_query("c1_clean_html", None, C.clean_html, "pages", "page_id", "html")
 _text_query("c2_fix_encoding", None, C.fix_encoding)
 _text_query("c3_normalize_unicode", None, C.normalize_unicode)
 _text_query("c4_normalize_whitespace", lambda x: sql_trim(_sub(x, f"[{SPACE}]+", " ")), C.normalize_whitespace)
-_text_query("c5_normalize_quotes", lambda x: f"translate({x}, '`´«»', {lit(chr(39) * 2 + chr(34) * 2)})", C.normalize_quotes)
-_text_query("c6_normalize_dashes", lambda x: f"translate({x}, '–—―−', '----')", C.normalize_dashes)
+_text_query("c5_normalize_quotes", lambda x: f"translate({x}, '`´«»', {lit(chr(39) * 2 + chr(34) * 2)})", C.normalize_quotes, noise=NOISE)
+_text_query("c6_normalize_dashes", lambda x: f"translate({x}, '–—―−', '----')", C.normalize_dashes, noise=NOISE)
 _text_query("c7_squeeze_punctuation", lambda x: _sub(_sub(_sub(_sub(x, r"\.{3,}", "..."), "!{2,}", "!"), r"\?{2,}", "?"), "-{2,}", "--"), C.squeeze_punctuation)
 _text_query("c8_fix_typos", lambda x: _marked_words(x, [(_w("teh"), "chr(1) || 'the' || chr(2)")] + [
     (f"{_w(w)} || '[{SPACE}]+' || {_w(w)}", _w(w)) for w in C.DOUBLED_WORDS]), C.fix_typos)
@@ -62,7 +72,7 @@ def _numbers_sql(x):
     return x
 
 
-_text_query("c10_normalize_numbers", _numbers_sql, C.normalize_numbers)
+_text_query("c10_normalize_numbers", _numbers_sql, C.normalize_numbers, noise=NOISE)
 
 
 def _contractions_sql(x):
@@ -79,7 +89,7 @@ def _contractions_sql(x):
     return _unmark(y)
 
 
-_text_query("c11_expand_contractions", _contractions_sql, C.expand_contractions)
+_text_query("c11_expand_contractions", _contractions_sql, C.expand_contractions, noise=NOISE)
 _text_query("c12_remove_special", lambda x: _sub(x, f"[^{WORD}{SPACE}.,!?;:()'\"/-]", ""), C.remove_special)
 _text_query("c12_remove_special_all", lambda x: _sub(x, f"[^{WORD}{SPACE}]", ""), lambda c: C.remove_special(c, keep_basic=False))
 
@@ -145,7 +155,7 @@ _text_query("c21_filter_language", lambda x: f"(SELECT CASE WHEN detected = 'de'
 _text_query("c22_remove_digits", lambda x: _sub(x, r"\p{Nd}+", ""), C.remove_digits)
 _text_query("c23_remove_single_chars", lambda x: _unmark(f"regexp_replace({_mark(x)}, chr(1) || '[{WORD}]' || chr(2), '', 'g')"), C.remove_single_chars)
 _text_query("c24_strip_accents", None, C.strip_accents)
-_text_query("c25_extra_spaces", lambda x: sql_trim(_sub(x, f"[{SPACE}]{{2,}}", " ")), C.extra_spaces)
+_text_query("c25_extra_spaces", lambda x: sql_trim(_sub(x, f"[{SPACE}]{{2,}}", " ")), C.extra_spaces, noise=NOISE)
 _text_query("c26_sentence_join", lambda x: f"array_to_string(list_transform(string_split(regexp_replace({x}, '([.!?])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {sql_trim('s')}), ' ')", C.sentence_join)
 _WORDS = lambda x: f"regexp_extract_all({x}, '[^{SPACE}]+')"
 _text_query("c27_drop_short_words", lambda x: f"array_to_string(list_filter({_WORDS(x)}, lambda t: length(t) >= 3), ' ')", lambda c: C.drop_short_words(c, 3))

@@ -180,7 +180,7 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", requests.merge_reasoning(content, reasoning).alias("content"))
 
 
-_H = "md5(CAST(doc_id AS VARCHAR){0})"
+_H = "md5(doc_id{0} || chr(10) || coalesce(text, ''))"
 _hex = lambda h, a, n: f"CAST('0x' || substr({h}, {a}, {n}) AS INTEGER)"
 
 
@@ -253,6 +253,18 @@ def _(spark, d):
     return V.responses(spark, d).select("doc_id", parsing.match_patterns(_body(), parsing.usable_patterns(RULES)).alias("answer"))
 
 
+_CLASSES = {"mixed": r"([*+\d]+)", "plus": r"a\++(b)", "digits": "x([[:digit:]]+)", "signs": "([[:punct:]&&]+)b", "bracket": r"([]\[^]+)"}
+_CLASSED = ", ".join(f"CASE WHEN regexp_matches(body, '(?i){p}') THEN regexp_extract(body, '(?i){p}', 1) END AS {k}" for k, p in _CLASSES.items())
+
+
+@query("r4_pattern_classes", f"SELECT doc_id, {_CLASSED} FROM (SELECT doc_id, text || ' 4*2+x' || doc_id || ' a++b [^&b' AS body FROM documents)")
+def _(spark, d):
+    """Escapes, members and named classes inside brackets, one pattern per column."""
+    df = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" 4*2+x"), "doc_id", F.lit(" a++b [^&b")).alias("body"))
+    one = lambda p: parsing.match_patterns(F.col("body"), parsing.usable_patterns(parsing.ParsingRules(answer_patterns=[p])))
+    return df.select("doc_id", *[one(p).alias(k) for k, p in _CLASSES.items()])
+
+
 @query("r5_find_keywords", f"""{PARSE} SELECT doc_id, {_FIND} AS answer, CASE WHEN contains(body, 'POSITIVE') THEN 'POSITIVE' END AS cased, CASE WHEN lower(body) = 'answer: 1' THEN 'answer: 1' END AS exact FROM s""")
 def _(spark, d):
     df = V.responses(spark, d).withColumn("body", _body())

@@ -34,15 +34,19 @@ def _with_file(df: DataFrame) -> DataFrame:
 
 def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Every column as text. Rows with too few, too many or broken cells are skipped but
-    keep their position. ``multi_line=False`` lets large files without line breaks inside
-    cells be split among tasks.
+    keep their position. Every file must have the columns of the first in the same order;
+    another header raises. ``multi_line=False`` lets large files without line breaks
+    inside cells be split among tasks.
     """
     base = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     names = base.csv(path).columns
+    # Spark gives blank and repeated header cells names of its own, which no header matches.
+    header = spark.read.option("escape", '"').option("multiLine", multi_line).csv(path).first()
+    same = header is not None and list(header) == names
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())])
     raw = (
         base.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        .option("columnPruning", False).csv(path)
+        .option("columnPruning", False).option("enforceSchema", not same).csv(path)
     )
     # Spark refuses to read the corrupt-record column alone, which a plain count would
     # ask for; the second condition always holds and keeps a real column in the scan.

@@ -1,7 +1,7 @@
 import pytest
 from conftest import rows
 
-from labelmill.functions.parsing import ParsingRules, parse_responses, split_tags, usable_patterns
+from labelmill.functions.parsing import ParsingRules, parse_responses, skipped_patterns, split_tags, usable_patterns
 
 POLAR = ["positive", "negative", "neutral"]
 CASES = [
@@ -65,3 +65,14 @@ def test_split_tags():
 def test_group_counting(spark):
     kept = usable_patterns(ParsingRules(answer_patterns=[r"\(a\)", "[(]b", "(?:c)", "(d)"]))
     assert len(kept) == 1
+
+
+def test_classes_escapes_and_skipped_patterns(spark):
+    rules = lambda *p: ParsingRules(answer_patterns=list(p))
+    good = [r"([*+\d]+)", r"a\++(b)", "([[:digit:]]+)", "([]a]+)", "([^]]+)", "([[&]+)"]
+    assert len(usable_patterns(rules(*good))) == len(good)
+    df = spark.createDataFrame([("n: 42",)], "raw_response string")
+    assert parse_responses(df, rules("([[:digit:]]+)")).first().final_answer == "42"
+    assert parse_responses(df, rules("([[:^alpha:]]+)2")).first().final_answer == ": 4"
+    why = skipped_patterns(rules("(?=a)(b)", "none", "(open", "(?U)(a+)", "(fine)", "(a++)"))
+    assert set(why) == {"(?=a)(b)", "none", "(open", "(?U)(a+)", "(a++)"}

@@ -168,3 +168,12 @@ def test_templates(spark):
     assert render("{obj.b}|{b}|{obj}|{OBJ.B}") == "deep|deep|b: deep, c: 2|deep"
     assert render("no slots") == "no slots" and render("{text}{text}") == "a {n} $1" * 2
     assert templates.field_names(df.schema) == ["F", "missing", "obj", "obj.b", "obj.c", "row_index", "tags", "text"]
+
+
+def test_csv_files_with_another_column_order_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.load_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "b.csv").write_text("x,y\n3,4\n")
+    assert [(r.x, r.y) for r in readers.load_csv(spark, str(tmp_path)).orderBy("row_index").collect()] == [("1", "2"), ("3", "4")]
