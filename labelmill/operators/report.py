@@ -1,4 +1,4 @@
-"""Reports as tables, and one document rendered from the small tables."""
+"""Reports as tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from labelmill.operators import consensus, metrics, run_stats
+from labelmill.operators.sections import all_sections
 
 # Names of the long-format report rows.
 SUMMARY_METRICS = ["accuracy", "balanced_accuracy", "macro_f1", "micro_f1", "weighted_f1", "kappa", "mcc", "success_rate"]
@@ -98,48 +99,37 @@ def confusion_sheet(results: DataFrame) -> DataFrame:
     return metrics.confusion_wide(cells, classes)
 
 
-def report_stats(results: DataFrame) -> dict:
-    """All statistics of a run as plain values: each is a one-row or one-row-per-class table."""
-    one = lambda df: (df.collect() or [None])[0]
-    as_dict = lambda r: r.asDict(True) if r else {}
-    many = lambda df: [r.asDict(True) for r in df.collect()]
-    stats = {
-        "overview": as_dict(one(run_stats.overview(results))),
-        "times": as_dict(one(run_stats.time_stats(results))),
-        "time_buckets": many(run_stats.time_buckets(results)),
-        "throughput": as_dict(one(run_stats.throughput(results))),
-        "summary": as_dict(one(metrics.report_summary(results))),
-        "per_class": many(_class_table(results).orderBy("class")),
-        "classes": many(run_stats.class_distribution(results).orderBy("class")),
-        "errors": many(run_stats.error_distribution(results).orderBy("error_class")),
-        "grade": as_dict(one(run_stats.status_grade(results))),
+def report_tables(results: DataFrame) -> dict[str, tuple[DataFrame, str | None]]:
+    """The small tables of a report by name, each with the column that names its rows."""
+    tables: dict[str, tuple[DataFrame, str | None]] = {
+        "overview": (run_stats.overview(results), None),
+        "times": (run_stats.time_stats(results), None),
+        "time_buckets": (run_stats.time_buckets(results), "bucket"),
+        "throughput": (run_stats.throughput(results), None),
+        "summary": (metrics.report_summary(results), None),
+        "per_class": (_class_table(results).orderBy("class"), "class"),
+        "classes": (run_stats.class_distribution(results).orderBy("class"), "class"),
+        "errors": (run_stats.error_distribution(results).orderBy("error_class"), "error_class"),
+        "grade": (run_stats.status_grade(results), None),
     }
     if "consensus" in results.columns:
-        stats["consensus"] = as_dict(one(consensus.consensus_stats(results)))
-    return stats
-
-
-def render_text(stats: dict) -> str:
-    o, t, s, p = stats["overview"], stats["times"], stats["summary"], stats["throughput"]
-    out = ["CLASSIFICATION ANALYSIS REPORT", "", "OVERVIEW"]
-    out += [f"  Total Items Processed: {o['total']}", f"  Successful: {o['success']}", f"  Failed: {o['failed']}",
-            f"  Success Rate: {o['success_rate']:.2f}%", f"  Total Processing Time: {o['total_time_ms']}ms", "", "PERFORMANCE METRICS",
-            f"  Throughput: {p['per_second']:.2f} items/sec, {p['per_minute']:.1f} items/min, {p['per_hour']:.0f} items/hour"]
-    out += [f"  {k}: {v}" for k, v in t.items()]
-    out += ["", "RESPONSE TIME DISTRIBUTION"] + [f"  {b['bucket']}: {b['items']} items" for b in stats["time_buckets"]]
-    if s["accuracy"] > 0:
-        out += ["", "CLASSIFICATION METRICS"] + [f"  {k}: {v:.4f}" for k, v in s.items()]
-    out += ["", "PER-CLASS ANALYSIS"] + [
-        f"  Class '{r['class']}' (Predicted: {r['support']}): "
-        + ", ".join(f"{c} {r[c] * 100:.2f}%" for c in CLASS_COLUMNS) for r in stats["per_class"]
-    ]
-    out += ["", "CLASS DISTRIBUTION"] + [f"  Class '{r['class']}': {r['items']} items ({r['percentage']:.1f}%)" for r in stats["classes"]]
-    if stats["errors"]:
-        out += ["", "ERROR ANALYSIS"] + [f"  {r['error_class']}: {r['items']} errors ({r['percentage']:.1f}% of failures)" for r in stats["errors"]]
-    if stats.get("consensus"):
-        out += ["", "CONSENSUS ANALYSIS"] + [f"  {k}: {v}" for k, v in stats["consensus"].items()]
-    out += ["", "SUMMARY", f"  Status: {stats['grade']['status']}", f"  Performance: {stats['grade']['performance']}"]
-    return "\n".join(out) + "\n"
+        tables["consensus"] = (consensus.consensus_stats(results), None)
+    return tables
+
+
+def report_rows(results: DataFrame) -> DataFrame:
+    """The whole report as (section, item, metric, value) rows; ``sections.as_text`` makes
+    a document of it."""
+    return all_sections(report_tables(results))
+
+
+def report_stats(results: DataFrame) -> dict:
+    """All statistics of a run as plain values: each is a one-row or one-row-per-class table."""
+    out = {}
+    for name, (df, item) in report_tables(results).items():
+        found = [r.asDict(True) for r in df.collect()]
+        out[name] = found if item else (found or [{}])[0]
+    return out
 
 
 def render_json(stats: dict) -> str:

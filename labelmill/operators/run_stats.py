@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.operators.quantiles import floor_percentiles, linear_percentiles, moments, value_counts
+from labelmill.operators.sections import section_rows
 
 TIME = "response_time_ms"
 
@@ -156,25 +157,9 @@ def compare_runs(first: DataFrame, second: DataFrame) -> DataFrame:
     return out
 
 
-def comparison_text(row: dict) -> str:
-    """The comparison as text, from the single row of ``compare_runs``."""
-    lines = ["COMPARISON REPORT", ""]
-    for i in (1, 2):
-        lines += [
-            f"RUN {i}",
-            f"  Total: {row[f'total_{i}']}",
-            f"  Success: {row[f'success_{i}']} ({row[f'success_rate_{i}']:.2f}%)",
-            f"  Failed: {row[f'failed_{i}']}",
-            f"  Avg Time: {row[f'avg_ms_{i}']:.3f}ms",
-            "",
-        ]
-    lines += [
-        "DIFFERENCE",
-        f"  Total Diff: {row['total_diff']:+d}",
-        f"  Success Rate Diff: {row['success_rate_diff']:+.2f}%",
-        f"  Avg Time Diff: {row['avg_ms_diff']:+.3f}ms",
-    ]
-    return "\n".join(lines) + "\n"
+def comparison_rows(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The comparison as (section, item, metric, value) rows."""
+    return section_rows(compare_runs(first, second), "comparison")
 
 
 def dataset_profile(df: DataFrame, text: str, label: str) -> DataFrame:
@@ -192,12 +177,13 @@ def median_of(df: DataFrame, value: Column) -> DataFrame:
     return linear_percentiles(df, value, {"m": 0.5}).select("m")
 
 
-def label_counts(df: DataFrame, label: str, top: int = 10) -> DataFrame:
-    """The most frequent labels with their share; ties in label order."""
+def label_counts(df: DataFrame, label: str, top: int | None = 10) -> DataFrame:
+    """The ``top`` most frequent labels with their share (None: all); ties in label order."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("items"))
     total = df.agg(F.count("*"))
     share = ratio(F.col("items"), total.scalar()) * 100
-    return counts.orderBy(F.desc("items"), "label").limit(top).select("label", "items", share.alias("percentage"))
+    ranked = counts.orderBy(F.desc("items"), "label")
+    return (ranked if top is None else ranked.limit(top)).select("label", "items", share.alias("percentage"))
 
 
 def most_frequent(df: DataFrame, value: str) -> DataFrame:

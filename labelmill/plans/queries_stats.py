@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelmill.operators import consensus, error_analysis, metrics, run_stats
 from labelmill.functions.parsing import ParsingRules
 from labelmill.plans import views as V
-from labelmill.plans.registry import query, rounded, table
+from labelmill.plans.registry import SQL, query, rounded, table
 
 R = f"WITH r AS ({V.results_sql()})"
 
@@ -92,6 +92,16 @@ def _(spark, d):
     return rounded(run_stats.compare_runs(_agreeing(V.results(spark, d)), _agreeing(V.results(spark, d, 7))))
 
 
+_SIDE = [(f"{k}_{i}", whole) for i in (1, 2) for k, whole in (("total", True), ("success", True), ("failed", True), ("success_rate", False), ("avg_ms", False))]
+_COMPARED = _SIDE + [("total_diff", True), ("success_rate_diff", False), ("avg_ms_diff", False)]
+
+
+@query("a10_comparison_rows", f"WITH c AS MATERIALIZED ({SQL['a9_compare_runs']}) " + " UNION ALL ".join(
+    f"SELECT 'comparison' AS section, '' AS item, '{m}' AS metric, {f'CAST({m} AS VARCHAR)' if whole else f"printf('%.6f', {m})"} AS value FROM c" for m, whole in _COMPARED))
+def _(spark, d):
+    return run_stats.comparison_rows(_agreeing(V.results(spark, d)), _agreeing(V.results(spark, d, 7)))
+
+
 @query("a11_dataset_profile", f"""WITH t AS ({V.TRAINING_SQL}) SELECT count(*) AS rows, count(DISTINCT label) AS labels, round(avg(length(text)), 6) AS mean_length,
  round(CAST(median(length(text)) AS DOUBLE), 6) AS median_length, CAST(min(length(text)) AS BIGINT) AS min_length, CAST(max(length(text)) AS BIGINT) AS max_length FROM t""")
 def _(spark, d):

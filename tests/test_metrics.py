@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill.operators import metrics, run_stats
-from labelmill.operators.report import render_json, render_text, report_stats
+from labelmill.operators.report import render_json, report_rows, report_stats
+from labelmill.operators.sections import as_text
 
 FIELDS = "row_index bigint, final_answer string, ground_truth string, success boolean, error string, response_time_ms bigint"
 
@@ -115,7 +116,7 @@ def test_five_results(spark):
     assert run_stats.throughput(df).first().per_second == pytest.approx(5 / 5.57)
     assert run_stats.status_grade(df).first()["status"] == "ACCEPTABLE"
     stats = report_stats(df)
-    assert "Status: ACCEPTABLE" in render_text(stats) and '"total": 5' in render_json(stats)
+    assert "status = ACCEPTABLE" in as_text(report_rows(df), "run") and '"total": 5' in render_json(stats)
 
 
 def test_percentile_ranks(spark):
@@ -136,7 +137,7 @@ def test_empty_run(spark):
     assert run_stats.overview(df).first().total == 0
     assert run_stats.compare_runs(df, df).first().success_rate_diff == 0
     assert run_stats.time_stats(df).first().avg_ms == 0
-    assert "+0" in run_stats.comparison_text(run_stats.compare_runs(df, df).first().asDict())
+    assert {r.metric: r.value for r in run_stats.comparison_rows(df, df).collect()}["total_diff"] == "0"
 
 
 def test_eval_padding(spark):
@@ -160,9 +161,9 @@ def test_error_analysis_outputs(spark, tmp_path):
     assert (summary["total_samples"], summary["valid_samples"], summary["missing_samples"], summary["failed_predictions"], summary["total_errors"]) == (6, 4, 1, 1, 3)
     times = E.response_time_stats(df).first().asDict()
     assert times["median"] == 10 and times["std"] == pytest.approx(math.sqrt(437.2 / 4))
-    per = [r.asDict() for r in metrics.analysis_per_class(metrics.confusion_counts(metrics.analysis_pairs(df))).collect()]
-    text = E.analysis_report(summary, per, [r.asDict() for r in E.error_patterns(c).collect()], times, "run", E.model_name({"model": {"name": "m"}}, None))
-    assert "Model: m" in text and "2_to_1: 1 cases" in text and "Median: 10.0ms" in text
+    found = {(r.section, r.item, r.metric): r.value for r in E.analysis_rows(df, c).collect()}
+    assert found["error_type", "2_to_1", "items"] == "1" and found["response_time", "", "median"] == "10.000000"
+    assert found["summary", "", "total_errors"] == "3" and ("class", "2", "f1_score") in found
     assert E.model_name(None, {"models": {"model_name": "s"}}) == "s" and E.model_name(None, None) == "Unknown"
     write_report_csv(df, str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r" / "summary")).count() == 12
