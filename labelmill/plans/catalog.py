@@ -58,10 +58,9 @@ _STREAM_REPLY = f"""SELECT doc_id AS index, text AS input_text, CAST('0x' || sub
 @query("t1_stream_labelling", _STREAM_REPLY)
 def _(spark, d):
     """Documents arrive as a file stream, are labelled, and their results streamed out."""
-    source, out, checkpoint = (scratch_path(spark, x) for x in ("label-in", "label-out", "label-cp"))
+    out, checkpoint = (scratch_path(spark, x) for x in ("label-out", "label-cp"))
     docs = table(spark, d, "documents").withColumn("row_index", F.col("doc_id"))
-    docs.repartition(3).write.parquet(source)
-    stream = streams.read_stream(spark, source, docs.schema, files_per_batch=1)
+    stream = queries_io.as_stream(spark, docs, "label-in")
     streams.stream_results(label_stream(stream, JOB, HashResponder()), out, checkpoint, "parquet").awaitTermination()
     return spark.read.parquet(out).select("index", "input_text", "inference_success", "final_answer", "thinking_content")
 

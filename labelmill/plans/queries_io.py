@@ -21,16 +21,31 @@ from labelmill.streaming import streams
 
 # ---- sources ------------------------------------------------------------------------
 
-def _json_arrays(df: DataFrame, key: str, path: str, wrap: tuple[str, str] = ("", ""), rows_per_file: int = 500) -> str:
-    """JSON array files of consecutive rows; an array never holds more than its file's rows."""
-    files = F.format_string("%09d", F.floor(F.col(key) / rows_per_file))
-    item = F.sort_array(F.collect_list(F.struct(F.col(key), F.to_json(F.struct(*df.columns)).alias("j"))))
-    arrays = df.groupBy(files.alias("file")).agg(item.alias("items"))
-    body = F.array_join(F.transform("items", lambda x: x["j"]), ",\n")
+def _in_order(df: DataFrame, key: str, least: int = 3) -> DataFrame:
+    """Rows in key order over files: as many as the input has partitions, and at least a few
+    so that small tables too are read from several."""
+    n = max(least, df.rdd.getNumPartitions())
+    return df.repartitionByRange(n, key).sortWithinPartitions(key)
+
+
+def _json_arrays(df: DataFrame, key: str, path: str, wrap: tuple[str, str] = ("", "")) -> str:
+    """A JSON array file per partition, written line by line: nothing is gathered."""
     head, tail = wrap
-    out = arrays.select("file", F.concat(F.lit(head + "["), body, F.lit("]" + tail)).alias("value"))
-    out.repartition("file").write.partitionBy("file").text(path)
-    return f"{path}/*/*.txt"
+
+    def array(batches):
+        open_with = head + "["
+        for pdf in batches:
+            lines = []
+            for line in pdf["line"]:
+                lines.append(open_with + line)
+                open_with = ","
+            yield pd.DataFrame({"value": lines}, dtype=object)
+        if open_with == ",":
+            yield pd.DataFrame({"value": ["]" + tail]})
+
+    lines = _in_order(df, key).select(F.to_json(F.struct(*df.columns)).alias("line"))
+    lines.mapInPandas(array, "value string").write.text(path)
+    return path
 
 
 _CSV_DOCS = "SELECT doc_id AS row_index, CAST(doc_id AS VARCHAR) AS doc_id, text, lang, CAST(n_chars AS VARCHAR) AS n_chars FROM documents"
@@ -38,7 +53,8 @@ _CSV_DOCS = "SELECT doc_id AS row_index, CAST(doc_id AS VARCHAR) AS doc_id, text
 
 def _csv_docs(spark, d):
     path = scratch_path(spark, "docs-csv")
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs = _in_order(docs, "doc_id")
     writer = docs.write.option("header", True).option("escape", '"').option("quoteAll", True)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
@@ -56,7 +72,7 @@ def _(spark, d):
     kind, i, u = F.col("event_type"), F.col("event_id").cast("string"), F.col("user_id").cast("string")
     line = F.when(kind == "error", F.concat_ws(",", i, kind)).when(kind == "view", F.concat_ws(",", i, kind, u, u)).otherwise(F.concat_ws(",", i, kind, u))
     path = scratch_path(spark, "broken-csv")
-    parts = table(spark, d, "events").repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+    parts = _in_order(table(spark, d, "events"), "event_id")
     # The row before which each file's header goes is the first of its partition.
     lines = parts.select("event_id", line.alias("line")).mapInPandas(_with_header, "value string")
     lines.write.text(path)
@@ -80,7 +96,7 @@ def _(spark, d):
 @query("s2_load_json_lines", "SELECT event_id AS row_index, event_id, event_type, value FROM events")
 def _(spark, d):
     path = scratch_path(spark, "events-jsonl")
-    table(spark, d, "events").select("event_id", "event_type", "value").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").write.json(path)
+    _in_order(table(spark, d, "events").select("event_id", "event_type", "value"), "event_id").write.json(path)
     return readers.load_json(spark, path, lines=True)
 
 
@@ -96,7 +112,7 @@ def _(spark, d):
         F.col("row_index").alias("index"), "input_text", "ground_truth", "final_answer", F.col("success").alias("inference_success"),
         "error", (F.col("response_time_ms") * 1000000).alias("response_time"),
     )
-    path = _json_arrays(old, "index", scratch_path(spark, "old-run"), ('{"results": ', ', "summary": {"total": 1}}'), 5000)
+    path = _json_arrays(old, "index", scratch_path(spark, "old-run"), ('{"results": ', ', "summary": {"total": 1}}'))
     out = saved.load_results(spark, path, time_unit="ns")
     return out.select("row_index", "input_text", "ground_truth", "final_answer", "success", "error", "response_time_ms")
 
@@ -134,7 +150,7 @@ for _kind in _TEXT_SQL:
 @query("s8_row_index", "SELECT doc_id, doc_id AS row_index FROM documents")
 def _(spark, d):
     path = scratch_path(spark, "docs-parts")
-    table(spark, d, "documents").select("doc_id", "text").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    _in_order(table(spark, d, "documents").select("doc_id", "text"), "doc_id").write.parquet(path)
     return readers.load_parquet(spark, path).select("doc_id", "row_index")
 
 
@@ -333,15 +349,15 @@ def _(spark, d):
 
 # ---- streams ------------------------------------------------------------------------
 
-def _split(spark, df, label, files=3):
-    path = scratch_path(spark, label)
-    df.repartition(files).write.parquet(path)
-    return path
+def as_stream(spark, df, label, batches=3):
+    """The table as a file stream of about ``batches`` micro-batches, whatever its size."""
+    path, parts = scratch_path(spark, label), df.rdd.getNumPartitions()
+    (df if parts >= batches else df.repartition(batches)).write.parquet(path)
+    return streams.read_stream(spark, path, df.schema, files_per_batch=-(-max(parts, batches) // batches))
 
 
 def _result_stream(spark, d, label):
-    r = V.results(spark, d)
-    return streams.read_stream(spark, _split(spark, r, label), r.schema, files_per_batch=1)
+    return as_stream(spark, V.results(spark, d), label)
 
 
 @query("t1_stream_results_parquet", f"""{R} SELECT row_index AS index, input_text, ground_truth, final_answer, success AS inference_success, response_time_ms AS response_time, thinking_content, raw_response,
@@ -394,7 +410,7 @@ def _(spark, d):
 @query("t5_stream_consensus", f"{VOTES} SELECT row_index, final_answer, count, total, round(ratio, 6) AS ratio FROM v")
 def _(spark, d):
     a = V.attempts(spark, d)
-    source = streams.read_stream(spark, _split(spark, a, "votes-in"), a.schema, files_per_batch=1)
+    source = as_stream(spark, a, "votes-in")
     out = scratch_path(spark, "votes-out")
     streams.write_once(streams.stream_consensus(source, 5), out, scratch_path(spark, "votes-cp")).awaitTermination()
     return rounded(spark.read.parquet(out))
