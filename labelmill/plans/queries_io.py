@@ -414,3 +414,14 @@ def _(spark, d):
     out = scratch_path(spark, "votes-out")
     streams.write_once(streams.stream_consensus(source, 5), out, scratch_path(spark, "votes-cp")).awaitTermination()
     return rounded(spark.read.parquet(out))
+
+
+@query("t5_stream_consensus_gaps", f"{VOTES} SELECT row_index, final_answer, count, total, round(ratio, 6) AS ratio FROM v")
+def _(spark, d):
+    """Failed attempts never arrive and first ones arrive twice; the rest is voted at the end."""
+    a = V.attempts(spark, d).filter("success")
+    a = a.unionByName(a.filter("attempt_no = 1"))
+    out = scratch_path(spark, "gaps-out")
+    streams.write_once(streams.stream_consensus(as_stream(spark, a, "gaps-in"), 5), out, scratch_path(spark, "gaps-cp")).awaitTermination()
+    voted = spark.read.parquet(out)
+    return rounded(voted.unionByName(streams.votes_at_end(a, voted)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from labelmill.operators import metrics
+from labelmill.operators import consensus, metrics
 from labelmill.schema import RESULT_COLUMNS
 from labelmill.sinks.writers import csv_projection
 
@@ -150,5 +150,15 @@ def stream_consensus(attempts: DataFrame, repeat: int, key: str = "row_index", b
     )
 
 
+def votes_at_end(attempts: DataFrame, voted: DataFrame) -> DataFrame:
+    """Votes of the rows that a finished stream left without one, from what has come.
+
+    ``attempts`` is the table that the stream read, ``voted`` what it wrote. An attempt
+    delivered twice counts once; rows without a successful attempt get no vote.
+    """
+    left = attempts.join(voted.select("row_index"), "row_index", "left_anti").dropDuplicates(["row_index", "attempt_no"])
+    return consensus.consensus(left).select(*voted.columns)
+
+
 def write_once(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

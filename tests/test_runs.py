@@ -60,6 +60,13 @@ def table(spark, n=60):
     )
 
 
+def test_replies_depend_on_the_prompt(spark):
+    rows, other = table(spark), job()
+    other.user = "Weigh {text} of {kind}"
+    one, two = ([tuple(r) for r in label_table(rows, j, HashResponder()).select("row_index", "final_answer").orderBy("row_index").collect()] for j in (job(), other))
+    assert one != two
+
+
 def test_run_and_resume_in_two_halves(spark):
     rows = table(spark)
     cols = ["row_index", "final_answer", "success", "error", "ground_truth", "thinking_content", "response_time_ms"]
