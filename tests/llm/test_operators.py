@@ -187,6 +187,39 @@ def test_vectors_block_counts_of_a_large_group(spark, monkeypatch):
     assert (got.n_links == 299).all() and (got.component_id == 0).all() and got.kept.sum() == 1
 
 
+def dense_label(n, pairs, shared):
+    """Vectors with mutual cosine ``shared``, the last ``pairs`` of them each with a partner
+    at cosine 0.985: (rows, links)."""
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    v = unit(np.sqrt(shared) * unit(rng.standard_normal(64)) + np.sqrt(1 - shared) * unit(rng.standard_normal((n, 64))))
+    away = rng.standard_normal((pairs, 64))
+    away = unit(away - (away * v[-pairs:]).sum(1, keepdims=True) * v[-pairs:])
+    v = np.concatenate((v, 0.985 * v[-pairs:] + np.sqrt(1 - 0.985**2) * away))
+    return [(i, x.tolist(), 1) for i, x in enumerate(v)], (v @ v.T >= 0.98) & ~np.eye(len(v), dtype=bool)
+
+
+@pytest.mark.parametrize("run", [2048, 64])
+def test_vectors_of_a_dense_label(spark, monkeypatch, run):
+    monkeypatch.setattr(vectors, "RUN", run)
+    rows, links = dense_label(3000, 150, 0.95 if run == 2048 else 0.8)
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id").sort_index()
+    assert links.sum() >= 300
+    missed = int((links.sum(1) != got.n_links).sum())
+    assert missed == 0 if run == 2048 else missed <= 2
+    assert (got.kept == (got.component_id == got.index)).all()
+
+
+def test_passes_follow_from_measured_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "RUN", 64)
+    passes = {}
+    for shared in (0.0, 0.8):
+        rows, _ = dense_label(3000, 1, shared)
+        one = spark.createDataFrame(rows, "cls long, embedding array<double>, grp long").selectExpr("*", "64 as dim")
+        passes[shared] = vectors.group_passes(one, vectors._group_means(one), vectors.WINDOW, vectors.THRESHOLD)[1]
+    assert vectors.LEAST_PASSES <= passes[0.0] < passes[0.8] < 3000 / 64
+
+
 def test_language(spark):
     de, en = "der die und nicht werden schon über straße müssen haben", "the and with nothing shall often street through having"
     rows = [(i, " ".join(np.random.default_rng(i).permutation((de if i % 2 else en).split())) * 3, "de" if i % 2 else "en") for i in range(60)]
