@@ -6,7 +6,7 @@ densities of its children, and the node with the largest sum holds the article.
 density on the path from there to the body is the threshold by which the neighbours of the
 path (a title or a paragraph beside the text's container) are taken along. Menus, notices,
 adverts, forms, comments and the like are taken out of the tree first, by element, role
-and class, whatever their density.
+and class, whatever their density; of a form around most of the page only the controls.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from labelmill.llm.steps import bounded_batches
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 DROP = frozenset("script style title head noscript template iframe object embed svg canvas math audio video map nav header footer aside form button select textarea input label fieldset dialog menu".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section "
@@ -68,6 +69,8 @@ def parse(page: str) -> Node:
             here = lt + 1
             continue
         if lt > here:
+            if at.tag == "head" and page[here:lt].strip():
+                at = at.parent
             at.children.append(page[here:lt])
         here = m.end()
         if m[1] is not None:
@@ -86,6 +89,8 @@ def parse(page: str) -> Node:
             continue
         if name == "html":
             continue
+        if at.tag == "head" and name not in HEAD:  # its end tag may be left out
+            at = at.parent
         if name in CLOSES_P:
             node = at
             while node is not None and node.tag != "p" and node.tag not in SCOPES:
@@ -120,6 +125,8 @@ def parse(page: str) -> Node:
             continue
         at = node
     if here < len(page):
+        if at.tag == "head":
+            at = at.parent
         at.children.append(page[here:])
     return root
 
@@ -146,8 +153,9 @@ def _not_text(node: Node, inside: bool) -> bool:
 
 
 def prune(root: Node) -> None:
-    """Take out everything that is no article text by its kind."""
-    work = [(root, False)]
+    """Take out everything that is no article text by its kind. A form that holds most of
+    the body's text is a frame around the page: only its controls and labels go."""
+    work, forms = [(root, False)], []
     while work:
         node, inside = work.pop()
         inside = inside or node.tag in ("article", "main")
@@ -155,10 +163,19 @@ def prune(root: Node) -> None:
         for child in node.children:
             if isinstance(child, str):
                 kept.append(child)
-            elif not _not_text(child, inside):
+            elif child.tag == "form" or not _not_text(child, inside):
                 kept.append(child)
                 work.append((child, inside))
+                if child.tag == "form":
+                    forms.append(child)
         node.children = kept
+    if forms:
+        order = _measure(root)
+        body = next((n for n in order if n.tag == "body"), root)
+        whole = body.chars or root.chars
+        for form in forms:
+            if form.chars * 2 <= whole:
+                form.parent.children = [c for c in form.parent.children if c is not form]
 
 
 def _measure(root: Node) -> list[Node]:

@@ -273,6 +273,18 @@ def test_html(spark):
     assert by[2] == by[3] == by[7] == "" and by[4] == "plain < text" and by[5] == ("word " * 200_000).strip() and by[8] == "deep"
 
 
+def test_html_open_head_and_form_around_the_page():
+    text = "<div><p>" + "some words of text " * 9 + "</p><p>More of it.</p></div>"
+    want = ("some words of text " * 9).strip() + "\nMore of it."
+    for head in ("<head><title>t</title>", "<head><meta charset=x><style>a</style>", "<head><title>t</title></head>"):
+        assert html_text.main_text(f"<html>{head}<body>{text}</body></html>") == want
+        assert html_text.main_text(f"<html>{head}{text}</html>") == want
+        framed = f"<body><form id=aspnet><label>Find</label><input><select><option>o</select>{text}<button>Go</button></form></body>"
+        assert html_text.main_text(f"<html>{head}{framed}</html>") == want
+    assert html_text.main_text("<head><title>t</title>plain") == "plain"
+    assert html_text.main_text(f"<body>{text}<form><p>Send us a line</p><input></form></body>") == want
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/", PAGE), (2, None, None), (3, "http://é/", ""), (3, "http://é/", "")], "page_id long, url string, html string")
     resp = warc.responses(pages)
