@@ -37,6 +37,11 @@ NOT_TEXT = frozenset(
     "navigation newsletter notice notification notifications overlay pager pagination popup promo promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar widget widgets".split()
 )
+#: Names that an article's own parts have too.
+AMBIGUOUS = frozenset(
+    "banner comment comments discussion menu navigation notice notification notifications promotion recommended related replies respond share sharing skip social sponsor sponsored subscription".split()
+)
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|(/?)([A-Za-z][^\s/>]*)([^>]*)>)", re.S)
@@ -131,9 +136,23 @@ def parse(page: str) -> Node:
     return root
 
 
+def _mostly_links(node: Node) -> bool:
+    chars, linked, work = 0, 0, [(node, node.tag == "a")]
+    while work:
+        item, link = work.pop()
+        for c in item.children:
+            if isinstance(c, str):
+                n = len(_SPACE.sub("", c))
+                chars, linked = chars + n, linked + n * link
+            else:
+                work.append((c, link or c.tag == "a"))
+    return linked * 2 > chars
+
+
 def _not_text(node: Node, inside: bool) -> bool:
     """Whether an element is outside of an article by its kind. ``inside`` an article or
-    main element a header is the article's own."""
+    main element a header is the article's own, ids of headings and sections are anchors,
+    and ambiguous names count only for elements that are mostly links."""
     if node.tag in DROP:
         return not (node.tag == "header" and inside)
     if not node.attrs or node.tag in ("body", "html", "main", "article"):
@@ -147,7 +166,10 @@ def _not_text(node: Node, inside: bool) -> bool:
         if key in ("class", "id"):
             for name in value.split():
                 parts = _SPLIT.split(name)
-                if parts[0] not in ("has", "with", "no", "is", "not") and (NOT_TEXT.intersection(parts) or name in ("header", "site-header", "page-header") and not inside):
+                found = NOT_TEXT.intersection(parts)
+                if inside and (key == "id" and node.tag in TITLED or found <= AMBIGUOUS and not _mostly_links(node)):
+                    continue
+                if parts[0] not in ("has", "with", "no", "is", "not") and (found or name in ("header", "site-header", "page-header") and not inside):
                     return True
     return False
 

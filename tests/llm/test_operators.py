@@ -285,6 +285,14 @@ def test_html_open_head_and_form_around_the_page():
     assert html_text.main_text(f"<body>{text}<form><p>Send us a line</p><input></form></body>") == want
 
 
+@pytest.mark.parametrize("frame", ["article", "main"])
+def test_html_keeps_parts_of_the_article_with_ambiguous_names(frame):
+    parts = ['<section id="discussion"><p>a one</p></section>', '<h2 id="related-work">b two</h2>', '<h2 id="comments-on-the-method">c three</h2>', '<div class="social-history"><p>d four</p></div>', '<section id="navigation"><p>e <a>5</a> five</p></section>']
+    extra = '<div class="share"><a>Post</a></div><div class="related-posts"><a>Other</a> <a>More</a></div><div class="ad">Buy</div><div class="newsletter-signup">Join</div>'
+    page = f"<body><{frame}><p>Start of it.</p>{''.join(parts)}{extra}</{frame}></body>"
+    assert html_text.main_text(page) == "Start of it.\na one\nb two\nc three\nd four\ne 5 five"
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/", PAGE), (2, None, None), (3, "http://é/", ""), (3, "http://é/", "")], "page_id long, url string, html string")
     resp = warc.responses(pages)
