@@ -2,9 +2,10 @@
 
 A page becomes a tree of elements. The density of a node is its characters per tag, adjusted
 for links: text inside links counts against it. Each node's density sum adds up the
-densities of its children, and the node with the largest sum holds the article. The least
-density on the path from there to the body is the threshold by which the neighbours of the
-path (a title or a paragraph beside the text's container) are taken along. Menus, notices,
+densities of its children, and the node with the largest sum holds the article. What stands
+beside the path from there to the body (a title, a closing paragraph, bare text) is taken
+along unless it is mostly links: density grows with length and says little about a short
+block. Menus, notices,
 adverts, forms, comments and the like are taken out of the tree first, by element, role
 and class, whatever their density; of a form around most of the page only the controls.
 """
@@ -234,14 +235,14 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def main_node(root: Node) -> tuple[list[Node], float]:
-    """(nodes of the main text in page order, threshold)."""
+def main_nodes(root: Node) -> list[Node | str]:
+    """Nodes and bare texts of the main text in page order."""
     order = _measure(root)
     body = next((n for n in order if n.tag == "body"), root)
     if not body.chars and root.chars:
         body = root
     if not body.chars:
-        return [], 0.0
+        return []
     best = max((n for n in order if n.chars), key=lambda n: n.total)
     path, node = [], best
     while node is not None:
@@ -249,23 +250,42 @@ def main_node(root: Node) -> tuple[list[Node], float]:
         if node is body:
             break
         node = node.parent
-    threshold = min(n.density for n in path)
     framed = [n for n in path if n.tag in ("article", "main")]
     if framed:
-        return [framed[-1]], threshold
+        return [framed[-1]]
     articles = [n for n in order if n.tag in ("article", "main") and n.chars * 2 > body.chars]
     if articles:
-        return [articles[0]], threshold
-    taken: list[Node] = [best]
+        return [articles[0]]
+    taken: list[Node | str] = [best]
     for child, parent in zip(path, path[1:]):
-        siblings = [c for c in parent.children if not isinstance(c, str)]
-        where = next(i for i, c in enumerate(siblings) if c is child)
-        fits = lambda c: c.chars and c.link_chars * 2 <= c.chars and (c.density >= threshold or c.tag in ("h1", "h2", "h3"))
-        taken = [c for c in siblings[:where] if fits(c)] + taken + [c for c in siblings[where + 1 :] if fits(c)]
-    return taken, threshold
+        where = next(i for i, c in enumerate(parent.children) if c is child)
+        taken = _beside(parent.children[:where]) + taken + _beside(parent.children[where + 1 :])
+    return taken
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def _beside(items: list[Node | str]) -> list[Node | str]:
+    """Neighbours of the path that are not mostly links: blocks, and lines of bare text
+    with the inline elements among it."""
+    out, line = [], []
+
+    def flush():
+        parts = [(c.chars, c.link_chars) if isinstance(c, Node) else (len(_SPACE.sub("", c)), 0) for c in line]
+        if sum(p[1] for p in parts) * 2 <= sum(p[0] for p in parts):
+            out.extend(line)
+        line.clear()
+
+    for c in items:
+        if isinstance(c, str) or c.tag not in BLOCK and not any(isinstance(x, Node) and x.tag in BLOCK for x in c.children):
+            line.append(c)
+            continue
+        flush()
+        if c.tag in ("br", "hr") or c.chars and c.link_chars * 2 <= c.chars:
+            out.append(c)
+    flush()
+    return out
+
+
+def blocks(nodes: list[Node | str]) -> list[str]:
     """Text of each block below the nodes, references decoded, white space as one space."""
     out, line = [], []
 
@@ -288,7 +308,7 @@ def blocks(nodes: list[Node]) -> list[str]:
                 continue
             work.append((item, True))
             work.extend((c, False) for c in reversed(item.children))
-        flush()
+    flush()
     return out
 
 
@@ -298,7 +318,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     prune(root)
-    return "\n".join(blocks(main_node(root)[0]))
+    return "\n".join(blocks(main_nodes(root)))
 
 
 def _texts(column: pd.Series) -> pd.Series:

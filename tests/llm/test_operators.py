@@ -293,6 +293,15 @@ def test_html_keeps_parts_of_the_article_with_ambiguous_names(frame):
     assert html_text.main_text(page) == "Start of it.\na one\nb two\nc three\nd four\ne 5 five"
 
 
+@pytest.mark.parametrize("n, size", [(6, 500), (4, 300)])
+def test_html_keeps_text_beside_the_densest_container(n, size):
+    body = "".join(f"<p>{'w' * size}</p>" for _ in range(n))
+    for last in (f"<div><p>{'e' * (size - 50)}</p></div>", "<ul><li>e</li><li>f <a>g</a> more</li></ul>", "bare <b>e</b> text and <a>one</a>"):
+        got = html_text.main_text(f"<body><p>Start.</p><div>{body}</div>{last}<ul><li><a>Home</a></li><li><a>Up</a></li></ul><a>Top</a></body>").split("\n")
+        want = [re.sub("<[^>]*>", "", x) for x in re.split("</li><li>", last)]
+        assert got == ["Start.", *["w" * size] * n, *want], last
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/", PAGE), (2, None, None), (3, "http://é/", ""), (3, "http://é/", "")], "page_id long, url string, html string")
     resp = warc.responses(pages)
