@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from labelmill.llm import contamination, language, ngram_join, packing, substring
 from labelmill.llm.steps import saved
 
+#: Letters below which the absence of known n-grams says nothing.
+SHORT = 40
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -21,9 +23,13 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null or blank texts and texts without letters."""
+    """Drop documents without a language: null or blank texts, texts without letters, and
+    texts of SHORT letters or more without evidence for any learned language. Where no
+    n-gram was learned (no labels, or too few), all texts with letters stay."""
     filters = language.learn(docs.filter(~language.held_out()))
-    return language.identify(docs, filters).filter(F.col("lang_pred") != language.UNKNOWN).select(*_columns(docs))
+    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
+    unjudged = (letters > 0) & (letters < (SHORT if filters.cells.any() else 1 << 31))
+    return language.identify(docs, filters).filter((F.col("lang_pred") != language.UNKNOWN) | unjudged).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ MAX_LANGUAGES = 64
 LEAST_USES, LEAST_SHARE = 3, 0.15
 #: Cells per n-gram of the filter; its size follows what the bounded sample holds.
 CELLS_PER_GRAM = 8
+#: Standard deviations of the false positives that an n-gram count must exceed.
+NOISE = 3.0
 #: Characters of whole texts that are worked on at once.
 CHARS = 1 << 18
 _LETTERS: list[np.ndarray] = []
@@ -116,22 +118,25 @@ class Filters:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text: the winner's part of the corrected counts of the
-        two best. Text without letters is unknown with score 0."""
+        two best. Text without letters is unknown with score 0, and so is text of which no
+        language holds more n-grams than the filter's false positives explain."""
         names, scores = [], []
         for part in _parts(texts):
             h, doc, count = text_grams(part)
             total = np.bincount(doc, minlength=len(part)).astype(float)
             mask = self.languages_of(h)
             hits = np.empty((len(self.languages), len(part)))
+            known = np.zeros(len(part), bool)
             for i, fp in enumerate(self.false_positive):
                 got = np.bincount(doc, ((mask >> mask.dtype.type(i)) & mask.dtype.type(1)).astype(float), minlength=len(part))
                 hits[i] = np.maximum(0, (got - total * fp) / (1 - fp))
+                known |= got - total * fp > NOISE * np.sqrt(total * fp * (1 - fp))
             best = hits.argmax(0)
             top = np.sort(hits, 0)[::-1]
             both = top[0] + (top[1] if len(top) > 1 else 0)
             score = np.where(both > 0, top[0] / np.maximum(both, 1e-9), 0.0)
-            names += [self.languages[b] if c else UNKNOWN for b, c in zip(best, count)]
-            scores.append(np.where(count > 0, score, 0.0))
+            names += [self.languages[b] if k else UNKNOWN for b, k in zip(best, known & (count > 0))]
+            scores.append(np.where(known & (count > 0), score, 0.0))
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
@@ -180,8 +185,8 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filte
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score (replacing columns of these names).
 
-    Reads text only. Null text and text without a letter get "und" and score 0; without any
-    learned language every text does.
+    Reads text only. Null text, text without a letter and text without evidence for any
+    language get "und" and score 0; without any learned language every text does.
     """
     docs = bounded_batches(docs.drop("lang_pred", "score"))
     known = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the learning sample

@@ -20,6 +20,22 @@ def test_stages_keep_clean_documents(spark):
     assert set(packed.doc_id) == set(out.index) and isinstance(packed, pd.DataFrame)
 
 
+def test_language_stage_decides_on_evidence(spark):
+    de, en = "der die und nicht werden schon über straße müssen haben ", "the and with nothing shall often street through having "
+    rows = [(i, (de if i % 2 else en) * 3, "de" if i % 2 else "en") for i in range(40)]
+    rows += [(100, "qxz jqk vvw zzx " * 12, None), (101, "Qxj", None), (102, "12 34", None), (103, None, None), (104, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in P.language_id(spark, docs, SF).collect()} == {*range(40), 101}
+    bare = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert {r.doc_id for r in P.language_id(spark, bare, SF).collect()} == {*range(40), 100, 101}
+
+
+def test_language_stage_keeps_texts_without_a_learned_language(spark):
+    rows = [(None, "some words here", "en"), (3, "12 34", "en"), (4, "some words here", "en"), (1, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in P.language_id(spark, docs, SF).collect()} == {None, 4}
+
+
 def test_stages_on_nulls(spark):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "some words here", "en", "s", 15), (3, "12 34", "en", "s", 5), (4, "some words here", "en", "s", 15)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
