@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.llm import contamination, html_text, language, ngram_join, packing, quality, sharding, substring, vectors, warc
+from labelmill.llm import contamination, cover_tree, html_text, language, ngram_join, packing, quality, sharding, substring, vectors, warc
 from labelmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -98,3 +98,14 @@ def _(spark, d):
  SELECT d AS vec_id, CAST((SELECT count(*) FROM l WHERE a = d) AS BIGINT) AS n_links, min(root) AS component_id, d = min(root) AS kept FROM r GROUP BY d""")
 def _(spark, d):
     return vectors.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query("op11_cover_tree", """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter([x IS NULL OR NOT isfinite(x) for x in embedding], lambda b: b)) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""")
+def _(spark, d):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.mine(table(spark, d, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
