@@ -67,7 +67,7 @@ def test_nulls_lengths_repeats_and_large_numbers(spark, monkeypatch):
     rows += [(70, 1, []), (71, 1, []), (72, 2, []), (80, 1, [1.0, 2.0]), (81, 1, [2.0, 2.0]), (82, 0, [1.0, 1.0])]
     rows += [(90, 0, [0.0] * 4), (91, 0, [0.0] * 4), (92, 1, [0.0] * 4)]
     assert same(spark, rows)
-    big = [(i, i % 2, [1e7 + 2e6 * i, 9e6 - 1e5 * i]) for i in range(40)]
+    big = [(i, i % 2, [1e6 + 2e5 * i, 9e5 - 1e4 * i]) for i in range(40)]
     assert same(spark, big)
 
 
