@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.llm import contamination, cover_tree, html_text, language, ngram_join, packing, quality, sharding, substring, vectors, warc
+from labelmill.llm import best_position, contamination, cover_tree, html_text, language, ngram_join, packing, quality, sharding, substring, vectors, warc
 from labelmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -109,3 +109,15 @@ def _(spark, d):
 def _(spark, d):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return cover_tree.mine(table(spark, d, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_best_position", rf"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+ c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM w WHERE len(w) > 0),
+ m AS (SELECT doc_id, 100 - 90 + ((90 * CAST(len(w) AS BIGINT) * n_docs) // n_terms) AS m FROM w, c WHERE len(w) > 0),
+ p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM w) WHERE t IN (SELECT t FROM i) GROUP BY doc_id, t),
+ f AS (SELECT t, CAST(floor(1000 * ln((2.0 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, c GROUP BY t, n_docs),
+ s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN p USING (t) JOIN f USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""")
+def _(spark, d):
+    return best_position.rank(table(spark, d, "documents"), table(spark, d, "benchmark"))
