@@ -145,24 +145,44 @@ class Tree:
 
 
 class Searches:
-    """Searches with their k best rows so far, as (score, ord, u) in order."""
+    """Searches of anchors, each with windows of scores and the k best rows of every window.
+
+    ``low`` and ``high`` have a row per search and a column per window; a window with low
+    above high is none. Results are (score, ord, row), in order, by search * windows + window.
+    """
 
     def __init__(self, q: np.ndarray, u: np.ndarray, lab: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool):
         self.q, self.u, self.lab, self.low, self.high, self.k, self.same = q, u, lab, low, high, k, same
         self.x, self.qq = q.astype(np.float64), np.einsum("ij,ij->i", q.astype(np.float64), q.astype(np.float64))
-        self.who = self.score = self.ord = self.row = np.zeros(0, np.int64)
-        self.kth = np.full(len(q), -np.inf)
-
-    def add(self, who: np.ndarray, score: np.ndarray, order: np.ndarray, row: np.ndarray) -> None:
-        who, score = np.concatenate((self.who, who)), np.concatenate((self.score, score))
-        order, row = np.concatenate((self.ord, order)), np.concatenate((self.row, row))
+        self.count = np.zeros(low.size, np.int64)
+        self.score, self.ord, self.row = (np.zeros((low.size, k), np.int64) for _ in range(3))
+        self.kth = np.where(low > high, np.inf, -np.inf)
+        self.least = self.kth.min(axis=1)  # what a search still has to reach
+
+    def add(self, who: np.ndarray, window: int, score: np.ndarray, order: np.ndarray, row: np.ndarray) -> None:
+        """Rows of searches for one window; those below the window's k-th are left out."""
+        keep = (score >= self.low[who, window]) & (score <= self.high[who, window]) & (score >= self.kth[who, window])
+        if not keep.any():
+            return
+        asked, who = np.unique(who[keep], return_inverse=True)
+        slot = asked * self.low.shape[1] + window
+        old, at = np.nonzero(np.arange(self.k) < self.count[slot, None])
+        who = np.concatenate((old, who))
+        score, order, row = (np.concatenate((mine[slot[old], at], new[keep])) for mine, new in ((self.score, score), (self.ord, order), (self.row, row)))
         by = np.lexsort((row, order, -score, who))
-        who, score, order, row = who[by], score[by], order[by], row[by]
-        rank = np.arange(len(who)) - np.searchsorted(who, who)
-        keep = rank < self.k
-        self.who, self.score, self.ord, self.row = who[keep], score[keep], order[keep], row[keep]
-        last = rank == self.k - 1
-        self.kth[who[last]] = score[last]
+        rank = np.arange(len(by)) - np.searchsorted(who[by], who[by])
+        by, rank = by[rank < self.k], rank[rank < self.k]
+        to = slot[who[by]], rank
+        self.score[to], self.ord[to], self.row[to] = score[by], order[by], row[by]
+        self.count[slot] = np.bincount(who[by], minlength=len(slot))
+        full = rank == self.k - 1
+        self.kth[asked[who[by[full]]], window] = score[by[full]]
+        self.least[asked] = self.kth[asked].min(axis=1)
+
+    def results(self) -> tuple[np.ndarray, ...]:
+        """(search, window, score, ord, row) of all rows found."""
+        slot, at = np.nonzero(np.arange(self.k) < self.count[:, None])
+        return slot // self.low.shape[1], slot % self.low.shape[1], self.score[slot, at], self.ord[slot, at], self.row[slot, at]
 
 
 def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,61 +199,68 @@ def search(tree: Tree, s: Searches, part: slice) -> None:
     slack = 1e-9 * total + 1e-6
 
     def enter(i: np.ndarray, node: np.ndarray) -> None:
-        """Open nodes of searches, with the highest score that the window leaves them."""
+        """Open nodes of searches, with the highest score that the windows leave them."""
         of = ids[i]
         far = np.sqrt(np.maximum(total[of] - 2 * np.einsum("ij,ij->i", s.x[of], tree.x[tree.centre[node]]), 0.0))
         most = (total[of] - np.maximum(far - tree.radius[node], 0.0) ** 2) / 2 + slack[of]
         least = (total[of] - (far + tree.radius[node]) ** 2) / 2 - slack[of]
         lab, low, high = s.lab[of], tree.low_lab[node], tree.high_lab[node]
         wanted = (low <= lab) & (lab <= high) if s.same else (low != lab) | (high != lab)
-        wanted &= (most >= s.low[of]) & (least <= s.high[of])
-        open_[i[wanted], node[wanted]] = np.minimum(most, s.high[of])[wanted]
+        meets = (most[:, None] >= s.low[of]) & (least[:, None] <= s.high[of])
+        best = np.where(meets, np.minimum(most[:, None], s.high[of]), -np.inf).max(axis=1)
+        wanted &= best >= s.least[of]
+        open_[i[wanted], node[wanted]] = best[wanted]
 
+    exact = tree.most < _EXACT and bool((s.qq[part] < _EXACT).all())
     enter(np.arange(len(ids)), np.zeros(len(ids), np.int64))
+    active = np.arange(len(ids))
     while True:
-        pick = open_.argmax(axis=1)
-        best = open_[np.arange(len(ids)), pick]
-        live = np.flatnonzero((best > -np.inf) & (best >= s.kth[ids]))
-        if not len(live):
+        pick = open_[active].argmax(axis=1)
+        best = open_[active, pick]
+        live = (best > -np.inf) & (best >= s.least[ids[active]])
+        active, node = active[live], pick[live]
+        if not len(active):
             return
-        node = pick[live]
-        open_[live, node] = -np.inf
+        open_[active, node] = -np.inf
         inner = tree.children[node] > 0
         if inner.any():
             which, child = _spans(tree.first[node[inner]], tree.children[node[inner]])
-            enter(live[inner][which], child)
+            enter(active[inner][which], child)
         if not inner.all():
-            leaf, who = node[~inner], ids[live[~inner]]
+            leaf, who = node[~inner], ids[active[~inner]]
             which, point = _spans(tree.start[leaf], tree.stop[leaf] - tree.start[leaf])
             who = who[which]
             fits = (tree.lab[point] == s.lab[who]) == s.same
             fits &= tree.u[point] != s.u[who]
             who, point = who[fits], point[fits]
-            if tree.most < _EXACT and (s.qq < _EXACT).all():
-                score = np.einsum("ij,ij->i", s.x[who], tree.x[point]).astype(np.int64)
-            else:
-                score = np.einsum("ij,ij->i", s.q[who], tree.e[point])
-            fits = (score >= s.low[who]) & (score <= s.high[who])
-            s.add(who[fits], score[fits], tree.ord[point[fits]], tree.u[point[fits]])
+            score = np.einsum("ij,ij->i", s.x[who], tree.x[point]).astype(np.int64) if exact else np.einsum("ij,ij->i", s.q[who], tree.e[point])
+            for window in range(s.low.shape[1]):
+                s.add(who, window, score, tree.ord[point], tree.u[point])
 
 
 _FOUND = "a long, p int, score long, ord long, u long"
 
 
 def _best(trees: DataFrame, groups: int, wanted: DataFrame, blocks: int, k: int, same: bool, most: float) -> DataFrame:
-    """The k best rows of every search in ``wanted`` (block, a, p, dim, lab, e, low, high)
-    over all trees, with their rank from 1 as ``n``."""
+    """The k best rows for every window of the anchors in ``wanted`` (block, a, dim, lab, e,
+    low, high; the last two are arrays), with the window p and the rank n from 1."""
 
     def run(_, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         for dim, c in asked.groupby("dim"):
-            s = Searches(np.stack([np.asarray(v, np.int64) for v in c["e"]]), c["a"].to_numpy(), c["lab"].to_numpy(), c["low"].to_numpy(), c["high"].to_numpy(), k, same)
+            width = int(c["low"].map(len).max())
+            low, high = np.ones((len(c), width), np.int64), np.zeros((len(c), width), np.int64)
+            for to, name in ((low, "low"), (high, "high")):
+                for i, v in enumerate(c[name]):
+                    to[i, : len(v)] = v
+            s = Searches(np.stack([np.asarray(v, np.int64) for v in c["e"]]), c["a"].to_numpy(), c["lab"].to_numpy(), low, high, k, same)
             step = max(8, min(AT_ONCE, (AT_ONCE * 64) // max(int(dim), 1)))
             for row in held[held["dim"] == dim].itertuples():
                 tree = Tree(row, most)
                 for at in range(0, len(c), step):
                     search(tree, s, slice(at, at + step))
-            out.append(pd.DataFrame({"a": c["a"].to_numpy()[s.who], "p": c["p"].to_numpy()[s.who], "score": s.score, "ord": s.ord, "u": s.row}))
+            who, p, score, order, u = s.results()
+            out.append(pd.DataFrame({"a": c["a"].to_numpy()[who], "p": p, "score": score, "ord": order, "u": u}))
         return pd.concat(out) if out else pd.DataFrame({n: np.zeros(0, np.int64) for n in ("a", "p", "score", "ord", "u")})
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -270,11 +297,12 @@ def mine(vectors: DataFrame, anchors: Column, positives: int = POSITIVES, negati
     trees = trees.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(groups)).cast("int"))
     blocks = -(-asked // ANCHORS)
     own = rows.filter("anchor").withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")).withColumnRenamed("u", "a")
-    whole = own.select("block", "a", F.lit(0).alias("p"), "dim", "lab", "e", F.lit(_NONE).alias("low"), F.lit(_LAST).alias("high"))
-    first = saved(_best(trees, groups, whole, blocks, positives, True, most).select("a", F.col("n").alias("p"), F.col("ord").alias("positive"), F.col("score").alias("ps")), "positives")
-    share = lambda percent: F.floor(F.col("ps").cast("decimal(20,0)") * percent / 100).cast("long")
-    window = first.filter("ps >= 0").select("a", "p", (-F.floor(-F.col("ps").cast("decimal(20,0)") * low / 100)).cast("long").alias("low"), share(high).alias("high"))
-    pairs = own.select("block", "a", "dim", "lab", "e").join(window, "a")
+    whole = own.select("block", "a", "dim", "lab", "e", F.array(F.lit(_NONE)).alias("low"), F.array(F.lit(_LAST)).alias("high"))
+    first = saved(_best(trees, groups, whole, blocks, positives, True, most).select("a", (F.col("n") - 1).alias("p"), F.col("ord").alias("positive"), F.col("score").alias("ps")), "positives")
+    ps = F.col("ps").cast("decimal(20,0)")
+    window = first.select("a", "p", (-F.floor(-ps * low / 100)).cast("long").alias("low"), F.floor(ps * high / 100).cast("long").alias("high"))
+    windows = window.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("p", "low", "high"))).alias("w"))  # at most ``positives`` of them
+    pairs = own.select("block", "a", "dim", "lab", "e").join(windows, "a").select("block", "a", "dim", "lab", "e", F.col("w.low").alias("low"), F.col("w.high").alias("high"))
     second = _best(trees, groups, pairs, blocks, negatives, False, most).select("a", "p", "n", F.col("ord").alias("negative"), F.col("score").alias("ns"))
     named = second.join(first, ["a", "p"]).join(own.select("a", F.col("ord").alias("anchor_ord")), "a")
     back = lambda c: F.when(F.col(c) != _LAST, F.col(c))

@@ -105,6 +105,6 @@ def test_radii_cover_and_searches_skip(monkeypatch):
     seen = []
     add = cover_tree.Searches.add
     monkeypatch.setattr(cover_tree.Searches, "add", lambda self, who, *rest: (seen.append(len(who)), add(self, who, *rest))[1])
-    s = cover_tree.Searches(e[:1], np.array([0]), lab[:1], np.array([-(1 << 62)]), np.array([1 << 62]), 5, True)
+    s = cover_tree.Searches(e[:1], np.array([0]), lab[:1], np.array([[-(1 << 62)]]), np.array([[1 << 62]]), 5, True)
     cover_tree.search(tree, s, slice(0, 1))
-    assert len(s.score) == 5 and sum(seen) < 400
+    assert len(s.results()[0]) == 5 and sum(seen) < 400
