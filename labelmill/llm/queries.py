@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.llm import best_position, contamination, cover_tree, html_text, language, ngram_join, packing, quality, sharding, substring, vectors, warc
+from labelmill.llm import best_position, contamination, context_tree, cover_tree, html_text, language, ngram_join, packing, quality, sharding, substring, vectors, warc
 from labelmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -121,3 +121,8 @@ def _(spark, d):
  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""")
 def _(spark, d):
     return best_position.rank(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op13_context_tree")
+def _(spark, d):
+    return context_tree.score(table(spark, d, "documents"))
