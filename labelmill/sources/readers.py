@@ -8,8 +8,11 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from labelmill.sources import split_scan
+
 ROW = "row_index"
 
 
@@ -17,14 +20,15 @@ def _blocks_to_index(df: DataFrame, extra_drop: list[str] = ()) -> DataFrame:
     """0-based position over all files in path order, without a one-task window.
 
     Inside a task ids grow by one per row, so a row's place in its file block is its id
-    minus the block's first id. Block sizes give the offsets; there is one small row
-    per block, and Spark decides by its size how to join it.
+    minus the block's first id. Block sizes give the offsets: one small row per block,
+    broadcast up to a checked number of them.
     """
     rows = df.withColumn("_id", F.monotonically_increasing_id())
     blocks = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     ahead = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("_file", "_start", (F.coalesce(ahead, F.lit(0)) - F.col("_first")).alias("_shift"))
-    out = rows.join(offsets, ["_file", "_start"]).withColumn(ROW, F.col("_id") + F.col("_shift"))
+    blocks_at_most = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    out = rows.join(split_scan.few(offsets, blocks_at_most), ["_file", "_start"]).withColumn(ROW, F.col("_id") + F.col("_shift"))
     return out.drop("_id", "_shift", "_file", "_start", *extra_drop)
 
 
@@ -35,8 +39,9 @@ def _with_file(df: DataFrame) -> DataFrame:
 def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Every column as text. Rows with too few, too many or broken cells are skipped but
     keep their position. Every file must have the columns of the first in the same order;
-    another header raises. ``multi_line=False`` lets large files without line breaks
-    inside cells be split among tasks.
+    another header raises. Files are cut into records by a task per block, also where cells
+    hold line breaks (``split_scan``). ``multi_line=False`` takes every line for a row, which
+    saves the scan for the states of quotes.
     """
     base = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     names = base.csv(path).columns
@@ -44,6 +49,8 @@ def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     header = spark.read.option("escape", '"').option("multiLine", multi_line).csv(path).first()
     same = header is not None and list(header) == names
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())])
+    if multi_line:
+        return _whole_rows(_csv_records(spark, path, names, schema, same), names)
     raw = (
         base.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
         .option("columnPruning", False).option("enforceSchema", not same).csv(path)
@@ -51,23 +58,52 @@ def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     # Spark refuses to read the corrupt-record column alone, which a plain count would
     # ask for; the second condition always holds and keeps a real column in the scan.
     good = F.col("_corrupt").isNull() & (F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0)
-    if raw.filter(good).isEmpty():
+    return _whole_rows(_blocks_to_index(_with_file(raw)).filter(good).drop("_corrupt"), names)
+
+
+def _whole_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+    if rows.isEmpty():
         raise ValueError("CSV file must have at least one valid data row")
-    out = _blocks_to_index(_with_file(raw)).filter(good).drop("_corrupt")
     # A cell is always text; Spark reads an empty unquoted one as null.
-    return out.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], ROW)
+    return rows.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], ROW)
+
+
+def _csv_records(spark: SparkSession, path: str, names: list[str], schema: T.StructType, same: bool) -> DataFrame:
+    found = split_scan.records(spark, path, split_scan.CsvScanner(), 0)
+    ddl = ", ".join("`" + f.name.replace("`", "``") + "` STRING" for f in schema)
+    cells = F.from_csv("text", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"'})
+    shift = split_scan.positions(found.files, F.col("records") - 1)
+    rows = found.rows.withColumn("cells", cells).join(shift, "file")
+    good = ~F.col("broken") & F.col("cells._corrupt").isNull()
+    if same:
+        matches = F.lit(True)
+        for n in names:
+            matches &= F.lower(F.col("cells").getField(n)).eqNullSafe(n.lower())
+        message = F.concat(F.lit("CSV header of another file differs: "), "file")
+        header = F.when(good & matches, F.lit(False)).otherwise(F.raise_error(message).cast("boolean"))
+    else:
+        header = F.lit(False)
+    rows = rows.filter(F.when(F.col("number") == 0, header).otherwise(good))
+    return rows.select(*[F.col("cells").getField(n).alias(n) for n in names], (F.col("number") - 1 + F.col("shift")).alias(ROW))
 
 
 def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Arrays of objects, or JSON Lines; broken input and single objects raise."""
-    if not lines:
-        head = F.substring(F.ltrim("value"), 1, 1)
-        text = _with_file(spark.read.text(path)).select("_file", head.alias("c"), F.monotonically_increasing_id().alias("i"))
-        first = text.filter("c <> ''").groupBy("_file").agg(F.min_by("c", "i").alias("c"))
-        if not first.filter("c <> '['").isEmpty():
-            raise ValueError("JSON input must be an array of objects")
-    raw = spark.read.option("multiLine", not lines).option("mode", "FAILFAST").json(path)
-    return _blocks_to_index(_with_file(raw))
+    """Arrays of objects, or JSON Lines; broken input and single objects raise. Arrays are
+    cut between their elements by a task per block (``split_scan``)."""
+    if lines:
+        return _blocks_to_index(_with_file(spark.read.option("mode", "FAILFAST").json(path)))
+    found = split_scan.records(spark, path, split_scan.JsonScanner(), 1)
+    # The scan takes a closing brace for granted behind the file's last piece.
+    if not found.files.filter("end.end_inside OR end.end_depth <> -1").isEmpty():
+        raise PySparkValueError(message="JSON input must be an array of objects")
+    schema = spark.read.option("mode", "FAILFAST").json(found.rows.select("text").rdd.map(lambda r: r[0])).schema
+    if not len(schema):
+        if not found.rows.isEmpty():
+            return found.rows.join(split_scan.positions(found.files, F.col("records")), "file").select((F.col("number") + F.col("shift")).alias(ROW))
+        return spark.createDataFrame([], f"{ROW} long")
+    element = F.from_json("text", schema, {"mode": "FAILFAST"})
+    rows = found.rows.withColumn("element", element).join(split_scan.positions(found.files, F.col("records")), "file")
+    return rows.select(*[F.col("element").getField(f.name).alias(f.name) for f in schema], (F.col("number") + F.col("shift")).alias(ROW))
 
 
 def load_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +119,7 @@ def load_parquet(spark: SparkSession, path: str) -> DataFrame:
     sizes = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count("*").alias("_n"))
     ahead = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_file", F.coalesce(ahead, F.lit(0)).alias("_off"))
-    return rows.join(offsets, "_file").withColumn(ROW, F.col("_pos") + F.col("_off")).drop("_pos", "_off", "_file")
+    return rows.join(split_scan.few(offsets, len(raw.inputFiles())), "_file").withColumn(ROW, F.col("_pos") + F.col("_off")).drop("_pos", "_off", "_file")
 
 
 _CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
