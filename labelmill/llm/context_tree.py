@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.llm import words as W
-from labelmill.llm.steps import arrow_schema, bounded_batches, lean, saved
+from labelmill.llm.steps import arrow_schema, bounded_batches, discard, give_back, lean, saved
 
 U = np.uint64
-DEPTH = 4
-#: Bytes of whole texts per slice. Marks are bytes that UTF-8 never holds.
-SLICE, START, END = 16 << 20, 0xFE, 0xFF
+DEPTH = 5
+#: Bytes of whole texts per slice, and of those that are worked on at once. Marks are bytes
+#: that UTF-8 never holds.
+SLICE, RUN, START, END = 48 << 20, 4 << 20, 0xFE, 0xFF
 #: Tokens and strings have keys of their own; the end mark counts as a token.
 TOKEN, STRING = 0, 1
 END_TOKEN = int(W.mix(np.array([0x454E44], U)).view(np.int64)[0])
@@ -90,9 +91,11 @@ class Slice:
         self.learn = ~self.held
         self.plain, self.offsets = np.frombuffer(plain, np.uint8), np.concatenate(([0], np.cumsum(sizes)))
 
-    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """(key, document) of all words, as signed hashes; ends are not among them."""
-        column = pa.LargeStringArray.from_buffers(len(self.offsets) - 1, pa.py_buffer(self.offsets.astype(np.int64)), pa.py_buffer(self.plain))
+    def tokens(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, document) of all words of documents first to last, as signed hashes; ends
+        are not among them."""
+        offsets = self.offsets[first : last + 1]
+        column = pa.LargeStringArray.from_buffers(last - first, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(self.plain[offsets[0] : offsets[-1]]))
         w = W.words(column)
         return w.hash.view(np.int64), w.doc
 
@@ -114,18 +117,26 @@ class Slice:
         keep[(begin[1:-1, None] + np.arange(-depth, 0)).ravel()] = False
         return key[keep], np.concatenate(([0], np.cumsum(sizes + 1)))
 
-    def runs(self, limit: int) -> Iterator[tuple[int, int]]:
-        """Runs of whole documents of about ``limit`` bytes."""
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """Runs of whole documents of about RUN bytes."""
         first = 0
         while first < len(self.offsets) - 1:
-            last = max(first + 1, int(np.searchsorted(self.offsets, self.offsets[first] + limit, "right")) - 1)
+            last = max(first + 1, int(np.searchsorted(self.offsets, self.offsets[first] + RUN, "right")) - 1)
             yield first, last
             first = last
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(c) for c in zip(*parts))
+    key, at = np.unique(keys, return_inverse=True)
+    return key, np.bincount(at, counts, len(key)).astype(np.int64)
+
+
+def _weighted(key: np.ndarray, learn: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys with their count where ``learn`` holds, and those elsewhere with 0."""
+    known, n = np.unique(key[learn], return_counts=True)
+    other = np.unique(key[~learn])
+    return [(known, n), (other, np.zeros(len(other), np.int64))]
 
 
 def counted(parts: DataFrame, depth: int) -> DataFrame:
@@ -136,19 +147,17 @@ def counted(parts: DataFrame, depth: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 s = Slice(row)
-                token, doc = s.tokens()
-                ends = np.full(len(s.learn), END_TOKEN)
-                found = [(TOKEN, *_added([token, ends], [s.learn[doc], s.learn]))]
-                keys, counts = [], []
-                for first, last in s.runs(4 << 20):
+                found = {TOKEN: [(np.array([END_TOKEN]), np.array([int(s.learn.sum())]))], STRING: []}
+                for first, last in s.runs():
+                    learn = s.learn[first:last]
+                    token, doc = s.tokens(first, last)
                     key, begin = s.strings(first, last, depth)
-                    learn = np.repeat(s.learn[first:last], np.diff(begin))
-                    for chosen, weight in ((key[learn], 1), (key[~learn], 0)):
-                        k, n = np.unique(chosen, return_counts=True)
-                        keys.append(k)
-                        counts.append(n * weight)
-                found.append((STRING, *_added(keys, counts)))
-                for kind, key, n in found:
+                    for kind, new in ((TOKEN, _weighted(token, learn[doc])), (STRING, _weighted(key, np.repeat(learn, np.diff(begin))))):
+                        found[kind] += new
+                        if len(found[kind]) > 8:
+                            found[kind] = [_added(found[kind])]
+                for kind, added in found.items():
+                    key, n = _added(added)
                     for at in range(0, len(key), 1 << 17):
                         k = key[at : at + (1 << 17)]
                         columns = [pa.array(np.full(len(k), row["slice"])), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[at : at + (1 << 17)])]
@@ -211,59 +220,63 @@ def string_scores(strings: DataFrame, depth: int) -> DataFrame:
     return coded.groupBy("key").agg(F.sum("ln").alias("ln"))
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """values[i] where keys[i] is wanted; all wanted keys exist."""
-    bits = max(10, int(2 * len(keys)).bit_length())
-    place = lambda k: ((k.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int64)
-    table = np.full(1 << bits, -1, np.int32)
-    rest, at = np.arange(len(keys)), place(keys)
-    while len(rest):  # linear probing, all keys at once
-        free = table[at] < 0
-        table[at[free]] = rest[free]
-        lost = table[at] != rest
-        rest, at = rest[lost], (at[lost] + 1) & ((1 << bits) - 1)
-    out = np.empty(len(wanted), values.dtype)
-    for i in range(0, len(wanted), 1 << 18):
-        w = wanted[i : i + (1 << 18)]
-        spot = place(w)
-        found = table[spot]
-        off = np.flatnonzero(keys[found] != w)
-        while len(off):
-            if (found[off] < 0).any():
-                raise KeyError("a string or token without a value")
-            spot[off] = (spot[off] + 1) & ((1 << bits) - 1)
-            found[off] = table[spot[off]]
-            off = off[keys[found[off]] != w[off]]
-        out[i : i + (1 << 18)] = values[found]
-    return out
+class Lookup:
+    """values[i] for keys[i], by open addressing; all keys asked for must exist."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self.bits = keys, values, max(10, int(2 * len(keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        rest, at = np.arange(len(keys), dtype=np.int32), self.place(keys)
+        while len(rest):  # linear probing, all keys at once
+            free = self.table[at] < 0
+            self.table[at[free]] = rest[free]
+            lost = self.table[at] != rest
+            rest, at = rest[lost], (at[lost] + 1) & (len(self.table) - 1)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        out = np.empty(len(wanted), self.values.dtype)
+        for i in range(0, len(wanted), 1 << 18):
+            w = wanted[i : i + (1 << 18)]
+            spot = self.place(w)
+            found = self.table[spot]
+            off = np.flatnonzero(self.keys[found] != w)
+            while len(off):
+                if (found[off] < 0).any():
+                    raise KeyError("a string or token without a value")
+                spot[off] = (spot[off] + 1) & (len(self.table) - 1)
+                found[off] = self.table[spot[off]]
+                off = off[self.keys[found[off]] != w[off]]
+            out[i : i + (1 << 18)] = self.values[found]
+        return out
 
 
 def _scored(depth: int, total: int, distinct: int):
     def run(text: pa.Table, known: pa.Table) -> pa.Table:
-        out = []
         kind, key, value = (known.column(c).to_numpy() for c in ("kind", "key", "value"))
-        token_key, count = key[kind == TOKEN], value[kind == TOKEN]
-        string_key, ln = key[kind == STRING], value[kind == STRING]
+        count, ln = Lookup(key[kind == TOKEN], value[kind == TOKEN]), Lookup(key[kind == STRING], value[kind == STRING])
         del kind, key, value
+        out = []
         for row in text.to_pylist():
             s = Slice(row)
-            docs = len(s.learn)
-            token, doc = s.tokens()
-            c = _lookup(token_key, count, np.concatenate((token, [END_TOKEN])))
-            end, c = c[-1], c[:-1]
-            base = np.bincount(doc, np.log(c + 1), docs) + np.log(end + 1)
-            n = np.bincount(doc, minlength=docs) + 1
-            n_known = np.bincount(doc, c > 0, docs).astype(np.int64) + int(end > 0)
-            del token, doc, c
-            score = []
-            for first, last in s.runs(4 << 20):
+            end = count(np.array([END_TOKEN]))[0]
+            for first, last in s.runs():
+                docs = last - first
+                token, doc = s.tokens(first, last)
+                c = count(token)
+                n = np.bincount(doc, minlength=docs) + 1
+                base = np.bincount(doc, np.log(c + 1), docs) + np.log(end + 1) - n * np.log(total + distinct + 1)
+                n_known = np.bincount(doc, c > 0, docs).astype(np.int64) + int(end > 0)
                 wanted, begin = s.strings(first, last, depth)
-                score.append(np.add.reduceat(_lookup(string_key, ln, wanted), begin[:-1]))
-            columns = [
-                pa.array(s.ids, pa.int64(), mask=~s.known_id), pa.array(s.held), pa.array(n.astype(np.int64)), pa.array(n_known), pa.array(np.diff(s.offsets) + 1),
-                pa.array(base - n * np.log(total + distinct + 1)), pa.array(np.concatenate(score) / np.log(10)),
-            ]
-            out.append(pa.RecordBatch.from_arrays(columns, schema=_RESULT_ARROW))
+                score = np.add.reduceat(ln(wanted), begin[:-1]) / np.log(10)
+                columns = [
+                    pa.array(np.array(s.ids[first:last], np.int64), mask=~s.known_id[first:last]), pa.array(s.held[first:last]), pa.array(n.astype(np.int64)), pa.array(n_known),
+                    pa.array(np.diff(s.offsets[first : last + 1]) + 1), pa.array(base), pa.array(score),
+                ]
+                out.append(pa.RecordBatch.from_arrays(columns, schema=_RESULT_ARROW))
+        give_back()
         return pa.Table.from_batches(out, schema=_RESULT_ARROW)
 
     return run
@@ -289,7 +302,9 @@ def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH) -> Da
     total, distinct = tokens.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     strings = string_scores(totals.filter(f"kind = {STRING}").select("key", "n"), depth)
     values = tokens.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(strings.select(F.lit(STRING).alias("kind"), "key", F.col("ln").alias("value")))
-    known = saved(keys.select("slice", "kind", "key").join(saved(values, "key-values"), ["kind", "key"]), "slice-values")
+    values = saved(values, "key-values")
+    known = saved(keys.select("slice", "kind", "key").join(values, ["kind", "key"]), "slice-values")
+    discard(keys, totals, values)
     found = parts.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(_scored(depth, total, distinct), _RESULT)
     return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base_nats") / float(np.log(10))).alias("base_score"), "score",

@@ -11,7 +11,7 @@ from typing import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelmill.session import materialize
+from labelmill.session import materialize, scratch_root
 
 #: Text bytes per block of an index: bounds the rows that one block gathers.
 BLOCK_BYTES = 8 << 20
@@ -30,6 +30,19 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more. Only folders made by ``saved``,
+    below the shared one, are touched."""
+    for table in tables:
+        spark, root = table.sparkSession, scratch_root(table.sparkSession)
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            own = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/labelmill")
+            system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            if system.makeQualified(path.getParent()).equals(system.makeQualified(own)):
+                system.delete(path, True)
+
+
 def give_back() -> None:
     """Return freed memory to the system.
 

@@ -105,6 +105,7 @@ def texts(n, seed):
 @pytest.mark.parametrize("depth", [0, 2, 4])
 def test_equals_recursive_weighting(spark, monkeypatch, depth):
     monkeypatch.setattr(context_tree, "SLICE", 300)
+    monkeypatch.setattr(context_tree, "RUN", 100)
     docs = texts(40, depth) + [(None, "no id"), (None, None), (3, "again"), (3, "again"), (90, None), (91, ""), (92, "A" * 60), (93, "\x00\x00 \x7f")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS held", "2 AS n", "3 AS slice", "4 AS key", "5 AS ids")
     found = [tuple(r)[:7] for r in context_tree.score(df, depth=depth).collect()]
