@@ -127,10 +127,10 @@ def test_log_gamma(spark):
         assert r["y"] == pytest.approx(math.lgamma(r["x"]), rel=1e-12, abs=1e-11)
 
 
-def test_beats_the_base_on_held_out_text(spark):
-    """Invented words of syllables, most of them new: what bytes tell and whole words don't."""
+def test_longer_contexts_tell_more_of_held_out_text(spark):
+    """Words of known syllables in new combinations."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choices(["tion", "ing", "est", "ver", "al", "con"], k=rng.choice([2, 3, 4])))
-    docs = [(i, " ".join(word() for _ in range(20))) for i in range(300)]
-    row = context_tree.score(spark.createDataFrame(docs, "doc_id long, text string")).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.max("bits_per_byte")).first()
-    assert row[0] > row[1] and row[2] < 3
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(20))) for i in range(300)], "doc_id long, text string")
+    total = [context_tree.score(docs, depth=d).filter("held_out").agg(F.sum("score"), F.max("bits_per_byte")).first() for d in (0, 2, 5)]
+    assert total[0][0] < total[1][0] < total[2][0] and total[2][1] < 2.5
