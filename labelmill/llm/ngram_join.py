@@ -29,6 +29,8 @@ from labelmill.llm.steps import arrow_schema, block_count, bounded_batches, lean
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
+#: Text bytes per bucket of documents, to which a block replies with one row.
+BUCKET_BYTES = 1 << 20
 #: A column with so many entries in one slice of a task counts as frequent without a count.
 HOT_IN_SLICE = 64
 _LOW48 = U((1 << 48) - 1)
@@ -142,18 +144,29 @@ def _grams(pdf: pd.DataFrame) -> np.ndarray:
     return _join(pdf, "low", np.uint32).astype(U) | (_join(pdf, "high", np.uint16).astype(U) << U(32))
 
 
-def _replies(cls, n, block, g, df) -> pd.DataFrame:
-    order = np.lexsort((block, cls))
-    cls, n, block, g, df = (x[order] for x in (cls, n, block, g, df))
+_REPLY = "bucket int, block int, cls binary, size binary, count binary, low binary, high binary, df binary"
+
+
+def _replies(cls, n, block, g, df, buckets: int) -> pd.DataFrame:
+    """A row per bucket of documents and block; inside, a run of entries per document."""
+    bucket = W.spread(cls, buckets)
+    order = np.lexsort((cls, block, bucket))
+    bucket, cls, n, block, g, df = (x[order] for x in (bucket, cls, n, block, g, df))
     step = np.ones(len(cls), bool)
     step[1:] = (cls[1:] != cls[:-1]) | (block[1:] != block[:-1])
     cut = np.append(np.flatnonzero(step), len(cls))
     lead = cut[:-1]
-    packed6 = [W.packed(x, cut) for x in (g.astype(np.uint32), (g >> U(32)).astype(np.uint16), df)]
-    return pd.DataFrame({"cls": cls[lead].view(np.int64), "n": n[lead].astype(np.int64), "block": block[lead].astype(np.int32), **dict(zip(("low", "high", "df"), packed6))})
+    row = np.ones(len(lead), bool)
+    row[1:] = (bucket[lead][1:] != bucket[lead][:-1]) | (block[lead][1:] != block[lead][:-1])
+    runs = np.append(np.flatnonzero(row), len(lead))
+    first, bounds = lead[runs[:-1]], cut[runs]
+    out = {"bucket": bucket[first].astype(np.int32), "block": block[first].astype(np.int32)}
+    out |= {k: W.packed(x, runs) for k, x in (("cls", cls[lead]), ("size", n[lead].astype(np.int32)), ("count", np.diff(cut).astype(np.int32)))}
+    out |= {k: W.packed(x, bounds) for k, x in (("low", g.astype(np.uint32)), ("high", (g >> U(32)).astype(np.uint16)), ("df", df))}
+    return pd.DataFrame(out)
 
 
-def _block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_counts(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Entries of the columns of one block that more than one row has, with a rank of
     how frequent the column is (255: very)."""
     b = int(pdf["block"].iloc[0])
@@ -186,8 +199,8 @@ def _block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
         g = _grams(told)
         parts.append((np.repeat(_join(told, "cls", U), count), np.repeat(_join(told, "size", np.int32), count), np.repeat(pair[:, 1], count), g, np.full(len(g), 255, np.uint8)))
     if not parts:
-        return pd.DataFrame({"cls": [], "n": [], "block": [], "low": [], "high": [], "df": []})
-    return _replies(*[np.concatenate(x) for x in zip(*parts)])
+        return pd.DataFrame({c.split()[0]: [] for c in _REPLY.split(", ")})
+    return _replies(*[np.concatenate(x) for x in zip(*parts)], buckets)
 
 
 #: Bits of a row's column signature: at least four per column up to this many.
@@ -214,10 +227,35 @@ def _least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _document_rows(got: list[dict], percent: int):
+    """Rows of the matrix from all replies to one bucket of documents."""
+    joined = lambda name, kind: np.frombuffer(b"".join(x[name] for x in got), kind)
+    count = joined("count", np.int32)
+    entries = [len(x["df"]) for x in got]
+    cls, size = np.repeat(joined("cls", U), count), np.repeat(joined("size", np.int32), count)
+    g = joined("low", np.uint32).astype(U) | (joined("high", np.uint16).astype(U) << U(32))
+    g = W.mix(g) ^ W.mix(np.repeat(np.array([x["block"] for x in got], U), entries) ^ U(0xB10C))
+    rank = joined("df", np.uint8)
+    by = np.lexsort((g, cls))
+    cls, size, g, rank = (x[by] for x in (cls, size, g, rank))
+    new = np.ones(len(g), bool)  # copies in several slices answer more than once
+    new[1:] = (g[1:] != g[:-1]) | (cls[1:] != cls[:-1])
+    cls, size, g, rank = (x[new] for x in (cls, size, g, rank))
+    cut = _runs(cls)
+    for a, b in zip(cut[:-1], cut[1:]):
+        n, own, ranks = int(size[a]), g[a:b], rank[a:b]
+        alone, part = n - len(own), n - _least_overlap(n, percent) + 1
+        if alone < part:
+            at = np.lexsort((own >> U(8), ranks))[: part - alone]
+            lead, last = own[at], (int(ranks[at[-1]]) << 55) | (int(own[at[-1]]) >> 9)
+            yield cls[a].view(np.int64), n, own.view(np.int64), lead.view(np.int64), alone, last, column_bits(lead)
+
+
 def matrix_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows that may have a partner: cls, n, shared columns, the part to multiply in
     order from rare to frequent, and the position of that part's first column."""
-    blocks = block_count(text_bytes(docs))
+    total = text_bytes(docs)
+    blocks, buckets = block_count(total), block_count(total, BUCKET_BYTES)
 
     @lean
     def post(batches):
@@ -226,27 +264,16 @@ def matrix_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
                 yield from _posts(part, size, blocks)
 
     entries = bounded_batches(docs).select(F.col("text").cast("string")).mapInArrow(post, _POST)
-    replies = entries.groupBy("block").applyInPandas(lean_group(_block_counts), "cls long, n long, block int, low binary, high binary, df binary")
-    whole = replies.groupBy("cls", "n").agg(F.collect_list(F.struct("block", "low", "high", "df")).alias("got"))
+    replies = entries.groupBy("block").applyInPandas(lean_group(lambda pdf: _block_counts(pdf, buckets)), _REPLY)
+    whole = replies.groupBy("bucket").agg(F.collect_list(F.struct("block", "cls", "size", "count", "low", "high", "df")).alias("got")).select("got")
 
     @lean
     def order(batches):
         for batch in batches:
-            out = []
-            for cls, n, got in zip(*[batch.column(c).to_pylist() for c in ("cls", "n", "got")]):
-                low = [np.frombuffer(x["low"], np.uint32).astype(U) for x in got]
-                g = np.concatenate(low) | (np.frombuffer(b"".join(x["high"] for x in got), np.uint16).astype(U) << U(32))
-                g = W.mix(g) ^ W.mix(np.repeat([x["block"] for x in got], [len(x) for x in low]).astype(U) ^ U(0xB10C))
-                rank = np.frombuffer(b"".join(x["df"] for x in got), np.uint8)
-                g, at = np.unique(g, return_index=True)  # copies in several slices answer more than once
-                rank = rank[at]
-                alone, part = n - len(g), n - _least_overlap(n, percent) + 1
-                if alone < part:
-                    at = np.lexsort((g >> U(8), rank))[: part - alone]
-                    lead, last = g[at], (int(rank[at[-1]]) << 55) | (int(g[at[-1]]) >> 9)
-                    out.append((cls, n, g.view(np.int64), lead.view(np.int64), alone, last, column_bits(lead)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _ROW_ARROW)], schema=_ROW_ARROW)
+            for got in batch.column("got"):
+                out = list(_document_rows(got.as_py(), percent))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _ROW_ARROW)], schema=_ROW_ARROW)
 
     return whole.mapInArrow(order, _ROW)
 
