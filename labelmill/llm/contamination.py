@@ -95,12 +95,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     items_sha256 and contaminated.
 
     A document word inside an occurrence of any item window is hit. Null and blank texts
-    and items have no words. Rows of one doc_id (null counts as one id) share their
-    matches. All columns of ``docs`` are kept; columns of these names are replaced.
+    and items have no words. Every row is judged by its own text, whether doc_ids are null,
+    repeated or not. All columns of ``docs`` are kept; columns of these names are replaced.
     """
     own = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "_id", "_places"]
     docs = docs.drop(*own)
-    base = docs.withColumn("_id", id_key())
+    # Rows that agree in both have the same matches.
+    base = docs.withColumn("_id", F.struct(id_key().alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("text")))
     hit = saved(hits(base.select("_id", "text"), items.select("item_id", "text"), window, shingle), "hits")
     spans = hit.select("_id", "pos", "size").distinct()
     places = spans.select("_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("p")).distinct().groupBy("_id").agg(F.count("*").alias("n_hit"))

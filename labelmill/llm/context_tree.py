@@ -11,10 +11,11 @@ product of the children's Pw, and predicts (ones + 1/2) / (zeros + ones + 1).
 
 Everything the model needs are counts of byte strings of DEPTH + 1 bytes, and of tokens for
 the base. Documents are packed into slices, a written table. A slice yields each of its
-strings and tokens once with counts; one shuffle adds them up over the corpus; the tree is
-DEPTH + 1 aggregations up and joins down, in columns; a join by string or token brings the
-results back to the slices, which add them up per document. No model is broadcast, and
-no table of all strings or tokens meets in one task.
+strings and tokens once with counts; one shuffle adds them up over the corpus. Strings are then
+dealt by the last two bytes of their contexts: the trees of longer contexts are whole in
+their buckets, and only the nodes of contexts of one byte (at most 65,280) go through the
+driver. A join by string or token brings the results back to the slices, which add them up
+per document. No table of all strings or tokens meets in one task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -166,58 +168,134 @@ def counted(parts: DataFrame, depth: int) -> DataFrame:
     return parts.mapInArrow(run, _KEYS)
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma(x) for x >= 1/2: Stirling's series at x + 8, taken back by the recurrence."""
     y = x + 8
     series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    back = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - back
+    back = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - back
 
 
-def _estimate(zeros: Column, ones: Column) -> Column:
+def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of the zeros and ones."""
-    return F.when(zeros + ones == 0, 0.0).otherwise(log_gamma(ones + 0.5) + log_gamma(zeros + 0.5) - log_gamma(zeros + ones + 1.0) - 1.1447298858494002)
+    some = zeros + ones > 0
+    out = log_gamma(ones + 0.5) + log_gamma(zeros + 0.5) - log_gamma(zeros + ones + 1.0) - 1.1447298858494002
+    return np.where(some, out, 0.0)
+
+
+class Level:
+    """The nodes of one depth: ``code`` is context * 256 + node of the byte's decisions."""
+
+    def __init__(self, code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        self.code, self.zeros, self.ones = code, zeros, ones
+        pe = estimate(zeros, ones)
+        self.kt = (ones + 0.5) / (zeros + ones + 1.0)
+        if below is None:
+            self.pw, self.kept = pe, np.ones(len(code))
+        else:
+            self.pw = np.logaddexp(pe, below) - np.log(2)
+            self.kept = 1 / (1 + np.exp(np.clip(below - pe, -700, 700)))  # b / (b + 1)
+
+    def parents(self, depth: int) -> tuple["Level", np.ndarray]:
+        """The level at the smaller ``depth``, and the place there of each of these nodes."""
+        short = ((self.code >> 8) & ((1 << (8 * depth)) - 1)) << 8 | (self.code & 255)
+        code, at = np.unique(short, return_inverse=True)
+        add = lambda v: np.bincount(at, v, len(code))
+        return Level(code, add(self.zeros), add(self.ones), add(self.pw)), at
+
+
+def decisions(key: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context * 256 + node, outcome) of one decision of each string's last byte. Node 1 to
+    255 are the bits so far behind a leading one."""
+    symbol = key & 255
+    return (key >> 8) << 8 | (symbol >> (8 - bit)) + (1 << bit), (symbol >> (7 - bit)) & 1
+
+
+def subtree(key: np.ndarray, n: np.ndarray, bit: int, depth: int, top: int) -> tuple[Level, np.ndarray, np.ndarray]:
+    """One decision over the depths from ``top`` on: the level at ``top``, and per string its
+    outcome's node there and the probability of a one that these depths give."""
+    code, one = decisions(key, bit)
+    code, at = np.unique(code, return_inverse=True)
+    level = Level(code, np.bincount(at, n * (1 - one), len(code)), np.bincount(at, n * one, len(code)), None)
+    chance, place = level.kt, np.arange(len(code))
+    for d in range(depth - 1, top - 1, -1):
+        level, up = level.parents(d)
+        place = up[place]
+        chance = level.kept[place] * level.kt[place] + (1 - level.kept[place]) * chance
+    return level, level.code[place[at]], chance[at]
+
+
+def _tops(depth: int, top: int):
+    """Nodes at depth ``top`` of all strings of a bucket, added up to the depth before it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, n = pdf["key"].to_numpy(), pdf["n"].to_numpy(float)
+        out = []
+        for bit in range(8):
+            level, _, _ = subtree(key, n, bit, depth, top)
+            out.append(pd.DataFrame({"code": ((level.code >> 8) & ((1 << (8 * (top - 1))) - 1)) << 8 | (level.code & 255), "zeros": level.zeros, "ones": level.ones, "below": level.pw}))
+        return pd.concat(out).groupby("code", as_index=False).sum()
+
+    return run
+
+
+def _path(first: pd.DataFrame, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, p, rest) at depth ``top`` - 1: the probability of a one that the depths so far
+    give, and the share that they leave to longer contexts."""
+    first = first.sort_values("code")
+    level = Level(*(first[c].to_numpy() for c in ("code", "zeros", "ones", "below")))
+    code, p, rest = level.code, np.zeros(len(level.code)), np.ones(len(level.code))
+    levels, place = [(level, np.arange(len(code)))], np.arange(len(code))
+    for d in range(top - 2, -1, -1):
+        level, up = level.parents(d)
+        place = up[place]
+        levels.append((level, place))
+    for level, place in reversed(levels):
+        p += rest * level.kept[place] * level.kt[place]
+        rest *= 1 - level.kept[place]
+    return code, p, rest
+
+
+def _coded(depth: int, top: int, code: np.ndarray, p: np.ndarray, rest: np.ndarray):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, n = pdf["key"].to_numpy(), pdf["n"].to_numpy(float)
+        ln = np.zeros(len(key))
+        for bit in range(8):
+            _, node, chance = subtree(key, n, bit, depth, top)
+            if top:
+                at = np.searchsorted(code, ((node >> 8) & ((1 << (8 * (top - 1))) - 1)) << 8 | (node & 255))
+                chance = p[at] + rest[at] * chance
+            ln += np.log(np.where(decisions(key, bit)[1] == 1, chance, 1 - chance))
+        return pd.DataFrame({"key": key, "ln": ln})
+
+    return run
+
+
+#: Context bytes by which strings are dealt: what is shorter is one small table.
+TOP = 2
+#: Strings per bucket, on average.
+BUCKET = 200_000
 
 
 def string_scores(strings: DataFrame, depth: int) -> DataFrame:
     """(key, ln): the log probability of each string's last byte after the bytes before.
 
-    ``strings`` has every string once (key, n) with its training count, which may be 0.
-    A decision of a byte is node 1 to 255: the bits so far behind a leading one.
+    ``strings`` has every string once (key, n) with its training count, which may be 0. They
+    are dealt by the last TOP bytes of their contexts, so every longer context is whole in one
+    bucket; a first pass adds their nodes up to the contexts of one byte (at most 65,280 rows),
+    a second one mixes both.
     """
-    symbol, context = F.col("key").bitwiseAND(255), F.expr("shiftright(key, 8)")
-    bit = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    decisions = strings.select("key", "n", context.alias("context"), symbol.alias("symbol"), bit.alias("i"))
-    decisions = decisions.select(
-        "key", "n", "context", F.expr("shiftright(symbol, 8 - i) + shiftleft(1L, i)").alias("node"), F.expr("shiftright(symbol, 7 - i) & 1").alias("one"),
-    )
-    level = decisions.groupBy("context", "node").agg(F.sum(F.col("n") * (1 - F.col("one"))).cast("double").alias("zeros"), F.sum(F.col("n") * F.col("one")).cast("double").alias("ones"))
-    level = level.withColumn("pe", _estimate(F.col("zeros"), F.col("ones"))).withColumn("pw", F.col("pe"))
-    levels = [saved(level, "contexts")]
-    for d in range(depth - 1, -1, -1):
-        shorter = F.col("context").bitwiseAND((1 << (8 * d)) - 1)
-        up = levels[-1].groupBy(shorter.alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("pw").alias("below"))
-        up = up.withColumn("pe", _estimate(F.col("zeros"), F.col("ones")))
-        high, low = F.greatest("pe", "below"), F.least("pe", "below")
-        levels.append(saved(up.withColumn("pw", high + F.log1p(F.exp(low - high)) - F.log(F.lit(2.0))), "contexts"))
-    state = None
-    for d in range(depth + 1):
-        here = levels[depth - d]
-        kt = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
-        if d == depth:
-            kept = F.lit(1.0)
-        else:
-            odds = F.col("below") - F.col("pe")  # ln of 1 / b
-            kept = F.when(odds > 0, F.exp(-odds) / (1 + F.exp(-odds))).otherwise(1 / (1 + F.exp(odds)))
-        if state is None:
-            state = here.select("context", "node", (kept * kt).alias("p"), (1 - kept).alias("rest"))
-        else:
-            above = state.select(F.col("context").alias("shorter"), "node", F.col("p").alias("p0"), F.col("rest").alias("rest0"))
-            joined = here.withColumn("shorter", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)).join(above, ["shorter", "node"])
-            state = joined.select("context", "node", (F.col("p0") + F.col("rest0") * kept * kt).alias("p"), (F.col("rest0") * (1 - kept)).alias("rest"))
-        state = saved(state, "predictions")
-    coded = decisions.join(state, ["context", "node"]).withColumn("ln", F.log(F.when(F.col("one") == 1, F.col("p")).otherwise(1 - F.col("p"))))
-    return coded.groupBy("key").agg(F.sum("ln").alias("ln"))
+    top = min(TOP, depth)
+    own = F.expr("shiftright(key, 8)").bitwiseAND((1 << (8 * top)) - 1)
+    buckets = max(8, -(-strings.count() // BUCKET))
+    dealt = strings.select("key", "n", F.pmod(F.xxhash64(own), F.lit(buckets)).alias("bucket")).groupBy("bucket")
+    none = np.zeros(0)
+    code, p, rest = np.zeros(0, np.int64), none, none
+    if top:
+        tops = dealt.applyInPandas(_tops(depth, top), "code long, zeros double, ones double, below double")
+        first = tops.groupBy("code").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toPandas()
+        code, p, rest = _path(first, top)
+    return dealt.applyInPandas(_coded(depth, top, code, p, rest), "key long, ln double")
 
 
 class Lookup:

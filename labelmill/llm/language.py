@@ -116,11 +116,12 @@ class Filters:
         out.cells = out.cells.astype(f"uint{width}")  # a worker holds one copy
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """(language, score) of each text: the winner's part of the corrected counts of the
-        two best. Text without letters is unknown with score 0, and so is text of which no
-        language holds more n-grams than the filter's false positives explain."""
-        names, scores = [], []
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, evidence) of each text: the language with the highest corrected
+        count, the first by name of equal ones, and its part of the counts of the two best.
+        Only text without letters is unknown, with score 0. Evidence is whether some language
+        holds more n-grams than the filter's false positives explain."""
+        names, scores, evidence = [], [], []
         for part in _parts(texts):
             h, doc, count = text_grams(part)
             total = np.bincount(doc, minlength=len(part)).astype(float)
@@ -135,9 +136,10 @@ class Filters:
             top = np.sort(hits, 0)[::-1]
             both = top[0] + (top[1] if len(top) > 1 else 0)
             score = np.where(both > 0, top[0] / np.maximum(both, 1e-9), 0.0)
-            names += [self.languages[b] if k else UNKNOWN for b, k in zip(best, known & (count > 0))]
-            scores.append(np.where(known & (count > 0), score, 0.0))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+            names += [self.languages[b] if k else UNKNOWN for b, k in zip(best, count > 0)]
+            scores.append(np.where(count > 0, score, 0.0))
+            evidence.append(known & (count > 0))
+        return names, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(evidence) if evidence else np.zeros(0, bool)
 
 
 def held_out(modulus: int = 3, rest: int = 1) -> Column:
@@ -183,21 +185,23 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filte
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (replacing columns of these names).
+    """All columns of ``docs`` with lang_pred, score and lang_evidence (replacing columns of
+    these names).
 
-    Reads text only. Null text, text without a letter and text without evidence for any
-    language get "und" and score 0; without any learned language every text does.
+    Reads text only. Null text and text without a letter get "und" and score 0; without any
+    learned language every text does. lang_evidence is false for these, and for texts of
+    which no language holds more n-grams than chance explains.
     """
-    docs = bounded_batches(docs.drop("lang_pred", "score"))
+    docs = bounded_batches(docs.drop("lang_pred", "score", "lang_evidence"))
     known = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the learning sample
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    @F.pandas_udf("struct<lang_pred:string,score:double,lang_evidence:boolean>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = known.value
         for text in batches:
             texts = [t or "" for t in text]
-            names, score = model.predict(texts) if model.languages else ([UNKNOWN] * len(texts), 0.0)
-            yield pd.DataFrame({"lang_pred": names, "score": score})
+            names, score, evidence = model.predict(texts) if model.languages else ([UNKNOWN] * len(texts), 0.0, False)
+            yield pd.DataFrame({"lang_pred": names, "score": score, "lang_evidence": evidence})
         give_back()
 
     return docs.withColumn("_p", predict(F.col("text").cast("string"))).select(*docs.columns, "_p.*")

@@ -34,7 +34,7 @@ BUCKET_BYTES = 1 << 20
 #: A column with so many entries in one slice of a task counts as frequent without a count.
 HOT_IN_SLICE = 64
 _LOW48 = U((1 << 48) - 1)
-_SETS, _SETS_ARROW = arrow_schema({"doc_id": "long", "n_shingles": "long", "cls": "long"})
+_SETS, _SETS_ARROW = arrow_schema({"doc_id": "long", "row": "long", "n_shingles": "long", "cls": "long"})
 _POST, _POST_ARROW = arrow_schema({"block": "int", "cls": "binary", "size": "binary", "count": "binary", "low": "binary", "high": "binary", "told": "boolean"})
 _ROW, _ROW_ARROW = arrow_schema({"cls": "long", "n": "long", "shared": "array<long>", "part": "array<long>", "first_pos": "long", "last": "long", "bits": "binary"})
 
@@ -62,16 +62,17 @@ def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and cls, the fingerprint of the shingle set."""
+    """doc_id, row (a hash of the text), n_shingles and cls, the fingerprint of the set."""
 
     @lean
     def run(batches):
         for batch in batches:
             for part in W.slices(batch):
                 _, bounds, cls = shingle_sets(part, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(cls.view(np.int64))], schema=_SETS_ARROW)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.diff(bounds), pa.int64()), pa.array(cls.view(np.int64))], schema=_SETS_ARROW)
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SETS)
+    text = F.col("text").cast("string")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, _SETS)
 
 
 def _posts(batch: pa.RecordBatch, size: int, blocks: int):
@@ -367,6 +368,14 @@ def link_rows(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return links.unionByName(_verified(pairs, rows, percent))
 
 
+def _named_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, row, n_shingles, cls and root, the component's fingerprint, of every document."""
+    rows = saved(matrix_rows(docs, size, percent), "matrix-rows")
+    roots = components(saved(link_rows(rows, percent), "links"))
+    named = document_sets(docs, size).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return saved(named, "named-sets")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, cls (fingerprint of the set) and component_id of every document.
 
@@ -376,12 +385,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     linked with nothing: their component is their own doc_id. A null doc_id is kept and
     loses to any other id. Columns other than doc_id and text are not read.
     """
-    rows = saved(matrix_rows(docs, size, percent), "matrix-rows")
-    roots = components(saved(link_rows(rows, percent), "links"))
-    sets = document_sets(docs, size)
-    named = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = saved(named, "named-sets")
+    named = _named_sets(docs, size, percent)
     first = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("_first"))
     out = named.join(first, "root", "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("_first")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "cls", F.coalesce(linked, "doc_id").alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component of the join the row
+    with the smallest doc_id stays (null ids last, then by a hash of the text), once if it is
+    repeated. Rows without words stay. Rows are told apart by id and text, so a null or
+    repeated id never takes another text with it."""
+    named = _named_sets(docs.select("doc_id", "text"), size, percent).filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.row").alias("_row"))
+    wordless = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "") == ""
+    keyed = docs.withColumns({"_row": F.xxhash64(F.col("text").cast("string")), "_doc": F.col("doc_id").cast("long")})
+    kept = keyed.filter(~wordless).join(first.withColumnRenamed("_doc", "_first"), "_row").filter(F.col("_doc").eqNullSafe(F.col("_first"))).dropDuplicates(["_doc", "_row"])
+    return kept.select(*docs.columns).unionByName(docs.filter(wordless))

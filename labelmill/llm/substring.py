@@ -30,7 +30,7 @@ from labelmill.llm.steps import arrow_schema, block_count, bounded_batches, give
 
 U = np.uint64
 WINDOW, SEED = 20, 8
-_POST, _POST_ARROW = arrow_schema({"block": "int", "known": "boolean", "doc": "binary", "pos": "binary", "len": "binary", "seed": "binary", "win": "binary", "src": "binary", "src_pos": "binary"})
+_POST, _POST_ARROW = arrow_schema({"block": "int", "known": "boolean", "doc": "binary", "pos": "binary", "len": "binary", "win": "binary", "src": "binary", "src_pos": "binary"})
 _FACTOR = "_id long, pos binary, len binary, src binary, src_pos binary"
 
 
@@ -82,16 +82,15 @@ def _posts(batch: pa.RecordBatch, window: int, seed: int, blocks: int):
         size = np.diff(bound)[by]
         lead = lead[by]
         if is_known:
-            wins, wcut = np.zeros(0, np.uint32), np.zeros(blocks + 1, int)
+            wins, wcut = np.zeros(0, U), np.zeros(blocks + 1, int)
             src, spos = s_id[bound[:-1]][by], s_pos[bound[:-1]][by]
         else:
             begin = np.concatenate(([0], np.cumsum(size)))
-            wins = win[sel[np.repeat(bound[:-1][by] - begin[:-1], size) + np.arange(begin[-1])]].astype(np.uint32)
+            wins = win[sel[np.repeat(bound[:-1][by] - begin[:-1], size) + np.arange(begin[-1])]]
             wcut = begin[cut]
             src = spos = np.zeros(0, np.int64)
         scut = cut if is_known else np.zeros(blocks + 1, int)
-        lowcut = scut * 0 if is_known else cut
-        cols = [W.packed(ids[d[lead]], cut), W.packed(pos[lead].astype(np.int32), cut), W.packed(size.astype(np.int32), cut), W.packed(np.zeros(0, U) if is_known else low[lead], lowcut), W.packed(wins, wcut), W.packed(src, scut), W.packed(spos.astype(np.int32), scut)]
+        cols = [W.packed(ids[d[lead]], cut), W.packed(pos[lead].astype(np.int32), cut), W.packed(size.astype(np.int32), cut), W.packed(wins, wcut), W.packed(src, scut), W.packed(spos.astype(np.int32), scut)]
         full = np.flatnonzero(np.diff(cut))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), is_known)), *[pa.array([c[i] for i in full], pa.binary()) for c in cols]], schema=_POST_ARROW)
 
@@ -114,10 +113,9 @@ def _block_factors(pdf: pd.DataFrame) -> pd.DataFrame:
     out = [tuple(_joined(told, n, k) for n, k in (("doc", np.int64), ("pos", np.int32), ("len", np.int32), ("src", np.int64), ("src_pos", np.int32)))]
     size = _joined(posted, "len", np.int32)
     if len(size):
-        doc, low, win = np.repeat(_joined(posted, "doc", np.int64), size), np.repeat(_joined(posted, "seed", U), size), _joined(posted, "win", np.uint32)
+        doc, key = np.repeat(_joined(posted, "doc", np.int64), size), _joined(posted, "win", U)
         begin = np.cumsum(size) - size
-        pos = np.repeat(_joined(posted, "pos", np.int32) - begin, size) + np.arange(len(win))
-        key = low ^ W.mix(win)
+        pos = np.repeat(_joined(posted, "pos", np.int32) - begin, size) + np.arange(len(key))
         order = np.argsort(key, kind="stable")
         k = key[order]
         twin = np.zeros(len(k), bool)

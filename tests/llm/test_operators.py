@@ -98,6 +98,17 @@ def test_substring_dedup(spark):
     assert substring.deduplicate(documents(spark).limit(0)).count() == 0
 
 
+def test_windows_around_one_phrase_are_told_apart():
+    """300,000 different texts share a phrase, and so one block: none repeats another."""
+    import pyarrow as pa
+
+    n = 300_000
+    texts = pa.array([f"a{i} b{i} c{i} d{i} e{i} f{i} the very same phrase of eight words here g{i} h{i} i{i} j{i} k{i} l{i}" for i in range(n)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), texts], names=["_id", "text"])
+    posts = pa.Table.from_batches(substring._posts(batch, 20, 8, 1)).to_pandas()
+    assert len(substring._block_factors(posts)) == 0
+
+
 def test_factors_name_their_source(spark):
     docs = documents(spark).filter("doc_id in (1, 3, 10, 9)")
     texts = {r.doc_id: r.text.split() for r in docs.collect()}
@@ -107,6 +118,22 @@ def test_factors_name_their_source(spark):
             assert (f.source_doc, f.source_start) < (r.doc_id, f.start) and f.n_words >= 20
 
 
+def test_one_per_component_tells_rows_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "other")
+    rows = [(1, a), (1, a), (9, near), (9, c), (None, a), (None, b), (None, b), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS cls", "3 AS row")
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.one_per_component(docs).collect()), key=str)
+    assert got == sorted([(1, a), (9, c), (None, b), (5, ""), (5, ""), (6, None)], key=str)
+
+
+def test_decontaminate_rows_that_share_an_id(spark):
+    leak, clean = " ".join(SENTENCE[:14]), " ".join(f"w{i}" for i in range(30))
+    rows = [(1, leak), (1, clean), (None, leak), (None, clean), (None, leak)]
+    out = contamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text, r.n_hit) for r in out.collect()), key=str) == sorted([(i, t, 14 if t == leak else 0) for i, t in rows], key=str)
+
+
 def test_decontaminate(spark):
     items = [(1, " ".join(SENTENCE[:14])), (2, "Two Words"), (3, None), (4, "..."), (20, " ".join(SENTENCE[3:13])), (5, "q"), (1, "é")]
     got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination.decontaminate(documents(spark), spark.createDataFrame(items, "item_id long, text string")).collect()}
