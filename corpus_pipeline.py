@@ -29,13 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language.learn(docs.filter(~language.held_out()))
     letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
     unjudged = (letters > 0) & (letters < (SHORT if filters.cells.any() else 1 << 31))
-    return language.identify(docs, filters).filter((F.col("lang_pred") != language.UNKNOWN) | unjudged).select(*_columns(docs))
+    return language.identify(docs, filters).filter(F.col("lang_evidence") | unjudged).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group; rows without an id are kept."""
-    gone = ngram_join.near_duplicates(docs.select("doc_id", "text")).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
+    """Keep one row of each group, that with the smallest id; rows without words stay."""
+    return ngram_join.one_per_component(docs).select(*_columns(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
