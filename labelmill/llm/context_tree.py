@@ -34,7 +34,7 @@ U = np.uint64
 DEPTH = 5
 #: Bytes of whole texts per slice, and of those that are worked on at once. Marks are bytes
 #: that UTF-8 never holds.
-SLICE, RUN, START, END = 48 << 20, 4 << 20, 0xFE, 0xFF
+SLICE, RUN, START, END = 32 << 20, 1 << 20, 0xFE, 0xFF
 #: Tokens and strings have keys of their own; the end mark counts as a token.
 TOKEN, STRING = 0, 1
 END_TOKEN = int(W.mix(np.array([0x454E44], U)).view(np.int64)[0])
@@ -58,23 +58,25 @@ def slices(docs: DataFrame) -> DataFrame:
         codec = pa.Codec("zstd", compression_level=1)
 
         def out() -> pa.RecordBatch:
-            all_rows = pa.Table.from_batches(held).combine_chunks()
-            buf, offsets = W.text_bytes(all_rows.column("text").combine_chunks())
-            ids = all_rows.column("doc_id").combine_chunks().cast(pa.int64())
-            flags = [np.asarray(f.to_numpy(zero_copy_only=False), bool).tobytes() for f in (ids.is_valid(), all_rows.column("held").combine_chunks())]
-            plain = W.ascii_lower(buf).tobytes()
-            row = [int(all_rows.column("first")[0].as_py()), ids.fill_null(0), *flags, np.diff(offsets).astype(np.int64).tobytes(), len(plain), codec.compress(plain, asbytes=True)]
-            arrays = [pa.array([v.to_pylist() if isinstance(v, pa.Array) else v], f.type) for v, f in zip(row, _SLICES_ARROW)]
-            return pa.RecordBatch.from_arrays(arrays, schema=_SLICES_ARROW)
+            first, ids, known, flags, sizes, plain = zip(*held)
+            joined = b"".join(plain)
+            row = [first[0], np.concatenate(ids), np.concatenate(known).tobytes(), np.concatenate(flags).tobytes(), np.concatenate(sizes).tobytes(), len(joined), codec.compress(joined, asbytes=True)]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SLICES_ARROW)], schema=_SLICES_ARROW)
+
+        def entry(part: pa.RecordBatch) -> tuple:
+            buf, offsets = W.text_bytes(part.column("text"))
+            ids = part.column("doc_id").cast(pa.int64())
+            known, flags = (np.asarray(f.to_numpy(zero_copy_only=False), bool) for f in (ids.is_valid(), part.column("held")))
+            return part.column("first")[0].as_py(), ids.fill_null(0).to_numpy(), known, flags, np.diff(offsets).astype(np.int64), W.ascii_lower(buf).tobytes()
 
         for batch in batches:
-            for part in W.slices(batch, "text", SLICE):
-                bytes_ = int(W.text_bytes(part.column("text"))[1][-1])
-                if held and size + bytes_ > SLICE:
+            for part in W.slices(batch):
+                new = entry(part)
+                if held and size + len(new[-1]) > SLICE:
                     yield out()
                     held, size = [], 0
-                held.append(part)
-                size += bytes_
+                held.append(new)
+                size += len(new[-1])
         if held:
             yield out()
 
@@ -156,7 +158,7 @@ def counted(parts: DataFrame, depth: int) -> DataFrame:
                     key, begin = s.strings(first, last, depth)
                     for kind, new in ((TOKEN, _weighted(token, learn[doc])), (STRING, _weighted(key, np.repeat(learn, np.diff(begin))))):
                         found[kind] += new
-                        if len(found[kind]) > 8:
+                        if len(found[kind]) > 6:
                             found[kind] = [_added(found[kind])]
                 for kind, added in found.items():
                     key, n = _added(added)
