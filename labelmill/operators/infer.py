@@ -8,7 +8,9 @@ must be written once (``session.materialize``) before anything reads it twice.
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import http.client
 import json
 import threading
 import time
@@ -72,11 +74,14 @@ class HashResponder:
 
 @dataclass
 class HttpResponder:
-    """One POST per request to a model server."""
+    """One POST per request to a model server. A server that says it is busy (429 or 503) is
+    asked again, up to ``retries`` times, after the pause it names or a doubling one."""
 
     url: str
     timeout_s: float = 60.0
     headers: dict[str, str] = field(default_factory=dict)
+    retries: int = 3
+    pause_s: float = 1.0
 
     def open(self) -> None:
         pass
@@ -84,17 +89,28 @@ class HttpResponder:
     def close(self) -> None:
         pass
 
-    def respond(self, key, request):
-        start = time.monotonic()
+    def _post(self, request: str):
+        """(reply body, transport error, seconds to wait before another try or None)"""
         post = urllib.request.Request(self.url, request.encode(), {"Content-Type": "application/json", **self.headers})
-        body = error = None
         try:
             with urllib.request.urlopen(post, timeout=self.timeout_s) as r:
-                body = r.read().decode("utf-8", "replace")
+                return r.read().decode("utf-8", "replace"), None, None
         except urllib.error.HTTPError as e:
-            body = e.read().decode("utf-8", "replace")
-        except OSError as e:
-            error = f"request failed: {e}"
+            wait = None
+            if e.code in (429, 503):
+                named = (e.headers.get("Retry-After") or "") if e.headers else ""
+                wait = float(named) if named.strip().isdigit() else self.pause_s
+            return e.read().decode("utf-8", "replace"), None, wait
+        except (OSError, http.client.HTTPException) as e:
+            return None, f"request failed: {e or type(e).__name__}", None
+
+    def respond(self, key, request):
+        start = time.monotonic()
+        for attempt in range(self.retries + 1):
+            body, error, wait = self._post(request)
+            if wait is None or attempt == self.retries:
+                break
+            time.sleep(wait * 2**attempt)
         return body, error, int((time.monotonic() - start) * 1000)
 
 
@@ -118,7 +134,8 @@ class Pace:
 def _calls(workers: int | None, pace: Pace | None, respond):
     """(open a pool, call) where calls of one task overlap up to ``workers`` at a time.
 
-    Request starts are paced one after the other, as the pool hands them out.
+    Request starts are paced one after the other, as the pool hands them out. Whatever a call
+    raises becomes its row's error: no reply can end the job.
     """
     lock = threading.Lock()
 
@@ -126,19 +143,34 @@ def _calls(workers: int | None, pace: Pace | None, respond):
         if pace:
             with lock:
                 pace.wait()
-        return respond(*request)
+        start = time.monotonic()
+        try:
+            return respond(*request)
+        except Exception as e:  # noqa: BLE001  a responder may raise anything
+            return None, f"request failed: {e or type(e).__name__}", int((time.monotonic() - start) * 1000)
 
     return ThreadPoolExecutor(max(1, workers or 1)), one
 
 
+def _in_flight(pool: ThreadPoolExecutor, call, batches: Iterator[tuple]) -> Iterator[list]:
+    """Replies batch by batch. Calls of the next batch start while slow ones of this batch
+    are still out, so that one slow reply doesn't leave the other workers idle."""
+    waiting: collections.deque = collections.deque()
+    for columns in batches:
+        waiting.append([pool.submit(call, *row) for row in zip(*columns)])
+        if len(waiting) > 1:
+            yield [f.result() for f in waiting.popleft()]
+    while waiting:
+        yield [f.result() for f in waiting.popleft()]
+
+
 def responder_udf(responder: Responder, pace: Pace | None = None, workers: int | None = None):
     @F.pandas_udf(REPLY)
     def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         responder.open()
         pool, one = _calls(workers, pace, responder.respond)
         try:
-            for keys, bodies in batches:
-                rows = list(pool.map(one, keys, bodies))
+            for rows in _in_flight(pool, one, batches):
                 out = pd.DataFrame(rows, columns=["body", "transport_error", "elapsed_ms"])
                 yield out.astype({"elapsed_ms": "int64"})
         finally:
@@ -165,7 +197,7 @@ def infer(
     tool_calls, usage and finish_reason.
     """
     key = key or ["row_index"]
-    pace = Pace(per_second, df.sparkSession.sparkContext.defaultParallelism) if per_second else None
+    pace = Pace(per_second, running_tasks(df)) if per_second else None
     ask = responder_udf(responder, pace, workers)
     keyed = F.concat_ws(":", *[F.col(k).cast("string") for k in key])
     out = df.withColumn("_reply", ask(keyed, F.col(request)))
@@ -199,7 +231,7 @@ def infer_attempts(
     ``gap_s`` is the pause between attempts.
     """
     check_repeat(repeat)
-    pace = Pace(per_second, df.sparkSession.sparkContext.defaultParallelism) if per_second else None
+    pace = Pace(per_second, running_tasks(df)) if per_second else None
 
     @F.pandas_udf("struct<body array<string>, transport_error array<string>, elapsed_ms array<bigint>>")
     def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -215,8 +247,8 @@ def infer_attempts(
             return tuple(map(list, zip(*replies)))
 
         try:
-            for keys, bodies in batches:
-                yield pd.DataFrame(list(pool.map(attempts_of, keys, bodies)), columns=["body", "transport_error", "elapsed_ms"])
+            for rows in _in_flight(pool, attempts_of, batches):
+                yield pd.DataFrame(rows, columns=["body", "transport_error", "elapsed_ms"])
         finally:
             pool.shutdown()
             responder.close()
@@ -238,6 +270,12 @@ def infer_attempts(
     return out.withColumn("attempts", F.transform(replies, attempt)).drop("_r")
 
 
+def running_tasks(df: DataFrame) -> int:
+    """How many tasks over the partitions of ``df`` can run at once: a rate is shared by these."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return slots if df.isStreaming else max(1, min(slots, df.rdd.getNumPartitions()))
+
+
 def check_repeat(repeat: int) -> None:
     if not 1 <= repeat <= 10:
         raise ValueError("repeat count must be between 1 and 10")

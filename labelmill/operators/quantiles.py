@@ -1,18 +1,20 @@
 """Exact order statistics without sorting the rows on one machine.
 
-Rows are first reduced to counts per distinct value, which also removes any skew.
-Distinct values are then put into equal-width buckets; running counts over the bucket
-totals (at most MAX_BUCKETS rows per group) tell which bucket holds each wanted rank,
-and only that bucket's values are ranked.
+Rows are first reduced to counts per distinct value, which also removes any skew. Ranks
+are then found by radix selection: values get order-preserving integer keys, and the digits
+of the wanted value's key are found one by one, from the highest. Each step adds up counts
+by the next digit (at most 65,536 of them) behind the digits known so far, so neither the
+spread of the values nor an outlier changes what a step has to hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelmill.session import materialize
 
-MAX_BUCKETS = 65536
+#: Bits of a key, and of one of its digits.
+KEY_BITS, DIGIT_BITS = 64, 16
 
 
 def value_counts(df: DataFrame, value: Column, group: Column | None = None) -> DataFrame:
@@ -26,35 +28,53 @@ def value_counts(df: DataFrame, value: Column, group: Column | None = None) -> D
     return materialize(pairs.groupBy("grp", "v").agg(F.count("*").alias("n")), "counts")
 
 
+def sort_key(counts: DataFrame) -> Column:
+    """A long that never falls where v rises. Whole numbers are their own key; others go by
+    sign and logarithm, where close values may share one. NaN is above infinity."""
+    v = F.col("v")
+    if isinstance(counts.schema["v"].dataType, T.IntegralType):
+        return v.cast("long")
+    x = v.cast("double")
+    size = F.abs(x)
+    known = F.when((size == 0) | F.isnan(x), F.lit(1.0)).when(size == float("inf"), F.lit(1.0)).otherwise(size)
+    place = F.lit(1 << 51) + F.round(F.log2(known) * F.lit(float(1 << 40))).cast("long")
+    place = F.when(size == float("inf"), F.lit(1 << 60)).otherwise(place)
+    return F.when(F.isnan(x), F.lit(1 << 61)).when(size == 0, F.lit(0).cast("long")).when(x < 0, -place).otherwise(place)
+
+
+def _narrowed(placed: DataFrame, wanted: DataFrame, prefix: Column, part: list[Column]) -> DataFrame:
+    """Wanted ranks (grp, known, picks), each moved into the part of its prefix that holds it.
+
+    Only values with a wanted prefix are read; their counts are added up by ``part``, and the
+    running counts of one prefix tell where a rank falls. A pick's rank is then counted from
+    the start of that part.
+    """
+    inside = placed.withColumn("known", prefix).join(F.broadcast(wanted), ["grp", "known"])
+    sums = inside.groupBy("grp", "known", *part).agg(F.sum("n").alias("n"), F.any_value("picks").alias("picks"))
+    keys = [c for c in sums.columns if c not in ("grp", "known", "n", "picks")]
+    running = F.sum("n").over(Window.partitionBy("grp", "known").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    before = F.col("upto") - F.col("n")
+    hit = sums.withColumn("upto", running).select("grp", "known", *keys, before.alias("before"), "upto", F.explode("picks").alias("p"))
+    return hit.filter((F.col("p.rank") >= F.col("before")) & (F.col("p.rank") < F.col("upto")))
+
+
 def pick_ranks(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:
     """grp, pick, v, total: the value at each 0-based rank of the sorted rows.
 
-    ``ranks`` are expressions over ``total``, the group's number of rows. Groups are
-    named by the caller (one, or one per listed field), so the bounds of each group and
-    the wanted buckets are a handful of rows; they reach the tasks as scalar arrays.
+    ``ranks`` are expressions over ``total``, the group's number of rows. Groups are named by
+    the caller (one, or one per listed field), so the wanted ranks are a handful of rows: they
+    are broadcast, and only counts that can hold one are grouped.
     """
-    span = counts.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    spans = span.agg(F.collect_list(F.struct("grp", "lo", "hi", "total")))
-
-    def bucket(v: Column, s: Column) -> Column:
-        width = F.greatest((s["hi"] - s["lo"]) / F.lit(float(MAX_BUCKETS)), F.lit(1e-9))
-        return F.least(F.floor((v - s["lo"]) / width), F.lit(MAX_BUCKETS - 1))
-
-    own = F.element_at(F.filter(F.col("spans"), lambda s: s["grp"] == F.col("grp")), 1)
-    placed = counts.withColumn("spans", spans.scalar()).withColumn("s", own).withColumn("b", bucket(F.col("v"), F.col("s")))
-    totals = placed.groupBy("grp", "s", "b").agg(F.sum("n").alias("bn"))
-    running = F.sum("bn").over(Window.partitionBy("grp").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-    totals = totals.withColumn("before", running - F.col("bn")).withColumn("total", F.col("s.total"))
-    wanted = F.array(*[F.struct(F.lit(k).alias("pick"), r.cast("long").alias("r")) for k, r in ranks.items()])
-    hit = totals.withColumn("w", F.explode(wanted)).filter(
-        (F.col("w.r") >= F.col("before")) & (F.col("w.r") < F.col("before") + F.col("bn"))
-    )
-    hits = hit.agg(F.collect_list(F.struct("grp", "b", "s", "before", "total", F.col("w.pick").alias("pick"), F.col("w.r").alias("r"))))
-    mine = F.filter(F.col("hits"), lambda h: (h["grp"] == F.col("grp")) & (h["b"] == bucket(F.col("v"), h["s"])))
-    inside = counts.withColumn("hits", hits.scalar()).select("grp", "v", "n", F.explode(mine).alias("h"))
-    upto = F.sum("n").over(Window.partitionBy("grp", "h.pick").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("upto", upto + F.col("h.before")).filter(F.col("upto") > F.col("h.r"))
-    return inside.groupBy("grp", "h.pick").agg(F.min("v").alias("v"), F.max("h.total").alias("total"))
+    placed = counts.withColumn("key", sort_key(counts))
+    each = F.array(*[F.struct(F.lit(k).alias("pick"), r.cast("long").alias("rank"), F.col("total").alias("total")) for k, r in ranks.items()])
+    wanted = counts.groupBy("grp").agg(F.sum("n").alias("total")).select("grp", F.lit(0).cast("long").alias("known"), each.alias("picks"))
+    moved = F.struct("p.pick", (F.col("p.rank") - F.col("before")).alias("rank"), "p.total")
+    prefix = F.lit(0).cast("long")
+    for low in range(KEY_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
+        longer = F.expr(f"shiftright(key, {low})")
+        wanted = _narrowed(placed, wanted, prefix, [longer.alias("next")]).groupBy("grp", F.col("next").alias("known")).agg(F.collect_list(moved).alias("picks"))
+        prefix = longer
+    return _narrowed(placed, wanted, F.col("key"), [F.col("v")]).select("grp", "p.pick", "v", "p.total")
 
 
 def floor_rank(p: float) -> Column:

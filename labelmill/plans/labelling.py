@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelmill.config import Job
+from labelmill.config import Job, run_manifest
 from labelmill.functions import requests, templates
 from labelmill.operators import consensus, infer, resume
 from labelmill.operators.infer import Responder
@@ -53,6 +54,48 @@ def label_table(rows: DataFrame, job: Job, responder: Responder, text: str = "te
     return resume.merge_results(done, out) if done is not None else out
 
 
+def results_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """What runs have committed below ``path``, one row per row_index; None before the first.
+
+    A task that was lost while it committed may have been run again, so that its rows are
+    there twice.
+    """
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return found.dropDuplicates(["row_index"])
+
+
+def label_to(rows: DataFrame, job: Job, responder: Responder, path: str, text: str = "text", rows_per_commit: int | None = None, retry_failed: bool = False) -> DataFrame:
+    """Results for every row below ``path``, durable while the run goes on.
+
+    Every task moves its file to ``path`` when it ends, not when the job does, so what has
+    been paid for survives a failed job and a lost driver. Running it again asks only for rows
+    without a committed result (and failed ones with ``retry_failed``, whose new results
+    replace the old), and appends. ``rows_per_commit`` deals the rows into tasks of that size;
+    otherwise they keep their partitions. Settings of the run, without the key, are written to
+    ``_manifest`` below the path.
+    """
+    spark = rows.sparkSession
+    done = results_at(spark, path)
+    todo = rows if done is None else resume.remaining(rows, done, retry_failed=retry_failed)
+    if rows_per_commit:
+        tasks = max(1, -(-todo.count() // rows_per_commit))
+        todo = todo.repartition(tasks, "row_index")
+    if retry_failed and done is not None:
+        kept = materialize(done.filter("success"), "kept-results")
+        answered = materialize(answer(prepare_requests(todo, job, text), job, responder), "results")
+        resume.merge_results(kept, answered).write.mode("overwrite").parquet(path)
+    else:
+        ready = answer(prepare_requests(todo, job, text), job, responder)
+        ready.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    run_manifest(spark, job, path=path).write.mode("append").json(f"{path}/_manifest")
+    return results_at(spark, path)
+
+
 def label_stream(rows: DataFrame, job: Job, responder: Responder, text: str = "text") -> DataFrame:
     """The same for a stream of rows; write it with ``streaming.stream_results``, whose
     checkpoint also resumes an interrupted run."""

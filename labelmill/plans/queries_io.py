@@ -425,3 +425,18 @@ def _(spark, d):
     streams.write_once(streams.stream_consensus(as_stream(spark, a, "gaps-in"), 5), out, scratch_path(spark, "gaps-cp")).awaitTermination()
     voted = spark.read.parquet(out)
     return rounded(voted.unionByName(streams.votes_at_end(a, voted)))
+
+
+@query("t5_stream_consensus_timers", f"{VOTES} SELECT row_index, final_answer, count, total, round(ratio, 6) AS ratio FROM v")
+def _(spark, d):
+    """Failed attempts never arrive, so rows that have one vote by their timers. Attempts are a
+    second apart; a last marker, which is no vote, moves event time beyond the last timer."""
+    at = (F.col("row_index") * 10 + F.col("attempt_no")).cast("timestamp")
+    a = V.attempts(spark, d).filter("success").select("row_index", "attempt_no", "answer", "success", at.alias("at"))
+    path, out = scratch_path(spark, "timed-in"), scratch_path(spark, "timed-out")
+    _in_order(a, "row_index").write.parquet(path)
+    last = a.agg(F.max("at").alias("last")).selectExpr("cast(null as bigint) as row_index", "0 as attempt_no", "'' as answer", "false as success", "last + interval 1 hour as at")
+    last.write.mode("append").parquet(path)
+    votes = streams.stream_consensus(streams.read_stream(spark, path, a.schema), 5, time="at", wait="1 minute")
+    streams.write_once(votes, out, scratch_path(spark, "timed-cp")).awaitTermination()
+    return rounded(spark.read.parquet(out))

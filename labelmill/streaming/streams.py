@@ -136,13 +136,73 @@ def vote_when_complete(repeat: int) -> Callable:
     return step
 
 
-def stream_consensus(attempts: DataFrame, repeat: int, key: str = "row_index", buckets: int = 256) -> DataFrame:
+_ROW_STATE = "attempt_no array<int>, answer array<string>, success array<boolean>, latest bigint, voted boolean"
+
+
+def vote_or_expire(repeat: int, wait_ms: int) -> Callable:
+    """State function of one row: vote when the last attempt is in, or when none has come for
+    ``wait_ms`` of event time. A row that has voted is remembered for as long again, so that
+    attempts that come later don't make it vote twice, and is then forgotten."""
+
+    def vote(key: tuple, held: dict[int, tuple[str, bool]]) -> pd.DataFrame | None:
+        tally: dict[str, tuple[int, int]] = {}
+        for n, (answer, good) in held.items():
+            if good:
+                count, first = tally.get(answer, (0, n))
+                tally[answer] = count + 1, min(first, n)
+        if not tally:
+            return None
+        total = sum(c for c, _ in tally.values())
+        answer, (count, _) = min(tally.items(), key=lambda x: (-x[1][0], x[1][1]))
+        return pd.DataFrame({"row_index": [key[0]], "final_answer": [answer], "count": [count], "total": [total], "ratio": [count / total]})
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        numbers, answers, good, latest, voted = state.get if state.exists else ([], [], [], None, False)
+        held = dict(zip(numbers, zip(answers, good)))
+        if state.hasTimedOut:
+            if voted:
+                state.remove()
+                return
+            state.update(([], [], [], latest, True))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + wait_ms)
+            done = vote(key, held)
+            if done is not None:
+                yield done
+            return
+        for pdf in batches:
+            for n, answer, ok, at in zip(pdf["attempt_no"], pdf["answer"], pdf["success"], pdf["at"]):
+                held.setdefault(int(n), (answer, bool(ok)))  # an attempt may be delivered twice
+                latest = max(latest or 0, at.value // 1_000_000)
+        complete = not voted and len(held) >= repeat
+        if voted or complete:
+            state.update(([], [], [], latest, True))
+        else:
+            state.update((list(held), [x[0] for x in held.values()], [x[1] for x in held.values()], latest, False))
+        state.setTimeoutTimestamp(latest + wait_ms)
+        done = vote(key, held) if complete else None
+        if done is not None:
+            yield done
+
+    return step
+
+
+def stream_consensus(
+    attempts: DataFrame, repeat: int, key: str = "row_index", buckets: int = 256, time: str | None = None, wait: str = "10 minutes", delay: str = "0 seconds",
+) -> DataFrame:
     """Votes as a stream. ``attempts`` needs key, attempt_no, answer and success.
 
-    Rows are hashed into buckets, so one Python call handles many rows. A bucket's state
-    is the attempts of its unfinished rows and nothing else; with more rows in flight,
-    use more buckets.
+    With an event-time column ``time`` every row has a state and a timer of its own: it votes
+    when all attempts are in, or on those it has once event time has gone ``wait`` beyond its
+    latest one; ``delay`` is how late attempts may be delivered. Without it a row waits for
+    all its attempts: rows are hashed into buckets, so one Python call handles many rows,
+    and a bucket's state is the attempts of its unfinished rows.
     """
+    if time is not None:
+        timed = attempts.select(F.col(key).alias("row_index"), F.col("attempt_no").cast("int"), "answer", "success", F.col(time).cast("timestamp").alias("at"))
+        wait_ms = pd.Timedelta(wait) // pd.Timedelta(milliseconds=1)
+        return timed.withWatermark("at", delay).groupBy("row_index").applyInPandasWithState(
+            vote_or_expire(repeat, wait_ms), VOTE_SCHEMA, _ROW_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        )
     slim = attempts.select(F.col(key).alias("row_index"), F.col("attempt_no").cast("int"), "answer", "success")
     slim = slim.withColumn("bucket", F.pmod(F.xxhash64("row_index"), F.lit(buckets)))
     return slim.groupBy("bucket").applyInPandasWithState(

@@ -132,6 +132,28 @@ def test_percentile_ranks(spark):
     assert one.m == 0
 
 
+def test_ranks_do_not_depend_on_the_spread(spark):
+    """One huge outlier, tiny differences, signs and infinities: still the sorted picks."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from labelmill.operators.quantiles import floor_percentiles, linear_percentiles, value_counts
+
+    rng = random.Random(1)
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-12), rng.gauss(0, 1e9), 0.0, 5.0, 1e300, -float("inf")]) for _ in range(800)] + [1e15]
+    df = spark.createDataFrame([(v, "ab"[i % 2]) for i, v in enumerate(values)], "x double, g string")
+    got = {r.grp: r for r in linear_percentiles(df.filter("x > double('-infinity')"), F.col("x"), {"p1": 0.01, "m": 0.5, "p99": 0.99}, F.col("g")).collect()}
+    for k, g in enumerate("ab"):
+        own = [v for v in values[k::2] if v > -np.inf]
+        assert [got[g][p] for p in ("p1", "m", "p99")] == [pytest.approx(np.percentile(own, q)) for q in (1, 50, 99)]
+    whole = [rng.randrange(-5, 5) for _ in range(300)] + [10**15, -(1 << 63), (1 << 63) - 1]
+    ints = spark.createDataFrame([(v,) for v in whole], "v long")
+    counts = value_counts(ints, F.col("v"))
+    assert floor_percentiles(counts, {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p999": 0.9999}).first().asDict() == {p: sorted(whole)[int(q * len(whole))] for p, q in (("p0", 0.0), ("p50", 0.5), ("p99", 0.99), ("p999", 0.9999))}
+
+
 def test_empty_run(spark):
     df = run(spark, [])
     assert run_stats.overview(df).first().total == 0

@@ -164,6 +164,123 @@ def test_streamed_vote_counts_an_attempt_once():
     assert held == [([7, 7], [1, 2], ["a", "b"], [True, True])]
 
 
+def logging_responder(folder, raises="never"):
+    """Leaves a file per call, and raises on one key. Made here so that workers get it by value."""
+
+    class Logging(HashResponder):
+        def respond(self, key, request):
+            import uuid
+
+            with open(f"{folder}/{key}-{uuid.uuid4().hex}", "w"):
+                pass
+            if key == raises:
+                raise RuntimeError("reply cut short")
+            return super().respond(key, request)
+
+    return Logging(fail_one_in=0)
+
+
+def test_whatever_a_responder_raises_is_a_failed_row(spark, tmp_path):
+    for repeat in (1, 3):
+        key = "7" if repeat == 1 else "7:2"
+        got = {r.row_index: r for r in label_table(table(spark, 20), job(repeat=repeat), logging_responder(str(tmp_path), key)).collect()}
+        assert len(got) == 20
+        if repeat == 1:
+            assert (got[7].success, got[7].error) == (False, "request failed: reply cut short") and got[8].success
+        else:
+            assert got[7].consensus.total == 2
+
+
+def test_killed_run_resumes_from_what_was_committed(spark, tmp_path):
+    from labelmill.plans.labelling import label_to, results_at
+
+    calls, path = tmp_path / "calls", str(tmp_path / "out")
+    calls.mkdir()
+    asked = lambda: sorted(int(p.name.split("-")[0]) for p in calls.iterdir())
+    rows = table(spark, 80).repartitionByRange(16, "row_index")
+    # the job dies in the task of row 79, after its retries, behind the calls of other tasks
+    dying = rows.withColumn("kind", F.when(F.col("row_index") == 79, F.raise_error(F.lit("driver lost")).cast("string")).otherwise(F.col("kind")))
+    with pytest.raises(Exception, match="driver lost"):
+        label_to(dying, job(), logging_responder(str(calls)), path)
+    kept = {r.row_index for r in results_at(spark, path).collect()}
+    assert 0 < len(kept) < 80
+    before = asked()
+    out = label_to(rows, job(), logging_responder(str(calls)), path)
+    assert sorted(r.row_index for r in out.collect()) == list(range(80))
+    again = asked()
+    for i in before:
+        again.remove(i)
+    assert not set(again) & kept and set(again) == set(range(80)) - kept
+    assert spark.read.json(f"{path}/_manifest").count() == 1
+    assert label_to(rows, job(), logging_responder(str(calls)), path, rows_per_commit=10).count() == 80 and len(asked()) == len(before) + len(again)
+
+
+def test_busy_server_is_asked_again(monkeypatch):
+    import email.message
+    import io
+    import urllib.error
+
+    from labelmill.operators import infer
+
+    waits, replies = [], [429, 503, None]
+
+    def post(request, timeout):
+        code = replies.pop(0)
+        if code:
+            head = email.message.Message()
+            if code == 429:
+                head["Retry-After"] = "2"
+            raise urllib.error.HTTPError("u", code, "busy", head, io.BytesIO(b"busy"))
+        return io.BytesIO(b"{}")
+
+    monkeypatch.setattr(infer.urllib.request, "urlopen", post)
+    monkeypatch.setattr(infer.time, "sleep", waits.append)
+    assert infer.HttpResponder("http://model").respond("1", "{}")[:2] == ("{}", None) and waits == [2.0, 2.0]
+    monkeypatch.setattr(infer.urllib.request, "urlopen", lambda *a, **k: (_ for _ in ()).throw(infer.http.client.IncompleteRead(b"")))
+    assert infer.HttpResponder("http://model").respond("1", "{}")[1].startswith("request failed")
+
+
+@pytest.mark.parametrize("partitions", [2, 30])
+def test_rate_is_shared_by_the_tasks_that_run(spark, tmp_path, partitions):
+    """Starts per second over the whole run, whatever the number of partitions."""
+    import time
+
+    from labelmill.operators.infer import infer as ask
+
+    rows = prepare_requests(table(spark, 60).repartition(partitions), job())
+    ask(rows.limit(1), HashResponder()).collect()
+    start = time.time()
+    ask(rows, logging_responder(str(tmp_path)), per_second=20.0).collect()
+    stamps = sorted(p.stat().st_mtime for p in tmp_path.iterdir())
+    rate = (len(stamps) - 1) / (stamps[-1] - stamps[0])
+    assert 8 < rate < 30 and time.time() > start
+
+
+def test_streamed_votes_by_timer(spark, tmp_path):
+    """Late, repeated and missing attempts: each row votes once, in the stream."""
+    from labelmill.streaming import streams
+
+    schema = "row_index bigint, attempt_no int, answer string, success boolean, at timestamp"
+    t = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    batches = [
+        [(1, 1, "a", True, 1), (1, 2, "b", True, 2), (1, 2, "b", True, 2), (2, 1, "x", True, 1), (3, 1, "q", False, 1), (4, 1, "m", True, 1)],
+        [(1, 3, "b", True, 30), (4, 2, "n", True, 50)],
+        [(9, 1, "z", True, 130)],  # event time passes the timers of 2 and 4
+        [(2, 2, "y", True, 131), (2, 3, "y", True, 131), (9, 2, "z", True, 132)],  # too late for 2
+        [(None, 0, "", False, 1200)],
+    ]
+    got, path = [], str(tmp_path / "in")
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(*r[:4], t(r[4])) for r in rows], "row_index bigint, attempt_no int, answer string, success boolean, at string").withColumn("at", F.col("at").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        votes = streams.stream_consensus(streams.read_stream(spark, path, df.schema), 3, time="at", wait="60 seconds")
+        streams.write_once(votes, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        got.append(sorted(tuple(r) for r in spark.read.schema(streams.VOTE_SCHEMA).parquet(str(tmp_path / "out")).collect()))
+    assert got[1] == [(1, "b", 2, 3, 2 / 3)]
+    assert got[3] == [(1, "b", 2, 3, 2 / 3), (2, "x", 1, 1, 1.0), (4, "m", 1, 2, 0.5)]
+    assert got[4] == got[3] + [(9, "z", 2, 2, 1.0)]
+
+
 def test_template_column_with_a_dot(spark):
     from labelmill.functions.templates import render_prompt
 
