@@ -68,11 +68,33 @@ def class_counts(cells: DataFrame) -> DataFrame:
     return out.withColumn("fp", F.col("predicted_n") - F.col("tp")).withColumn("fn", F.col("support") - F.col("tp"))
 
 
-def confusion_grid(cells: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """Dense matrix with zeros.
+def confusion_sparse(cells: DataFrame) -> DataFrame:
+    """The cells that occur, with their row's and column's totals and their share of the row:
+    what a matrix tells, for answers of any number. Totals come from aggregations."""
+    rows = cells.groupBy("actual").agg(F.sum("n").alias("actual_total"))
+    columns = cells.groupBy("predicted").agg(F.sum("n").alias("predicted_total"))
+    out = cells.join(rows, "actual").join(columns, "predicted")
+    return out.select("actual", "predicted", "n", "actual_total", "predicted_total", _div(F.col("n"), F.col("actual_total")).alias("row_share"))
+
+
+#: Classes of a dense matrix that nobody has listed: it has the square of them.
+MOST_CLASSES = 2000
+
+
+def _class_list(cells: DataFrame, most: int) -> list[str]:
+    """The label set, sorted; an open set of answers raises instead of being collected."""
+    found = class_counts(cells).select("class").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} classes: name them, or use confusion_sparse")
+    return sorted(r["class"] for r in found)
+
+
+def confusion_grid(cells: DataFrame, classes: list[str] | None = None, most: int = MOST_CLASSES) -> DataFrame:
+    """Dense matrix with zeros, for a class list.
 
     With ``classes`` (live dialect) the rows are exactly those classes and the columns
-    are those plus predictions seen in their rows; otherwise both are the union.
+    are those plus predictions seen in their rows; otherwise both are the union, of at most
+    ``most`` classes.
     """
     if classes is not None:
         cells = cells.filter(F.col("actual").isin(classes))
@@ -82,9 +104,8 @@ def confusion_grid(cells: DataFrame, classes: list[str] | None = None) -> DataFr
         base = cells.sparkSession.range(1)
         grid = base.select(F.explode(rows).alias("actual")).withColumn("predicted", F.explode(columns))
     else:
-        labels = class_counts(cells).select("class")
-        every = labels.agg(F.collect_set("class"))
-        grid = labels.select(F.col("class").alias("actual"), F.explode(every.scalar()).alias("predicted"))
+        labels = F.array(*[F.lit(c) for c in _class_list(cells, most)]).cast("array<string>")
+        grid = cells.sparkSession.range(1).select(F.explode(labels).alias("actual")).withColumn("predicted", F.explode(labels))
     return grid.join(cells, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -15,6 +15,8 @@ from labelmill.session import materialize
 
 #: Bits of a key, and of one of its digits.
 KEY_BITS, DIGIT_BITS = 64, 16
+#: Distinct values that are ranked in one step: no more than a digit has.
+FEW = 1 << DIGIT_BITS
 
 
 def value_counts(df: DataFrame, value: Column, group: Column | None = None) -> DataFrame:
@@ -66,15 +68,20 @@ def pick_ranks(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:
     are broadcast, and only counts that can hold one are grouped.
     """
     placed = counts.withColumn("key", sort_key(counts))
+    values, least, most = placed.agg(F.count("*"), F.min("key"), F.max("key")).first()
+    # Digits that all keys share need no step, and few values need none but the last.
+    open_bits = 0 if values <= FEW else KEY_BITS if least < 0 <= most else (least ^ most).bit_length()
+    above = -(-open_bits // DIGIT_BITS) * DIGIT_BITS
+    shared = 0 if not open_bits or above == KEY_BITS else least >> above
     each = F.array(*[F.struct(F.lit(k).alias("pick"), r.cast("long").alias("rank"), F.col("total").alias("total")) for k, r in ranks.items()])
-    wanted = counts.groupBy("grp").agg(F.sum("n").alias("total")).select("grp", F.lit(0).cast("long").alias("known"), each.alias("picks"))
+    prefix = F.lit(shared).cast("long")
+    wanted = counts.groupBy("grp").agg(F.sum("n").alias("total")).select("grp", prefix.alias("known"), each.alias("picks"))
     moved = F.struct("p.pick", (F.col("p.rank") - F.col("before")).alias("rank"), "p.total")
-    prefix = F.lit(0).cast("long")
-    for low in range(KEY_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
+    for low in range(above - DIGIT_BITS, -1, -DIGIT_BITS):
         longer = F.expr(f"shiftright(key, {low})")
         wanted = _narrowed(placed, wanted, prefix, [longer.alias("next")]).groupBy("grp", F.col("next").alias("known")).agg(F.collect_list(moved).alias("picks"))
         prefix = longer
-    return _narrowed(placed, wanted, F.col("key"), [F.col("v")]).select("grp", "p.pick", "v", "p.total")
+    return _narrowed(placed, wanted, prefix, [F.col("v")]).select("grp", "p.pick", "v", "p.total")
 
 
 def floor_rank(p: float) -> Column:

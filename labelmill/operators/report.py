@@ -91,12 +91,11 @@ def per_class_sheet(results: DataFrame) -> DataFrame:
     return _class_table(results)
 
 
-def confusion_sheet(results: DataFrame) -> DataFrame:
-    """Classes as rows and columns. The class names must be known to build the columns,
-    so the label set (and nothing else) is read on the driver."""
+def confusion_sheet(results: DataFrame, classes: list[str] | None = None, most: int = metrics.MOST_CLASSES) -> DataFrame:
+    """Classes as rows and columns: those given, or the label set of at most ``most``. Open
+    answers have no such sheet; ``metrics.confusion_sparse`` has a row per cell that occurs."""
     cells = metrics.confusion_counts(metrics.report_pairs(results))
-    classes = sorted(r["class"] for r in metrics.class_counts(cells).select("class").collect())
-    return metrics.confusion_wide(cells, classes)
+    return metrics.confusion_wide(cells, metrics._class_list(cells, most) if classes is None else classes)
 
 
 def report_tables(results: DataFrame) -> dict[str, tuple[DataFrame, str | None]]:

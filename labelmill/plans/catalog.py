@@ -11,7 +11,7 @@ from labelmill.functions.parsing import ParsingRules
 from labelmill.operators import metrics
 from labelmill.operators.infer import HashResponder
 from labelmill.plans import queries_clean, queries_io, queries_stats, queries_text, views  # noqa: F401
-from labelmill.plans.labelling import label_stream, label_table
+from labelmill.plans.labelling import label_stream, label_table, label_to
 from labelmill.plans.registry import QUERIES, SQL, query, rounded, table
 from labelmill.session import scratch_path
 from labelmill.streaming import streams
@@ -55,6 +55,16 @@ _STREAM_REPLY = f"""SELECT doc_id AS index, text AS input_text, CAST('0x' || sub
  CASE WHEN CAST('0x' || substr({_H}, 5, 2) AS INTEGER) % 10 = 0 THEN '' ELSE 'case ' || substr({_H}, 1, 4) END AS thinking_content FROM documents"""
 
 
+@query("k1_durable_run", _STREAM_REPLY)
+def _(spark, d):
+    """A run over a part of the documents, then one over all: it asks for the rest only."""
+    rows = table(spark, d, "documents").withColumn("row_index", F.col("doc_id"))
+    path = scratch_path(spark, "durable-run")
+    label_to(rows.filter("lang = 'en'"), JOB, HashResponder(), path)
+    out = label_to(rows, JOB, HashResponder(), path)
+    return out.select(F.col("row_index").alias("index"), "input_text", F.col("success").alias("inference_success"), "final_answer", "thinking_content")
+
+
 @query("t1_stream_labelling", _STREAM_REPLY)
 def _(spark, d):
     """Documents arrive as a file stream, are labelled, and their results streamed out."""

@@ -6,6 +6,10 @@ read back, so a query exercises the writer and the reader on whole tables.
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -122,6 +126,34 @@ def _(spark, d):
     return readers.load_table(spark, f"{d}/events.parquet")
 
 
+def _as_workbook(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One workbook of a group's rows: numbers as values, every other name as shared text."""
+    book, rows = int(pdf["book"].iloc[0]), pdf.sort_values("doc_id")
+    names = ["doc_id", "text", "source", "n_chars"]
+    shared = {v: i for i, v in enumerate(dict.fromkeys([*names, *rows["source"].fillna("")]))}
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    lines = ['<row r="1">' + "".join(f'<c r="{c}1" t="s"><v>{shared[n]}</v></c>' for c, n in zip("ABCD", names)) + "</row>"]
+    for i, r in enumerate(rows.itertuples(), 2):
+        cells = f'<c r="A{i}"><v>{r.doc_id}</v></c><c r="B{i}" t="inlineStr"><is><t>{escape(r.text)}</t></is></c>'
+        lines.append(f'<row r="{i}">{cells}<c r="C{i}" t="s"><v>{shared[r.source or ""]}</v></c><c r="D{i}"><v>{r.n_chars}</v></c></row>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{escape(v)}</t></si>" for v in shared) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>" + "".join(lines) + "</sheetData></worksheet>")
+    return pd.DataFrame({"path": [f"book-{book}"], "content": [out.getvalue()]})
+
+
+@query("s6_read_workbooks", r"""SELECT 'book-' || CAST(doc_id // 500 AS VARCHAR) AS file, doc_id % 500 AS row_index, CAST(doc_id AS VARCHAR) AS doc_id, source, CAST(n_chars AS VARCHAR) AS n_chars,
+  CASE WHEN t = '' THEN CAST(doc_id AS VARCHAR) ELSE t END AS text FROM (SELECT *, regexp_replace(coalesce(text, ''), '[^\x20-\x7E\x{A0}-\x{D7FF}]+', ' ', 'g') AS t FROM documents)""")
+def _(spark, d):
+    """Documents in workbooks of 500 rows, without the characters that XML has no form for."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\x{A0}-\x{D7FF}]+", " ")
+    docs = table(spark, d, "documents").select("doc_id", plain.alias("text"), "source", "n_chars", F.floor(F.col("doc_id") / 500).alias("book"))
+    books = docs.groupBy("book").applyInPandas(_as_workbook, "path string, content binary")
+    cell = lambda n: F.col("cells")[n].alias(n)
+    return readers.read_workbooks(books).select("file", "row_index", cell("doc_id"), cell("source"), cell("n_chars"), "text")
+
+
 _TEXT_VIEW = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE source END AS content, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE lang END AS text, text AS body FROM documents"""
 _TEXT_SQL = {
     "csv": "CASE WHEN coalesce(text, '') = '' THEN head ELSE text END",

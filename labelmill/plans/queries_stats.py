@@ -237,6 +237,24 @@ for _key in _LIVE_VALUE:
     _live(*_key)
 
 
+@query("m1_confusion_sparse", """WITH c AS (SELECT event_type AS actual, props AS predicted, count(*) AS n FROM events GROUP BY 1, 2)
+ SELECT actual, predicted, n, CAST(sum(n) OVER (PARTITION BY actual) AS BIGINT) AS actual_total, CAST(sum(n) OVER (PARTITION BY predicted) AS BIGINT) AS predicted_total,
+  round(n / sum(n) OVER (PARTITION BY actual), 6) AS row_share FROM c""")
+def _(spark, d):
+    """Open answers: a whole reply is a class, so the matrix has only the cells that occur."""
+    pairs = table(spark, d, "events").select(F.col("event_type").alias("actual"), F.col("props").alias("predicted"))
+    return rounded(metrics.confusion_sparse(metrics.confusion_counts(pairs)))
+
+
+@query("m12_kappa_open_answers", """WITH c AS (SELECT event_type AS a, CASE WHEN event_id % 3 = 0 THEN event_type ELSE props END AS p, count(*) AS n FROM events GROUP BY 1, 2),
+ t AS (SELECT sum(n) AS n, sum(n) FILTER (a = p) AS hit FROM c), m AS (SELECT x, sum(s) AS s, sum(q) AS q FROM (SELECT a AS x, n AS s, 0 AS q FROM c UNION ALL SELECT p, 0, n FROM c) GROUP BY x),
+ e AS (SELECT sum((s / n) * (q / n)) AS pe FROM m, t GROUP BY n) SELECT round(((hit / n) - pe) / (1 - pe), 6) AS cohen_kappa, round(hit / n, 6) AS accuracy FROM t, e""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    pairs = e.select(F.col("event_type").alias("actual"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("props")).alias("predicted"))
+    return rounded(metrics.analysis_summary(metrics.confusion_counts(pairs)).select("cohen_kappa", "accuracy"))
+
+
 @query("m1_confusion_live", f"""{LIVE_SQL}, cols AS (SELECT c FROM {_names} UNION SELECT p FROM inside)
  SELECT k.c AS actual, cols.c AS predicted, CAST(coalesce(max(n), 0) AS BIGINT) AS n FROM {_names} CROSS JOIN cols LEFT JOIN inside ON a = k.c AND p = cols.c GROUP BY 1, 2""")
 def _(spark, d):

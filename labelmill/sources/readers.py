@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from typing import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -125,61 +126,84 @@ def load_parquet(spark: SparkSession, path: str) -> DataFrame:
 _CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def _sheet_rows(content: bytes) -> list[list[str]]:
-    """Cells of the first sheet, row by row; absent cells are ''."""
+def _sheet_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
+    """(number from 0, cells) of the first sheet's rows as they are read; absent cells are ''.
+
+    Sheets are parsed as a stream, and a row is dropped when it has been given out.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
-            for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in si.iter(_CELL + "t")))
-        sheet = ElementTree.fromstring(z.read(min(n for n in names if n.startswith("xl/worksheets/sheet"))))
-    rows: list[list[str]] = []
-    for row in sheet.iter(_CELL + "row"):
-        while len(rows) < int(row.get("r", len(rows) + 1)) - 1:
-            rows.append([])
-        cells: list[str] = []
-        for c in row.iter(_CELL + "c"):
-            at = 0
-            for ch in c.get("r", ""):
-                if ch.isalpha():
-                    at = at * 26 + ord(ch.upper()) - 64
-            value = c.findtext(_CELL + "v") or "".join(t.text or "" for t in c.iter(_CELL + "t"))
-            if c.get("t") == "s" and value:
-                value = shared[int(value)]
-            cells += [""] * (at - 1 - len(cells)) + [value]
-        rows.append(cells)
-    return rows
-
-
-def load_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of workbooks, one task per file: file, row_index, cells (name -> text).
-
-    First sheet, first row is the header; empty rows are skipped but keep their
-    position, blank header cells are ignored, short rows are allowed.
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, si in ElementTree.iterparse(f):
+                    if si.tag == _CELL + "si":
+                        shared.append("".join(t.text or "" for t in si.iter(_CELL + "t")))
+                        si.clear()
+        sheets = [n for n in names if n.startswith("xl/worksheets/sheet")]
+        with z.open(min(sheets, key=lambda n: (len(n), n))) as f:
+            number = -1
+            for _, row in ElementTree.iterparse(f):
+                if row.tag != _CELL + "row":
+                    continue
+                number = int(row.get("r", number + 2)) - 1
+                cells: list[str] = []
+                for c in row.iter(_CELL + "c"):
+                    at = 0
+                    for ch in c.get("r", ""):
+                        if ch.isalpha():
+                            at = at * 26 + ord(ch.upper()) - 64
+                    value = c.findtext(_CELL + "v") or "".join(t.text or "" for t in c.iter(_CELL + "t"))
+                    if c.get("t") == "s" and value:
+                        value = shared[int(value)]
+                    cells += [""] * (at - 1 - len(cells)) + [value]
+                row.clear()
+                yield number, cells
+
+
+#: Rows of a workbook that leave a task at once.
+_SHEET_BATCH = 5000
+
+
+def read_workbooks(books: DataFrame) -> DataFrame:
+    """Rows of workbooks given as (path, content): file, row_index, cells (name -> text), text.
+
+    First sheet, first row is the header; empty rows are skipped but keep their position,
+    blank header cells are ignored, short rows are allowed. A workbook without a header and a
+    data row raises.
     """
-    def read(batches):
-        for pdf in batches:
-            out = []
-            for file, content in zip(pdf["path"], pdf["content"]):
-                rows = _sheet_rows(content)
-                if len(rows) < 2:
-                    raise ValueError(f"{file}: needs a header and one data row")
-                for i, cells in enumerate(rows[1:]):
-                    if cells:
-                        named = {h: v for h, v in zip(rows[0], cells) if h}
-                        out.append((file, i, named, resolve_cells(named, cells)))
-            yield pd.DataFrame(out, columns=["file", ROW, "cells", "text"])
-
-    def resolve_cells(named, cells):
+    def resolved(named: dict[str, str], cells: list[str]) -> str:
         text = ""
         for k, v in named.items():
             if k in ("text", "content"):
                 text = v
         return text or cells[0]
 
-    books = spark.read.format("binaryFile").load(path).select("path", "content")
-    return books.mapInPandas(read, f"file string, {ROW} bigint, cells map<string,string>, text string")
+    def read(batches):
+        columns = ["file", ROW, "cells", "text"]
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"]):
+                header, out, last = None, [], 0
+                for number, cells in _sheet_rows(content):
+                    last = number
+                    if header is None:
+                        header = cells if number == 0 else []
+                    if number and cells:
+                        named = {h: v for h, v in zip(header, cells) if h}
+                        out.append((file, number - 1, named, resolved(named, cells)))
+                    if len(out) == _SHEET_BATCH:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+                if last < 1:
+                    raise ValueError(f"{file}: needs a header and one data row")
+                yield pd.DataFrame(out, columns=columns)
+
+    return books.select("path", "content").mapInPandas(read, f"file string, {ROW} bigint, cells map<string,string>, text string")
+
+
+def load_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of workbooks, one task per file (``read_workbooks``)."""
+    return read_workbooks(spark.read.format("binaryFile").load(path))
 
 
 def load_table(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -132,15 +132,18 @@ def test_percentile_ranks(spark):
     assert one.m == 0
 
 
-def test_ranks_do_not_depend_on_the_spread(spark):
+@pytest.mark.parametrize("few", [1 << 16, 2])
+def test_ranks_do_not_depend_on_the_spread(spark, monkeypatch, few):
     """One huge outlier, tiny differences, signs and infinities: still the sorted picks."""
     import random
 
     import numpy as np
     from pyspark.sql import functions as F
 
+    from labelmill.operators import quantiles
     from labelmill.operators.quantiles import floor_percentiles, linear_percentiles, value_counts
 
+    monkeypatch.setattr(quantiles, "FEW", few)  # with 2, all steps are taken
     rng = random.Random(1)
     values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-12), rng.gauss(0, 1e9), 0.0, 5.0, 1e300, -float("inf")]) for _ in range(800)] + [1e15]
     df = spark.createDataFrame([(v, "ab"[i % 2]) for i, v in enumerate(values)], "x double, g string")
@@ -154,6 +157,29 @@ def test_ranks_do_not_depend_on_the_spread(spark):
     assert floor_percentiles(counts, {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p999": 0.9999}).first().asDict() == {p: sorted(whole)[int(q * len(whole))] for p, q in (("p0", 0.0), ("p50", 0.5), ("p99", 0.99), ("p999", 0.9999))}
 
 
+def test_open_answers_need_no_dense_matrix(spark):
+    """100,000 different answers: figures by aggregation, and no grid of their square."""
+    from pyspark.sql import functions as F
+
+    from labelmill.operators import metrics, report
+
+    i = F.col("id")
+    answer = F.concat(F.lit("a"), (i % 100_000).cast("string"))
+    results = spark.range(150_000).select(
+        i.alias("row_index"), F.lit(True).alias("success"), answer.alias("ground_truth"), F.when(i % 4 == 0, F.lit("a1")).otherwise(answer).alias("final_answer"), F.lit("").alias("error"),
+        F.lit(5).cast("long").alias("response_time_ms"),
+    )
+    s = metrics.report_summary(results).first()
+    assert s.accuracy == pytest.approx(75.0, abs=0.01) and 74 < s.kappa * (100 if s.kappa <= 1 else 1) < 76 and s.mcc is not None
+    cells = metrics.confusion_counts(metrics.report_pairs(results))
+    sparse = metrics.confusion_sparse(cells)
+    assert sparse.count() == cells.count() < 150_001 and sparse.filter("predicted = 'a1' and actual = 'a4'").first()["predicted_total"] > 37_000
+    for dense in (lambda: metrics.confusion_grid(cells), lambda: report.confusion_sheet(results)):
+        with pytest.raises(ValueError, match="more than 2000 classes"):
+            dense()
+    assert report.confusion_sheet(results, ["a1", "a2"]).columns == ["actual", "a1", "a2"]
+
+
 def test_empty_run(spark):
     df = run(spark, [])
     assert run_stats.overview(df).first().total == 0
