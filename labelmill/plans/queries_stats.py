@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.operators import consensus, error_analysis, metrics, run_stats
+from labelmill.operators import consensus, error_analysis, metrics, run_stats, significance
 from labelmill.functions.parsing import ParsingRules
 from labelmill.plans import views as V
 from labelmill.plans.registry import SQL, query, rounded, table
@@ -473,3 +473,39 @@ def _records(layout):
 
 for _layout in error_analysis.RECORD_LAYOUTS:
     _records(_layout)
+
+
+# ---- significance tests ---------------------------------------------------------------
+
+@query("w1_chi_square", """WITH c AS (SELECT event_type AS a, user_id % 3 AS b, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT a, sum(n) AS r FROM c GROUP BY a), k AS (SELECT b, sum(n) AS k FROM c GROUP BY b),
+ s AS (SELECT CAST(sum(n) AS BIGINT) AS pairs, sum(n) * (sum(CAST(n AS DOUBLE) * n / r / k) - 1) AS x, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS degrees FROM c JOIN r USING (a) JOIN k USING (b)),
+ p AS (SELECT exp(-x / 2) * sum((x / 2) ** i / gamma(i + 1)) AS p FROM s, range(0, 4) AS t(i) GROUP BY x)
+ SELECT pairs, degrees, round(x, 6) AS statistic, round(p, 6) AS p_value, round(sqrt(x / pairs / 2), 6) AS cramers_v FROM s, p""")
+def _(spark, d):
+    """Event types against thirds of the users: an even number of degrees has a closed form."""
+    cells = table(spark, d, "events").groupBy(F.col("event_type").alias("actual"), (F.col("user_id") % 3).alias("predicted")).agg(F.count("*").alias("n"))
+    return rounded(significance.chi_square(cells))
+
+
+@query("w2_mcnemar", f"""WITH j AS (SELECT x.ground_truth = x.final_answer AS a, y.ground_truth = y.final_answer AS b FROM ({V.results_sql(5)}) x JOIN ({V.results_sql(7)}) y USING (row_index) WHERE x.success AND y.success),
+ s AS (SELECT count(*) AS pairs, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (NOT a AND b) AS c FROM j),
+ e AS (SELECT least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0)))) AS p FROM s, range(0, 1000000) AS t(i) WHERE i <= least(b, c))
+ SELECT pairs, b AS only_first, c AS only_second, round(greatest(abs(b - c) - 1, 0) ** 2 / (b + c), 6) AS statistic, round(p, 6) AS exact_p_value FROM s, e""")
+def _(spark, d):
+    return rounded(significance.mcnemar(V.results(spark, d, 5), V.results(spark, d, 7)).drop("p_value"))
+
+
+@query("w3_binomial", """WITH s AS (SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS k FROM events),
+ f AS (SELECT i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.8) + (n - i) * ln(0.2)) AS f, k FROM s, range(0, 10000000) AS t(i) WHERE i <= n),
+ p AS (SELECT coalesce(sum(f) FILTER (i <= k), 0) AS low, coalesce(sum(f) FILTER (i >= k), 0) AS high FROM f)
+ SELECT n AS trials, k AS hits, round(k / n, 6) AS share, round(low, 6) AS p_at_most, round(high, 6) AS p_at_least, round(least(1.0, 2 * least(low, high)), 6) AS p_value FROM s, p""")
+def _(spark, d):
+    return rounded(significance.binomial(table(spark, d, "events"), F.col("event_type") != "error", 0.8))
+
+
+@query("w4_kolmogorov_smirnov", """WITH c AS (SELECT value AS v, count(*) FILTER (event_type <> 'view') AS a, count(*) FILTER (event_type = 'view') AS b FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY 1),
+ r AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS fb FROM c), t AS (SELECT CAST(sum(a) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS m FROM c),
+ s AS (SELECT n, m, max(abs(fa - fb)) AS s, sqrt(CAST(n AS DOUBLE) * m / (n + m)) AS root FROM r, t GROUP BY n, m), x AS (SELECT *, (root + 0.12 + 0.11 / root) * s AS x FROM s)
+ SELECT n AS first_n, m AS second_n, round(s, 6) AS statistic, round(CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT sum(CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * j * j * x * x)) FROM range(1, 101) AS t(j)))) END, 6) AS p_value FROM x""")
+def _(spark, d):
+    return rounded(significance.kolmogorov_smirnov(table(spark, d, "events"), F.col("value"), F.col("event_type") == "view"))
