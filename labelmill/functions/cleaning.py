@@ -8,6 +8,7 @@ a null across.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -212,6 +213,85 @@ def fix_encoding(c: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(F.encode(latin, "ISO-8859-1").cast("string")), c)
 
 
+#: Wrong readings that are undone, and how many of them in a row.
+CODECS, MOST_STEPS = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp437"), 3
+# Code points of living scripts, ordinary punctuation, currency and pictographs.
+_USUAL = [(0xA0, 0x17F), (0x1A0, 0x1A1), (0x1AF, 0x1B0), (0x1CD, 0x1DC), (0x218, 0x21B), (0x370, 0x52F), (0x590, 0x6FF), (0x900, 0xE7F), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF), (0x2122, 0x2122), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF00, 0xFF9F), (0x1F300, 0x1FAFF)]
+_SPAN = re.compile(r"[^\x00-\x7f]{2,}")
+
+
+def _bytes_of(text: str, codec: str) -> bytes | None:
+    """The bytes that ``codec`` reads as ``text``; Windows-1252's free bytes are controls."""
+    try:
+        if codec != "cp1252":
+            return text.encode(codec)
+        return b"".join(bytes([ord(c)]) if 0x80 <= ord(c) < 0xA0 else c.encode("cp1252") for c in text)
+    except UnicodeEncodeError:
+        return None
+
+
+def _strangeness(text: str) -> int:
+    """What a reading of a span costs. A letter costs about as much as the bytes that it takes,
+    so that three letters are no dearer than the one that their bytes might spell; symbols,
+    which the images of UTF-8's later bytes mostly are, cost more, controls and characters
+    that texts hardly have most."""
+    cost = 0
+    for c in text:
+        k = ord(c)
+        if k < 0x80:
+            cost += 1
+        elif k < 0xA0:
+            cost += 6
+        elif k in (0x192, 0x2C6, 0x2DC) or not any(a <= k <= b for a, b in _USUAL):
+            cost += 9
+        elif not c.isalpha() and k < 0x3000:
+            cost += 4
+        else:
+            cost += 2 if k < 0x250 else 3 if k < 0x800 else 6 if k < 0x10000 else 8
+    return cost
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _repaired_span(span: str) -> str:
+    """The cheapest reading of a span over all chains of at most MOST_STEPS wrong readings; of
+    equal ones the shortest chain's."""
+    best, cost, level, seen = span, _strangeness(span), [span], {span}
+    for _ in range(MOST_STEPS):
+        following = []
+        for text in level:
+            for codec in CODECS:
+                raw = _bytes_of(text, codec)
+                if raw is None:
+                    continue
+                try:
+                    new = raw.decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if new not in seen:
+                    seen.add(new)
+                    following.append(new)
+                    now = _strangeness(new)
+                    if now < cost:
+                        best, cost = new, now
+        level = following
+    return best
+
+
+def repair_encoding(c: Column) -> Column:
+    """Undo wrong decodings span by span, also several in a row and of different kinds.
+
+    A span is a run of characters beyond ASCII: the images of UTF-8's bytes are such runs in
+    all readings that are tried, so damage beside intact text is found too. Only texts with a
+    span reach Python. Spans that no chain makes cheaper stay.
+    """
+
+    @F.pandas_udf("string")
+    def repair(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: _SPAN.sub(lambda m: _repaired_span(m[0]), x), na_action="ignore")
+
+    return _only_where(repair, c, F.when(F.rlike(c, F.lit("[^\\x00-\\x7f]{2}")), c))
+
+
 def _non_ascii(c: Column) -> Column:
     return F.when(F.rlike(c, F.lit("[^\\x00-\\x7f]")), c)
 

@@ -163,3 +163,14 @@ def test_conversations(spark):
 def test_tool_call_tokens(spark):
     df = spark.createDataFrame([("abcdefgh", [("1", "function", ("name", "arguments"))])], "text string, calls array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>")
     assert df.select(budget.message_tokens(F.col("text"), F.col("calls"))).first()[0] == 12 + 1 + 2 + 20
+
+
+def test_repair_encoding(spark):
+    """Chains of wrong readings, mixed with intact text; clean text stays."""
+    twice = lambda t, *codecs: t if not codecs else twice(t.encode("utf-8").decode(codecs[0]), *codecs[1:])
+    texts = ["café “naïve” – über ß", "日本語 и русский", "Ελλάδα €5", "ñandú"]
+    cases = [(t, t) for t in texts] + [(twice(t, "latin-1"), t) for t in texts] + [(twice(t, "latin-1", "latin-1"), t) for t in texts]
+    cases += [(twice("ñandú é", "mac_roman"), "ñandú é"), (twice("Zażółć", "cp437"), "Zażółć"), (twice("é", "latin-1") + " 日本 " + twice("ü", "latin-1", "cp1252"), "é 日本 ü")]
+    cases += [("É« É€ «Été»", "É« É€ «Été»"), ("Èèé Èèê", "Èèé Èèê"), ("Сёмка ёё", "Сёмка ёё"), (None, None), ("", ""), ("plain", "plain"), ("cafÃ© â€œxâ€\x9d", "café “x”")]
+    df = spark.createDataFrame(cases, "dirty string, want string").withColumn("got", C.repair_encoding(F.col("dirty")))
+    assert [r.got for r in df.collect()] == [w for _, w in cases]
