@@ -181,9 +181,17 @@ def extra_spaces(c: Column) -> Column:
     return trim_ws(F.regexp_replace(c, f"[{SPACE}]{{2,}}", " "))
 
 
-def sentence_join(c: Column) -> Column:
-    parts = F.transform(F.split(c, f"(?<=[.!?])[{SPACE}]+"), trim_ws)
-    return _some(c, F.array_join(parts, " "))
+def sentences(c: Column, abbreviations: list[str] = ()) -> Column:
+    """Parts of a text that end with a full stop, a question or an exclamation mark before white
+    space. The stop of a word in ``abbreviations`` (in lower case, as
+    ``operators.sentences.abbreviations`` learns them) ends none."""
+    known = "|".join(re.escape(a) for a in sorted(abbreviations))
+    after = f"(?<!(?iu:(?:^|[^\\p{{L}}.])(?:{known})\\.))" if known else ""
+    return F.transform(F.split(c, f"(?<=[.!?]){after}[{SPACE}]+"), trim_ws)
+
+
+def sentence_join(c: Column, abbreviations: list[str] = ()) -> Column:
+    return _some(c, F.array_join(sentences(c, abbreviations), " "))
 
 
 def drop_short_words(c: Column, least: int = 2) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelmill.functions import cleaning as C, text
-from labelmill.operators import budget, conversations, quality, review, run_stats, training
+from labelmill.operators import budget, conversations, quality, review, run_stats, sentences as learned, training
 from labelmill.plans import views as V
 from labelmill.plans.queries_text import sql_trim
 from labelmill.plans.registry import query, rounded, table
@@ -168,6 +168,15 @@ _text_query("c23_remove_single_chars", lambda x: _unmark(f"regexp_replace({_mark
 _text_query("c24_strip_accents", None, C.strip_accents)
 _text_query("c25_extra_spaces", lambda x: sql_trim(_sub(x, f"[{SPACE}]{{2,}}", " ")), C.extra_spaces, noise=NOISE)
 _text_query("c26_sentence_join", lambda x: f"array_to_string(list_transform(string_split(regexp_replace({x}, '([.!?])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {sql_trim('s')}), ' ')", C.sentence_join)
+@query("c26_abbreviations", """WITH t AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '\\p{L}+(?:\\.\\p{L}+)*\\.?')) AS t FROM documents),
+ c AS (SELECT lower(rtrim(t, '.')) AS word, count(*) FILTER (t LIKE '%.') AS stopped, count(*) FILTER (t NOT LIKE '%.') AS bare FROM t GROUP BY 1),
+ r AS (SELECT sum(stopped) / (sum(stopped) + sum(bare)) AS r FROM c), s AS (SELECT *, CAST(length(replace(word, '.', '')) AS DOUBLE) AS size FROM c, r WHERE stopped > 0)
+ SELECT word, stopped, bare, round(2 * ((stopped * ln(0.99) + bare * ln(1 - 0.99)) - (stopped * ln(r) + bare * ln(1 - r))) * exp(-size) * (length(word) - size + 1) * size ** (-bare), 6) AS score FROM s""")
+def _(spark, d):
+    """Evidence that a word of the documents is an abbreviation."""
+    return rounded(learned.abbreviation_scores(spread(table(spark, d, "documents"))))
+
+
 _WORDS = lambda x: f"regexp_extract_all({x}, '[^{SPACE}]+')"
 _text_query("c27_drop_short_words", lambda x: f"array_to_string(list_filter({_WORDS(x)}, lambda t: length(t) >= 3), ' ')", lambda c: C.drop_short_words(c, 3))
 _text_query("c27_drop_long_words", lambda x: f"array_to_string(list_filter({_WORDS(x)}, lambda t: length(t) <= 12), ' ')", lambda c: C.drop_long_words(c, 12))

@@ -174,3 +174,17 @@ def test_repair_encoding(spark):
     cases += [("É« É€ «Été»", "É« É€ «Été»"), ("Èèé Èèê", "Èèé Èèê"), ("Сёмка ёё", "Сёмка ёё"), (None, None), ("", ""), ("plain", "plain"), ("cafÃ© â€œxâ€\x9d", "café “x”")]
     df = spark.createDataFrame(cases, "dirty string, want string").withColumn("got", C.repair_encoding(F.col("dirty")))
     assert [r.got for r in df.collect()] == [w for _, w in cases]
+
+
+def test_learned_abbreviations_end_no_sentence(spark):
+    from labelmill.operators import sentences
+
+    text = [f"Dr. Smith saw {n} cases, e.g. one of approx. {n} days. The case was closed. We saw Mr. Jones. He left the house." for n in range(60)]
+    text += ["The days were long. Cases of this kind, z.B. one house, left us. One saw the days."] * 20 + ["Closed house, long ago, and us Jones: days left the case"] * 60 + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in text], "text string")
+    known = sentences.abbreviations(docs)
+    assert {"dr", "mr", "e.g", "z.b"} <= set(known) and not {"days", "house", "closed", "cases", "us"} & set(known)
+    df = spark.createDataFrame([("Mr.  Jones left.  Dr. Smith, e.g. today. Why?\nThe mr. end. Amr. Next",)], "t string")
+    got = df.select(C.sentences(F.col("t"), known).alias("s"), C.sentence_join(F.col("t"), known).alias("j")).first()
+    assert got.s == ["Mr.  Jones left.", "Dr. Smith, e.g. today.", "Why?", "The mr. end.", "Amr.", "Next"] and got.j == " ".join(got.s)
+    assert df.select(F.size(C.sentences(F.col("t")))).first()[0] == 10
