@@ -10,10 +10,11 @@ the same records. Only the text extraction runs in Python.
 from __future__ import annotations
 
 import base64
+import codecs
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from labelmill.functions.text import bind
 from labelmill.llm.html_text import main_text_column
@@ -68,22 +69,58 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", key: str = "
 
 
 def split_http(block: Column) -> tuple[Column, Column]:
-    """(HTTP header text, body text) of a response block; without an empty line all is body."""
-    text = F.decode(block, "UTF-8")
+    """(HTTP header, body) of a response block as text with a character per byte, whatever its
+    encoding; without an empty line all is body."""
+    text = F.decode(block, "ISO-8859-1")
     at = F.locate("\r\n\r\n", text)
     return F.when(at > 0, F.substring(text, F.lit(1), at + 1)).otherwise(""), F.when(at > 0, F.substring(text, at + 4, F.length(text))).otherwise(text)
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(body: pd.Series, charset: pd.Series) -> pd.Series:
+    """Bytes (a character each) read in the named encoding, or UTF-8 if there is no such."""
+
+    def one(text, name):
+        if text is None:
+            return None
+        try:
+            return text.encode("latin-1").decode(codecs.lookup((name or "utf-8").strip("\"' ")).name, "replace")
+        except (LookupError, UnicodeError, ValueError, TypeError):
+            return text.encode("latin-1").decode("utf-8", "replace")
+
+    return pd.Series([one(t, n) for t, n in zip(body, charset)], dtype=object)
+
+
+def _header(head: Column, pattern: str) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(head, r"(?im)^content-type:[ \t]*" + pattern, 1)), F.lit(""))
+
+
+def body_text(head: Column, body: Column) -> tuple[Column, Column]:
+    """(kind, text) of a body: html, plain or null for other media types; a response without a
+    type is taken for HTML. UTF-8 stays in the JVM, other character sets are read in Python."""
+    media, charset = F.trim(_header(head, r"([^;\r\n]+)")), _header(head, r"[^\r\n]*;[ \t]*charset=([^;\s]+)")
+    kind = F.when(media.isNull() | media.isin("text/html", "application/xhtml+xml"), "html").when(media == "text/plain", "plain")
+    usual = F.coalesce(F.translate(charset, "\"'", ""), F.lit("utf-8")).isin("utf-8", "utf8", "us-ascii")
+    known = F.when(usual, F.try_validate_utf8(F.encode(body, "ISO-8859-1").cast("string")))
+    return kind, F.coalesce(known, _decoded(F.when(kind.isNotNull() & known.isNull(), body), charset))
+
+
 def derivatives(responses: DataFrame, software: str = "labelmill") -> DataFrame:
-    """A metadata and a conversion record for every response.
+    """A metadata record for every response, and a conversion record where its body is HTML or
+    plain text.
 
     The metadata record is application/warc-fields: source headers, status, digests, length
-    and the identifier of the conversion record. The conversion record is the main text as
-    UTF-8 (empty text: no bytes). Repeated responses yield repeated records; null fields are
+    and the identifier of the conversion record. The conversion record is the main text of
+    HTML, or plain text as it is, as UTF-8 (empty text: no bytes). Bodies are read in the
+    character set that the header names, with a replacement character for bytes that have no
+    meaning there. A null block is an empty response without a type. Repeated responses yield repeated records; null fields are
     left out of the headers. Columns that are no record fields are dropped.
     """
-    head, body = split_http(F.col("block"))
-    src = bounded_batches(responses).withColumns({"_head": head, "_text": main_text_column(body)})
+    head, body = split_http(F.coalesce("block", F.lit(b"")))
+    src = bounded_batches(responses).withColumns({"_head": head, "_body": body})
+    kind, text = body_text(F.col("_head"), F.col("_body"))
+    src = src.withColumns({"_kind": kind, "_plain": text})
+    src = src.withColumn("_text", F.when(F.col("_kind") == "plain", F.col("_plain")).otherwise(main_text_column(F.when(F.col("_kind") == "html", F.col("_plain")))))
     src = src.withColumns({
         "_conv": record_id(F.lit("conversion"), F.col("record_id")), "_meta": record_id(F.lit("metadata"), F.col("record_id")), "_data": F.encode(F.coalesce("_text", F.lit("")), "UTF-8"),
     })
@@ -91,7 +128,7 @@ def derivatives(responses: DataFrame, software: str = "labelmill") -> DataFrame:
     fields = F.concat(
         line("software", F.lit(software)), line("http-status", F.nullif(F.regexp_extract("_head", r"^HTTP/\S+ (\d+)", 1), F.lit(""))),
         line("source-content-type", F.col("content_type")), line("source-content-length", F.col("content_length")), line("source-payload-digest", F.col("payload_digest")),
-        line("source-block-digest", F.col("block_digest")), line("conversion-record-id", F.col("_conv")),
+        line("source-block-digest", F.col("block_digest")), line("conversion-record-id", F.when(F.col("_kind").isNotNull(), F.col("_conv"))),
         F.regexp_replace(F.regexp_replace("_head", r"^HTTP/[^\r\n]*\r\n", ""), r"(?m)^(?=[^\r\n])", "source-http-"),
     )
     meta = F.encode(fields, "UTF-8")
@@ -106,7 +143,8 @@ def derivatives(responses: DataFrame, software: str = "labelmill") -> DataFrame:
     src = src.withColumn("_fields", meta)
     both = F.array(record("metadata", "_meta", "application/warc-fields", F.col("_fields")), record("conversion", "_conv", "text/plain; charset=utf-8", F.col("_data")))
     keep = ["source_key"] if "source_key" in responses.columns else []
-    return src.select(*keep, F.explode(both).alias("r")).select(*keep, "r.*")
+    made = F.filter(both, lambda r: (r["warc_type"] == "metadata") | F.col("_kind").isNotNull())
+    return src.select(*keep, F.explode(made).alias("r")).select(*keep, "r.*")
 
 
 def serialized(records: DataFrame) -> Column:
@@ -121,14 +159,21 @@ _HEAD = re.compile(rb"WARC/\d\.\d\r\n")
 
 
 def parse_records(data: bytes) -> list[dict]:
-    """Records of a run of bytes, by their Content-Length."""
+    """Records of a run of bytes, by their Content-Length. A record that is cut short, and one
+    without a length, ends the run."""
     out, at = [], 0
     by_name = {k.lower(): v for k, v in FIELDS.items()}
     while m := _HEAD.match(data, at):
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(x.split(": ", 1) for x in data[m.end() : end].decode().split("\r\n"))
-        size = int(fields["Content-Length"])
-        row = dict.fromkeys(COLUMNS) | {by_name[k.lower()]: v for k, v in fields.items() if k.lower() in by_name}
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            break
+        lines = data[m.end() : end].decode("utf-8", "replace").split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in lines) if colon}
+        length = fields.get("content-length", "")
+        if not length.isdigit() or end + 4 + int(length) > len(data):
+            break
+        size = int(length)
+        row = dict.fromkeys(COLUMNS) | {by_name[k]: v for k, v in fields.items() if k in by_name}
         out.append(row | {"content_length": size, "block": data[end + 4 : end + 4 + size]})
         at = end + 4 + size + 4
     return out

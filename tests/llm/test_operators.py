@@ -347,3 +347,34 @@ def test_warc_round_trip(spark):
     key = lambda r: (r.record_id, bytes(r.block))
     assert sorted(map(key, back.collect())) == sorted(map(key, rows))
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_warc_character_sets_and_media_types(spark):
+    block = lambda media, body: f"HTTP/1.1 200 OK\r\n{media}\r\n\r\n".encode() + body
+    html = "<html><body><article><p>" + "Über die Straße ging es weiter, Schritt für Schritt. " * 12 + "</p></article></body></html>"
+    want = html_text.main_text(html)
+    cases = {
+        "latin": (block("Content-Type: text/html; charset=ISO-8859-1", html.encode("latin-1")), want),
+        "quoted": (block('content-type:text/html;charset="windows-1252"', html.encode("cp1252")), want),
+        "utf8": (block("Content-Type: text/html; charset=utf-8", html.encode()), want),
+        "untold": (block("Server: x", html.encode()), want),
+        "unknown": (block("Content-Type: text/html; charset=no-such-set", html.encode()), want),
+        "wrong": (block("Content-Type: text/html", html.encode("latin-1")), want.replace("Ü", "\ufffd").replace("ß", "\ufffd").replace("ü", "\ufffd")),
+        "plain": (block("Content-Type: text/plain", b"if a<b and c>d then keep"), "if a<b and c>d then keep"),
+        "pdf": (block("Content-Type: application/pdf", b"%PDF \xff\xfe"), None),
+        "null": (None, ""),
+    }
+    rows = spark.createDataFrame([(k, "response", f"<{k}>", b) for k, (b, _) in cases.items()], "source_key string, warc_type string, record_id string, block binary")
+    for c in ("target_uri", "warc_date", "payload_digest", "block_digest", "content_type"):
+        rows = rows.selectExpr("*", f"cast(null as string) as {c}")
+    out = warc.derivatives(rows.selectExpr("*", "0L as content_length", "1 as _head", "2 as _kind")).collect()
+    assert {r.source_key for r in out if r.warc_type == "metadata"} == set(cases)
+    assert {r.source_key: bytes(r.block).decode() for r in out if r.warc_type == "conversion"} == {k: w for k, (_, w) in cases.items() if w is not None}
+    pdf = next(bytes(r.block).decode() for r in out if r.source_key == "pdf")
+    assert "conversion-record-id" not in pdf and "source-http-Content-Type: application/pdf" in pdf
+
+
+def test_warc_records_cut_short():
+    whole = b"WARC/1.0\r\nWARC-Type:metadata\r\nContent-Length:3\r\n\r\nabc\r\n\r\n"
+    assert [(r["warc_type"], r["block"]) for r in warc.parse_records(whole * 2 + whole[:-8])] == [("metadata", b"abc")] * 2
+    assert warc.parse_records(whole[:30]) == [] and warc.parse_records(b"WARC/1.0\r\nA: b\r\n\r\nx") == [] and warc.parse_records(b"") == []
