@@ -1,22 +1,23 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by sorted projections.
 
-A pass hashes each vector with its own random hyperplanes, concatenates the bits, sorts the
-vectors of each label lexicographically by them and compares every vector with a bounded
-window of the ones after it. Similar vectors share a long prefix in some pass, so the
-verified pairs of all passes are united into components.
+Each vector is hashed with random hyperplanes and its bits are concatenated; sorting the
+vectors of each label lexicographically by them puts similar ones near each other. The
+sorted vectors are cut into blocks, and a block knows the box that its vectors take on some
+orthonormal directions. Vectors at the threshold are no further apart than its chord, and no
+closer than their projections, so two blocks whose boxes lie further apart hold no link. All
+other pairs of blocks of a label are compared exactly, each pair in a task of its own, whatever
+the label's size: no link is missed. Only counts and forests leave a task.
 
 Vectors of one label and length are a group, and are hashed after the group's mean is
 subtracted, so that planes part a label that is one dense cloud too; cosines are taken of
-the raw vectors. A group of few blocks is compared in full, block by block, and so is one
-for which passes would send its vectors to more tasks than that. For the others a first
-pass measures how many bits vectors share with all but ``window`` of the others, and the
-passes follow from it: pairs at the threshold are missed by all of them with a probability
-of about ``MISS`` on average.
-
-The windows bound what a pass sees of a large group. Counting links is therefore finished
-exactly: the members of one component are compared with each other in blocks of fixed
-size, each pair of blocks a task of its own, and only counts leave it. Equal vectors are
-one vector with a number of copies throughout.
+the raw vectors. Where boxes part nothing, as in one cloud of high dimension, all pairs of a
+label's blocks are compared.
+
+A caller may instead give a number of ``passes``, each with planes of its own, in which every
+vector is only compared with a bounded window of the ones after it. This misses links;
+``group_passes`` estimates from a first pass how many are needed to miss pairs at the
+threshold with a probability of about ``MISS`` on average. The links of the components found
+are then counted in full. Equal vectors are one vector with a number of copies throughout.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from labelmill.llm.steps import saved
 THRESHOLD, WINDOW, BITS, MISS, LEAST_PASSES = 0.98, 32, 60, 1e-3, 10
 #: Vectors per sorted block, and per side of a pair of blocks.
 RUN, SIDE = 2048, 512
+#: Directions of a block's box.
+DIRECTIONS = 16
 
 
 def passes_for(chances: np.ndarray, weights: np.ndarray, miss: float = MISS) -> float:
@@ -105,6 +108,22 @@ def _keys(first: int):
 
 
 _KEYS = "pass int, grp long, key long, cls long, far double"
+_PLACED = "pass int, grp long, key long, cls long, embedding array<double>, copies long, place array<double>"
+
+
+def _key_and_place(batches):
+    """The vectors with the key of the first pass and their projections on orthonormal
+    directions, zeros where there are fewer."""
+    for pdf in batches:
+        for dim, part in pdf.groupby("dim"):
+            planes, v = _planes(0, int(dim)), _unit(part["embedding"])
+            bits = ((v - np.stack(part["mean"].to_list())) @ planes.T) > 0
+            key = np.zeros(len(part), np.int64)
+            for b in range(BITS):
+                key = (key << 1) | bits[:, b]
+            place = v @ np.linalg.qr(planes.T)[0][:, :DIRECTIONS]
+            place = np.pad(place, ((0, 0), (0, DIRECTIONS - place.shape[1])))
+            yield part[["grp", "cls", "embedding", "copies"]].assign(**{"pass": 0, "key": key, "place": list(place)})[[c.split()[0] for c in _PLACED.split(", ")]]
 
 
 def _prefix_chances(window: int, threshold: float):
@@ -139,8 +158,9 @@ def _prefix_chances(window: int, threshold: float):
 
 
 def group_passes(one: DataFrame, groups: DataFrame, window: int, threshold: float) -> dict[int, int]:
-    """Passes of each group that is not compared in full: a row per group of more than
-    LEAST_PASSES blocks reaches the driver."""
+    """An estimate of the passes that each group needs, for groups that passes send to fewer
+    tasks than comparing all blocks: a row per group of more than LEAST_PASSES blocks reaches
+    the driver."""
     large = groups.filter(F.col("n") > LEAST_PASSES * RUN)
     sizes = {r["grp"]: r["n"] for r in large.select("grp", "n").collect()}
     if not sizes:
@@ -255,41 +275,69 @@ def _compared(members: DataFrame, side: int, threshold: float, edges: bool) -> D
     blocks = placed.groupBy("root").agg((F.max("q") + 1).alias("n"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.struct(F.least("q", j).alias("i"), F.greatest("q", j).alias("j")))
     sides = placed.join(blocks, "root").withColumn("ij", F.explode(pairs)).select("root", "cls", "embedding", "copies", "q", "ij.i", "ij.j", "n")
-    tasks = max(tasks, -(-members.count() // RUN))
+    return _links(sides, max(tasks, -(-members.count() // RUN)), threshold, edges)
+
+
+def _links(sides: DataFrame, tasks: int, threshold: float, edges: bool) -> DataFrame:
+    """(cls, to, n) of the pairs of blocks in ``sides``."""
     sides = sides.withColumn("task", F.when(F.col("n") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))))
     return sides.groupBy("task", "i", "j").applyInPandas(_block_links(threshold, edges), "cls long, to long, n long")
 
 
+def _near_blocks(at: DataFrame, threshold: float) -> DataFrame:
+    """root, q, n (blocks of the root) and the pairs (i, j) of each block of ``at`` (root, q,
+    place) with the blocks whose boxes are near enough for a link."""
+    edge = lambda fn: F.array(*[fn(F.col("place")[k]) for k in range(DIRECTIONS)])
+    boxes = saved(at.groupBy("root", "q").agg(edge(F.min).alias("low"), edge(F.max).alias("high")), "block-boxes")
+    one, two = (boxes.select("root", *[F.col(c).alias(c + x) for c in ("q", "low", "high")]) for x in "ij")
+    apart = lambda k: F.greatest(F.lit(0.0), F.col("lowi")[k] - F.col("highj")[k], F.col("lowj")[k] - F.col("highi")[k])
+    gap = sum(apart(k) * apart(k) for k in range(DIRECTIONS))
+    pairs = one.join(two, "root").filter("qi <= qj").filter(gap <= 2 - 2 * threshold + 1e-9)
+    of = pairs.select("root", F.struct(F.col("qi").alias("i"), F.col("qj").alias("j")).alias("ij")).withColumn("q", F.explode(F.array_distinct(F.array("ij.i", "ij.j"))))
+    blocks = boxes.groupBy("root").agg(F.count("*").alias("n"))
+    return saved(of.groupBy("root", "q").agg(F.collect_list("ij").alias("pairs")).join(blocks, "root"), "near-blocks")
+
+
+def _all_links(one: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(cls, to, n) of all links within the groups of ``one``."""
+    hashed = one.join(groups.select("grp", "mean"), "grp").select("grp", "cls", "dim", "embedding", "copies", "mean")
+    at = sorted_positions(hashed.mapInPandas(_key_and_place, _PLACED)).drop("pass", "key")
+    begin = at.groupBy("grp").agg(F.min("pos").alias("begin"))
+    at = at.join(begin, "grp").withColumn("q", F.floor((F.col("pos") - F.col("begin")) / RUN)).withColumnRenamed("grp", "root")
+    near = _near_blocks(at, threshold)
+    sides = at.join(near, ["root", "q"]).select("root", "cls", "embedding", "copies", "q", "n", F.explode("pairs").alias("ij"))
+    tasks = max(int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, -(-one.count() // RUN))
+    return _links(sides.select("root", "cls", "embedding", "copies", "q", "ij.i", "ij.j", "n"), tasks, threshold, edges=True)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, passes: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector.
 
     Vectors link when their labels are equal and not null and their cosine in double
     precision reaches the threshold; vectors of different length never do. Null, zero and
     non-finite vectors have no link and are their own component. Repeated rows count as
-    other vectors. Other columns than vec_id, label and embedding are not read. ``passes``
-    sets the passes of all groups; none is compared in full then.
+    other vectors. Other columns than vec_id, label and embedding are not read. All links are
+    found, whatever the size of a label, unless ``passes`` are given: then those of ``window``
+    neighbours in so many passes are.
     """
-    spark = vectors.sparkSession
     base = usable(vectors)
     one = saved(base.groupBy("cls").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.first("dim").alias("dim"), F.count("*").alias("copies")), "distinct-vectors")
     one = one.withColumn("grp", F.xxhash64("label", "dim"))
     groups = saved(_group_means(one), "vector-groups")
-    by = {r["grp"]: passes for r in groups.select("grp").collect()} if passes else group_passes(one, groups, window, threshold)
-    hashed = spark.createDataFrame(list(by.items()), "grp long, passes int")
-    members = one.join(hashed, "grp", "left_anti").select(F.col("grp").alias("root"), "cls", "embedding", "copies")
-    full = saved(_compared(members, RUN, threshold, edges=True), "block-links")
-    links, counts = full.filter("n = 0").select(F.col("cls").alias("a"), F.col("to").alias("b")), full.filter("n > 0")
-    if by:
-        large = one.join(hashed, "grp")
+    if passes:
+        large = one.withColumn("passes", F.lit(passes))
         keys = large.join(groups, "grp").select("cls", "grp", "dim", "embedding", "mean", "passes").mapInPandas(_keys(0), _KEYS)
         at = sorted_positions(keys.drop("far")).withColumn("block", F.floor(F.col("pos") / RUN))
         halo = F.when((F.col("pos") % RUN < window) & (F.col("block") > 0), F.array("block", F.col("block") - 1)).otherwise(F.array("block"))
         runs = at.select("pass", "grp", "cls", "pos", F.explode(halo).alias("block")).join(large.select("cls", "embedding"), "cls")
-        links = links.unionByName(runs.groupBy("block").applyInPandas(_window_links(window, threshold), "a long, b long"))
+        links = runs.groupBy("block").applyInPandas(_window_links(window, threshold), "a long, b long")
+    else:
+        full = saved(_all_links(one, groups, threshold), "block-links")
+        links, counts = full.filter("n = 0").select(F.col("cls").alias("a"), F.col("to").alias("b")), full.filter("n > 0")
     roots = saved(components(saved(links.distinct(), "window-links")), "vector-components")
-    if by:
-        members = large.select("cls", "embedding", "copies").join(roots.withColumnRenamed("node", "cls"), "cls")
-        counts = counts.unionByName(_compared(members, SIDE, threshold, edges=False))
+    if passes:
+        members = one.select("cls", "embedding", "copies").join(roots.withColumnRenamed("node", "cls"), "cls")
+        counts = _compared(members, SIDE, threshold, edges=False)
     counted = counts.groupBy("cls").agg(F.sum("n").alias("others"))
 
     linked = base.select("vec_id", "cls").join(one.select("cls", "copies"), "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(counted, "cls", "left")

@@ -237,6 +237,27 @@ def test_vectors_of_a_dense_label(spark, monkeypatch, run):
     assert (got.kept == (got.component_id == got.index)).all()
 
 
+def test_vectors_of_a_large_label_lose_no_link(spark, monkeypatch):
+    """A small dense cloud in a large sparse label, whatever number of passes is estimated for it."""
+    monkeypatch.setattr(vectors, "RUN", 64)
+    monkeypatch.setattr(vectors, "passes_for", lambda *_: 1)
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre, away = unit(rng.standard_normal(64)), rng.standard_normal((200, 64))
+    away = unit(away - (away @ centre)[:, None] * centre)
+    v = np.concatenate((unit(rng.standard_normal((4000, 64))), np.sqrt(0.978) * centre + np.sqrt(1 - 0.978) * away))
+    got = vectors.near_duplicates(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id").sort_index()
+    links = (v @ v.T >= 0.98).sum(1) - 1
+    assert links.sum() > 1000 and (got.n_links == links).all()
+
+
+def test_far_blocks_are_not_compared(spark):
+    """Two clouds of one label, three blocks each: no pair of blocks across them is left."""
+    rows = [(1, q, [float(x) for x in (q // 3 + 0.01 * k + 0.001 * np.arange(vectors.DIRECTIONS))]) for q in range(6) for k in range(3)]
+    near = vectors._near_blocks(spark.createDataFrame(rows, "root long, q long, place array<double>"), 0.98).collect()
+    assert {r.q: sorted({(p.i, p.j) for p in r.pairs}) for r in near} == {q: sorted((min(q, o), max(q, o)) for o in range(q // 3 * 3, q // 3 * 3 + 3)) for q in range(6)} and {r.n for r in near} == {6}
+
+
 def test_passes_follow_from_measured_prefixes(spark, monkeypatch):
     monkeypatch.setattr(vectors, "RUN", 64)
     passes = {}
