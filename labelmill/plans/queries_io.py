@@ -469,6 +469,7 @@ def _(spark, d):
     _in_order(a, "row_index").write.parquet(path)
     last = a.agg(F.max("at").alias("last")).selectExpr("cast(null as bigint) as row_index", "0 as attempt_no", "'' as answer", "false as success", "last + interval 1 hour as at")
     last.write.mode("append").parquet(path)
-    votes = streams.stream_consensus(streams.read_stream(spark, path, a.schema), 5, time="at", wait="1 minute")
+    buckets = max(256, -(-spark.read.parquet(path).count() // 4096))
+    votes = streams.stream_consensus(streams.read_stream(spark, path, a.schema), 5, buckets=buckets, time="at", wait="1 minute")
     streams.write_once(votes, out, scratch_path(spark, "timed-cp")).awaitTermination()
     return rounded(spark.read.parquet(out))

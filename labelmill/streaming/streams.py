@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -102,10 +103,10 @@ _ATTEMPT = ["row_index", "attempt_no", "answer", "success"]
 _STATE = "row_index array<bigint>, attempt_no array<int>, answer array<string>, success array<boolean>"
 
 
-def _votes(finished: pd.DataFrame) -> pd.DataFrame:
-    """Winner per row: most votes, then the answer given first."""
+def _votes(finished: pd.DataFrame, dropna: bool = True) -> pd.DataFrame:
+    """Winner per row: most votes, then the answer given first; null is an answer unless dropped."""
     good = finished[finished["success"].astype(bool)]
-    tally = good.groupby(["row_index", "answer"], as_index=False).agg(count=("attempt_no", "size"), first=("attempt_no", "min"))
+    tally = good.groupby(["row_index", "answer"], as_index=False, dropna=dropna).agg(count=("attempt_no", "size"), first=("attempt_no", "min"))
     tally["total"] = tally.groupby("row_index")["count"].transform("sum")
     best = tally.sort_values(["row_index", "count", "first"], ascending=[True, False, True]).drop_duplicates("row_index")
     best = best.rename(columns={"answer": "final_answer"}).assign(ratio=lambda t: t["count"] / t["total"])
@@ -136,72 +137,91 @@ def vote_when_complete(repeat: int) -> Callable:
     return step
 
 
-_ROW_STATE = "attempt_no array<int>, answer array<string>, success array<boolean>, latest bigint, voted boolean"
+#: Of a bucket: its rows with what each waits for (-1: null key), and the attempts of those
+#: that have not voted, by the number of their row.
+_TIMED_STATE = (
+    "row_index array<bigint>, no_key array<boolean>, latest array<bigint>, until array<bigint>, voted array<boolean>, "
+    "row array<int>, attempt_no array<int>, answer array<string>, success array<boolean>"
+)
 
 
 def vote_or_expire(repeat: int, wait_ms: int) -> Callable:
-    """State function of one row: vote when the last attempt is in, or when none has come for
-    ``wait_ms`` of event time. A row that has voted is remembered for as long again, so that
-    attempts that come later don't make it vote twice, and is then forgotten."""
-
-    def vote(key: tuple, held: dict[int, tuple[str, bool]]) -> pd.DataFrame | None:
-        tally: dict[str, tuple[int, int]] = {}
-        for n, (answer, good) in held.items():
-            if good:
-                count, first = tally.get(answer, (0, n))
-                tally[answer] = count + 1, min(first, n)
-        if not tally:
-            return None
-        total = sum(c for c, _ in tally.values())
-        answer, (count, _) = min(tally.items(), key=lambda x: (-x[1][0], x[1][1]))
-        return pd.DataFrame({"row_index": [key[0]], "final_answer": [answer], "count": [count], "total": [total], "ratio": [count / total]})
+    """State function over a bucket of rows, each with a timer: a row votes when its last attempt
+    is in, or when none has come for ``wait_ms`` of event time. A row that has voted is
+    remembered for as long again, so that attempts that come later don't make it vote twice,
+    and is then forgotten. The bucket's timer is that of its first row to expire."""
+    keys = ["row_index", "no_key"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        numbers, answers, good, latest, voted = state.get if state.exists else ([], [], [], None, False)
-        held = dict(zip(numbers, zip(answers, good)))
-        if state.hasTimedOut:
-            if voted:
-                state.remove()
-                return
-            state.update(([], [], [], latest, True))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + wait_ms)
-            done = vote(key, held)
-            if done is not None:
-                yield done
+        held = [pd.Series(x, dtype=t) for x, t in zip(state.get, _TIMED_TYPES)] if state.exists else [pd.Series([], dtype=t) for t in _TIMED_TYPES]
+        rows = pd.DataFrame(dict(zip([*keys, "latest", "until", "voted"], held[:5])))
+        tries = pd.DataFrame(dict(zip(["row", *_ATTEMPT[1:]], held[5:])))
+        watermark = max(state.getCurrentWatermarkMs(), 0)
+        came = pd.DataFrame() if state.hasTimedOut else pd.concat(list(batches), ignore_index=True)
+        fresh = np.zeros(len(rows), bool)
+        if len(came):
+            new = came.assign(attempt_no=came["attempt_no"].astype("int64"), success=came["success"].eq(True))
+            seen = new.groupby(keys, sort=False, as_index=False)["ms"].max()
+            rows = rows.merge(seen, on=keys, how="outer", sort=False)
+            fresh = rows["ms"].notna().to_numpy()
+            latest = rows[["latest", "ms"]].max(axis=1).astype("int64")
+            until = rows["until"].where(~fresh, latest + wait_ms).astype("int64")
+            rows = rows.assign(latest=latest, until=until, voted=rows["voted"].eq(True))[[*keys, "latest", "until", "voted"]]
+            number = rows[keys].assign(row=np.arange(len(rows)))
+            if len(tries):  # the merge may have moved rows
+                old = pd.DataFrame({"row_index": held[0], "no_key": held[1]}).merge(number, on=keys, how="left")["row"].to_numpy()
+                tries = tries.assign(row=old[tries["row"].to_numpy()])
+            new = new.merge(number, on=keys)[tries.columns]
+            tries = pd.concat([tries, new], ignore_index=True).drop_duplicates(["row", "attempt_no"])  # an attempt may be delivered twice
+        voted = rows["voted"].to_numpy(bool)
+        have = np.bincount(tries["row"].to_numpy(), minlength=len(rows))
+        expired = ~fresh & (rows["until"].to_numpy() < watermark)
+        complete = fresh & ~voted & (have >= repeat)
+        voting = complete | (expired & ~voted)
+        votes = _votes(tries[voting[tries["row"].to_numpy()]].rename(columns={"row": "row_index"}), dropna=False)
+        if len(votes):
+            own = rows.iloc[votes["row_index"]]
+            yield votes.assign(row_index=own["row_index"].astype("Int64").mask(own["no_key"]).array)
+        rows["until"] = rows["until"].where(~(expired & ~voted), watermark + wait_ms)
+        rows["voted"] = voted | voting
+        rest = rows[~(expired & voted)]
+        tries = tries[~(voted | voting)[tries["row"].to_numpy()]]
+        if not len(rest):
+            state.remove()
             return
-        for pdf in batches:
-            for n, answer, ok, at in zip(pdf["attempt_no"], pdf["answer"], pdf["success"], pdf["at"]):
-                held.setdefault(int(n), (answer, bool(ok)))  # an attempt may be delivered twice
-                latest = max(latest or 0, at.value // 1_000_000)
-        complete = not voted and len(held) >= repeat
-        if voted or complete:
-            state.update(([], [], [], latest, True))
-        else:
-            state.update((list(held), [x[0] for x in held.values()], [x[1] for x in held.values()], latest, False))
-        state.setTimeoutTimestamp(latest + wait_ms)
-        done = vote(key, held) if complete else None
-        if done is not None:
-            yield done
+        place = np.zeros(len(rows), int)
+        place[rest.index] = np.arange(len(rest))
+        tries = tries.assign(row=place[tries["row"].to_numpy()])
+        state.update(tuple(part[c].tolist() for part, names in ((rest, rest.columns), (tries, tries.columns)) for c in names))
+        state.setTimeoutTimestamp(max(int(rest["until"].min()), watermark, 1))
 
     return step
 
 
+_TIMED_TYPES = ["int64", "bool", "int64", "int64", "bool", "int64", "int64", "object", "bool"]
+
+
 def stream_consensus(
     attempts: DataFrame, repeat: int, key: str = "row_index", buckets: int = 256, time: str | None = None, wait: str = "10 minutes", delay: str = "0 seconds",
 ) -> DataFrame:
     """Votes as a stream. ``attempts`` needs key, attempt_no, answer and success.
 
-    With an event-time column ``time`` every row has a state and a timer of its own: it votes
-    when all attempts are in, or on those it has once event time has gone ``wait`` beyond its
-    latest one; ``delay`` is how late attempts may be delivered. Without it a row waits for
-    all its attempts: rows are hashed into buckets, so one Python call handles many rows,
-    and a bucket's state is the attempts of its unfinished rows.
+    With an event-time column ``time`` every row has a timer of its own: it votes when all
+    attempts are in, or on those it has once event time has gone ``wait`` beyond its latest
+    one; ``delay`` is how late attempts may be delivered. Without it a row waits for all its
+    attempts. Rows are hashed into buckets, so one Python call handles many rows, and a
+    bucket's state is the attempts of its unfinished rows (and the keys of those that voted
+    lately, with ``time``).
     """
     if time is not None:
         timed = attempts.select(F.col(key).alias("row_index"), F.col("attempt_no").cast("int"), "answer", "success", F.col(time).cast("timestamp").alias("at"))
         wait_ms = pd.Timedelta(wait) // pd.Timedelta(milliseconds=1)
-        return timed.withWatermark("at", delay).groupBy("row_index").applyInPandasWithState(
-            vote_or_expire(repeat, wait_ms), VOTE_SCHEMA, _ROW_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        timed = timed.withWatermark("at", delay).withColumns({
+            "bucket": F.pmod(F.xxhash64("row_index"), F.lit(buckets)), "row_index": F.coalesce(F.col("row_index").cast("long"), F.lit(-1)), "no_key": F.col("row_index").isNull(),
+            "ms": F.coalesce(F.greatest(F.unix_millis("at"), F.lit(0)), F.lit(0)),
+        })
+        return timed.groupBy("bucket").applyInPandasWithState(
+            vote_or_expire(repeat, wait_ms), VOTE_SCHEMA, _TIMED_STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     slim = attempts.select(F.col(key).alias("row_index"), F.col("attempt_no").cast("int"), "answer", "success")
     slim = slim.withColumn("bucket", F.pmod(F.xxhash64("row_index"), F.lit(buckets)))

@@ -1,5 +1,6 @@
 """Model calls, voting, resume and whole runs."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,31 @@ def test_streamed_votes_by_timer(spark, tmp_path):
     assert got[4] == got[3] + [(9, "z", 2, 2, 1.0)]
 
 
+def test_timed_votes_of_many_rows_share_a_call(spark, tmp_path):
+    """Null and very large keys, null answers, tied votes; a call handles a bucket of rows."""
+    from labelmill.streaming import streams
+
+    big = 2**60
+    rows = [(None, 1, "n", True), (big, 1, "a", True), (big + 1, 1, "b", True), (big + 1, 2, None, True), (big + 2, 1, None, True), (-1, 1, "m", True), (-1, 2, "m", True), (5, 1, "f", False)]
+    rows += [(i, k, f"{i * k % 3}", True) for i in range(100, 400) for k in (2, 1)]
+    schema, path = "row_index bigint, attempt_no int, answer string, success boolean", str(tmp_path / "in")
+    df = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds(F.lit(100)))
+    df.unionByName(spark.createDataFrame([(7, 1, "", False)], schema).withColumn("at", F.timestamp_seconds(F.lit(5000)))).write.parquet(path)
+    votes = streams.stream_consensus(streams.read_stream(spark, path, df.schema), 2, time="at", wait="60 seconds", buckets=3)
+    streams.write_once(votes, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.row_index: (r.final_answer, r["count"], r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {None: ("n", 1, 1), big: ("a", 1, 1), big + 1: ("b", 1, 2), big + 2: (None, 1, 1), -1: ("m", 2, 2)}
+    for i in range(100, 400):
+        one, two = f"{i % 3}", f"{i * 2 % 3}"
+        want[i] = (one, 2 if one == two else 1, 2)
+    assert got == want
+
+    calls = []
+    state = type("S", (), {"exists": False, "hasTimedOut": False, "getCurrentWatermarkMs": lambda s: 0, "update": lambda s, x: calls.append(x), "setTimeoutTimestamp": lambda s, t: calls.append(t)})()
+    pdf = pd.DataFrame({"row_index": range(1000), "no_key": False, "attempt_no": 1, "answer": "a", "success": True, "ms": range(1000)})
+    assert list(streams.vote_or_expire(2, 50)((0,), iter([pdf]), state)) == [] and len(calls[0][0]) == 1000 and calls[1] == 50
+
+
 def test_template_column_with_a_dot(spark):
     from labelmill.functions.templates import render_prompt
 
