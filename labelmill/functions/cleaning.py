@@ -14,11 +14,12 @@ import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelmill.functions.text import (
     NOT_AFTER_WORD as NA, NOT_BEFORE_WORD as NB, SPACE, WORD, any_case, bind, collapse_ws, tokens, trim_ws, whole_word, words,
 )
+from labelmill.session import bound_batches
 
 # Character maps, word lists and patterns of the cleaning steps.
 QUOTES = {"`": "'", "´": "'", "«": '"', "»": '"'}
@@ -306,6 +307,7 @@ def _non_ascii(c: Column) -> Column:
 
 def _only_where(udf, c: Column, needed: Column) -> Column:
     """Apply a Python step to the texts that need it; the others stay in the JVM."""
+    bound_batches(SparkSession.getActiveSession())
     return F.coalesce(udf(needed), c)
 
 
@@ -389,6 +391,7 @@ def stem_text(c: Column) -> Column:
 
         return s.map(lambda x: " ".join(map(stem, _TOKEN.findall(x))), na_action="ignore")
 
+    bound_batches(SparkSession.getActiveSession())
     return stem_all(c)
 
 

@@ -11,7 +11,7 @@ from typing import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelmill.session import materialize, scratch_root
+from labelmill.session import bounded_batches, materialize, scratch_root  # noqa: F401
 
 #: Text bytes per block of an index: bounds the rows that one block gathers.
 BLOCK_BYTES = 8 << 20
@@ -81,26 +81,6 @@ def lean_group(work: Callable) -> Callable:
     return run
 
 
-#: Rows and bytes of text that Python gets at once, on top of what Spark would send.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same table, with the session's Arrow batches bounded for whole texts.
-
-    Spark counts rows, and ten thousand rows of long texts are more than a worker should
-    hold. Settings that are already tighter stay.
-    """
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = conf.get(key, None)
-        now = int(re.sub(r"\D", "", now) or 0) if now and re.fullmatch(r"-?\d+b?", now.lower()) and not now.startswith("-") else 0
-        if not 0 < now <= most:
-            conf.set(key, str(most))
-    return df
-
-
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts: one narrow pass over the column."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -70,3 +71,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of text that Python gets at once, on top of what Spark would send.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession | None) -> None:
+    """Bound the session's Arrow batches for whole texts.
+
+    Spark counts rows, and ten thousand rows of long texts are more than a worker should
+    hold. Settings that are already tighter stay.
+    """
+    if spark is None:
+        return
+    conf = spark.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(key, None)
+        now = int(re.sub(r"\D", "", now) or 0) if now and re.fullmatch(r"-?\d+b?", now.lower()) and not now.startswith("-") else 0
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same table, with the session's Arrow batches bounded."""
+    bound_batches(df.sparkSession)
+    return df
