@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.functions import parsing, requests
 from labelmill.functions.text import bind, normalize_label
+from labelmill.session import bounded_batches
 
 REPLY = "struct<body string, transport_error string, elapsed_ms bigint>"
 
@@ -200,7 +201,7 @@ def infer(
     pace = Pace(per_second, running_tasks(df)) if per_second else None
     ask = responder_udf(responder, pace, workers)
     keyed = F.concat_ws(":", *[F.col(k).cast("string") for k in key])
-    out = df.withColumn("_reply", ask(keyed, F.col(request)))
+    out = bounded_batches(df).withColumn("_reply", ask(keyed, F.col(request)))
     out = out.withColumn("_body", F.col("_reply.body")).withColumn("_transport", F.col("_reply.transport_error"))
     out = out.withColumn("response_time_ms", F.col("_reply.elapsed_ms"))
     out = requests.decode_response(out, "_body", provider, completion)
@@ -253,7 +254,7 @@ def infer_attempts(
             pool.shutdown()
             responder.close()
 
-    out = df.withColumn("_r", ask.asNondeterministic()(F.col(key).cast("string"), F.col(request)))
+    out = bounded_batches(df).withColumn("_r", ask.asNondeterministic()(F.col(key).cast("string"), F.col(request)))
 
     def attempt(reply: Column, i: Column) -> Column:
         def row(d: Column) -> Column:

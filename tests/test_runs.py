@@ -307,6 +307,19 @@ def test_timed_votes_of_many_rows_share_a_call(spark, tmp_path):
     assert list(streams.vote_or_expire(2, 50)((0,), iter([pdf]), state)) == [] and len(calls[0][0]) == 1000 and calls[1] == 50
 
 
+def test_python_steps_get_bounded_batches(spark):
+    """Ten thousand texts at once are more than a worker should hold: neither model calls nor cleaning get them."""
+    from labelmill.functions import cleaning
+
+    rows = spark.createDataFrame([(i, '{"prompt": "é & x"}') for i in range(3)], "row_index long, request string")
+    steps = [lambda: infer.infer(rows, HashResponder()), lambda: infer.infer_attempts(rows, HashResponder(), 2), lambda: cleaning.clean_text(rows, "request"), lambda: rows.select(cleaning.stem_text(F.col("request")))]
+    for step in steps:
+        for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+            spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+        assert step().count() == 3
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
 def test_template_column_with_a_dot(spark):
     from labelmill.functions.templates import render_prompt
 
