@@ -78,7 +78,9 @@ def _some(c: Column, changed: Column) -> Column:
 
 
 def _chars(c: Column, mapping: dict[str, str]) -> Column:
-    return F.translate(c, "".join(mapping), "".join(mapping.values()))
+    """Only texts with one of the characters are rewritten."""
+    there = F.rlike(c, F.lit("[" + "".join(f"\\x{{{ord(k):x}}}" for k in mapping) + "]"))
+    return F.when(there, F.translate(c, "".join(mapping), "".join(mapping.values()))).otherwise(c)
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -106,13 +108,18 @@ def replace_words(c: Column, mapping: dict[str, str]) -> Column:
     return c
 
 
+_DOUBLED = f"(?iu)(?:^|[^{WORD}])([a-z\u017f]{{{min(map(len, DOUBLED_WORDS))},{max(map(len, DOUBLED_WORDS))}}})[{SPACE}]+\\1{NB}"
+
+
 def fix_typos(c: Column) -> Column:
+    """The chain of doubled words only runs for texts where a short word is doubled."""
     c = replace_words(c, TYPOS)
+    out = c
     for w in DOUBLED_WORDS:
         letters = any_case(w)
         twice = f"{letters}(?<![{WORD}]{letters})[{SPACE}]+{letters}{NB}"
-        c = F.regexp_replace(c, twice, w)
-    return c
+        out = F.regexp_replace(out, twice, w)
+    return F.when(F.rlike(c, F.lit(_DOUBLED)), out).otherwise(c)
 
 
 def remove_urls(c: Column) -> Column:
@@ -148,7 +155,7 @@ def fix_case(c: Column) -> Column:
     """Long ALL-CAPS words become Capitalised; each sentence starts with a capital."""
     pieces = F.regexp_extract_all(c, F.lit(f"([{WORD}]+|[^{WORD}]+)"), 1)
     calm = lambda w: F.when(F.rlike(w, F.lit("^[A-Z]{4,}$")), F.concat(F.substring(w, 1, 1), F.lower(F.substr(w, F.lit(2))))).otherwise(w)
-    text = F.array_join(F.transform(pieces, calm), "")
+    text = F.when(F.rlike(c, F.lit(f"{NA}[A-Z]{{4,}}{NB}")), F.array_join(F.transform(pieces, calm), "")).otherwise(c)
     sentences = F.filter(F.split(text, f"(?<=[.!?])[{SPACE}]+"), lambda s: s != "")
     start = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))
     return _some(c, F.array_join(F.transform(sentences, start), " "))
