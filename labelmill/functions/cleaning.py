@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from labelmill.functions.text import (
     NOT_AFTER_WORD as NA, NOT_BEFORE_WORD as NB, SPACE, WORD, any_case, bind, collapse_ws, tokens, trim_ws, whole_word, words,
 )
-from labelmill.session import bound_batches
+from labelmill.session import bound_batches, materialize
 
 # Character maps, word lists and patterns of the cleaning steps.
 QUOTES = {"`": "'", "´": "'", "«": '"', "»": '"'}
@@ -406,19 +406,51 @@ def stem_text(c: Column) -> Column:
 _TOKEN = re.compile(r"\w+(?:'\w+)?|[^\w\s]")
 
 
+#: Words of a lemma table that are looked up in place, in chains of about ``_CHAIN``.
+LEMMAS_IN_PLACE, _CHAIN = 200_000, 4
+
+
+def _lemma_pieces(df: DataFrame, text: str, lemmas: DataFrame, words: int) -> DataFrame:
+    """``df`` with ``_pieces``, the tokens' lemmas as (_at, w) in order, without a shuffle.
+
+    The lemma table becomes one value, an array of small maps by the word's hash."""
+    chains = max(1, words // _CHAIN)
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(chains)).cast("int")
+    each = lemmas.filter("word is not null").groupBy("word").agg(F.collect_list(F.struct("lemma")).alias("found"))
+    maps = each.groupBy(slot(F.col("word")).alias("i")).agg(F.collect_list(F.struct("word", "found")).alias("m"))
+    all_slots = lemmas.sparkSession.range(chains).select(F.col("id").cast("int").alias("i")).join(maps, "i", "left")
+    table = all_slots.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: F.map_from_entries(x["m"]))).scalar()
+
+    def pieces(t: Column, i: Column) -> Column:
+        low = F.lower(t)
+        found = F.try_element_at(F.get(F.col("_lemmas"), slot(low)), low)
+        one = F.array(F.struct(i.cast("int").alias("_at"), t.alias("w")))
+        return F.when(found.isNull(), one).otherwise(F.transform(found, lambda f: F.struct(i.cast("int").alias("_at"), F.coalesce(f["lemma"], t).alias("w"))))
+
+    return df.withColumn("_lemmas", table).withColumn("_pieces", F.flatten(F.transform(tokens(F.col(text)), pieces))).drop("_lemmas")
+
+
 def lemmatize(df: DataFrame, text: str, lemmas: DataFrame, key: str) -> DataFrame:
     """Replace tokens by their lemma from a (word, lemma) table.
 
-    Tokens are exploded and looked up by a join, which Spark broadcasts while the lemma
-    table is below its limit. A text's tokens stay together, so they are gathered again
-    before the shuffle by key: about one text per row crosses it.
+    A table of up to LEMMAS_IN_PLACE rows is looked up inside each text's row, so that no token
+    is shuffled; a larger one by a join of the exploded tokens. Rows that share a key share
+    their tokens, in both cases; only theirs are gathered.
     """
-    each = df.select(key, F.posexplode(tokens(F.col(text))).alias("_at", "_t")).withColumn("word", F.lower("_t"))
-    found = each.join(lemmas.select("word", "lemma"), "word", "left")
-    pieces = F.sort_array(F.collect_list(F.struct("_at", F.coalesce("lemma", "_t").alias("w"))))
-    joined = found.groupBy(key).agg(F.array_join(F.transform(pieces, lambda p: p["w"]), " ").alias("_joined"))
+    lemmas = lemmas.select("word", "lemma")
+    joined = lambda pieces: F.array_join(F.transform(F.sort_array(pieces), lambda p: p["w"]), " ")
+    words = lemmas.count()
+    if words > LEMMAS_IN_PLACE:
+        each = df.select(key, F.posexplode(tokens(F.col(text))).alias("_at", "_t")).withColumn("word", F.lower("_t"))
+        found = each.join(lemmas, "word", "left").groupBy(key).agg(joined(F.collect_list(F.struct("_at", F.coalesce("lemma", "_t").alias("w")))).alias("_joined"))
+        out = df.join(found, key, "left")
+    else:
+        shared = materialize(df.select(key).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col(key).isNotNull() & (F.col("_n") > 1)).select(key), "shared-keys")
+        several = _lemma_pieces(df.join(shared, key), text, lemmas, words).groupBy(key).agg(joined(F.flatten(F.collect_list("_pieces"))).alias("_several"))
+        out = df.join(materialize(several, "shared-texts"), key, "left")
+        own = F.when(F.col(key).isNotNull(), joined(F.col("_pieces")))
+        out = _lemma_pieces(out, text, lemmas, words).withColumn("_joined", F.coalesce("_several", own)).drop("_several", "_pieces")
     # Texts without any token come out empty, as from the other token steps.
-    out = df.join(joined, key, "left")
     return out.withColumn(text, _some(F.col(text), F.coalesce("_joined", F.lit("")))).drop("_joined")
 
 

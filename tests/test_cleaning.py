@@ -72,6 +72,31 @@ def test_whole_chain(spark):
         C.clean_text(df, "t", options={"lemmatize_text": True})
 
 
+def test_lemmas_are_looked_up_in_place(spark, monkeypatch):
+    """Repeated and null keys, repeated and null lemmas, both ways; no token is shuffled in place."""
+    rows = [(1, "Cats ran."), (1, "cats sat"), (2, "Dogs' ran, dogs ran"), (3, ""), (4, None), (5, " \t"), (None, "cats"), (6, "x " * 3000 + "ran")]
+    lemmas = spark.createDataFrame([("cats", "cat"), ("ran", "run"), ("ran", "flee"), ("dogs", None), (None, "no")], "word string, lemma string")
+    df = spark.createDataFrame(rows, "k int, t string")
+    want = [(None, ""), (1, "cat cat flee run sat ."), (1, "cat cat flee run sat ."), (2, "Dogs ' flee run , dogs flee run"), (3, ""), (4, None), (5, ""), (6, "x " * 3000 + "flee run")]
+    order = lambda out: sorted(map(tuple, out.collect()), key=lambda r: (r[0] or 0, r[1] or ""))
+    out = C.lemmatize(df, "t", lemmas, "k")
+    assert order(out) == want
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert order(C.lemmatize(df, "t", lemmas.limit(0), "k"))[3] == (2, "Dogs ' ran , dogs ran")
+    monkeypatch.setattr(C, "LEMMAS_IN_PLACE", 0)
+    assert order(C.lemmatize(df, "t", lemmas, "k")) == want
+
+
+def test_costly_chains_run_where_they_change_something(spark):
+    words = [f(w) for w in C.DOUBLED_WORDS for f in (str, str.upper, str.title)] + ["i\u017f"]
+    texts = [f"{a}{w}\u2003 {w.lower()}{b}" for w in words for a in ("", "x ", ".") for b in ("", " y", ",")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(F.rlike("t", F.lit(C._DOUBLED))).count() == len(texts)
+    assert df.filter(C.fix_typos(F.col("t")) == F.col("t")).count() == 0
+    plain = spark.createDataFrame([("the cat and a dog",)], "t string").filter(F.rlike("t", F.lit(C._DOUBLED)))
+    assert plain.count() == 0
+
+
 def test_squeeze_repeats_against_brute_force(spark):
     texts = ["".join(p) for n in range(1, 8) for p in itertools.product("a\n", repeat=n)]
     want = ["".join(c * (2 if c != "\n" and len(g) > 3 else len(g)) for c, g in ((k, list(v)) for k, v in itertools.groupby(t))) for t in texts]
