@@ -268,6 +268,17 @@ def test_passes_follow_from_measured_prefixes(spark, monkeypatch):
     assert vectors.LEAST_PASSES <= passes[0.0] < passes[0.8] < 3000 / 64
 
 
+def test_words_of_items_are_the_contract_s(spark):
+    """Every code point of the first two planes stands in a word or parts words as in the contract's class."""
+    from pyspark.sql import functions as F
+
+    points = spark.createDataFrame([(f"a{chr(i)}a",) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000], "t string")
+    as_said = F.regexp_extract_all(F.translate("t", contamination._UPPER, contamination._LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    assert points.filter(~contamination._words(F.col("t")).eqNullSafe(as_said)).count() == 0
+    assert points.filter(F.regexp_count("t", F.lit(contamination.WORD)) != F.size(as_said)).count() == 0
+    assert not contamination.WORD.startswith("[^")  # the complement's test of each letter against all ranges took most of the time
+
+
 def test_language(spark):
     de, en = "der die und nicht werden schon über straße müssen haben", "the and with nothing shall often street through having"
     rows = [(i, " ".join(np.random.default_rng(i).permutation((de if i % 2 else en).split())) * 3, "de" if i % 2 else "en") for i in range(60)]
