@@ -1,8 +1,12 @@
 """N-gram Jaccard self-join as a blocked sparse matrix product.
 
 The matrix has a row per distinct shingle set and a column per shingle; entry counts of
-its product with its transpose are overlaps. Columns are dealt into blocks by hash. The
-first pass over the blocks counts each column's entries, which lets every row drop the
+its product with its transpose are overlaps. Columns are dealt into blocks by hash. A
+first pass looks at half of the columns, by hash, and counts for every row how many of
+those it has alone. Nobody can link with a row that has n - ceil(t * n) + 1 columns alone,
+of its n, at a threshold of t; the others go on, through a bitmap of their texts' hashes
+that may let a few more in but leaves none out. For those the second pass counts each
+column's entries, which lets every row drop the
 columns that it has alone and order the others from rare to frequent. A pair with a
 Jaccard similarity of at least t shares one of the first n - ceil(t * n) + 1 columns of
 either row in that order, so only this part of the matrix is multiplied; rows whose part
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm import words as W
 from labelmill.llm.graph import components
-from labelmill.llm.steps import arrow_schema, block_count, bounded_batches, lean, lean_group, saved, text_bytes
+from labelmill.llm.steps import BLOCK_BYTES, arrow_schema, block_count, bounded_batches, lean, lean_group, saved, text_bytes
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
@@ -33,8 +37,13 @@ SHINGLE, PERCENT = 5, 80
 BUCKET_BYTES = 1 << 20
 #: A column with so many entries in one slice of a task counts as frequent without a count.
 HOT_IN_SLICE = 64
+#: One column in so many is looked at first, and so many entries of those make one posting.
+SAMPLE, SAMPLE_ENTRIES = 2, 1 << 20
+#: Bits of the map of texts that go on: for each of them, and at most (4 MB).
+BITS_EACH, BITS_MOST = 16, 1 << 25
 _LOW48 = U((1 << 48) - 1)
-_SETS, _SETS_ARROW = arrow_schema({"doc_id": "long", "row": "long", "n_shingles": "long", "cls": "long"})
+_SETS, _SETS_ARROW = arrow_schema({"doc_id": "long", "row": "long", "n_shingles": "long", "n_sampled": "long", "cls": "long"})
+_SEEN, _SEEN_ARROW = arrow_schema({"block": "int", "cls": "binary", "count": "binary", "low": "binary", "high": "binary", "shared_low": "binary", "shared_high": "binary", "told": "binary", "told_count": "binary"})
 _POST, _POST_ARROW = arrow_schema({"block": "int", "cls": "binary", "size": "binary", "count": "binary", "low": "binary", "high": "binary", "told": "boolean"})
 _ROW, _ROW_ARROW = arrow_schema({"cls": "long", "n": "long", "shared": "array<long>", "part": "array<long>", "first_pos": "long", "last": "long", "bits": "binary"})
 
@@ -61,20 +70,133 @@ def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarr
     return h, bounds, W.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U))
 
 
+def _in_sample(h: np.ndarray) -> np.ndarray:
+    return h % U(SAMPLE) == 0
+
+
 def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, row (a hash of the text), n_shingles and cls, the fingerprint of the set."""
+    """doc_id, row (a hash of the text), n_shingles, n_sampled (those in sampled columns)
+    and cls, the fingerprint of the set."""
 
     @lean
     def run(batches):
         for batch in batches:
             for part in W.slices(batch):
-                _, bounds, cls = shingle_sets(part, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.diff(bounds), pa.int64()), pa.array(cls.view(np.int64))], schema=_SETS_ARROW)
+                h, bounds, cls = shingle_sets(part, size)
+                sampled = np.append(0, np.cumsum(_in_sample(h)))[bounds]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(sampled), pa.int64()), pa.array(cls.view(np.int64))], schema=_SETS_ARROW)
 
     text = F.col("text").cast("string")
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, _SETS)
 
 
+def _sampled(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(column, set) of the entries of one slice in sampled columns, equal sets once."""
+    h, bounds, cls = shingle_sets(batch, size)
+    n = np.diff(bounds)
+    once = np.zeros(len(n), bool)
+    once[np.unique(cls, return_index=True)[1]] = True
+    at = np.repeat(once, n) & _in_sample(h)
+    return h[at], np.repeat(cls, n)[at]
+
+
+def _seen(parts: list[tuple[np.ndarray, np.ndarray]], blocks: int) -> pa.RecordBatch:
+    """One posting of sampled entries: a row per column block.
+
+    Of a column that several of these sets have, the block is told only that it is shared,
+    and each set's count of such columns goes along as one number. So a block gets a column
+    at most once from a posting, however frequent it is.
+    """
+    g, cls = (np.concatenate(x) for x in zip(*parts))
+    by = np.lexsort((cls, g))
+    g, cls = g[by], cls[by]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (cls[1:] != cls[:-1])
+    g, cls = g[new], cls[new]
+    head = _runs(g)
+    times = np.diff(head)
+    shared, many = g[head[:-1]][times > 1], np.repeat(times > 1, times)
+    told, told_count = np.unique(cls[many], return_counts=True)
+    g, cls = g[~many], cls[~many]
+    block = W.spread(g, blocks)
+    by = np.lexsort((cls, block))
+    g, cls, block = g[by], cls[by], block[by]
+    step = np.ones(len(g), bool)
+    step[1:] = (block[1:] != block[:-1]) | (cls[1:] != cls[:-1])
+    run = np.append(np.flatnonzero(step), len(g))
+    lead = np.flatnonzero((np.arange(len(g)) - np.repeat(run[:-1], np.diff(run))) % 255 == 0)  # counts fit a byte
+    cut, shared_cut = (np.searchsorted(x, np.arange(blocks + 1)) for x in (block, W.spread(shared, blocks)))
+    lead_cut, told_cut = np.searchsorted(lead, cut), np.linspace(0, len(told), blocks + 1).astype(int)
+    cols = [W.packed(cls[lead], lead_cut), W.packed(np.diff(np.append(lead, len(g))).astype(np.uint8), lead_cut)]
+    for x, at in ((g, cut), (shared, shared_cut)):
+        cols += [W.packed(x.astype(np.uint32), at), W.packed((x >> U(32)).astype(np.uint16), at)]
+    cols += [W.packed(told, told_cut), W.packed(told_count.astype(np.int32), told_cut)]
+    full = np.flatnonzero(np.diff(cut) + np.diff(shared_cut) + np.diff(told_cut))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array([c[i] for i in full], pa.binary()) for c in cols]], schema=_SEEN_ARROW)
+
+
+def _shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """cls and how many of its entries, in one block or told, lie in shared columns."""
+    cls, g = np.repeat(_join(pdf, "cls", U), _join(pdf, "count", np.uint8)), _grams(pdf)
+    by = np.lexsort((cls, g))
+    cls, g = cls[by], g[by]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (cls[1:] != cls[:-1])
+    cls, g = cls[new], g[new]
+    times = np.diff(_runs(g))
+    cls, count = np.unique(cls[np.repeat(times > 1, times) | np.isin(g, _grams(pdf, "shared_"))], return_counts=True)
+    cls, count = np.append(cls, _join(pdf, "told", U)), np.append(count, _join(pdf, "told_count", np.int32))
+    return pd.DataFrame({"cls": cls.view(np.int64), "shared": count.astype(np.int64)})
+
+
+def may_link(docs: DataFrame, sets: DataFrame, total: int, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """row of the texts that may have a partner, from ``document_sets``, and the shingles of
+    all documents with this text. ``total`` are the bytes of all texts.
+
+    Left out is who has so many sampled columns alone that the rest is below the threshold
+    with anyone. Where a count is too high (a set that is repeated), more go on.
+    """
+    blocks = block_count(total, SAMPLE * BLOCK_BYTES)
+
+    @lean
+    def post(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for part in W.slices(batch):
+                parts.append(_sampled(part, size))
+                held += len(parts[-1][0])
+                if held >= SAMPLE_ENTRIES:
+                    yield _seen(parts, blocks)
+                    parts, held = [], 0
+        if held:
+            yield _seen(parts, blocks)
+
+    entries = bounded_batches(docs).select(F.col("text").cast("string")).mapInArrow(post, _SEEN)
+    shared = entries.groupBy("block").applyInPandas(lean_group(_shared_counts), "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    alone = F.col("n_sampled") - F.coalesce("shared", F.lit(0))
+    least = F.expr(f"({percent} * n_shingles + 99) div 100")
+    texts = sets.filter("n_shingles > 0").groupBy("row", "cls", "n_shingles", "n_sampled").agg(F.sum("n_shingles").alias("n"))
+    return texts.join(shared, "cls", "left").filter(alone < F.col("n_shingles") - least + 1).select("row", "n")
+
+
+def _row_bits(chosen: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the rows of ``chosen`` by the low bits of their hash, and their shingles."""
+    bits = 1 << 15
+    while bits < BITS_MOST and bits < BITS_EACH * chosen.count():
+        bits *= 2
+    at = F.pmod("row", F.lit(bits)) + 1  # Spark's bitmaps count from 1
+    pages = chosen.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"), F.sum("n").alias("n")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for x in pages:
+        out[(x.page - 1) << 12 : x.page << 12] = np.frombuffer(x.bits, np.uint8)
+    return out, sum(x.n for x in pages)
+
+
+def _having(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    at = batch.column("row").to_numpy().view(U) & U(8 * len(bits) - 1)
+    return batch.filter(pa.array((bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1))
+
+
 def _posts(batch: pa.RecordBatch, size: int, blocks: int):
     """Matrix entries of one slice, packed per column block."""
     h, bounds, cls = shingle_sets(batch, size)
@@ -141,8 +263,8 @@ def _join(pdf: pd.DataFrame, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(pdf[name]), kind)
 
 
-def _grams(pdf: pd.DataFrame) -> np.ndarray:
-    return _join(pdf, "low", np.uint32).astype(U) | (_join(pdf, "high", np.uint16).astype(U) << U(32))
+def _grams(pdf: pd.DataFrame, of: str = "") -> np.ndarray:
+    return _join(pdf, f"{of}low", np.uint32).astype(U) | (_join(pdf, f"{of}high", np.uint16).astype(U) << U(32))
 
 
 _REPLY = "bucket int, block int, cls binary, size binary, count binary, low binary, high binary, df binary"
@@ -252,19 +374,22 @@ def _document_rows(got: list[dict], percent: int):
             yield cls[a].view(np.int64), n, own.view(np.int64), lead.view(np.int64), alone, last, column_bits(lead)
 
 
-def matrix_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def matrix_rows(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows that may have a partner: cls, n, shared columns, the part to multiply in
     order from rare to frequent, and the position of that part's first column."""
     total = text_bytes(docs)
+    bits, n = _row_bits(saved(may_link(docs, sets, total, size, percent), "may-link"))
+    total = total * n // max(1, sets.agg(F.sum("n_shingles")).first()[0] or 0)
     blocks, buckets = block_count(total), block_count(total, BUCKET_BYTES)
 
     @lean
     def post(batches):
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(_having(batch, bits)):
                 yield from _posts(part, size, blocks)
 
-    entries = bounded_batches(docs).select(F.col("text").cast("string")).mapInArrow(post, _POST)
+    text = F.col("text").cast("string")
+    entries = bounded_batches(docs).select(text.alias("text"), F.xxhash64(text).alias("row")).mapInArrow(post, _POST)
     replies = entries.groupBy("block").applyInPandas(lean_group(lambda pdf: _block_counts(pdf, buckets)), _REPLY)
     whole = replies.groupBy("bucket").agg(F.collect_list(F.struct("block", "cls", "size", "count", "low", "high", "df")).alias("got")).select("got")
 
@@ -370,9 +495,10 @@ def link_rows(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _named_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, row, n_shingles, cls and root, the component's fingerprint, of every document."""
-    rows = saved(matrix_rows(docs, size, percent), "matrix-rows")
+    sets = saved(document_sets(docs, size), "sets")
+    rows = saved(matrix_rows(docs, sets, size, percent), "matrix-rows")
     roots = components(saved(link_rows(rows, percent), "links"))
-    named = document_sets(docs, size).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return saved(named, "named-sets")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 
 import pytest
 
@@ -78,6 +79,38 @@ def test_ngram_jaccard_group_of_near_copies(spark):
     assert got == root
 
 
+def test_ngram_jaccard_only_candidates_go_on(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"r{x}" for x in rng.integers(0, 1 << 40, 60 + i))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(20)]  # copies alone are no partners
+    for i in range(20, 60):  # from clear partners to clear strangers, around the threshold
+        words = rows[i][1].split()
+        words[: (i - 20) // 2] = [f"n{i}_{j}" for j in range((i - 20) // 2)]
+        rows.append((100 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = ngram_join.document_sets(docs).localCheckpoint()
+    passed = ngram_join.may_link(docs, sets, 1 << 20).select("row").distinct()
+    got = {r.doc_id for r in sets.join(passed, "row").collect()}
+    want = {i: shingles(t) for i, t in rows}
+    partners = {i for i, a in want.items() for b in want.values() if a != b and 100 * len(a & b) >= 80 * len(a | b)}
+    assert partners and partners <= got
+    assert not got & ({i for i in range(20)} | {100 + i for i in range(20)})
+    roots = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert roots == {i: min(j for j, b in want.items() if 100 * len(a & b) >= 80 * len(a | b)) for i, a in want.items()}
+
+
+def test_ngram_jaccard_posted_bytes():
+    """What the first pass sends for a shingle stays small however many blocks there are."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"r{x}" for x in rng.integers(0, 1 << 40, 300)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for blocks in (16, 4096):
+        posted = ngram_join._seen([ngram_join._sampled(batch, 5)], blocks)
+        assert sum(len(x) for c in posted.columns[1:] for x in c.to_pylist()) <= 8 * 200 * 296
+    told = ngram_join._shared_counts(ngram_join._seen([ngram_join._sampled(batch, 5)], 16).to_pandas())
+    assert not len(told)
+
+
 def test_substring_dedup(spark):
     docs = documents(spark).filter("doc_id is not null and not (doc_id = 7)")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.deduplicate(docs).collect()}
