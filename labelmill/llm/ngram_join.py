@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm import words as W
 from labelmill.llm.graph import components
-from labelmill.llm.steps import BLOCK_BYTES, arrow_schema, block_count, bounded_batches, lean, lean_group, saved, text_bytes
+from labelmill.llm.steps import BLOCK_BYTES, arrow_schema, block_count, bounded_batches, discard, lean, lean_group, saved, text_bytes
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
@@ -39,11 +39,15 @@ BUCKET_BYTES = 1 << 20
 HOT_IN_SLICE = 64
 #: One column in so many is looked at first, and so many entries of those make one posting.
 SAMPLE, SAMPLE_ENTRIES = 2, 1 << 20
+#: Bits of a set's place in a posting of the first pass, and so many sets make one as well.
+_PLACE_BITS = U(18)
+_PLACES, SAMPLE_SETS = (U(1) << _PLACE_BITS) - U(1), 1 << 17
 #: Bits of the map of texts that go on: for each of them, and at most (4 MB).
 BITS_EACH, BITS_MOST = 16, 1 << 25
 _LOW48 = U((1 << 48) - 1)
 _SETS, _SETS_ARROW = arrow_schema({"doc_id": "long", "row": "long", "n_shingles": "long", "n_sampled": "long", "cls": "long"})
-_SEEN, _SEEN_ARROW = arrow_schema({"block": "int", "cls": "binary", "count": "binary", "low": "binary", "high": "binary", "shared_low": "binary", "shared_high": "binary", "told": "binary", "told_count": "binary"})
+_SEEN, _SEEN_ARROW = arrow_schema({"block": "int", "set": "binary", "count": "binary", "column": "binary", "shared": "binary", "told": "binary", "told_count": "binary"})
+_FIRST, _FIRST_ARROW = f"{_SETS}, {_SEEN}", pa.schema([*_SETS_ARROW, *_SEEN_ARROW])
 _POST, _POST_ARROW = arrow_schema({"block": "int", "cls": "binary", "size": "binary", "count": "binary", "low": "binary", "high": "binary", "told": "boolean"})
 _ROW, _ROW_ARROW = arrow_schema({"cls": "long", "n": "long", "shared": "array<long>", "part": "array<long>", "first_pos": "long", "last": "long", "bits": "binary"})
 
@@ -52,19 +56,22 @@ def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarr
     """(shingle hashes, bounds of each text's sorted distinct ones, set fingerprints)."""
     w = W.words(batch.column("text"), lower=True)
     counts = w.counts
-    n, doc = len(w.hash), w.doc
-    at = np.flatnonzero(np.arange(n) + size <= w.first[1:][doc]) if n >= size else np.zeros(0, int)
-    h, d = (W.windows(w.hash, size)[at], doc[at]) if len(at) else (np.zeros(0, U), np.zeros(0, int))
-    short = np.flatnonzero((counts > 0) & (counts < size))
-    if len(short):
-        h = np.concatenate((h, np.array([W.whole(w.hash[w.first[i] : w.first[i + 1]]) for i in short], U)))
-        d = np.concatenate((d, short))
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
+    short = (counts > 0) & (counts < size)
+    n = np.maximum(counts - size + 1, 0) + short
+    at = np.append(0, np.cumsum(n))
+    h = np.empty(at[-1], U)
+    if len(w.hash) >= size:
+        inside = np.arange(size, len(w.hash) + 1) <= np.repeat(w.first[1:], counts)[: len(w.hash) - size + 1]
+        h[np.repeat(~short, n)] = W.windows(w.hash, size)[inside]
+    for i in np.flatnonzero(short):
+        h[at[i]] = W.whole(w.hash[w.first[i] : w.first[i + 1]])
+    for a, b in zip(at[:-1][n > 1], at[1:][n > 1]):
+        h[a:b].sort()
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
-    bounds = np.searchsorted(d, np.arange(len(counts) + 1))
+    new[1:] = h[1:] != h[:-1]
+    new[at[:-1][n > 0]] = True
+    bounds = np.append(0, np.cumsum(new))[at]
+    h = h[new]
     sums = np.zeros(len(h) + 1, U)
     np.cumsum(W.mix(h ^ U(0x5DEECE66D)), out=sums[1:])
     return h, bounds, W.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U))
@@ -74,104 +81,123 @@ def _in_sample(h: np.ndarray) -> np.ndarray:
     return h % U(SAMPLE) == 0
 
 
-def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, row (a hash of the text), n_shingles, n_sampled (those in sampled columns)
-    and cls, the fingerprint of the set."""
+def _sampled(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_sample`` of the texts of a batch."""
+    return _sample(*shingle_sets(batch, size))
 
-    @lean
-    def run(batches):
-        for batch in batches:
-            for part in W.slices(batch):
-                h, bounds, cls = shingle_sets(part, size)
-                sampled = np.append(0, np.cumsum(_in_sample(h)))[bounds]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(sampled), pa.int64()), pa.array(cls.view(np.int64))], schema=_SETS_ARROW)
 
-    text = F.col("text").cast("string")
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, _SETS)
-
-
-def _sampled(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(column, set) of the entries of one slice in sampled columns, equal sets once."""
-    h, bounds, cls = shingle_sets(batch, size)
-    n = np.diff(bounds)
-    once = np.zeros(len(n), bool)
-    once[np.unique(cls, return_index=True)[1]] = True
-    at = np.repeat(once, n) & _in_sample(h)
-    return h[at], np.repeat(cls, n)[at]
+def _sample(h: np.ndarray, bounds: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries in sampled columns, how many each set has, sets) of one slice; sets without
+    any are left out."""
+    at = _in_sample(h)
+    n = np.diff(np.append(0, np.cumsum(at))[bounds])
+    return h[at], n[n > 0], cls[n > 0]
 
 
-def _seen(parts: list[tuple[np.ndarray, np.ndarray]], blocks: int) -> pa.RecordBatch:
+def _seen(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: int) -> pa.RecordBatch:
     """One posting of sampled entries: a row per column block.
 
     Of a column that several of these sets have, the block is told only that it is shared,
     and each set's count of such columns goes along as one number. So a block gets a column
-    at most once from a posting, however frequent it is.
+    at most once from a posting, however frequent it is. An entry is sorted as one number,
+    of its column's first 46 bits and its set's place here; a block tells columns apart by
+    32 bits. Columns that are taken for one make a count too high, never too low.
     """
-    g, cls = (np.concatenate(x) for x in zip(*parts))
-    by = np.lexsort((cls, g))
-    g, cls = g[by], cls[by]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (cls[1:] != cls[:-1])
-    g, cls = g[new], cls[new]
-    head = _runs(g)
+    g, n, cls = (np.concatenate(x) for x in zip(*parts))
+    once = np.zeros(len(cls), bool)
+    once[np.unique(cls, return_index=True)[1]] = True
+    g, n, cls = g[np.repeat(once, n)], n[once], cls[once]
+    key = (g & ~_PLACES) | np.repeat(np.arange(len(cls), dtype=U), n)
+    key.sort()
+    head = _runs(key >> _PLACE_BITS)
     times = np.diff(head)
-    shared, many = g[head[:-1]][times > 1], np.repeat(times > 1, times)
-    told, told_count = np.unique(cls[many], return_counts=True)
-    g, cls = g[~many], cls[~many]
-    block = W.spread(g, blocks)
-    by = np.lexsort((cls, block))
-    g, cls, block = g[by], cls[by], block[by]
-    step = np.ones(len(g), bool)
-    step[1:] = (block[1:] != block[:-1]) | (cls[1:] != cls[:-1])
-    run = np.append(np.flatnonzero(step), len(g))
-    lead = np.flatnonzero((np.arange(len(g)) - np.repeat(run[:-1], np.diff(run))) % 255 == 0)  # counts fit a byte
-    cut, shared_cut = (np.searchsorted(x, np.arange(blocks + 1)) for x in (block, W.spread(shared, blocks)))
+    shared, many = key[head[:-1]][times > 1], np.repeat(times > 1, times)
+    told, told_count = np.unique(key[many] & _PLACES, return_counts=True)
+    key = key[~many]
+    cut, shared_cut = (np.searchsorted(W.spread(x, blocks), np.arange(blocks + 1)) for x in (key, shared))
+    key = ((key & _PLACES) << U(32)) | _column(key)
+    for a, b in zip(cut[:-1], cut[1:]):
+        key[a:b].sort()
+    place, block = key >> U(32), np.repeat(np.arange(blocks), np.diff(cut))
+    step = np.ones(len(key), bool)
+    step[1:] = (block[1:] != block[:-1]) | (place[1:] != place[:-1])
+    run = np.append(np.flatnonzero(step), len(key))
+    lead = np.flatnonzero((np.arange(len(key)) - np.repeat(run[:-1], np.diff(run))) % 255 == 0)  # counts fit a byte
     lead_cut, told_cut = np.searchsorted(lead, cut), np.linspace(0, len(told), blocks + 1).astype(int)
-    cols = [W.packed(cls[lead], lead_cut), W.packed(np.diff(np.append(lead, len(g))).astype(np.uint8), lead_cut)]
-    for x, at in ((g, cut), (shared, shared_cut)):
-        cols += [W.packed(x.astype(np.uint32), at), W.packed((x >> U(32)).astype(np.uint16), at)]
-    cols += [W.packed(told, told_cut), W.packed(told_count.astype(np.int32), told_cut)]
+    cols = [W.packed(cls[place[lead]], lead_cut), W.packed(np.diff(np.append(lead, len(key))).astype(np.uint8), lead_cut)]
+    cols += [W.packed(key.astype(np.uint32), cut), W.packed(_column(shared).astype(np.uint32), shared_cut)]
+    cols += [W.packed(cls[told], told_cut), W.packed(told_count.astype(np.int32), told_cut)]
     full = np.flatnonzero(np.diff(cut) + np.diff(shared_cut) + np.diff(told_cut))
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array([c[i] for i in full], pa.binary()) for c in cols]], schema=_SEEN_ARROW)
 
 
+def _column(g: np.ndarray) -> np.ndarray:
+    """What tells columns apart within a block of the first pass."""
+    return (g >> _PLACE_BITS) & U((1 << 32) - 1)
+
+
 def _shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     """cls and how many of its entries, in one block or told, lie in shared columns."""
-    cls, g = np.repeat(_join(pdf, "cls", U), _join(pdf, "count", np.uint8)), _grams(pdf)
-    by = np.lexsort((cls, g))
-    cls, g = cls[by], g[by]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (cls[1:] != cls[:-1])
-    cls, g = cls[new], g[new]
-    times = np.diff(_runs(g))
-    cls, count = np.unique(cls[np.repeat(times > 1, times) | np.isin(g, _grams(pdf, "shared_"))], return_counts=True)
-    cls, count = np.append(cls, _join(pdf, "told", U)), np.append(count, _join(pdf, "told_count", np.int32))
+    cls, place = np.unique(_join(pdf, "set", U), return_inverse=True)
+    key = (_join(pdf, "column", np.uint32).astype(U) << U(32)) | np.repeat(place, _join(pdf, "count", np.uint8)).astype(U)
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    head = _runs(key >> U(32))
+    times, column = np.diff(head), key[head[:-1]] >> U(32)
+    shared = np.repeat((times > 1) | np.isin(column, _join(pdf, "shared", np.uint32).astype(U)), times)
+    count = np.bincount((key[shared] & U((1 << 32) - 1)).astype(int), minlength=len(cls))
+    cls, count = np.append(cls[count > 0], _join(pdf, "told", U)), np.append(count[count > 0], _join(pdf, "told_count", np.int32))
     return pd.DataFrame({"cls": cls.view(np.int64), "shared": count.astype(np.int64)})
 
 
-def may_link(docs: DataFrame, sets: DataFrame, total: int, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """row of the texts that may have a partner, from ``document_sets``, and the shingles of
-    all documents with this text. ``total`` are the bytes of all texts.
-
-    Left out is who has so many sampled columns alone that the rest is below the threshold
-    with anyone. Where a count is too high (a set that is repeated), more go on.
-    """
-    blocks = block_count(total, SAMPLE * BLOCK_BYTES)
+def first_pass(docs: DataFrame, size: int = SHINGLE, blocks: int = 0) -> DataFrame:
+    """What one pass over the texts gives, in one table: the rows of ``document_sets``, and
+    postings of sampled entries if there are ``blocks`` to send them to. Only postings have
+    a block."""
 
     @lean
-    def post(batches):
-        parts, held = [], 0
+    def run(batches):
+        parts, entries, sets = [], 0, 0
         for batch in batches:
             for part in W.slices(batch):
-                parts.append(_sampled(part, size))
-                held += len(parts[-1][0])
-                if held >= SAMPLE_ENTRIES:
-                    yield _seen(parts, blocks)
-                    parts, held = [], 0
-        if held:
-            yield _seen(parts, blocks)
+                h, bounds, cls = shingle_sets(part, size)
+                sampled = np.append(0, np.cumsum(_in_sample(h)))[bounds]
+                yield _padded(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(sampled), pa.int64()), pa.array(cls.view(np.int64))], schema=_SETS_ARROW), _FIRST_ARROW)
+                if not blocks:
+                    continue
+                parts.append(_sample(h, bounds, cls))
+                entries, sets = entries + len(parts[-1][0]), sets + len(parts[-1][2])
+                if entries >= SAMPLE_ENTRIES or sets >= SAMPLE_SETS:
+                    yield _padded(_seen(parts, blocks), _FIRST_ARROW)
+                    parts, entries, sets = [], 0, 0
+        if entries:
+            yield _padded(_seen(parts, blocks), _FIRST_ARROW)
+
+    text = F.col("text").cast("string")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, _FIRST)
+
+
+def _padded(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The same rows with nulls in the columns that they lack."""
+    own = set(batch.schema.names)
+    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in own else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
+
+
+def _sets_of(first: DataFrame) -> DataFrame:
+    return first.filter("block is null").select(*_SETS_ARROW.names)
 
-    entries = bounded_batches(docs).select(F.col("text").cast("string")).mapInArrow(post, _SEEN)
+
+def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, row (a hash of the text), n_shingles, n_sampled (those in sampled columns)
+    and cls, the fingerprint of the set."""
+    return _sets_of(first_pass(docs, size))
+
+
+def _candidates(first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``may_link`` from the postings of the first pass."""
+    entries = first.filter("block is not null").select(*_SEEN_ARROW.names)
     shared = entries.groupBy("block").applyInPandas(lean_group(_shared_counts), "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
     alone = F.col("n_sampled") - F.coalesce("shared", F.lit(0))
     least = F.expr(f"({percent} * n_shingles + 99) div 100")
@@ -179,22 +205,44 @@ def may_link(docs: DataFrame, sets: DataFrame, total: int, size: int = SHINGLE,
     return texts.join(shared, "cls", "left").filter(alone < F.col("n_shingles") - least + 1).select("row", "n")
 
 
-def _row_bits(chosen: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the rows of ``chosen`` by the low bits of their hash, and their shingles."""
-    bits = 1 << 15
-    while bits < BITS_MOST and bits < BITS_EACH * chosen.count():
+def may_link(docs: DataFrame, sets: DataFrame, total: int, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """row of the texts that may have a partner, from ``document_sets``, and the shingles of
+    all documents with this text. ``total`` are the bytes of all texts.
+
+    Left out is who has so many sampled columns alone that the rest is below the threshold
+    with anyone. Where a count is too high (a set that is repeated), more go on.
+    """
+    return _candidates(first_pass(docs, size, _sample_blocks(total)), sets, percent)
+
+
+def _sample_blocks(total: int) -> int:
+    return block_count(total, SAMPLE * BLOCK_BYTES)
+
+
+def _row_bits(chosen: DataFrame) -> np.ndarray:
+    """A bitmap of the rows of ``chosen`` by the low bits of their hash."""
+    bits, least = 1 << 15, BITS_EACH * chosen.count()
+    while bits < BITS_MOST and bits < least:
         bits *= 2
     at = F.pmod("row", F.lit(bits)) + 1  # Spark's bitmaps count from 1
-    pages = chosen.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"), F.sum("n").alias("n")).collect()
+    pages = chosen.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for x in pages:
         out[(x.page - 1) << 12 : x.page << 12] = np.frombuffer(x.bits, np.uint8)
-    return out, sum(x.n for x in pages)
+    return out
+
+
+def _has(row: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = row.view(U) & U(8 * len(bits) - 1)
+    return (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
 
 
 def _having(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    at = batch.column("row").to_numpy().view(U) & U(8 * len(bits) - 1)
-    return batch.filter(pa.array((bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1))
+    return batch.filter(pa.array(_has(batch.column("row").to_numpy(), bits)))
+
+
+def _one_batch(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _posts(batch: pa.RecordBatch, size: int, blocks: int):
@@ -210,18 +258,15 @@ def _posts(batch: pa.RecordBatch, size: int, blocks: int):
     keep[once] = True
     sel = keep[doc]
     h, doc = h[sel], doc[sel]
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
+    hs = np.sort(h)
     head = _runs(hs)
-    many = np.repeat(np.diff(head), np.diff(head)) >= HOT_IN_SLICE
-    hot = np.zeros(len(h), bool)
-    hot[order] = many
     marks = hs[head[:-1]][np.diff(head) >= HOT_IN_SLICE]
+    hot = np.isin(h, marks) if len(marks) else np.zeros(len(h), bool)
     for told in (False, True):
         pick = np.flatnonzero(hot == told)
         g, d = h[pick], doc[pick]
         block = W.spread(g, blocks)
-        by = np.lexsort((d, block))
+        by = np.argsort(block, kind="stable")  # d is in order
         g, d, block = g[by], d[by], block[by]
         # known frequent columns need no count: their entries go back by way of any block
         to = (block + d) % blocks if told else block
@@ -263,8 +308,8 @@ def _join(pdf: pd.DataFrame, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(pdf[name]), kind)
 
 
-def _grams(pdf: pd.DataFrame, of: str = "") -> np.ndarray:
-    return _join(pdf, f"{of}low", np.uint32).astype(U) | (_join(pdf, f"{of}high", np.uint16).astype(U) << U(32))
+def _grams(pdf: pd.DataFrame) -> np.ndarray:
+    return _join(pdf, "low", np.uint32).astype(U) | (_join(pdf, "high", np.uint16).astype(U) << U(32))
 
 
 _REPLY = "bucket int, block int, cls binary, size binary, count binary, low binary, high binary, df binary"
@@ -298,7 +343,7 @@ def _block_counts(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     parts = []
     count = _join(own, "count", np.int32)
     cls, n, g = np.repeat(_join(own, "cls", U), count), np.repeat(_join(own, "size", np.int32), count), _grams(own)
-    order = np.argsort(g, kind="stable")
+    order = np.argsort(g)
     head = _runs(g[order])
     times = np.repeat(np.diff(head), np.diff(head))
     hot = np.isin(g[order], marked)
@@ -340,10 +385,13 @@ def column_bits(columns: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def _bit_matrix(bits: list[bytes]) -> np.ndarray:
-    """Rows of 0 and 1, folded to the shortest signature among them."""
-    size = 8 * min(map(len, bits))
-    return np.stack([np.unpackbits(np.frombuffer(b, np.uint8)).reshape(-1, size).max(0) for b in bits]).astype(np.float32)
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Signatures, which have ``size`` bytes or more, as rows of words of that many bytes in all."""
+    out, length = np.empty((len(bits), size // 8), U), np.array([len(x) for x in bits])
+    for n in np.unique(length):
+        rows = np.frombuffer(b"".join(bits[length == n]), U).reshape(-1, n // size, size // 8)
+        out[length == n] = np.bitwise_or.reduce(rows, axis=1)
+    return out
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -374,19 +422,26 @@ def _document_rows(got: list[dict], percent: int):
             yield cls[a].view(np.int64), n, own.view(np.int64), lead.view(np.int64), alone, last, column_bits(lead)
 
 
-def matrix_rows(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def matrix_rows(docs: DataFrame, chosen: DataFrame, all_shingles: int, total: int, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows that may have a partner: cls, n, shared columns, the part to multiply in
-    order from rare to frequent, and the position of that part's first column."""
-    total = text_bytes(docs)
-    bits, n = _row_bits(saved(may_link(docs, sets, total, size, percent), "may-link"))
-    total = total * n // max(1, sets.agg(F.sum("n_shingles")).first()[0] or 0)
+    order from rare to frequent, and the position of that part's first column. ``chosen``
+    is a written table of ``may_link``, ``all_shingles`` the count of every text."""
+    bits, n = _row_bits(chosen), chosen.agg(F.sum("n")).first()[0] or 0
+    total = total * n // max(1, all_shingles)
     blocks, buckets = block_count(total), block_count(total, BUCKET_BYTES)
 
     @lean
     def post(batches):
+        held, size_held = [], 0
         for batch in batches:
             for part in W.slices(_having(batch, bits)):
-                yield from _posts(part, size, blocks)
+                held.append(part)
+                size_held += part.nbytes
+                if size_held >= W.SLICE_BYTES:
+                    yield from _posts(_one_batch(held), size, blocks)
+                    held, size_held = [], 0
+        if held:
+            yield from _posts(_one_batch(held), size, blocks)
 
     text = F.col("text").cast("string")
     entries = bounded_batches(docs).select(text.alias("text"), F.xxhash64(text).alias("row")).mapInArrow(post, _POST)
@@ -420,11 +475,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * both >= percent * (F.col("an") + F.col("bn") - both)).select("a", "b")
 
 
-_CROSS = 1024
+#: Pairs that are looked at at once, and those whose signatures are compared at once.
+_PAIRS, _SIGNED = 1 << 19, 1 << 15
 
 
 def _cross_pairs(percent: int):
-    """Pairs of one column group whose components differ, sub-block by sub-block.
+    """Pairs of a column whose components differ, for all columns of a group.
 
     A pair is needed once, at its first shared column, so the position bound is that of a
     first column. Of the row whose part ends earlier, every column of the part that the
@@ -433,46 +489,82 @@ def _cross_pairs(percent: int):
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = []
-        for _, c in pdf.groupby("g", sort=False):
-            if c["root"].nunique() < 2:
-                continue
-            c = c.sort_values("n", kind="stable")
-            cls, n, pos, root, alone, last = (c[x].to_numpy() for x in ("cls", "n", "pos", "root", "first_pos", "last"))
-            bits = c["bits"].tolist()
-            for i in range(0, len(c), _CROSS):
-                a = slice(i, i + _CROSS)
-                for j in range(i, len(c), _CROSS):
-                    b = slice(j, j + _CROSS)
-                    if 100 * n[a][-1] < percent * n[b][0]:
-                        break
-                    na, nb, pa_, pb = n[a][:, None], n[b][None], pos[a][:, None], pos[b][None]
-                    need = -(-percent * (na + nb) // (100 + percent))
-                    ok = (root[a][:, None] != root[b][None]) & (100 * na >= percent * nb)
-                    ok &= 1 + np.minimum(na - 1 - pa_, nb - 1 - pb) >= need
-                    if i == j:
-                        ok = np.triu(ok, 1)
-                    if not ok.any():
-                        continue
-                    m = _bit_matrix(bits[a] + bits[b])
-                    ma, mb = m[: len(bits[a])], m[len(bits[a]) :]
-                    both = ma @ mb.T
-                    lacks_a = alone[a][:, None] + ma.sum(1)[:, None] - both
-                    lacks_b = alone[b][None] + mb.sum(1)[None] - both
-                    first, second = last[a][:, None] <= last[b][None], last[a][:, None] >= last[b][None]
-                    ok &= ~(first & (lacks_a > na - need)) & ~(second & (lacks_b > nb - need))
-                    x, y = np.nonzero(ok)
-                    if len(x):
-                        p, q = cls[a][x], cls[b][y]
-                        seen.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
-            if sum(map(len, seen)) > 1 << 20:
-                seen = [np.unique(np.concatenate(seen), axis=0)]
-        out = np.unique(np.concatenate(seen), axis=0) if seen else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+        cls, at, row = np.unique(pdf["cls"].to_numpy(), return_index=True, return_inverse=True)
+        n, root, alone, last, bits = (pdf[x].to_numpy()[at] for x in ("n", "root", "first_pos", "last", "bits"))
+        length = np.array([len(x) for x in bits])
+        pos = pdf["pos"].to_numpy()
+        column = np.unique(pdf["g"].to_numpy(), return_inverse=True)[1]
+        found = np.zeros(0, np.int64)
+        for x, y, px, py in _column_pairs(column, row, pos, n, root, percent):
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            ok = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            ok &= 1 + np.minimum(n[x] - 1 - px, n[y] - 1 - py) >= need
+            pair = np.unique(np.minimum(x, y)[ok] * len(cls) + np.maximum(x, y)[ok])
+            x, y = pair // len(cls), pair % len(cls)
+            need, keep = -(-percent * (n[x] + n[y]) // (100 + percent)), np.zeros(len(pair), bool)
+            shorter = np.minimum(length[x], length[y])
+            for size in np.unique(shorter):
+                use = np.unique(np.concatenate((x[shorter == size], y[shorter == size])))
+                signs = _folded(bits[use], size)
+                ones = np.bitwise_count(signs).sum(1, dtype=np.int64)
+                of = np.flatnonzero(shorter == size)
+                for i in range(0, len(of), _SIGNED):
+                    k = of[i : i + _SIGNED]
+                    a, b = np.searchsorted(use, x[k]), np.searchsorted(use, y[k])
+                    both = np.bitwise_count(signs[a] & signs[b]).sum(1, dtype=np.int64)
+                    far_x = alone[x[k]] + ones[a] - both > n[x[k]] - need[k]
+                    far_y = alone[y[k]] + ones[b] - both > n[y[k]] - need[k]
+                    keep[k] = ~((last[x[k]] <= last[y[k]]) & far_x) & ~((last[x[k]] >= last[y[k]]) & far_y)
+            found = np.union1d(found, pair[keep])
+        a, b = cls[found // max(1, len(cls))], cls[found % max(1, len(cls))]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
+def _column_pairs(column, row, pos, n, root, percent: int):
+    """Batches (x, y, position of x, of y) of the pairs of rows in each column.
+
+    A column's rows are ordered either by size, and each is paired with those after it that
+    are not too large, or by component, and each is paired with those of later components:
+    whichever makes fewer pairs. So a column whose rows are nearly all of one component
+    costs about as many pairs as it has rows, and one of very many sizes few for each.
+    """
+
+    def reach(order, first, end):
+        """Per entry of an order where its partners begin and end, and of its column the count."""
+        return end, np.bincount(column[order], (end - first).astype(float), minlength=column.max(initial=-1) + 1)
+
+    here = np.arange(len(column))
+    by_size = np.lexsort((n[row], column))
+    span = np.int64(1) << 33
+    size_key = column[by_size] * span + n[row[by_size]]
+    size_first = here + 1
+    size_end, size_cost = reach(by_size, size_first, np.searchsorted(size_key, column[by_size] * span + 100 * n[row[by_size]] // percent, "right"))
+    by_root = np.lexsort((root[row], column))
+    c, r = column[by_root], root[row[by_root]]
+    column_cut = _runs(c)
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (r[1:] != r[:-1])
+    root_cut = np.append(np.flatnonzero(new), len(c))
+    root_first = np.repeat(root_cut[1:], np.diff(root_cut))
+    root_end, root_cost = reach(by_root, root_first, np.repeat(column_cut[1:], np.diff(column_cut)))
+    better = size_cost <= root_cost
+    for order, first, end, take in ((by_size, size_first, size_end, better), (by_root, root_first, root_end, ~better)):
+        use = np.flatnonzero(take[column[order]] & (end > first))
+        count = (end - first)[use]
+        total = np.append(0, np.cumsum(count))
+        i = 0
+        while i < len(use):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + _PAIRS, "right")) - 1)
+            k = count[i:j]
+            x = np.repeat(use[i:j], k)
+            y = np.repeat(first[use[i:j]], k) + np.arange(len(x)) - np.repeat(total[i:j] - total[i], k)
+            x, y = order[x], order[y]
+            yield row[x], row[y], pos[x], pos[y]
+            i = j
+
+
 def link_rows(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between rows that give the components of the Jaccard join."""
     spark = rows.sparkSession
@@ -495,8 +587,13 @@ def link_rows(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _named_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, row, n_shingles, cls and root, the component's fingerprint, of every document."""
-    sets = saved(document_sets(docs, size), "sets")
-    rows = saved(matrix_rows(docs, sets, size, percent), "matrix-rows")
+    total = text_bytes(docs)
+    first = saved(first_pass(docs, size, _sample_blocks(total)), "first-pass")
+    sets = saved(_sets_of(first), "sets")
+    chosen = saved(_candidates(first, sets, percent), "may-link")
+    discard(first)
+    shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    rows = saved(matrix_rows(docs, chosen, shingles, total, size, percent), "matrix-rows")
     roots = components(saved(link_rows(rows, percent), "links"))
     named = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return saved(named, "named-sets")

@@ -15,8 +15,9 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of whole texts that are worked on at once, and of their words that are hashed at
-#: once (about 50 bytes of memory each); both bound the memory of a task.
-SLICE_BYTES, HASH_BYTES = 4 << 20, 1 << 20
+#: once (about 50 bytes of memory each, which fit a processor's cache); both bound the
+#: memory of a task.
+SLICE_BYTES, HASH_BYTES = 4 << 20, 1 << 17
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -79,19 +80,23 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def _hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, separators: np.ndarray) -> np.ndarray:
+    """A hash of each word. Bytes up to the next word are separators and add nothing."""
+    byte = np.where(separators, U(0), BYTE)
     out = np.empty(len(start), U)
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + HASH_BYTES, "right")))
-        size = end[i:j] - start[i:j]
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        pos = np.arange(int(size.sum())) - np.repeat(begin, size)
-        at = pos + np.repeat(start[i:j], size)
-        key = mix(np.arange(int(size.max())) + 7_000_000) | U(1)
-        out[i:j] = mix(np.add.reduceat(BYTE[buf[at]] * key[pos], begin) + size.astype(U))
+        begin = start[i:j] - start[i]
+        reach = int(end[j - 1] - start[i])
+        span = np.diff(begin, append=reach)
+        pos = np.arange(reach) - np.repeat(begin, span)
+        key = mix(np.arange(int(span.max())) + 7_000_000) | U(1)
+        part = byte[buf[start[i] : end[j - 1]]]
+        part *= key[pos]
+        out[i:j] = np.add.reduceat(part, begin) + (end[i:j] - start[i:j]).astype(U)
         i = j
-    return out
+    return mix(out)
 
 
 def words(column: pa.Array, lower: bool = False, separators: np.ndarray = SPACE) -> Words:
@@ -107,7 +112,7 @@ def words(column: pa.Array, lower: bool = False, separators: np.ndarray = SPACE)
     last = np.ones(len(buf), bool)
     last[:-1] = ~inside[1:] | fresh[1:]
     end = np.flatnonzero(inside & last) + 1
-    return Words(buf, start, end, np.searchsorted(start, offsets), _hash_words(buf, start, end) if len(start) else np.zeros(0, U))
+    return Words(buf, start, end, np.searchsorted(start, offsets), _hash_words(buf, start, end, separators) if len(start) else np.zeros(0, U))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -4,9 +4,11 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelmill.llm import contamination, html_text, language, ngram_join, quality, sharding, substring, vectors, warc
 from labelmill.llm.graph import components
@@ -111,6 +113,40 @@ def test_ngram_jaccard_posted_bytes():
     assert not len(told)
 
 
+def test_ngram_jaccard_passes_over_texts(spark):
+    """Sets and the postings of sampled columns come from one pass; with the sum of their
+    bytes and the second pass, every text is made three times."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return " ".join(f"w{j}" for j in range(i, i + 40))
+
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), text.asNondeterministic()(1000 * F.col("id")).alias("text"))
+    rows = ngram_join._named_sets(docs, 5, 80).collect()
+    assert len({r.root for r in rows}) == 100 and {r.n_shingles for r in rows} == {36}
+    assert made.value <= 300
+
+
+def test_ngram_jaccard_column_of_one_component():
+    """A frequent column whose rows are nearly all of one component makes about as many pairs as rows."""
+    m = 3000
+    root = np.append(np.zeros(m, np.int64), 7)
+    n, row, zero = np.full(m + 1, 40), np.arange(m + 1), np.zeros(m + 1, np.int64)
+    pairs = [(x, y) for x, y, *_ in ngram_join._column_pairs(zero, row, zero, n, root, 80)]
+    assert sum(len(x) for x, _ in pairs) == m
+    columns = ngram_join.column_bits(np.arange(8, dtype=np.uint64))
+    pdf = pd.DataFrame({"g": 5, "cls": row - 10, "n": n, "pos": zero, "root": root, "first_pos": zero, "last": 9, "bits": [columns] * (m + 1)})
+    got = ngram_join._cross_pairs(80)(pdf)
+    assert {tuple(x) for x in got.itertuples(index=False)} == {(i - 10, m - 10) for i in range(m)}
+    sizes = pdf.assign(root=row, n=row + 1)  # each is paired with those of 100/80 of its size at most
+    assert sum(len(x) for x, *_ in ngram_join._column_pairs(zero, row, zero, sizes["n"].to_numpy(), row, 80)) < m * m / 7
+    many = np.repeat(np.arange(9), 500)  # more pairs than one batch holds
+    whole = [(x, y) for x, y, *_ in ngram_join._column_pairs(np.zeros(4500, int), np.arange(4500), np.zeros(4500, int), np.full(4500, 9), many, 80)]
+    assert len(whole) > 1 and len({p for x, y in whole for p in zip(x.tolist(), y.tolist()) if many[p[0]] != many[p[1]]}) == 36 * 500 * 500
+
+
 def test_substring_dedup(spark):
     docs = documents(spark).filter("doc_id is not null and not (doc_id = 7)")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.deduplicate(docs).collect()}
