@@ -619,11 +619,24 @@ def one_per_component(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     """The rows of ``docs`` without near duplicates: of each component of the join the row
     with the smallest doc_id stays (null ids last, then by a hash of the text), once if it is
     repeated. Rows without words stay. Rows are told apart by id and text, so a null or
-    repeated id never takes another text with it."""
+    repeated id never takes another text with it.
+
+    Rows that are alone in their component stay where they are; only the others, which a
+    bitmap of their texts' hashes tells, are joined with those that stay."""
     named = _named_sets(docs.select("doc_id", "text"), size, percent).filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    first = named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.row").alias("_row"))
-    wordless = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "") == ""
-    keyed = docs.withColumns({"_row": F.xxhash64(F.col("text").cast("string")), "_doc": F.col("doc_id").cast("long")})
-    kept = keyed.filter(~wordless).join(first.withColumnRenamed("_doc", "_first"), "_row").filter(F.col("_doc").eqNullSafe(F.col("_first"))).dropDuplicates(["_doc", "_row"])
-    return kept.select(*docs.columns).unionByName(docs.filter(wordless))
+    first = named.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("_members")).filter("_members > 1")
+    first = saved(first.select("root", F.col("k.doc_id").alias("_first"), F.col("k.row").alias("_row")), "first-rows")
+    bits = _row_bits(saved(named.join(first.select("root"), "root").select("row").distinct(), "grouped-rows"))
+
+    @F.pandas_udf("boolean")
+    def grouped(row: pd.Series) -> pd.Series:
+        return pd.Series(_has(row.to_numpy(), bits))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = bounded_batches(docs).withColumns({"_row": F.xxhash64(F.col("text").cast("string")), "_doc": F.col("doc_id").cast("long")})
+    keyed = keyed.withColumn("_grouped", grouped("_row") & text.rlike(r"[^\x20\x09-\x0D]"))
+    found = named.join(first.select("root"), "root", "left_anti").select(F.col("row").alias("_row"), F.col("doc_id").alias("_first"))
+    stay = first.select("_row", "_first").unionByName(found)
+    kept = keyed.filter("_grouped").join(stay, "_row").filter(F.col("_doc").eqNullSafe(F.col("_first"))).dropDuplicates(["_doc", "_row"])
+    return keyed.filter("not _grouped").select(*docs.columns).unionByName(kept.select(*docs.columns))

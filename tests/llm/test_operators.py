@@ -147,6 +147,17 @@ def test_ngram_jaccard_column_of_one_component():
     assert len(whole) > 1 and len({p for x, y in whole for p in zip(x.tolist(), y.tolist()) if many[p[0]] != many[p[1]]}) == 36 * 500 * 500
 
 
+def test_one_per_component_looks_up_grouped_rows_only(spark):
+    """Rows without a near copy stay where they are, without a join; results are those of brute force."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), " ".join(f"r{x}" for x in rng.integers(0, 1 << 40, 30))) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(10)] + [(i, rows[i][1]) for i in range(5, 15)] + [(None, rows[20][1]), (None, "alone of all"), (3, " \t\n"), (3, " \t\n"), (4, None)]
+    out = ngram_join.one_per_component(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([*rows[:40], (None, "alone of all"), (3, " \t\n"), (3, " \t\n"), (4, None)], key=str)
+    branches = out._jdf.queryExecution().optimizedPlan().children()
+    assert "Join" not in branches.apply(0).toString()
+
+
 def test_substring_dedup(spark):
     docs = documents(spark).filter("doc_id is not null and not (doc_id = 7)")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.deduplicate(docs).collect()}
